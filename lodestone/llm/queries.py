@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, sharding
+from . import decontam, lm_score, mixing, pii, quality, sharding, token_counts, toxicity
 
 SHARDS = 40
+#: Where the machines keep the ranks of the tokenizer.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attribute(_read(spark, sf_dir, "documents"), TOKENIZER, ["doc_id"])
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_read(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_read(spark, sf_dir, "documents"), keep=lambda d: F.struct(d["doc_id"]))
     base = F.concat(*(F.col(k.name) for k in pii.KINDS if k.base))
@@ -28,6 +38,17 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    weights, bias = toxicity.train(docs, labels.filter(~_fold(0)))
+    scored = toxicity.score(docs, weights, bias, ["doc_id"])
+    return scored.select("doc_id", _fold(0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _fold(remainder: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == remainder
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(_read(spark, sf_dir, "documents"))
 
@@ -48,11 +69,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("row.doc_id", "row.source", "row.text", "copy", "mix")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op3_lm_score": op3_lm_score,
     "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
