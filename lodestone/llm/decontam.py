@@ -20,52 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .shingles import SHINGLE, WordHashes, shingles
 
-SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 27
 BLOCKS = 8
 #: Items that are broadcast at a time.
 ITEMS = 20_000
-#: Words whose hashes a task remembers.
-REMEMBERED = 1_000_000
 MASK_BITS = 22
 
 
-def _odd(i: int) -> np.uint64:
-    return np.uint64(xxhash.xxh64_intdigest(b"place", i) | 1)
-
-
-class WordHashes(dict):
-    """Word to 64-bit hash; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """64-bit hashes of all runs of size words."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = words[:n] * _odd(0)
-    for k in range(1, size):
-        out += (words[k : k + n] ^ (words[k : k + n] >> np.uint64(29))) * _odd(k)
-    return out ^ (out >> np.uint64(32))
-
-
 def signs(hashes: np.ndarray) -> np.ndarray:
     """+1 or -1 for each hash and each of 64 bits."""
     mixed = hashes * np.uint64(0x9E3779B97F4A7C15)

@@ -1,6 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct hashed words, word pairs and pairs with one word between. The learner keeps
+Features of a text are its distinct hashed words (whole and cut to their first letters, so that compound and inflected
+forms share a feature), word pairs, and pairs with one word between. The learner keeps
 a gradient sum and a squared sum for each coordinate, which give it a rate of its own; an L1 term leaves most weights at zero,
 so that the weights, of a fixed width, are broadcast.
 
@@ -26,31 +27,47 @@ from .common import table
 BITS = 20
 #: Labelled rows that are learned from, at most.
 SAMPLE = 16_384
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 3.0, 1.0
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 1.0
 EPOCHS, BATCH = 3, 64
 #: Odd multipliers, one for each place of a word in a feature.
 PLACES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 WORDS = re.compile(r"[^\W_]+")
 #: Words whose hashes a task remembers.
 REMEMBERED = 1_000_000
+#: Letters of the beginnings that stand for a word's inflected and compound forms.
+STEMS = (4, 5, 6, 7)
 
 
 class Hashes(dict):
-    """Word to 32-bit hash; forgets all when full."""
+    """Word to the row of table that holds 32-bit hashes of the word and of its beginnings; forgets all when full."""
+
+    def __init__(self):
+        super().__init__()
+        self.table = np.zeros((REMEMBERED, 1 + len(STEMS)), np.uint32)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
+            raise OverflowError
+        self[word] = at = len(self)
+        forms = (word, *(word[:n] if len(word) > n else word for n in STEMS))
+        self.table[at] = [zlib.crc32(f"{k if len(x) < len(word) else 0}{x}".encode("utf-8", "surrogatepass")) for k, x in enumerate(forms)]
+        return at
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """A row of hashes for each word. The words of one text are looked up together, so that none is forgotten meanwhile."""
+        if len(self) + len(words) >= REMEMBERED:
             self.clear()
-        self[word] = h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        return h
+        if len(words) >= REMEMBERED:
+            return np.concatenate([self.of(words[i : i + REMEMBERED // 2]) for i in range(0, len(words), REMEMBERED // 2)])
+        return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
 def features(text: str | None, hashes: Hashes) -> np.ndarray:
-    """Coordinates of all n-grams and skip-grams of the text, with repeats."""
-    words = WORDS.findall(text.lower()) if text else []
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint32, len(words))
+    """Coordinates of all words, beginnings of words, pairs and skip pairs of the text, with repeats."""
+    rows = hashes.of(WORDS.findall(text.lower()) if text else [])
+    h = rows[:, 0]
     a, b, c, d, e = (np.uint32(x) for x in PLACES)
-    parts = [h * a, h[:-1] * b + (h[1:] ^ (h[1:] >> np.uint32(15))) * c, h[:-2] * d + (h[2:] ^ (h[2:] >> np.uint32(13))) * e]
+    parts = [rows.ravel() * a, h[:-1] * b + (h[1:] ^ (h[1:] >> np.uint32(15))) * c, h[:-2] * d + (h[2:] ^ (h[2:] >> np.uint32(13))) * e]
     return (np.concatenate(parts) * a) >> np.uint32(32 - BITS)
 
 
