@@ -132,8 +132,8 @@ def attribute(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "tex
             if not rows:
                 continue
             number, starts, stops, whole, crossing, share = (np.concatenate(x) for x in zip(*parts, strict=True))
-            taken = batch.take(pa.array(np.concatenate(rows)))
-            out = [taken.column(f"k{i}") for i in range(len(keep))]
+            at = pa.array(np.concatenate(rows))
+            out = [batch.column(f"k{i}").take(at) for i in range(len(keep))]
             out += [pa.array(number.astype(np.int32), mask=number < 0), pa.array(names, pa.string())]
             out += [pa.array(x.astype(np.int64)) for x in (starts, stops, whole, crossing)] + [pa.array(share)]
             yield pa.RecordBatch.from_arrays(out, [*(f"k{i}" for i in range(len(keep))), "section", "name", "start", "end", "n_tokens", "n_crossing", "share"])
