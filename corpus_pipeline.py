@@ -1,38 +1,56 @@
-"""Corpus preparation: the stages in order, each from the documents that the one before kept."""
+"""Corpus preparation: the stages in order, each from the documents that the one before kept.
+
+All but the last return the columns of documents; the last gives each document that is left, copies by weight among
+them, its shard and slot.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, quality
+from lodestone.llm import decontam, jaccard, mixing, quality
+from lodestone.llm.common import table
 from lodestone.llm.queries import sharded
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither fail the rules themselves nor come from a host that fails them too often."""
     return quality.keep(docs)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate makes it; rows in a hashed order."""
     return mixing.mix(docs).select("row.*")
 
 
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row."""
     return sharded(docs)
 
 
 STAGES = [
     ("quality_rules", quality_rules),
-    ("mix_sources", mix_sources),
-    ("shard", shard),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("shards", shards),
 ]
 
-#: Hash functions of the stages have no SQL form; tests compare the stages with plain Python.
+#: Fingerprints, MinHash and hash draws have no SQL form; tests compare each stage with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.llm.common import table
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), name)

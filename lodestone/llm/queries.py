@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lm_score, mixing, pii, quality, sharding, token_counts, toxicity
+from . import decontam, jaccard, lm_score, mixing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
 
 SHARDS = 40
 #: Where the machines keep the ranks of the tokenizer.
@@ -22,6 +22,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute(_read(spark, sf_dir, "documents"), TOKENIZER, ["doc_id"])
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeats(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("k").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_read(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lm_score": op3_lm_score,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
