@@ -1,4 +1,818 @@
-"""All queries by name, with SQL for those that SQL can express."""
+"""All queries by name over the given tables, with SQL for those that SQL can express.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables stand in for the engine's relations: parts are prompts, line items search metrics, events traffic, orders run history, pages
+pages. Each query is the engine's operator applied to them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scoring, text, urls
+from .operators import claims, competitors, completion, context, correlate, debate, dedup, lookup, matching, metrics, pages, reconcile, report
+from .params import Reconcile
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# The stand-ins, in Spark and in SQL.
+
+
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return read(spark, d, "part").select(
+        c("p_partkey").alias("ord"), c("p_name").alias("prompt_text"),
+        F.array(F.concat(F.lit("https://shop.example.com/u/"), (c("p_partkey") % 150).cast("string"))).alias("source_urls"),
+        (c("p_retailprice") / 2500.0).alias("relevance_score"),
+        F.when(c("p_size") % 4 == 0, "informational").when(c("p_size") % 4 == 1, "commercial").when(c("p_size") % 4 == 2, "").otherwise("navigational").alias("search_intent"),
+        F.when(c("p_size") % 10 == 0, "").otherwise(c("p_type")).alias("topic_cluster"),
+        F.when(c("p_size") % 3 == 0, "high").when(c("p_size") % 3 == 1, "medium").otherwise("low").alias("estimated_volume"),
+        F.lit("medium").alias("difficulty"), F.lit("extracted").alias("status"), F.lit("").alias("extraction_reasoning"), c("p_brand").alias("brand"),
+    )
+
+
+VP = """vp AS (SELECT p_partkey AS ord, p_name AS prompt_text, ['https://shop.example.com/u/' || CAST(p_partkey % 150 AS VARCHAR)] AS source_urls,
+  p_retailprice / 2500.0 AS relevance_score,
+  CASE p_size % 4 WHEN 0 THEN 'informational' WHEN 1 THEN 'commercial' WHEN 2 THEN '' ELSE 'navigational' END AS search_intent,
+  CASE WHEN p_size % 10 = 0 THEN '' ELSE p_type END AS topic_cluster,
+  CASE p_size % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS estimated_volume, p_brand AS brand FROM part)"""
+
+
+def search_rows(spark: SparkSession, d: str) -> DataFrame:
+    """query, page, clicks, impressions."""
+    items = read(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_returnflag")
+    sums = items.groupBy("l_partkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("clicks"), F.sum(F.col("l_quantity").cast("long")).alias("impressions"))
+    parts = read(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    return sums.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_name").alias("query"), F.col("p_brand").alias("page"), "clicks", "impressions")
+
+
+VR = """vr AS (SELECT p_name AS query, p_brand AS page, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS clicks,
+  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS impressions FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey, p_name, p_brand)"""
+
+
+def search(spark: SparkSession, d: str) -> DataFrame:
+    """Rolled-up queries that are not prompts themselves: every second one reversed, with a made-up position. ord follows the text."""
+    rolled = metrics.search_rollup(search_rows(spark, d))
+    words = F.split("query", " ")
+    q = F.when(F.length("query") % 2 == 0, F.concat_ws(" ", F.get(words, 1), F.get(words, 0))).otherwise(F.concat(F.get(words, 1), F.lit(" shop")))
+    rows = rolled.select(q.alias("query"), "clicks", "impressions", "ctr").groupBy("query").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+    rows = rows.withColumn("impressions", F.col("impressions") % 150).withColumn("clicks", F.least("clicks", F.floor(F.col("impressions") / 15)))
+    ctr = F.when(F.col("impressions") > 0, F.col("clicks") / F.col("impressions")).otherwise(0.0)
+    rows = rows.select("query", "clicks", "impressions", ctr.alias("ctr"), (F.col("impressions") % 14).cast("double").alias("position"))
+    return dedup.numbered(rows, "query")
+
+
+VG = """vq AS (SELECT query, sum(clicks) AS clicks, sum(impressions) AS impressions FROM vr GROUP BY query),
+vs AS (SELECT CASE WHEN length(query) % 2 = 0 THEN split_part(query, ' ', 2) || ' ' || split_part(query, ' ', 1) ELSE split_part(query, ' ', 2) || ' shop' END AS query, clicks, impressions FROM vq),
+vt AS (SELECT query, CAST(sum(clicks) AS BIGINT) AS c, CAST(sum(impressions) AS BIGINT) % 150 AS impressions FROM vs GROUP BY query),
+vu AS (SELECT query, least(c, CAST(floor(impressions / 15) AS BIGINT)) AS clicks, impressions FROM vt),
+vg AS (SELECT query, clicks, impressions, CASE WHEN impressions > 0 THEN clicks / impressions ELSE 0.0 END AS ctr, CAST(impressions % 14 AS DOUBLE) AS position,
+  row_number() OVER (ORDER BY query) - 1 AS ord FROM vu)"""
+
+
+def traffic(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("event_type") == "click").alias("organic_sessions"), F.count_if(F.col("event_type") == "view").alias("pageviews"))
+    # every third path ends in a slash, and no path is longer than the longest user
+    path = F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 3 == 0, "/").otherwise(""))
+    return rows.filter("user_id % 7 <> 0").select(F.col("user_id").alias("ord"), path.alias("page_path"), "sessions", "organic_sessions", "pageviews", (F.col("sessions") / 1000.0).alias("bounce_rate"))
+
+
+VA = """va AS (SELECT user_id AS ord, '/u/' || CAST(user_id AS VARCHAR) || CASE WHEN user_id % 3 = 0 THEN '/' ELSE '' END AS page_path, count(*) AS sessions,
+  count(*) FILTER (WHERE event_type = 'click') AS organic_sessions, count(*) FILTER (WHERE event_type = 'view') AS pageviews FROM events WHERE user_id % 7 <> 0 GROUP BY user_id)"""
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return read(spark, d, "orders").select(
+        c("o_orderpriority").alias("domain"), (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("long").alias("run_seq"), c("o_orderkey").alias("ord"),
+        F.concat(F.lit("Customer  "), (c("o_custkey") % 40).cast("string"), F.lit(" ")).alias("text"), (c("o_totalprice") / 1000000.0).alias("score"),
+    )
+
+
+VH = """vh AS (SELECT o_orderpriority AS domain, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS BIGINT) AS run_seq, o_orderkey AS ord,
+  'Customer  ' || CAST(o_custkey % 40 AS VARCHAR) || ' ' AS text, 'customer ' || CAST(o_custkey % 40 AS VARCHAR) AS norm, o_totalprice / 1000000.0 AS score FROM orders)"""
+
+
+# Deduplication, order, batches.
+
+
+@query(f"""WITH {VP} SELECT lower(trim(prompt_text)) AS text_key, min(ord) AS first_ord, max(relevance_score) AS relevance_score,
+  arg_min(brand, ord) AS brand, CAST(len(list_distinct(flatten(list(source_urls)))) AS INTEGER) AS n_urls FROM vp GROUP BY 1""")
+def prompt_dedup_exact(spark, d):
+    out = dedup.exact_dedup(prompts(spark, d))
+    return out.select(text.key(F.col("prompt_text")).alias("text_key"), F.col("ord").alias("first_ord"), "relevance_score", "brand", F.size("source_urls").alias("n_urls"))
+
+
+@query("SELECT md5(lower(trim(text))) AS text_md5, min(doc_id) AS first_ord, count(*) AS copies FROM documents GROUP BY lower(trim(text))")
+def document_dedup_exact(spark, d):
+    return dedup.distinct_texts(read(spark, d, "documents"), "text", "doc_id").select(F.md5("text_key").alias("text_md5"), "first_ord", "copies")
+
+
+@query(f"WITH {VP} SELECT ord, prompt_text, relevance_score FROM vp ORDER BY relevance_score DESC, ord LIMIT 500")
+def prompt_top_n(spark, d):
+    return dedup.top(prompts(spark, d).select("ord", "prompt_text", "relevance_score"), "relevance_score", 500)
+
+
+@query(f"WITH {VP} SELECT batch, count(*) AS n, min(ord) AS first_ord FROM (SELECT ord, CAST(floor((row_number() OVER (ORDER BY ord) - 1) / 10) AS BIGINT) AS batch FROM vp) GROUP BY batch")
+def prompt_batches(spark, d):
+    return dedup.batches(prompts(spark, d).select("ord"), 10).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
+
+
+@query(f"WITH {VP} SELECT chunk, count(*) AS n, min(ord) AS first_ord FROM (SELECT ord, CAST(floor((row_number() OVER (ORDER BY ord) - 1) / 100) AS BIGINT) AS chunk FROM vp) GROUP BY chunk")
+def prompt_chunks(spark, d):
+    return dedup.batches(prompts(spark, d).select("ord"), 100, "chunk").groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
+
+
+@query(f"""WITH {VP} SELECT ord, prompt_text, CAST(0 AS INTEGER) AS part FROM vp WHERE ord % 10 < 3
+  UNION ALL SELECT ord, prompt_text, CAST(1 AS INTEGER) FROM vp WHERE ord % 10 >= 3 AND lower(trim(prompt_text)) NOT IN (SELECT lower(trim(prompt_text)) FROM vp WHERE ord % 10 < 3)""")
+def competitor_merge_anti(spark, d):
+    p = prompts(spark, d).select("ord", "prompt_text")
+    return dedup.merge_new(p.filter("ord % 10 < 3"), p.filter("ord % 10 >= 3"))
+
+
+def validations(spark, d) -> DataFrame:
+    score = ((F.col("p_size") % 20) / 20.0).alias("overall_score")
+    grade = F.when(F.col("p_size") % 7 == 0, "rejected").otherwise("high").alias("quality_rating")
+    return read(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("ord"), F.concat("p_name", F.lit(" "), "p_brand").alias("prompt_text"), score, grade)
+
+
+VV = """vv AS (SELECT p_partkey AS ord, p_name || ' ' || p_brand AS prompt_text, (p_size % 20) / 20.0 AS overall_score,
+  CASE WHEN p_size % 7 = 0 THEN 'rejected' ELSE 'high' END AS quality_rating FROM part WHERE p_partkey % 2 = 0)"""
+
+
+def branded(spark, d) -> DataFrame:
+    p = prompts(spark, d)
+    return p.withColumn("prompt_text", F.concat("prompt_text", F.lit(" "), "brand"))
+
+
+@query(f"""WITH {VP}, {VV}, ok AS (SELECT DISTINCT prompt_text FROM vv WHERE overall_score >= 0.7 AND quality_rating <> 'rejected')
+  SELECT ord, CASE WHEN prompt_text || ' ' || brand IN (SELECT prompt_text FROM ok) THEN 'validated' ELSE 'rejected' END AS status FROM vp""")
+def validated_semi_status(spark, d):
+    return lookup.with_status(branded(spark, d), validations(spark, d)).select("ord", "status")
+
+
+@query(f"WITH {VP} SELECT ord, prompt_text FROM vp")
+def active_prompts_fallback(spark, d):
+    return lookup.active(prompts(spark, d)).select("ord", "prompt_text")
+
+
+@query(f"WITH {VV} SELECT CAST(count(*) AS BIGINT) AS validated, count(*) FILTER (WHERE overall_score >= 0.7 AND quality_rating <> 'rejected') AS passed, round(avg(overall_score), 6) AS mean_overall FROM vv")
+def validation_stats(spark, d):
+    return debate.statistics(validations(spark, d)).withColumn("mean_overall", F.round("mean_overall", 6))
+
+
+@query(f"""WITH {VP}, {VV}, last AS (SELECT prompt_text, arg_max(overall_score, ord) AS overall_score FROM vv GROUP BY prompt_text)
+  SELECT vp.ord, last.overall_score FROM vp LEFT JOIN last ON vp.prompt_text || ' ' || vp.brand = last.prompt_text""")
+def validation_factcheck_lookup(spark, d):
+    return lookup.with_results(branded(spark, d), validations(spark, d), "validation").select("ord", F.col("validation.overall_score").alias("overall_score"))
+
+
+@query(f"""WITH {VP}, vpages AS (SELECT page_id AS ord, 'https://shop.example.com/u/' || CAST(page_id % 100 AS VARCHAR) AS url FROM pages),
+  named AS (SELECT vp.ord AS prompt_ord, g.ord AS page_ord, row_number() OVER (PARTITION BY vp.ord ORDER BY g.ord) AS place FROM vp JOIN vpages g ON vp.source_urls[1] = g.url),
+  lead3 AS (SELECT ord AS page_ord, row_number() OVER (ORDER BY ord) AS place FROM vpages ORDER BY ord LIMIT 3)
+  SELECT prompt_ord, page_ord, CAST(place AS INTEGER) AS place FROM named WHERE place <= 3
+  UNION ALL SELECT vp.ord, lead3.page_ord, CAST(lead3.place AS INTEGER) FROM vp, lead3 WHERE vp.ord NOT IN (SELECT prompt_ord FROM named)""")
+def page_context_lookup(spark, d):
+    g = read(spark, d, "pages").select(F.col("page_id").alias("ord"), F.concat(F.lit("https://shop.example.com/u/"), (F.col("page_id") % 100).cast("string")).alias("url"))
+    return lookup.page_context(prompts(spark, d), g)
+
+
+# Metrics.
+
+
+@query(f"""WITH {VR} SELECT query, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions,
+  CASE WHEN sum(impressions) > 0 THEN round(sum(clicks) / sum(impressions), 9) ELSE 0.0 END AS ctr, CAST(count(DISTINCT page) AS INTEGER) AS n_pages FROM vr GROUP BY query""")
+def search_metrics_rollup(spark, d):
+    return metrics.search_rollup(search_rows(spark, d)).select("query", "clicks", "impressions", F.round("ctr", 9).alias("ctr"), F.size("pages").alias("n_pages"))
+
+
+@query(f"""WITH {VA}, o AS (SELECT '/u/' || CAST(user_id AS VARCHAR) AS page_path, count(*) AS organic FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+  SELECT coalesce(va.page_path, o.page_path) AS page_path, coalesce(va.sessions, 0) AS sessions, coalesce(o.organic, va.organic_sessions) AS organic_sessions FROM va FULL OUTER JOIN o ON va.page_path = o.page_path""")
+def traffic_merge_outer(spark, d):
+    o = read(spark, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.count(F.lit(1)).alias("organic_sessions"))
+    o = o.select(F.col("user_id").alias("ord"), F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("page_path"), "organic_sessions")
+    return metrics.merge_organic(traffic(spark, d), o).select("page_path", "sessions", "organic_sessions")
+
+
+@query("""SELECT '/u/' || CAST(user_id AS VARCHAR) AS page_path, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, min(event_id) AS ord FROM events GROUP BY user_id""")
+def traffic_last_wins(spark, d):
+    rows = read(spark, d, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("page_path"), "event_type", "value")
+    return dedup.last_wins(rows, "page_path")
+
+
+CASCADE = """vpath AS (SELECT ord, '/u/' || CAST(ord % 150 AS VARCHAR) AS p FROM vp),
+every AS (SELECT vpath.ord AS prompt_ord, 0 AS rule, va.ord AS t FROM vpath JOIN va ON va.page_path = vpath.p
+  UNION ALL SELECT vpath.ord, 1, va.ord FROM vpath JOIN va ON va.page_path = vpath.p || '/'
+  UNION ALL SELECT vpath.ord, 2, va.ord FROM vpath JOIN va ON contains(va.page_path, vpath.p) OR contains(vpath.p, va.page_path)),
+hit AS (SELECT prompt_ord, t AS traffic_ord FROM (SELECT *, row_number() OVER (PARTITION BY prompt_ord ORDER BY rule, t) AS k FROM every) WHERE k = 1)"""
+
+
+@query(f"WITH {VP}, {VA}, {CASCADE} SELECT prompt_ord, traffic_ord FROM hit")
+def traffic_path_cascade(spark, d):
+    return matching.traffic_cascade(prompts(spark, d), traffic(spark, d))
+
+
+NATIVE = """pa AS (SELECT DISTINCT lower(trim(prompt_text)) AS a FROM vp), qb AS (SELECT DISTINCT lower(trim(query)) AS b FROM vg),
+pairs AS (SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE greatest(CAST(len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' ')))) AS DOUBLE)
+  / greatest(len(list_distinct(string_split(a, ' '))), len(list_distinct(string_split(b, ' ')))), {floor}) END AS score FROM pa, qb),
+best AS (SELECT vp.ord AS prompt_ord, vg.ord AS query_ord, pairs.score AS match_score,
+  row_number() OVER (PARTITION BY vp.ord ORDER BY pairs.score DESC, vg.ord) AS match_rank
+  FROM vp JOIN pairs ON lower(trim(vp.prompt_text)) = pairs.a JOIN vg ON lower(trim(vg.query)) = pairs.b WHERE pairs.score >= 0.5)"""
+WORDS = NATIVE.format(floor="0.0")
+BOTH = NATIVE.format(floor="CASE WHEN contains(a, b) OR contains(b, a) THEN 0.8 ELSE 0.0 END")
+
+
+@query(f"WITH {VP}, {VR}, {VG}, {WORDS} SELECT prompt_ord, query_ord, match_score, CAST(match_rank AS INTEGER) AS match_rank FROM best WHERE match_rank <= 10")
+def word_overlap_top10(spark, d):
+    return matching.top_matches(prompts(spark, d), search(spark, d), containment=False, ratio=False)
+
+
+@query(f"WITH {VP}, {VR}, {VG}, {BOTH} SELECT prompt_ord, query_ord, match_score, CAST(match_rank AS INTEGER) AS match_rank FROM best WHERE match_rank <= 10")
+def containment_match(spark, d):
+    return matching.top_matches(prompts(spark, d), search(spark, d), containment=True, ratio=False)
+
+
+@query()
+def fuzzy_match_top10(spark, d):
+    return matching.top_matches(prompts(spark, d), search(spark, d))
+
+
+# Scores.
+
+
+def ranked(spark, d) -> DataFrame:
+    return correlate.correlate(prompts(spark, d), search(spark, d), traffic(spark, d), ratio=False)
+
+
+RANKED = f"""WITH {VP}, {VR}, {VG}, {VA}, {CASCADE}, {BOTH},
+top1 AS (SELECT best.prompt_ord, best.match_score, vg.query, vg.clicks, vg.impressions, vg.ctr, vg.position FROM best JOIN vg ON best.query_ord = vg.ord WHERE match_rank = 1),
+j AS (SELECT vp.*, top1.match_score, top1.query, top1.clicks, top1.impressions, top1.ctr, top1.position, va.sessions, va.organic_sessions, va.page_path
+  FROM vp LEFT JOIN top1 ON top1.prompt_ord = vp.ord LEFT JOIN hit ON hit.prompt_ord = vp.ord LEFT JOIN va ON va.ord = hit.traffic_ord),
+s AS (SELECT j.*, round(least(CASE WHEN query IS NOT NULL THEN match_score * 0.3 + CASE WHEN impressions > 0 THEN 0.15 ELSE 0 END + CASE WHEN clicks > 0 THEN 0.15 ELSE 0 END ELSE 0 END
+  + CASE WHEN page_path IS NOT NULL THEN 0.2 + CASE WHEN organic_sessions > 0 THEN 0.1 ELSE 0 END + CASE WHEN sessions > 10 THEN 0.1 ELSE 0 END ELSE 0 END, 1.0), 9) AS data_correlation_score,
+  round(least((relevance_score * 0.15
+    + CASE WHEN query IS NULL THEN CASE WHEN estimated_volume IN ('high', 'medium') THEN 0.15 ELSE 0 END
+      ELSE CASE WHEN impressions > 100 AND ctr < 0.05 THEN 0.3 WHEN impressions > 50 AND ctr < 0.1 THEN 0.2 WHEN impressions > 10 THEN 0.1 ELSE 0 END
+        + CASE WHEN position > 10 THEN 0.1 WHEN position > 3 THEN 0.05 ELSE 0 END END
+    + CASE WHEN page_path IS NULL THEN CASE estimated_volume WHEN 'high' THEN 0.15 WHEN 'medium' THEN 0.1 ELSE 0.05 END
+      ELSE CASE WHEN organic_sessions > 100 THEN 0.2 WHEN organic_sessions > 50 THEN 0.15 WHEN organic_sessions > 10 THEN 0.1 ELSE 0.05 END END) / 0.65, 1.0), 9) AS impact_score,
+  CASE WHEN query IS NOT NULL AND ctr < 0.05 THEN 'Optimize meta title/description for ''' || prompt_text || ''' - high impressions but low CTR'
+    WHEN query IS NULL AND estimated_volume IN ('high', 'medium') THEN 'Create/optimize content targeting ''' || prompt_text || ''' - potential content gap'
+    ELSE 'Monitor performance for ''' || prompt_text || '''' END AS recommendation FROM j),
+r AS (SELECT s.*, CAST(row_number() OVER (ORDER BY impact_score DESC, ord) AS INTEGER) AS priority_rank FROM s)"""
+
+
+def rounded(rows: DataFrame) -> DataFrame:
+    """Ranked by scores rounded to nine digits, so that the last bits of a sum do not decide ties."""
+    nine = {c: F.round(c, 9) for c in ("data_correlation_score", "impact_score")}
+    return correlate.ranked(rows.drop("priority_rank").withColumns(nine))
+
+
+@query(f"{RANKED} SELECT ord, data_correlation_score FROM s")
+def data_correlation_score(spark, d):
+    return ranked(spark, d).select("ord", F.round("data_correlation_score", 9).alias("data_correlation_score"))
+
+
+@query(f"{RANKED} SELECT ord, impact_score FROM s")
+def impact_score(spark, d):
+    return ranked(spark, d).select("ord", F.round("impact_score", 9).alias("impact_score"))
+
+
+@query(f"{RANKED} SELECT ord, recommendation FROM s")
+def rule_recommendation(spark, d):
+    return ranked(spark, d).select("ord", "recommendation")
+
+
+@query(f"""{RANKED} SELECT ord, CASE WHEN data_correlation_score > 0.3 OR impact_score > 0.5 THEN round(impact_score * 0.4 + 0.5 * 0.6, 6) ELSE round(impact_score, 6) END AS impact_score,
+  CASE WHEN data_correlation_score > 0.3 OR impact_score > 0.5 THEN round(data_correlation_score * 0.4 + 0.25 * 0.6, 6) ELSE round(data_correlation_score, 6) END AS data_correlation_score FROM s""")
+def blended_scores(spark, d):
+    rows = rounded(ranked(spark, d))
+    gate = scoring.needs_model(F.col("data_correlation_score"), F.col("impact_score"))
+    one = lambda c, m: F.round(scoring.blended(F.col(c), F.when(gate, F.lit(m))), 6).alias(c)
+    return rows.select("ord", one("impact_score", 0.5), one("data_correlation_score", 0.25))
+
+
+@query(f"{RANKED} SELECT priority_rank, ord, prompt_text, impact_score, data_correlation_score, query, page_path, recommendation FROM r")
+def ranked_opportunities(spark, d):
+    rows = rounded(ranked(spark, d))
+    return rows.select("priority_rank", "ord", "prompt_text", "impact_score", "data_correlation_score", correlate.best_query("query").alias("query"), F.col("traffic.page_path").alias("page_path"), "recommendation")
+
+
+@query(f"{RANKED} SELECT ord FROM s WHERE impact_score >= 0.5 OR data_correlation_score >= 0.3")
+def high_impact_filter(spark, d):
+    return rounded(ranked(spark, d)).filter(scoring.high_impact(F.col("impact_score"), F.col("data_correlation_score"))).select("ord")
+
+
+@query(f"{RANKED} SELECT CASE WHEN impact_score >= 0.7 THEN 'high' WHEN impact_score >= 0.4 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM s GROUP BY 1")
+def impact_tiers(spark, d):
+    return rounded(ranked(spark, d)).groupBy(scoring.impact_tier(F.col("impact_score")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{RANKED} SELECT coalesce(nullif(topic_cluster, ''), 'Uncategorized') AS topic, count(*) AS count, round(avg(impact_score), 6) AS avg_impact, round(avg(data_correlation_score), 6) AS avg_correlation FROM r GROUP BY 1""")
+def topic_clusters(spark, d):
+    return report.topic_clusters(rounded(ranked(spark, d))).select("topic", "count", F.round("avg_impact", 6).alias("avg_impact"), F.round("avg_correlation", 6).alias("avg_correlation"))
+
+
+@query(f"""{RANKED} SELECT topic, CAST(place AS INTEGER) AS place, prompt_text FROM (SELECT coalesce(nullif(topic_cluster, ''), 'Uncategorized') AS topic, prompt_text,
+  row_number() OVER (PARTITION BY coalesce(nullif(topic_cluster, ''), 'Uncategorized') ORDER BY priority_rank) AS place FROM r) WHERE place <= 5""")
+def topic_top5(spark, d):
+    rows = report.topic_clusters(rounded(ranked(spark, d)))
+    return rows.select("topic", F.posexplode("top_prompts").alias("place", "prompt_text")).withColumn("place", F.col("place") + 1)
+
+
+@query(f"WITH {VP} SELECT coalesce(nullif(search_intent, ''), 'unknown') AS intent, count(*) AS count FROM vp GROUP BY 1")
+def intent_distribution(spark, d):
+    return report.intents(prompts(spark, d))
+
+
+@query(f"""{RANKED} SELECT count(*) AS total_prompts, count(*) FILTER (WHERE impact_score >= 0.7) AS high_impact_prompts, count(*) FILTER (WHERE impact_score >= 0.4 AND impact_score < 0.7) AS medium_impact_prompts,
+  count(*) FILTER (WHERE impact_score < 0.4) AS low_impact_prompts, count(query) AS with_gsc_data, count(page_path) AS with_ga_data, round(avg(impact_score), 6) AS avg_impact_score, round(avg(data_correlation_score), 6) AS avg_correlation_score FROM s""")
+def report_summary(spark, d):
+    six = {c: F.round(c, 6) for c in ("avg_impact_score", "avg_correlation_score")}
+    return report.summary(rounded(ranked(spark, d))).withColumns(six)
+
+
+@query(f"{RANKED} SELECT priority_rank AS priority, prompt_text AS prompt, impact_score, recommendation, '' AS reasoning FROM r WHERE priority_rank <= 30")
+def recommendation_list(spark, d):
+    return report.recommendations(rounded(ranked(spark, d)))
+
+
+@query(f"""{RANKED} SELECT priority_rank, prompt_text, round(impact_score, 3) AS impact_score, search_intent, topic_cluster, estimated_volume, clicks, impressions, round(ctr, 4) AS ctr, position, sessions, organic_sessions, source_urls[1] AS urls FROM r""")
+def csv_projection(spark, d):
+    rows = rounded(ranked(spark, d))
+    b, t = correlate.best_query, F.col("traffic")
+    return rows.select("priority_rank", "prompt_text", F.round("impact_score", 3).alias("impact_score"), "search_intent", "topic_cluster", "estimated_volume", b("clicks").alias("clicks"), b("impressions").alias("impressions"), F.round(b("ctr"), 4).alias("ctr"), b("position").alias("position"), t["sessions"].alias("sessions"), t["organic_sessions"].alias("organic_sessions"), F.array_join(F.slice("source_urls", 1, 3), "; ").alias("urls"))
+
+
+@query()
+def report_csv(spark, d):
+    """The CSV report's text columns."""
+    return report.csv_rows(ranked(spark, d)).toDF(*(c.lower().replace(" ", "_").replace(".", "") for c in report.CSV_HEADER))
+
+
+@query()
+def report_json(spark, d):
+    """The JSON report, one row."""
+    return report.json_report(ranked(spark, d), "https://shop.example.com", "2024-01-01T00:00:00", 0)
+
+
+@query("SELECT event_id, CASE WHEN value / 100.0 < 0.2 THEN 'LOW' WHEN value / 100.0 < 0.5 THEN 'MODERATE' ELSE 'HIGH' END AS tier FROM events")
+def drift_tiers(spark, d):
+    return read(spark, d, "events").select("event_id", scoring.drift_tier(F.col("value") / 100.0).alias("tier"))
+
+
+@query("""SELECT p_partkey AS ord, CASE p_partkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN p_size / 100.0 WHEN 2 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS score FROM part""")
+def score_coercion(spark, d):
+    size = F.col("p_size")
+    raw = F.when(F.col("p_partkey") % 4 == 0, F.lit(None).cast("string")).when(F.col("p_partkey") % 4 == 1, (size / 100.0).cast("string")).when(F.col("p_partkey") % 4 == 2, F.lit("high")).otherwise(size.cast("string"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("ord"), scoring.score_or(raw).alias("score"))
+
+
+@query("SELECT p_partkey AS ord, CASE WHEN lower(p_type) IN ('high', 'medium', 'low', 'rejected') THEN lower(p_type) ELSE 'medium' END AS rating, CASE WHEN p_size % 2 = 0 THEN p_size > 20 ELSE p_size / 50.0 >= 0.6 END AS verdict FROM part")
+def rating_map(spark, d):
+    flag = F.when(F.col("p_size") % 2 == 0, F.col("p_size") > 20)
+    return read(spark, d, "part").select(F.col("p_partkey").alias("ord"), scoring.rating(F.col("p_type")).alias("rating"), scoring.verdict_default(flag, F.col("p_size") / 50.0).alias("verdict"))
+
+
+@query("""SELECT p_partkey AS ord, CASE p_size % 6 WHEN 0 THEN CAST(1000 + p_size AS DOUBLE) WHEN 1 THEN 0.0 WHEN 2 THEN p_size + 0.5 WHEN 3 THEN 0.0 WHEN 4 THEN CAST(p_size AS DOUBLE) ELSE 0.0 END AS value,
+  CASE p_size % 6 WHEN 0 THEN (1000 + p_size) / 100.0 WHEN 1 THEN 0.0 WHEN 2 THEN CASE WHEN p_size + 0.5 > 1 THEN (p_size + 0.5) / 100.0 ELSE p_size + 0.5 END WHEN 3 THEN 0.0 WHEN 4 THEN CASE WHEN p_size > 1 THEN p_size / 100.0 ELSE p_size END ELSE 0.0 END AS fraction FROM part""")
+def parse_number(spark, d):
+    size, n = F.col("p_size").cast("string"), F.col("p_size") % 6
+    thousand = (F.lit(1000) + F.col("p_size")).cast("string")
+    raw = F.when(n == 0, F.concat(F.substring(thousand, 1, 1), F.lit(","), F.substring(thousand, 2, 3))).when(n == 1, "-").when(n == 2, F.concat(size, F.lit(".5%"))).when(n == 3, "N/A").when(n == 4, F.concat(F.lit(" $"), size)).otherwise("abc")
+    return read(spark, d, "part").select(F.col("p_partkey").alias("ord"), scoring.number(raw).alias("value"), scoring.percent(raw).alias("fraction"))
+
+
+# URLs and pages.
+
+URL_PATH = r"regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '$', '')"
+HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '')"
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS url FROM pages")
+def url_normalize(spark, d):
+    return read(spark, d, "pages").select("page_id", urls.normal_url(F.col("url")).alias("url"))
+
+
+@query(f"SELECT page_id, {HOST} = 'spam-farm.example.org' AS same FROM pages")
+def url_same_domain(spark, d):
+    return read(spark, d, "pages").select("page_id", urls.same_domain(F.col("url"), F.lit("www.Spam-Farm.example.org")).alias("same"))
+
+
+@query(rf"""SELECT page_id, NOT regexp_matches(lower({URL_PATH}), '\.(pdf|jpg|jpeg|png|gif|svg|webp|mp4|mp3|avi|mov|zip|tar|gz|css|js|xml|json|ico|woff|woff2|ttf|eot|map)$')
+  AND NOT regexp_matches(lower({URL_PATH}), '/wp-admin|/wp-login|/admin|/login|/logout|/cart|/checkout|/account|/api/|/feed') AS valid FROM pages""")
+def url_valid_page(spark, d):
+    return read(spark, d, "pages").select("page_id", urls.is_page(F.col("url")).alias("valid"))
+
+
+@query(f"SELECT host AS domain, count(*) AS links FROM (SELECT page_id, {HOST} AS host FROM pages) WHERE host <> '' AND host <> 'spam-farm.example.org' GROUP BY host ORDER BY count(*) DESC, min(page_id) LIMIT 10")
+def host_frequency(spark, d):
+    rows = read(spark, d, "pages").select(F.col("page_id").alias("ord"), F.array("url").alias("external_links"))
+    return competitors.linked_domains(rows, F.lit("spam-farm.example.org")).select("domain", "links")
+
+
+def _decoded(c: str) -> str:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{char}')"
+    return c
+
+
+BARE = "regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>|<header[^>]*>.*?</header>', '', 'g')"
+H1 = _decoded(r"regexp_replace(regexp_extract(" + BARE + r", '(?is)<h1[^>]*>(.*?)</h1>', 1), '(?s)<[^>]+>', '', 'g')")
+TITLE = _decoded(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+ARTICLE = _decoded(r"regexp_replace(regexp_extract(" + BARE + r", '(?is)<article[^>]*>(.*?)</article>', 1), '(?s)<[^>]+>', ' ', 'g')")
+ARTICLE = f"trim(regexp_replace({ARTICLE}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, trim({TITLE}) AS title FROM pages")
+def page_title(spark, d):
+    return read(spark, d, "pages").select("page_id", pages.title(F.col("html")).alias("title"))
+
+
+@query(f"SELECT page_id, trim({H1}) AS h1 FROM pages")
+def page_headings(spark, d):
+    return read(spark, d, "pages").select("page_id", F.get(pages.headings(F.col("html"), 1), 0).alias("h1"))
+
+
+@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"', 1)) AS INTEGER) AS links, regexp_extract(html, '(?is)<a\s[^>]*?href="([^"]*)"', 1) AS first_link FROM pages""")
+def page_links(spark, d):
+    found = pages.hrefs(F.col("html"))
+    return read(spark, d, "pages").select("page_id", F.size(found).alias("links"), F.get(found, 0).alias("first_link"))
+
+
+@query(f"SELECT page_id, CAST(CASE WHEN {ARTICLE} = '' THEN 0 ELSE len(string_split({ARTICLE}, ' ')) END AS INTEGER) AS word_count FROM pages")
+def page_word_count(spark, d):
+    return read(spark, d, "pages").select("page_id", text.word_count(pages.article_text(F.col("html"))).alias("word_count"))
+
+
+@query()
+def page_parse(spark, d):
+    """The full parser on every page."""
+    rows = pages.parsed(read(spark, d, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "title", F.get("h1_tags", 0).alias("h1"), "word_count", F.size("internal_links").alias("internal"), F.size("external_links").alias("external"), F.md5("body_text").alias("body_md5"))
+
+
+@query()
+def page_sparse_compose(spark, d):
+    """Titles and descriptions head the bodies of pages of few words."""
+    rows = read(spark, d, "pages").select("page_id", pages.title(F.col("html")).alias("t"))
+    body = F.array_join(F.slice(F.split("t", " "), 1, 3), " ")
+    out = pages.sparse_body(body, F.col("t"), F.lit("shared"), F.lit(""), F.lit("about"), F.lit(None).cast("string"))
+    return rows.select("page_id", out.alias("body"))
+
+
+@query()
+def page_json_ld(spark, d):
+    rows = read(spark, d, "pages").select("page_id", pages.title(F.col("html")).alias("t"))
+    script = F.to_json(F.struct(F.col("t").alias("name"), F.lit(3).alias("description"), F.lit("x").alias("headline")))
+    return rows.select("page_id", pages.linked_data(script).alias("ld_text"))
+
+
+@query()
+def sitemap_urls(spark, d):
+    from .sources.web import sitemap_locations
+
+    rows = read(spark, d, "pages").select("page_id", F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> '), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url></urlset>")).alias("xml"))
+    return rows.select("page_id", F.explode(sitemap_locations(F.col("xml"), F.lit("url"))).alias("url"))
+
+
+@query()
+def robots_filter(spark, d):
+    rules = F.lit("User-agent: *\nDisallow: /fr/\n")
+    rows = read(spark, d, "pages")
+    return rows.filter(urls.robots_allowed(rules, F.lit("lodestone/1.0"), F.col("url"))).select("page_id", "url")
+
+
+@query()
+def url_resolve(spark, d):
+    rows = read(spark, d, "pages").select("page_id", "url", F.explode(pages.hrefs(F.col("html"))).alias("href"))
+    return rows.select("page_id", urls.url_join(F.col("url"), F.col("href")).alias("full_url"))
+
+
+LINKS = """links AS (SELECT p_partkey AS src, CAST((p_partkey * 7 + 3) % 211 AS BIGINT) AS dst FROM part UNION ALL SELECT p_partkey, CAST((p_partkey * 3 + p_size) % 389 AS BIGINT) FROM part)"""
+
+
+@query(f"""WITH RECURSIVE {LINKS}, reach AS (SELECT CAST(0 AS BIGINT) AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM reach JOIN links ON src = url WHERE depth < 5)
+  SELECT CAST(url AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY url""")
+def crawl_frontier(spark, d):
+    from .sources.web import reachable
+
+    part = read(spark, d, "part")
+    links = part.select(F.col("p_partkey").cast("string").alias("src"), ((F.col("p_partkey") * 7 + 3) % 211).cast("string").alias("dst"))
+    links = links.unionByName(part.select(F.col("p_partkey").cast("string").alias("src"), ((F.col("p_partkey") * 3 + F.col("p_size")) % 389).cast("string").alias("dst")))
+    return reachable(links, "0", 5)
+
+
+# Competitors.
+
+
+def found(spark, d) -> DataFrame:
+    c = F.col
+    source = F.when(c("p_size") % 3 == 0, "manual").when(c("p_size") % 3 == 1, "llm_discovery").otherwise("link_analysis")
+    strength = F.when(c("p_size") % 5 == 0, "direct").when(c("p_size") % 5 == 1, "aspirational").when(c("p_size") % 5 == 2, "unknown").otherwise("indirect")
+    return read(spark, d, "part").select(c("p_partkey").alias("ord"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")).alias("domain"), source.alias("source"), strength.alias("strength"), c("p_brand").alias("name"))
+
+
+VC = """vc AS (SELECT p_partkey AS ord, replace(lower(p_name), ' ', '-') AS domain, p_size % 3 AS s, CASE p_size % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'llm_discovery' ELSE 'link_analysis' END AS source,
+  CASE p_size % 5 WHEN 0 THEN 'direct' WHEN 1 THEN 'aspirational' WHEN 2 THEN 'unknown' ELSE 'indirect' END AS strength, p_brand AS name FROM part),
+up AS (SELECT domain, source, strength, name, s, first_ord AS ord FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY s, CASE WHEN s = 0 THEN -ord ELSE ord END) AS k,
+  first_value(ord) OVER (PARTITION BY domain ORDER BY s, ord) AS first_ord FROM vc) WHERE k = 1)"""
+
+
+@query(f"WITH {VC} SELECT domain, source, strength, name, ord FROM up")
+def competitor_upsert(spark, d):
+    return competitors.upserted(found(spark, d)).select("domain", "source", "strength", "name", "ord")
+
+
+@query(f"""WITH {VC} SELECT domain, CAST(row_number() OVER (ORDER BY s, CASE strength WHEN 'direct' THEN 0 WHEN 'indirect' THEN 1 WHEN 'aspirational' THEN 2 ELSE 3 END, ord) AS INTEGER) AS place FROM up""")
+def competitor_order(spark, d):
+    return competitors.ordered(competitors.upserted(found(spark, d))).select("domain", "place")
+
+
+@query(f"""WITH {VC} SELECT up.domain, CAST(coalesce(c.n, 0) AS INTEGER) AS pages_crawled, CAST(coalesce(p.n, 0) AS INTEGER) AS prompts_found FROM up
+  LEFT JOIN (SELECT domain, count(*) AS n FROM vc WHERE ord % 50 = 0 GROUP BY domain) c ON up.domain = c.domain LEFT JOIN (SELECT domain, count(*) AS n FROM vc WHERE ord % 20 = 0 GROUP BY domain) p ON up.domain = p.domain""")
+def competitor_counters(spark, d):
+    rows = found(spark, d)
+    return competitors.counters(competitors.upserted(rows), rows.filter("ord % 50 = 0"), rows.filter("ord % 20 = 0")).select("domain", "pages_crawled", "prompts_found")
+
+
+# Runs.
+
+EXACT = Reconcile()
+
+
+@query(f"""WITH {VH} SELECT domain, run_seq, count(*) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY domain ORDER BY run_seq DESC) AS age FROM vh) WHERE age <= 10 GROUP BY domain, run_seq""")
+def runs_last10(spark, d):
+    return reconcile.recent(runs(spark, d), 10).groupBy("domain", "run_seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {VH} SELECT domain, run_seq, ord, text FROM vh QUALIFY dense_rank() OVER (PARTITION BY domain ORDER BY run_seq DESC) = 1""")
+def run_previous(spark, d):
+    return reconcile.previous_run(runs(spark, d)).select("domain", "run_seq", "ord", "text")
+
+
+STABLE = """near AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY domain ORDER BY run_seq DESC) AS age FROM vh) WHERE age <= 5),
+total AS (SELECT domain, count(DISTINCT run_seq) AS total_runs FROM near GROUP BY domain),
+st AS (SELECT near.domain, norm, round(avg(score), 6) AS avg_score, count(*) AS appearances, CAST(any_value(total_runs) AS INTEGER) AS total_runs, round(count(*) / any_value(total_runs), 6) AS stability
+  FROM near JOIN total ON near.domain = total.domain WHERE total_runs > 1 GROUP BY near.domain, norm HAVING count(*) >= greatest(2, floor(any_value(total_runs) * 0.6)))"""
+
+
+@query(f"WITH {VH}, {STABLE} SELECT domain, norm, avg_score, appearances, total_runs, stability FROM st")
+def stable_exact(spark, d):
+    rows = reconcile.stable(runs(spark, d), fuzzy=False)
+    return rows.select("domain", text.normal(F.col("text")).alias("norm"), F.round("avg_score", 6).alias("avg_score"), "appearances", "total_runs", F.round("stability", 6).alias("stability"))
+
+
+@query()
+def stable_fuzzy(spark, d):
+    rows = reconcile.stable(runs(spark, d))
+    return rows.select("domain", "text", F.round("avg_score", 6).alias("avg_score"), "appearances", "total_runs", F.round("stability", 6).alias("stability"))
+
+
+def two_runs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The last run of the urgent domain and of the low one, as the current and the previous run."""
+    last = reconcile.previous_run(runs(spark, d).filter(F.col("domain").startswith("1") | F.col("domain").startswith("5"))).withColumn("text", F.concat("text", F.lit("of"), (F.col("ord") % 3).cast("string")))
+    return last.filter(F.col("domain").startswith("1")).select("ord", "text"), last.filter(F.col("domain").startswith("5")).select("ord", "text")
+
+
+TWO = """last AS (SELECT domain, ord, norm || ' of' || CAST(ord % 3 AS VARCHAR) AS norm, text || 'of' || CAST(ord % 3 AS VARCHAR) AS text FROM vh WHERE domain[1] IN ('1', '5') QUALIFY dense_rank() OVER (PARTITION BY domain ORDER BY run_seq DESC) = 1),
+cur AS (SELECT norm, min(ord) AS ord, arg_max(text, ord) AS text FROM last WHERE domain[1] = '1' GROUP BY norm), prev AS (SELECT norm, min(ord) AS ord, arg_max(text, ord) AS text FROM last WHERE domain[1] = '5' GROUP BY norm)"""
+
+
+@query(f"""WITH {VH}, {TWO} SELECT (SELECT count(*) FROM cur WHERE norm NOT IN (SELECT norm FROM prev)) AS new_count, (SELECT count(*) FROM prev WHERE norm NOT IN (SELECT norm FROM cur)) AS dropped_count,
+  (SELECT count(*) FROM (SELECT norm FROM cur UNION SELECT norm FROM prev)) AS union_count,
+  round(((SELECT count(*) FROM cur WHERE norm NOT IN (SELECT norm FROM prev)) + (SELECT count(*) FROM prev WHERE norm NOT IN (SELECT norm FROM cur))) / (SELECT count(*) FROM (SELECT norm FROM cur UNION SELECT norm FROM prev)), 6) AS drift_score""")
+def drift_exact(spark, d):
+    _, _, counts = reconcile.drift(*two_runs(spark, d), fuzzy=False)
+    return counts.select("new_count", "dropped_count", "union_count", F.round("drift_score", 6).alias("drift_score"))
+
+
+@query(f"WITH {VH}, {TWO} SELECT ord, text FROM cur WHERE norm NOT IN (SELECT norm FROM prev)")
+def drift_new(spark, d):
+    return reconcile.drift(*two_runs(spark, d), fuzzy=False)[0]
+
+
+@query(f"WITH {VH}, {TWO} SELECT ord, text FROM prev WHERE norm NOT IN (SELECT norm FROM cur)")
+def drift_dropped(spark, d):
+    return reconcile.drift(*two_runs(spark, d), fuzzy=False)[1]
+
+
+@query()
+def drift_fuzzy(spark, d):
+    return reconcile.drift(*two_runs(spark, d))[2]
+
+
+@query()
+def drift_report(spark, d):
+    current, _ = two_runs(spark, d)
+    return reconcile.drift_report(current, runs(spark, d).filter(F.col("domain").startswith("5")))
+
+
+def stables(spark, d) -> DataFrame:
+    """Stable texts: every fifth part name, and some that no prompt has."""
+    rows = read(spark, d, "part").filter("p_partkey % 5 = 0 AND p_partkey < 200")
+    name = F.when(F.col("p_partkey") % 15 == 0, F.concat(F.lit("lost "), F.col("p_partkey").cast("string"))).otherwise(F.upper("p_name"))
+    return rows.select(F.col("p_partkey").alias("ord"), name.alias("text"), (0.4 + (F.col("p_size") % 5) / 10.0).alias("stability"), F.lit(0.5).alias("avg_score"))
+
+
+VST = """vst AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 15 = 0 THEN 'lost ' || CAST(p_partkey AS VARCHAR) ELSE upper(p_name) END AS text, 0.4 + (p_size % 5) / 10.0 AS stability FROM part WHERE p_partkey % 5 = 0 AND p_partkey < 200)"""
+
+
+@query(f"""WITH {VP}, {VST}, keyed AS (SELECT lower(prompt_text) AS n, max(ord) AS held FROM vp GROUP BY 1), b AS (SELECT held, sum(0.3 * stability) AS boost FROM vst JOIN keyed ON lower(vst.text) = keyed.n GROUP BY held)
+  SELECT vp.ord, round(CASE WHEN boost IS NULL THEN relevance_score ELSE least(1.0, relevance_score + boost) END, 6) AS relevance_score FROM vp LEFT JOIN b ON b.held = vp.ord""")
+def anchor_boost(spark, d):
+    return reconcile.boosts(stables(spark, d), prompts(spark, d), fuzzy=False).select("ord", F.round("relevance_score", 6).alias("relevance_score"))
+
+
+@query(f"""WITH {VP}, {VST} SELECT ord, text, CAST(0.5 AS DOUBLE) * 0.9 AS relevance_score FROM vst WHERE stability >= 0.6 AND lower(text) NOT IN (SELECT lower(prompt_text) FROM vp)""")
+def anchor_recover(spark, d):
+    return reconcile.recovered(stables(spark, d), prompts(spark, d), fuzzy=False).select("ord", "text", "relevance_score")
+
+
+def passes(spark, d) -> DataFrame:
+    p = prompts(spark, d)
+    return p.withColumn("domain", F.col("brand")).withColumn("pass", F.col("ord") % 4)
+
+
+@query(f"""WITH {VP}, n AS (SELECT brand AS domain, count(DISTINCT ord % 4) AS passes FROM vp GROUP BY brand)
+  SELECT brand AS domain, lower(prompt_text) AS norm, round(avg(relevance_score), 6) AS relevance_score, count(*) AS appearances FROM vp JOIN n ON n.domain = vp.brand
+  WHERE passes > 1 GROUP BY brand, lower(prompt_text) HAVING count(*) >= greatest(1, floor(any_value(passes) * 0.5))""")
+def consensus_exact(spark, d):
+    rows = reconcile.consensus(passes(spark, d), fuzzy=False)
+    return rows.select("domain", text.normal(F.col("prompt_text")).alias("norm"), F.round("relevance_score", 6).alias("relevance_score"), "appearances")
+
+
+@query()
+def consensus_fuzzy(spark, d):
+    rows = reconcile.consensus(passes(spark, d))
+    return rows.select("domain", "prompt_text", F.round("relevance_score", 6).alias("relevance_score"), "appearances")
+
+
+# Replies, claims, messages.
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE CAST(regexp_extract(props, '[0-9]+') AS BIGINT) END AS k FROM events""")
+def json_rescue(spark, d):
+    n = F.col("event_id") % 3
+    reply = F.when(n == 0, F.col("props")).when(n == 1, F.concat(F.lit("Sure: "), F.col("props"), F.lit(" done"))).otherwise("no json here")
+    return read(spark, d, "events").select("event_id", completion.read_reply(reply, "k long")["k"].alias("k"))
+
+
+def claim_rows(spark, d) -> DataFrame:
+    """An order's lines as claims."""
+    status = F.when(F.col("l_returnflag") == "R", "refuted").when(F.col("l_returnflag") == "A", "verified").otherwise("unverifiable")
+    claim = F.struct(F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("claim_text"), F.lit("").alias("source_context"), F.lit(True).alias("is_verifiable"), status.alias("verification_status"), F.col("l_discount").alias("confidence"), F.array().cast("array<string>").alias("evidence"), F.lit("").alias("reasoning"))
+    pair = F.struct("l_linenumber", "l_partkey", claim.alias("c"))
+    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["c"]).alias("claims"))
+
+
+@query("""SELECT l_orderkey, round(count(*) FILTER (WHERE l_returnflag = 'A') / count(*), 6) AS score, count(*) FILTER (WHERE l_returnflag = 'R') = 0 AND count(*) FILTER (WHERE l_returnflag = 'A') / count(*) >= 0.5 AS sound,
+  round(avg(l_discount), 6) AS confidence FROM lineitem GROUP BY l_orderkey""")
+def claims_fallback_aggregate(spark, d):
+    rows = claim_rows(spark, d).withColumn("s", claims.summed(F.col("claims")))
+    return rows.select("l_orderkey", F.round("s.overall_factual_score", 6).alias("score"), F.col("s.is_factually_sound").alias("sound"), F.round("s.confidence_level", 6).alias("confidence"))
+
+
+@query("""SELECT l_orderkey, count(*) FILTER (WHERE k = 1) AS verified, count(*) FILTER (WHERE k > 1 AND l_returnflag = 'A') AS left_alone FROM
+  (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem) GROUP BY l_orderkey""")
+def claims_zip_rounds(spark, d):
+    """The first claim of each order gets a reply; the others keep their verdicts. A text of the first is reworded on the way."""
+    reply = F.from_json(F.lit('[{"verdict":"checked","confidence":"0.9"}]'), "array<struct<verdict:string,confidence:string,evidence:array<string>,reasoning:string>>")
+    words = F.from_json(F.lit('[{"decontextualized_claim":"x"}]'), "array<struct<decontextualized_claim:string>>")
+    rows = claim_rows(spark, d).withColumn("claims", claims.verified(claims.reworded(F.col("claims"), words), reply))
+    count = lambda f: F.size(F.filter("claims", f)).cast("long")
+    return rows.select("l_orderkey", count(lambda c: (c["verification_status"] == "checked") & (c["claim_text"] == "x")).alias("verified"), count(lambda c: (c["verification_status"] == "verified") & (c["claim_text"] != "x")).alias("left_alone"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, length(coalesce(text, '')) AS n, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS users,
+  row_number() OVER (PARTITION BY conv_id, role = 'user' AND length(coalesce(text, '')) >= 200 ORDER BY turn) AS k FROM conversations)
+  SELECT conv_id, turn, (role = 'system' AND n >= 200) OR (role = 'user' AND users > 1 AND n >= 200 AND k = 1) AS cache FROM m""")
+def message_cache_marks(spark, d):
+    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    marked = completion.cache_marks(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))), 200)
+    both = F.arrays_zip(F.transform("m", lambda x: x["turn"]).alias("turn"), F.transform(marked, lambda x: x["cache"]).alias("cache"))
+    return rows.select("conv_id", F.inline(both))
+
+
+@query("""SELECT count(*) AS calls, CAST(sum(l_partkey) AS BIGINT) AS prompt_tokens, CAST(sum(l_suppkey) AS BIGINT) AS completion_tokens, CAST(sum(l_linenumber) AS BIGINT) AS cached_tokens,
+  round(0.9 * sum(l_linenumber) / greatest(sum(l_partkey), 1) * 100, 1) AS estimated_savings_pct FROM lineitem""")
+def usage_stats(spark, d):
+    calls = read(spark, d, "lineitem").select(F.col("l_partkey").alias("prompt_tokens"), F.col("l_suppkey").alias("completion_tokens"), F.col("l_linenumber").alias("cached_tokens"))
+    return completion.usage(calls)
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 800 THEN substr(text, 1, 800) || '...' ELSE text END AS cut FROM documents""")
+def truncate_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", context.truncated(F.col("text")).alias("cut"))
+
+
+@query(f"""SELECT page_id, 'URL: ' || url || chr(10) || 'Title: ' || trim({TITLE}) || chr(10) || 'H1: ' || trim({H1}) || chr(10) || 'Content: ' || substr({ARTICLE}, 1, 1500) AS content FROM pages""")
+def page_context_text(spark, d):
+    h = F.col("html")
+    rows = read(spark, d, "pages").select("page_id", "url", pages.title(h).alias("title"), F.lit(None).cast("string").alias("meta_description"), pages.headings(h, 1).alias("h1_tags"), F.array().cast("array<string>").alias("h2_tags"), pages.article_text(h).alias("body_text"))
+    return rows.select("page_id", context.debate_text().alias("content"))
+
+
+@query("""SELECT p_brand AS brand, CAST(len(list_distinct(flatten(list([p_type, p_name])))) AS INTEGER) AS n_values FROM part GROUP BY p_brand""")
+def domain_array_union(spark, d):
+    rows = read(spark, d, "part").groupBy("p_brand").agg(F.array_distinct(F.flatten(F.collect_set(F.array("p_type", "p_name")))).alias("v"))
+    return rows.select(F.col("p_brand").alias("brand"), F.size(F.array_union("v", F.array().cast("array<string>"))).alias("n_values"))
+
+
+# Models with recorded replies, and round trips.
+
+
+@query()
+def extract_replay(spark, d):
+    from .operators.extraction import extract_batches
+    from .schema import RESPONSE
+
+    rows = pages.parsed(read(spark, d, "pages").select(F.col("page_id").alias("ord"), "url", "html"))
+    reply = '{"prompts":[{"prompt_text":"first query","relevance_score":0.9},{"prompt_text":" ","relevance_score":1},{"prompt_text":"second query","relevance_score":"0.4"}]}'
+    service = completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded({"/en/": f"Here: {reply}", "PAGE": "sorry"}), _quick())
+    return extract_batches(rows, service).select(F.col("_order").alias("batch"), F.col("_pos").alias("pos"), "prompt_text", "relevance_score", F.size("source_urls").alias("n_urls"))
+
+
+def _quick():
+    from .params import Completion
+
+    return Completion(spacing=0.0, retries=1)
+
+
+@query()
+def debate_replay(spark, d):
+    from .schema import RESPONSE
+
+    rows = pages.parsed(read(spark, d, "pages").filter("page_id < 20").select(F.col("page_id").alias("ord"), "url", "html"))
+    some = prompts(spark, d).filter("ord < 12")
+    replies = {"Argue": '{"confidence": 0.8}', "Attack": "not json", "Answer": '{"updated_confidence": 0.7}', "Judge": '{"accuracy_score": 0.9, "overall_score": "0.75", "quality_rating": "HIGH"}'}
+    service = completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded(replies), _quick())
+    return debate.debate(some, rows, service).select("ord", "is_accurate", "is_faithful", "quality_rating", "overall_score", F.size("debate_summary").alias("turns"))
+
+
+@query()
+def factcheck_replay(spark, d):
+    from .schema import RESPONSE
+
+    rows = pages.parsed(read(spark, d, "pages").filter("page_id < 20").select(F.col("page_id").alias("ord"), "url", "html"))
+    replies = {"Round": '{"verifications":[{"verdict":"verified","confidence":0.9}]}', "Pages:": '{"claims":[{"claim_text":"a"},{"claim_text":""},{"claim_text":"b"}]}'}
+    service = completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded(replies), _quick())
+    return claims.check(prompts(spark, d).filter("ord < 12"), rows, service).select("ord", F.size("claims").alias("n_claims"), "overall_factual_score", "is_factually_sound", "confidence_level")
+
+
+@query()
+def header_resolution(spark, d):
+    from .sources.csvio import SEARCH_NAMES, TRAFFIC_NAMES, column_place, delimiter, header_line
+
+    files = ["# export\nTop queries,Clicks,Impressions,CTR,Position", "Date range: May\n\nquery;clicks;ctr", "Page path\tSessions\tTotal users\tViews", "a,b"]
+    rows = []
+    for i, content in enumerate(files):
+        lines = content.split("\n")
+        sep = delimiter(lines[-1])
+        at = header_line(lines, sep)
+        cells = lines[at].split(sep)
+        for names in (SEARCH_NAMES, TRAFFIC_NAMES):
+            rows += [(i, at, k, column_place(cells, v)) for k, v in names.items()]
+    return spark.createDataFrame(rows, "file int, header_line int, field string, place int")
+
+
+@query()
+def run_append(spark, d):
+    """Runs written to the history table and read back: the last ten of a domain."""
+    from uuid import uuid4
+
+    from .sources.history import append, load
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder}/runs-{uuid4().hex}"
+    p = prompts(spark, d).filter("ord < 50")
+    for i in range(3):
+        append(p.filter(F.col("ord") % 3 >= i), path, "shop.example.com", "2024-01-01 00:00:00", i)
+    return load(spark, path, "shop.example.com").select("domain", "run_seq", "text", "score", "prompt_count", "ord")
+
+
+@query()
+def window_rank_check(spark, d):
+    """Places within a topic, as ranks use them."""
+    w = Window.partitionBy("topic_cluster").orderBy(F.desc("relevance_score"), "ord")
+    return prompts(spark, d).select("ord", F.row_number().over(w).alias("place"))

@@ -1 +1 @@
-
+"""Relational operators over prompts, metrics, pages and runs."""

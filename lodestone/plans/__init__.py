@@ -1 +1 @@
-
+"""Whole dataflows and their command line."""

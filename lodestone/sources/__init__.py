@@ -1 +1 @@
-
+"""Readers: exports, APIs, pages, run history."""

@@ -1 +1 @@
-
+"""Stateful streaming forms."""
