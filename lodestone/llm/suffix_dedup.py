@@ -275,7 +275,8 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
             rows += _spans(k[rest], th[rest], a, a + span[rest] + LENGTH, parts, 0)
             # own is sorted by gram, then by bytes: grams that have neighbours with other bytes
             g, w = gram[own], whole[own]
-            other = np.append((g[1:] == g[:-1]) & (w[1:] != w[:-1]), False)
+            other = np.zeros(len(g), bool)
+            other[1:] = (g[1:] == g[:-1]) & (w[1:] != w[:-1])
             several = np.isin(g, g[other])
             own = own[several]
             rows += [(h, 2, z) for h, z in dealt(home(k[own], th[own], parts), gram[own], k[own], th[own], p[own], left[own], span[own])]
