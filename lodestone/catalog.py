@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import scoring, text, urls
 from .operators import claims, competitors, completion, context, correlate, debate, dedup, lookup, matching, metrics, pages, reconcile, report
 from .params import Reconcile
+from .storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -756,7 +757,7 @@ def extract_replay(spark, d):
 def _quick():
     from .params import Completion
 
-    return Completion(spacing=0.0, retries=1)
+    return Completion(spacing=0.0, retries=1, backoff=0.0)
 
 
 @query()
@@ -803,8 +804,7 @@ def run_append(spark, d):
 
     from .sources.history import append, load
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder}/runs-{uuid4().hex}"
+    path = f"{shared_dir(spark)}/runs-{uuid4().hex}"
     p = prompts(spark, d).filter("ord < 50")
     for i in range(3):
         append(p.filter(F.col("ord") % 3 >= i), path, "shop.example.com", "2024-01-01 00:00:00", i)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..params import Completion
 from ..schema import RESPONSE
+from ..storage import stored
 
 #: A backend takes a request (dict of REQUEST's fields) and gives (content, usage dict); it raises RateLimited or any other error.
 Backend = Callable[[dict], tuple[str, dict]]
@@ -47,10 +48,10 @@ def _send(request: dict, backend: Backend, params: Completion, state: dict) -> d
             return {"content": content, "error": None} | {k: int(usage.get(k, 0)) for k in ("prompt_tokens", "completion_tokens", "cached_tokens")}
         except RateLimited as e:
             error = e
-            time.sleep(min(2 ** (attempt + 1), 60))
+            time.sleep(params.backoff * min(2 ** (attempt + 1), 60))
         except Exception as e:  # noqa: BLE001  any failure of a service is a failed reply
             error = e
-            time.sleep(2**attempt)
+            time.sleep(params.backoff * 2**attempt)
     return {"content": None, "error": f"{type(error).__name__}: {error}", "prompt_tokens": 0, "completion_tokens": 0, "cached_tokens": 0}
 
 
@@ -131,7 +132,7 @@ class Service:
 
     def __init__(self, known: DataFrame, backend: Backend | None = None, params: Completion = Completion(), partitions: int = 1, store: Callable[[DataFrame], DataFrame] | None = None):
         self.known, self.backend, self.params, self.partitions = known, backend, params, partitions
-        self.store = store or (lambda df: df.persist())
+        self.store = store or stored
 
     def ask(self, df: DataFrame, key: str, messages: Column, temperature: float, max_tokens: int) -> DataFrame:
         """key, content, error for each row of df."""

@@ -42,6 +42,8 @@ class Completion:
     timeout: int = 120
     retries: int = 3
     spacing: float = 0.5
+    #: Seconds of the first pause after a failed call; it doubles with each.
+    backoff: float = 1.0
     cache_chars: int = 2048
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.urls import authority, is_page, normal_url, robots_allowed, same_domain
 from ..operators.pages import parsed
 from ..params import Crawl
+from ..storage import stored
 
 #: Gives (status, content type, text) for a URL, or raises.
 Fetch = Callable[[str], tuple[int, str, str]]
@@ -110,7 +111,7 @@ def crawl(spark: SparkSession, start: str, fetch: Fetch, params: Crawl = Crawl()
 
     A level is fetched as one distributed step; the page limit cuts the last level in frontier order. Links of a page that has
     too few words are followed all the same. store makes a table of each level, so that nothing is fetched twice."""
-    store = store or (lambda df: df.persist())
+    store = store or stored
     start = with_scheme(start)
     site = start.split("://", 1)[1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0]
     base = start.split("://", 1)[0] + "://" + site
