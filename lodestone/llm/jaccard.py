@@ -12,7 +12,7 @@ Buckets and blocks of more than PART classes are cut to parts, and each pair of
 holds an unbounded group. A bucket gives a spanning tree of its links, a block the sums of each class: never all pairs.
 
 Defined cases: a null or empty text has no shingles, no links and a group of its own; a text of fewer than five words is one shingle;
-copies are one class; repeated rows are copies; a null id is an id like others; an empty table gives no rows; texts are read whole.
+copies are one class; repeated rows are copies; a null id comes after all others; an empty table gives no rows; texts are read whole.
 """
 
 from __future__ import annotations
@@ -269,7 +269,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_rows: bo
     """row (struct of key, or of docs' columns if keep_rows), class_id (least id of the group), n_links (other documents at
     SIMILARITY or more, copies among them), n_class_links (different texts among them), first (true for one document of each group)."""
     rows = sketched(docs, text, docs.columns if keep_rows else [key])
-    place = F.struct(F.col(f"row.{key}").alias("key"), F.col("rid").alias("rid"))
+    own_id = F.col(f"row.{key}")
+    place = F.struct(own_id.isNull().alias("none"), own_id.alias("key"), F.col("rid").alias("rid"))  # null ids come last
     classes = rows.filter("set is not null").groupBy("set").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     blocks = table(components(_bucket_edges(classes), "a", "b"), "blocks")

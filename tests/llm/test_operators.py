@@ -1,0 +1,548 @@
+"""Each operator against a plain form of its contract, on the small documents and on the smallest tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import decontam, jaccard, lm_score, mixing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
+from lodestone.llm.queries import QUERIES, TOKENIZER, sharded
+
+from .cases import LONG, PASSAGE, documents, frame, row
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(t):
+    return [w.lower() for w in (t or "").encode().split()]
+
+
+# Quality rules.
+
+
+def plain_quality(t):
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    seen, covered = Counter(windows), set()
+    for i, x in enumerate(windows):
+        if seen[x] > 1:
+            covered.update(range(i, i + 5))
+    n = len(w)
+    return (n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), n < 10 or 100 * len(covered) > 20 * n)
+
+
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def test_quality_measures(spark):
+    out = quality.judge(frame(spark)).select("row.doc_id", "row.text", *NAMES).collect()
+    assert len(out) == len(documents())
+    for r in out:
+        assert tuple(r[c] for c in NAMES) == plain_quality(r["text"]), r["doc_id"]
+
+
+def test_quality_judges_hosts(spark):
+    good = [row(i, " ".join(f"w{i}x{j}" for j in range(30)), "good") for i in range(30)]
+    bad = [row(100 + i, "junk ### *** " * 12, "bad") for i in range(30)]
+    one = [row(200, " ".join(f"q{j}" for j in range(30)), "bad")]
+    out = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, good + bad + one)).select("row.doc_id", "kept").collect()}
+    assert all(out[i] for i in range(30))
+    assert not out[200] and not out[100]
+    kept = quality.keep(frame(spark, good + bad))
+    assert kept.columns == frame(spark).columns and kept.count() == 30
+
+
+def test_prior_matches_moments():
+    a, b = quality._prior(1000, 100, 12.0, 50)
+    assert a > 0 and b > 0 and abs(a / (a + b) - 0.1) < 0.01
+    assert quality._prior(0, 0, 0.0, 0)[0] > 0
+
+
+# Personal data.
+
+BASE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def plain_spans(t):
+    out = []
+    for kind, pattern in BASE:
+        for m in re.finditer(pattern, t or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": lambda: True,
+                "ip": lambda m=m: all(int(x) <= 255 for x in m[0].split(".")),
+                "card": lambda d=digits: 13 <= len(d) <= 19 and luhn(d),
+                "phone": lambda d=digits: 9 <= len(d) <= 15,
+            }[kind]()
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+HARD = [
+    "a@b a@b.c a.b@c.d.e@f.g x@@y.z @a.b .@.. a@b.c.d-e_f%g@h.i",
+    "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3 99.99.99.99.",
+    "4111-1111-1111-1111 4111 1111 1111 1112 12 3 4-5 4111111111111111 0000000000000 1 - 2",
+    "+1234567890 +1 (23) 45 +12 +1-800-555-0199. ++1 555 555 5555 +1.",
+    "漢字 é a@b.co 🙂 10.0.0.1 🙂 +44 20 7946 0958",
+    "1" * 5000 + " " + "a" * 5000 + "@x.y " + "1.1.1.1 " * 300,
+]
+
+
+def test_pii_base(spark):
+    texts = [r[1] for r in documents()] + HARD
+    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+    base = F.concat(*(F.col(k.name) for k in pii.KINDS if k.base))
+    for r in out.select("row.i", pii.joined(base).alias("s")).collect():
+        assert r["s"] == ",".join(plain_spans(texts[r["i"]])), texts[r["i"]][:80]
+
+
+def test_pii_adds_confirmed_spans(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 here", "DE89 3704 0044 0532 0130 01", "my ssn is 123-45-6789", "part 123-45-6789"]
+    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("row.i").collect()
+    assert [len(r["iban"]) for r in out] == [1, 0, 0, 0]
+    assert [len(r["ssn"]) for r in out] == [0, 0, 1, 0]
+
+
+# Sharding and mixing.
+
+
+def test_sharding(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    out = sharding.assign(docs, 40).toPandas()
+    assert ((out.shard == out.grown_shard) | (out.grown_shard == 40)).all()
+    assert 60 < (out.grown_shard == 40).sum() < 190
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    assert set(out["size"]) == {20} and set(out.text_crc32) == {zlib.crc32(b"text")}
+
+
+def test_sharding_moves_only_with_weight(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    plain = sharding.assign(docs, 40, grown=False).select("doc_id", F.col("shard").alias("a"))
+    heavy = sharding.assign(docs, 40, weights={7: 3.0}, grown=False).select("doc_id", F.col("shard").alias("b"))
+    moved = plain.join(heavy, "doc_id").filter("a <> b")
+    assert moved.filter("b <> 7").count() == 0 and moved.count() > 50
+
+
+def test_sharding_cases(spark):
+    out = sharded(frame(spark)).toPandas()
+    assert len(out) == len(documents())
+    by = {r[0]: r[1] for r in documents()}
+    for r in out.itertuples():
+        if r.doc_id == r.doc_id:
+            data = (by[r.doc_id] or "").encode()
+            assert r.size == len(data) + 16 and r.text_crc32 == zlib.crc32(data)
+
+
+def test_poisson_is_the_quantile(spark):
+    def plain(u, mean):
+        k, p = 0, math.exp(-mean)
+        c = p
+        while c < u:
+            k += 1
+            p *= mean / k
+            c += p
+        return k
+
+    rows = [(u, m) for u in (0.001, 0.2, 0.5, 0.9, 0.999) for m in (0.01, 0.5, 1.0, 7.5, 30.0)]
+    out = spark.createDataFrame(rows, "u double, m double").select("u", "m", mixing.poisson(F.col("u"), F.col("m")).alias("k")).collect()
+    assert all(r["k"] == plain(r["u"], r["m"]) for r in out)
+
+
+def test_mixing_reaches_its_targets(spark):
+    rows = [(i, "x" * 100, "big" if i < 6000 else "small" if i < 6600 else None) for i in range(6800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, targets={"big": 1.0, "small": 1.0}).groupBy("row.source").count().collect()
+    n = {r["source"]: r["count"] for r in out}
+    assert set(n) == {"big", "small"}
+    assert abs(n["big"] / 3400 - 1) < 0.1 and abs(n["small"] / 3400 - 1) < 0.1
+    again = mixing.mix(docs, targets={"big": 1.0, "small": 1.0}, budget=1e7)
+    assert 80_000 < again.count() < 120_000  # means above one part
+
+
+def test_mixing_cases(spark):
+    out = mixing.mix(frame(spark)).select("row.*")
+    assert out.columns == frame(spark).columns and out.count() > 0
+    assert mixing.mix(frame(spark, [])).count() == 0
+
+
+# Token counts.
+
+
+def test_token_counts(spark):
+    enc = token_counts.Encoder(TOKENIZER)
+    out = token_counts.attribute(frame(spark).withColumn("i", F.monotonically_increasing_id()), TOKENIZER, ["i"]).toPandas()
+    texts = {r["i"]: r["text"] for r in frame(spark).withColumn("i", F.monotonically_increasing_id()).select("i", "text").collect()}
+    total, share = out.groupby("i").n_tokens.sum(), out.groupby("i").share.sum()
+    for i, t in texts.items():
+        n = len(enc.ids(t)) if t else 0
+        assert total.get(i, 0) == n and abs(share.get(i, 0) - n) < 1e-6
+        if t:
+            mine = out[out.i == i].sort_values("start")
+            assert [t[a:b] for a, b in zip(mine.start, mine.end, strict=True)] == re.findall(r"[^\n]*\n|[^\n]+$", t)
+
+
+def test_tokens_of_long_runs_equal_the_plain_ones():
+    enc = token_counts.Encoder(TOKENIZER)
+    text = "a b" + " " * 5000 + "c\n\n" + "d" * 50
+    assert enc.ids(text) == enc.encoding.encode_ordinary(text)
+
+
+def test_boundary_tokens_go_where_most_bytes_are(spark):
+    docs = spark.createDataFrame([(1, "internationalization works", [("a", 0, 3), ("b", 3, 20), ("c", 18, 26)])], "doc_id long, text string, s array<struct<name:string,start:int,end:int>>")
+    out = token_counts.attribute(docs, TOKENIZER, ["doc_id"], sections="s").toPandas()
+    assert list(out.name) == ["a", "b", "c"] and list(out.start) == [0, 3, 20]
+    enc = token_counts.Encoder(TOKENIZER)
+    ends = enc.ends("internationalization works")
+    bounds, counts = [(0, 3), (3, 20), (20, 26)], [0, 0, 0]
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        parts = [max(0, min(b, y) - max(a, x)) for x, y in bounds]
+        counts[parts.index(max(parts))] += 1
+    assert list(out.n_tokens) == counts
+
+
+# Language model.
+
+
+def test_lm_base_score(spark, sf):
+    check_lm(spark.read.parquet(f"{sf}/documents.parquet"), lm_score.score(spark.read.parquet(f"{sf}/documents.parquet")))
+
+
+def test_lm_cases(spark):
+    docs = frame(spark).filter("doc_id is not null")
+    check_lm(docs, lm_score.score(docs))
+    assert lm_score.score(frame(spark, [])).count() == 0
+
+
+def check_lm(docs, scored):
+    rows = docs.select("doc_id", "text").collect()
+    out = {r["doc_id"]: r for r in scored.collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    seen = Counter(w for r in rows if not held(r["doc_id"]) for w in [*words(r["text"]), b"\n"])
+    n, v = sum(seen.values()), len(seen)
+    for r in rows:
+        t, o = [*words(r["text"]), b"\n"], out[r["doc_id"]]
+        base = sum(math.log10((seen[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+        assert o["held_out"] == held(r["doc_id"]) and o["n_tokens"] == len(t) and o["train_tokens"] == n
+        assert o["n_known"] == sum(w in seen for w in t)
+        assert abs(o["base_score"] - base) < 1e-6 * max(1, abs(base))
+        assert o["score"] < 0 and math.isfinite(o["score"])
+
+
+def test_lm_probabilities_sum_to_one():
+    head = [(b"a", 50), (b"b", 30), (b"c", 5), (b"d", 1)]
+    m = lm_score.Model(head, 90, 6, 2, 1, {0: (3, 2), 2: (1, 1)})
+    w = np.random.default_rng(0).normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32)
+    f = np.array([[1, 2, 3]])
+    p = np.exp([lm_score.log_classes(w, m.bias.astype(np.float32), f, np.array([k]))[0] for k in range(lm_score.CLASSES)])
+    assert abs(p.sum() - 1) < 1e-5
+    for k in range(lm_score.CLASSES):
+        inside = 10 ** m.within[:4][m.classes[:4] == k]
+        if k >= lm_score.HEAD_CLASSES:
+            t = k - lm_score.HEAD_CLASSES
+            counts = {0: [2, 1], 2: [1]}.get(t, [])
+            known = [10 ** m.tail_within(np.array([c]), np.array([t]))[0] for c in counts]
+            inside = [*known, 10 ** m.tail_within(np.array([0]), np.array([t]))[0]]
+        if len(inside):
+            assert abs(sum(inside) - 1) < 1e-4
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark, sf):
+    s = lm_score.score(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("score").alias("m"), F.sum("base_score").alias("b")).first()
+    assert s["m"] > s["b"]
+
+
+# Toxicity.
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = [f"word{i}" for i in range(500)]
+    rows, labels = [], []
+    for i in range(1500):
+        w = list(rng.choice(vocabulary, 30))
+        toxic = i % 6 == 0
+        if toxic:
+            w[int(rng.integers(30))] = str(rng.choice(["vileness", "vilest", "scumbag"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int")
+    w, b = toxicity.train(docs, marks.filter("doc_id % 5 <> 0 OR doc_id IS NULL"))
+    out = toxicity.score(docs, w, b, ["doc_id"]).filter("doc_id % 5 = 0").toPandas()
+    truth = out.doc_id % 6 == 0
+    assert ((out.score >= 0.5) == truth).mean() > 0.98
+
+
+def test_toxicity_cases(spark):
+    w, b = toxicity.train(frame(spark), spark.createDataFrame([], "doc_id long, toxic int"))
+    out = toxicity.score(frame(spark), w, b, ["doc_id"]).toPandas()
+    assert len(out) == len(documents()) and (out.score == 0.5).all()
+
+
+def test_word_memory_may_run_full(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 64)
+    small, big = toxicity.Hashes(), None
+    text = " ".join(f"w{i % 300}" for i in range(1000))
+    monkeypatch.setattr(toxicity, "REMEMBERED", 64)
+    a = toxicity.features(text, small)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 100_000)
+    big = toxicity.Hashes()
+    assert (a == toxicity.features(text, big)).all()
+
+
+# Decontamination.
+
+
+def plain_matches(docs, items):
+    bags = {}
+    for i, t in items:
+        w = words(t)
+        if w:
+            k = min(5, len(w))
+            bags[i] = (len(w), k, Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)))
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        for i, (n, k, bag) in bags.items():
+            grams = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+            if not any(g in bag for g in grams):
+                continue
+            m, best = n - k + 1, 0.0
+            for s in range(max(1, len(grams) - m + 1)):
+                a = Counter(grams[s : s + m])
+                best = max(best, sum((a & bag).values()) / sum((a | bag).values()))
+            if best >= 0.8:
+                out[d, i] = best
+    return out
+
+
+def test_decontamination(spark, sf):
+    items = [(1, PASSAGE), (2, "one two"), (3, None), (4, ""), (5, "the quick brown fox jumps"), (6, PASSAGE + " and yet more words of another kind"), (None, "word1 filler1 word2 filler2 word3 filler3 word4")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents() + [row(50, "zero one two three"), row(51, PASSAGE.replace("seven", "eight")), row(52, "start " + PASSAGE.replace("the lazy", "the very lazy") + " stop")]
+    found = decontam.find(frame(spark, docs), bench, ["doc_id"]).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found}
+    assert got == pytest.approx(plain_matches([(r[0], r[1]) for r in docs], items))
+    kept = decontam.clean(frame(spark, docs), bench)
+    dirty = {d for d, _ in got}
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in docs} - dirty
+    assert kept.columns == frame(spark).columns
+    assert decontam.find(frame(spark, []), bench, ["doc_id"]).count() == 0
+    assert decontam.find(frame(spark), bench.limit(0), ["doc_id"]).count() == 0
+
+
+def test_hamming_index_is_complete():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 256, (300, 8), np.uint8)
+    index = decontam.HammingIndex(prints)
+    for _ in range(40):
+        q = prints[int(rng.integers(300))].copy()
+        for bit in rng.choice(64, int(rng.integers(0, 40)), replace=False):
+            q[bit // 8] ^= np.uint8(1 << (bit % 8))
+        near = np.flatnonzero(np.bitwise_count(prints ^ q).sum(axis=1) <= decontam.RADIUS)
+        assert set(index.within(q)) == set(near)
+
+
+def test_fingerprints_reach_all_similar_windows():
+    """At the similarity asked for, fingerprints lie well within the radius."""
+    rng = np.random.default_rng(4)
+    worst = 0
+    for _ in range(3000):
+        m = int(rng.integers(8, 60))
+        common = int(np.ceil(2 * m * 0.8 / 1.8))
+        a = rng.integers(0, 1 << 63, m).astype(np.uint64)
+        b = np.concatenate([a[:common], rng.integers(0, 1 << 63, m - common).astype(np.uint64)])
+        x, y = (decontam.fingerprints(decontam.signs(v).sum(axis=0)[None, :]) for v in (a, b))
+        worst = max(worst, int(np.bitwise_count(x ^ y).sum()))
+    assert worst <= decontam.RADIUS
+
+
+# Jaccard join.
+
+
+def plain_links(docs):
+    sets = []
+    for _, t in docs:
+        w = words(t)
+        k = min(5, len(w))
+        sets.append(frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else frozenset())
+    links = defaultdict(set)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and len(a & b) / len(a | b) >= 0.8:
+                links[i].add(j), links[j].add(i)
+    return sets, links
+
+
+def near_copies():
+    rng = np.random.default_rng(5)
+    base = [f"t{i}" for i in rng.integers(0, 5000, 120)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for p in rng.choice(120, int(rng.integers(0, 4)), replace=False):
+            w[p] = f"z{rng.integers(0, 9999)}"
+        docs.append((1000 + i, " ".join(w)))
+    return docs
+
+
+@pytest.mark.parametrize("part", [2048, 24])
+def test_jaccard_join(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard, "PART", part)
+    docs = [r for r in documents() if r[0] not in (None, 7)] + [row(i, t) for i, t in near_copies()]
+    out = {r["d"]: r for r in jaccard.join(frame(spark, docs)).select(F.col("row.doc_id").alias("d"), "class_id", "n_links", "n_class_links").collect()}
+    sets, links = plain_links([(r[0], r[1]) for r in docs])
+    ids = [r[0] for r in docs]
+    group = {i: {i} for i in range(len(ids))}
+    for i in links:
+        for j in links[i]:
+            if group[i] is not group[j]:
+                group[i] |= group[j]
+                for k in group[j]:
+                    group[k] = group[i]
+    for i, d in enumerate(ids):
+        assert out[d]["n_links"] == len(links[i]), d
+        assert out[d]["n_class_links"] == len({sets[j] for j in links[i]} - {sets[i]}), d
+        assert out[d]["class_id"] == min(ids[k] for k in group[i]), d
+
+
+def test_keep_one(spark):
+    out = jaccard.keep_one(frame(spark))
+    assert out.columns == frame(spark).columns
+    kept = [r["doc_id"] for r in out.collect()]
+    assert kept.count(7) == 1 and 1 in kept and 2 not in kept and 12 not in kept
+    assert {4, 5, 6} <= set(kept)
+    assert jaccard.keep_one(frame(spark, [])).count() == 0
+
+
+def test_pruning_keeps_what_may_reach_the_threshold():
+    rng = np.random.default_rng(6)
+    lost = 0
+    for _ in range(2000):
+        n = 200
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: int(np.ceil(n * 1.6 / 1.8))], rng.integers(0, 1 << 63, n - int(np.ceil(n * 1.6 / 1.8))).astype(np.uint64)])
+        s = np.frombuffer(jaccard.sketch(jaccard.minhash(a)) + jaccard.sketch(jaccard.minhash(b)), np.uint8).reshape(2, -1)
+        lost += not jaccard.possible(s, np.array([n, n]), np.array([0]), np.array([1]))[0]
+    assert lost == 0
+
+
+# Suffix-array dedup.
+
+
+def plain_dedup(docs, length=100):
+    """docs in order of id; rows of one id are one document for what is earlier."""
+    first, out = {}, []
+    for d, t in docs:
+        data = (t or "").encode()
+        for s in range(len(data) - length + 1):
+            key = (d, s)
+            x = data[s : s + length]
+            if x not in first or key < first[x]:
+                first[x] = key
+    for d, t in docs:
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - length + 1):
+            if first[data[s : s + length]] < (d, s):
+                gone[s : s + length] = b"\1" * length
+        runs = len(re.findall(rb"\x01+", bytes(gone)))
+        kept = bytes(c for c, g in zip(data, gone, strict=True) if not g)
+        out.append((d, len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def dedup_rows(df):
+    return [(r["k"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in df.collect()]
+
+
+def test_suffix_dedup_cases(spark):
+    docs = [r for r in documents() if r[0] is not None] + [row(20, "ab" * 400), row(21, LONG[1000:3000] + PASSAGE), row(22, "x" + PASSAGE), row(23, PASSAGE * 3)]
+    out = sorted(dedup_rows(suffix_dedup.repeats(frame(spark, docs))))
+    assert out == sorted(plain_dedup([(r[0], r[1]) for r in docs]))
+    assert suffix_dedup.repeats(frame(spark, [])).count() == 0
+
+
+def test_suffix_dedup_null_id_comes_last(spark):
+    out = {r[0]: r for r in dedup_rows(suffix_dedup.repeats(frame(spark, [row(None, PASSAGE), row(5, PASSAGE)])))}
+    assert out[5][2] == 0 and out[None][2] == len(PASSAGE)
+
+
+def test_suffix_dedup_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    rng = np.random.default_rng(7)
+    text = "".join(rng.choice(list("abcde "), 3000))
+    data = [(1, text), (2, text[500:2500]), (3, "q" + text[100:900] + text[700:1800])]
+    powers = suffix_dedup.Powers()
+    total = 0
+    for _, t in data:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        for at, piece in suffix_dedup.pieces(raw):
+            p, first, last, *_ = suffix_dedup.anchors(piece, powers)
+            total += int((last - first + 1).sum())
+            assert (p >= first.min()).all() and at % 700 == 0
+    assert total == sum(len(t) - 99 for _, t in data)  # every string belongs to one anchor
+
+
+def test_suffix_dedup_smallest_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    assert sorted(dedup_rows(suffix_dedup.repeats(docs))) == sorted(plain_dedup(rows))
+
+
+# Queries and the pipeline.
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_run(spark, sf, name):
+    out = QUERIES[name](spark, sf)
+    assert out.count() > 0
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = docs.columns
+    for name, stage in p.STAGES[:-1]:
+        docs = p.table(stage(spark, docs, sf), name)
+        assert docs.columns == names
+    last = p.STAGES[-1][1](spark, docs, sf)
+    assert last.count() == docs.count()
+    assert p.run(spark, sf).count() == docs.count()
+
+
+def test_pipeline_cases(spark, tmp_path):
+    import corpus_pipeline as p
+
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for rows in (documents(), []):
+        docs = frame(spark, rows)
+        for name, stage in p.STAGES[:-1]:
+            docs = p.table(stage(spark, docs, folder), name)
+            assert docs.columns == frame(spark).columns
+        assert p.STAGES[-1][1](spark, docs, folder).count() == docs.count()
