@@ -189,7 +189,7 @@ def recovered(stables: DataFrame, current: DataFrame, params: Reconcile = Reconc
                 keep.append(not any(similar(text, t, limit) for t in taken))
                 if keep[-1]:
                     taken.append(text)
-            return pdf.sort_values("ord")[keep]
+            return pdf.sort_values("ord")[keep].drop(columns="all")
 
-        missing = missing.groupBy(F.lit(0)).applyInPandas(one, missing.schema)
+        missing = missing.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(one, missing.schema)
     return missing.select("ord", "text", (F.col("avg_score") * params.recover_factor).alias("relevance_score"), F.lit("informational").alias("search_intent"), F.lit("").alias("topic_cluster"))
