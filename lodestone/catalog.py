@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import scoring, text, urls
+from .functions import dates, scoring, text, urls
 from .operators import claims, competitors, completion, context, correlate, debate, dedup, lookup, matching, metrics, pages, reconcile, report
 from .params import Reconcile
 from .storage import shared_dir
@@ -816,3 +816,91 @@ def window_rank_check(spark, d):
     """Places within a topic, as ranks use them."""
     w = Window.partitionBy("topic_cluster").orderBy(F.desc("relevance_score"), "ord")
     return prompts(spark, d).select("ord", F.row_number().over(w).alias("place"))
+
+
+# Exports, captured API rows, dates.
+
+
+def _exported(spark, rows: DataFrame, header: str) -> str:
+    """Path of a text file: a remark, the header, and the rows' lines in order."""
+    from uuid import uuid4
+
+    path = f"{shared_dir(spark)}/export-{uuid4().hex}"
+    lines = rows.agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("x")).select(F.concat(F.lit(f"{header}\n"), F.array_join(F.transform("x", lambda v: v["line"]), "\n")).alias("value"))
+    lines.coalesce(1).write.text(path)
+    return path
+
+
+@query("""SELECT p_name AS query, CAST(p_size * 1000 AS BIGINT) AS clicks, CAST(p_partkey AS BIGINT) AS impressions, CASE WHEN p_size / 10.0 > 1 THEN round(p_size / 10.0 / 100, 9) ELSE round(p_size / 10.0, 9) END AS ctr,
+  CASE WHEN p_size % 2 = 0 THEN 0.0 ELSE CAST(p_size AS DOUBLE) END AS position FROM part WHERE p_partkey < 500 AND p_partkey % 7 <> 0""")
+def search_export_import(spark, d):
+    """A search export written out and read: thousands with commas, percentages, missing positions, blank queries."""
+    from .sources.csvio import search_queries
+
+    c = F.col
+    name = F.when(c("p_partkey") % 7 == 0, " ").otherwise(c("p_name"))
+    line = F.concat_ws(",", name, F.concat(F.lit('"'), c("p_size").cast("string"), F.lit(',000"')), c("p_partkey").cast("string"), F.concat((c("p_size") / 10.0).cast("string"), F.lit("%")), F.when(c("p_size") % 2 == 0, "-").otherwise(c("p_size").cast("string")))
+    rows = read(spark, d, "part").filter("p_partkey < 500").select(c("p_partkey").alias("ord"), line.alias("line"))
+    out = search_queries(spark, _exported(spark, rows, "Top queries,Clicks,Impressions,CTR,Avg. position"))
+    return out.select("query", "clicks", "impressions", F.round("ctr", 9).alias("ctr"), "position")
+
+
+@query("""SELECT p_brand AS page_path, CAST(arg_max(p_size, p_partkey) AS BIGINT) AS sessions, round(CASE WHEN arg_max(p_size, p_partkey) / 50.0 > 1 THEN arg_max(p_size, p_partkey) / 5000.0 ELSE arg_max(p_size, p_partkey) / 50.0 END, 9) AS bounce_rate FROM part WHERE p_partkey < 500 GROUP BY p_brand""")
+def traffic_export_import(spark, d):
+    """A traffic export separated by tabs; of equal paths the last row."""
+    from .sources.csvio import traffic_pages
+
+    c = F.col
+    rows = read(spark, d, "part").filter("p_partkey < 500").select(c("p_partkey").alias("ord"), F.concat_ws("\t", "p_brand", c("p_size").cast("string"), (c("p_size") / 50.0).cast("string")).alias("line"))
+    out = traffic_pages(spark, _exported(spark, rows, "Page path\tSessions\tBounce rate"))
+    return out.select("page_path", "sessions", F.round("bounce_rate", 9).alias("bounce_rate"))
+
+
+@query(f"""WITH {VR} SELECT query, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions FROM vr GROUP BY query""")
+def api_search_rows(spark, d):
+    """Rows as the search service replies them, and some with a key too few."""
+    from .sources import api
+
+    rows = search_rows(spark, d)
+    good = rows.select(F.to_json(F.struct(F.array("query", "page").alias("keys"), "clicks", "impressions")).alias("value"))
+    poor = rows.select(F.to_json(F.struct(F.array("query").alias("keys"), "clicks", "impressions")).alias("value"))
+    return api.search_queries(good.unionByName(poor).withColumn("ord", F.xxhash64("value"))).select("query", "clicks", "impressions")
+
+
+@query("""SELECT user_id AS uid, count(*) AS sessions, count(*) FILTER (WHERE event_type = 'click') AS organic_sessions FROM events GROUP BY user_id""")
+def api_landing_pages(spark, d):
+    """Page and organic reports of the analytics service, merged."""
+    from .sources import api
+
+    sums = read(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("event_type") == "click").alias("o"))
+    reply = lambda n: sums.select(F.col("user_id").alias("ord"), F.to_json(F.struct(F.concat(F.lit("/"), F.col("user_id").cast("string")).alias("pagePath"), F.col(n).cast("string").alias("sessions"))).alias("value"))
+    out = api.landing(reply("s"), reply("o"))
+    return out.select(F.substring("page_path", 2, 20).cast("long").alias("uid"), "sessions", "organic_sessions")
+
+
+@query("SELECT o_orderkey AS ord, strftime(CAST(o_orderdate AS DATE) - INTERVAL 90 DAY, '%Y-%m-%d') AS first_day, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS last_day FROM orders")
+def lookback_range(spark, d):
+    r = dates.date_range(F.to_date("o_orderdate"), 90)
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), r["start"].alias("first_day"), r["end"].alias("last_day"))
+
+
+@query("""SELECT p_partkey AS ord, CASE WHEN p_partkey = 0 THEN p_size >= 5 OR p_name <> '' ELSE p_size >= 10 END AS kept FROM part""")
+def crawl_word_gate(spark, d):
+    from .sources.web import word_gate
+
+    return read(spark, d, "part").select(F.col("p_partkey").alias("ord"), word_gate(F.col("p_partkey") == 0, F.col("p_size"), F.col("p_name")).alias("kept"))
+
+
+@query("SELECT o_orderkey AS ord, translate(o_orderpriority, './', '__') AS file_key FROM orders")
+def history_file_key(spark, d):
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), text.file_key(F.col("o_orderpriority")).alias("file_key"))
+
+
+@query()
+def multi_turn_replay(spark, d):
+    from .schema import RESPONSE
+
+    service = completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded({"first": "one", "second": "two"}), _quick())
+    rows = prompts(spark, d).filter("ord < 5").select("ord", "prompt_text")
+    out = service.turns(rows, "ord", F.lit("s"), [F.concat(F.lit("first "), F.col("prompt_text")), F.lit("second")])
+    return out.select("ord", F.size("messages").alias("n_messages"), F.array_join("replies", ",").alias("replies"))

@@ -141,3 +141,14 @@ class Service:
             new = self.store(completed(wanted, self.known, self.backend, self.params, self.partitions))
             self.known = self.known.unionByName(new)
         return answered(wanted, self.known).withColumnRenamed("key", key)
+
+    def turns(self, df: DataFrame, key: str, system: Column, said: list[Column], temperature: float = 0.3, max_tokens: int = 4096) -> DataFrame:
+        """df with replies (array): what is said in turn, each with all turns and replies before it. A failed reply is null and stays out of the dialogue."""
+        rows = df.withColumn("messages", F.array(message("system", system))).withColumn("replies", F.array().cast("array<string>"))
+        for user in said:
+            rows = rows.withColumn("messages", F.concat("messages", F.array(message("user", user))))
+            got = self.ask(rows, key, F.col("messages"), temperature, max_tokens).withColumnRenamed("content", "_reply").drop("error")
+            rows = self.store(rows.join(got, key, "left"))
+            answer = F.when(F.col("_reply").isNotNull(), F.array(message("assistant", F.col("_reply")))).otherwise(F.slice("messages", 1, 0))
+            rows = rows.withColumn("messages", F.concat("messages", answer)).withColumn("replies", F.concat("replies", F.array("_reply"))).drop("_reply")
+        return rows

@@ -147,7 +147,8 @@ def reachable(links: DataFrame, start: Column | str, max_depth: int) -> DataFram
     seen = front = first
     for depth in range(1, max_depth + 1):
         step = links.join(front, links["src"] == front["url"]).select(F.col("dst").alias("url")).distinct()
-        front = step.join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"))
+        # a table, as the next level reads it twice
+        front = stored(step.join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth")), "frontier")
         seen = seen.unionByName(front)
     return seen
 
