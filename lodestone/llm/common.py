@@ -2,41 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Characters that separate words: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a materialised and counted table may be broadcast.
 BROADCAST_ROWS = 200_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees, from spark.checkpoint.dir; a temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+#: Keys that are joined apart because each has more than this share of the rows.
+HOT_KEYS = 10_000
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, and survives lost executors.
 
     The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def drop_table(df: DataFrame) -> None:
@@ -48,8 +31,9 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if a table() has at most so many rows; reads one row more than that at most."""
+def small(df: DataFrame, rows: int | None = None) -> bool:
+    """True if a table() has at most so many rows (BROADCAST_ROWS); reads one row more than that at most."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return df.limit(rows + 1).count() <= rows
 
 
@@ -58,16 +42,23 @@ def keyed(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 32) -> DataFrame:
-    """left joined to right (a table(), one row for each key).
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """left joined (left or inner) to right, a table() with one row for each key.
 
-    A right side of a checked size is broadcast. A larger one is dealt by key and salt,
-    so that a key with a third of left's rows meets salts tasks, not one."""
+    A right side of checked size is broadcast. With a larger one, keys that hold more than one in HOT_KEYS of left's rows,
+    which are HOT_KEYS at most, are joined by broadcasting their rows of right; the others are shuffled; null keys,
+    which match nothing, are not."""
     if small(right):
         return left.join(F.broadcast(right), key, how)
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    return salted.join(spread, [key, "_salt"], how).drop("_salt")
+    every = left.count() // HOT_KEYS
+    hot = table(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > every) & F.col(key).isNotNull()).orderBy(F.desc("_n")).limit(HOT_KEYS).select(key), "hot")
+    some = F.broadcast(hot)
+    out = left.filter(F.col(key).isNotNull()).join(some, key, "left_anti").join(right, key, how)
+    out = out.unionByName(left.join(some, key, "left_semi").join(F.broadcast(right.join(some, key, "left_semi")), key, how))
+    if how == "left":
+        none = right.schema
+        out = out.unionByName(left.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(none[c].dataType).alias(c) for c in right.columns if c != key)))
+    return out
 
 
 def words_of(text: str | None) -> list[bytes]:

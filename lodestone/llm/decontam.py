@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shingles import SHINGLE, WordHashes, shingles
 
@@ -172,8 +173,8 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
     """The columns of keep, item_id, similarity, first_word and n_words of the best window for each document and item that match."""
     spark = docs.sparkSession
     df = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("t"))
-    kind, item_kind = dict(df.dtypes)["row"], dict(benchmark.dtypes)[item]
-    schema = f"row {kind}, number int, similarity double, first_word long, n_words long"
+    kind, item_kind = dict(df.dtypes)["row"], to_arrow_type(benchmark.schema[item].dataType)
+    schema = f"row {kind}, item_id {dict(benchmark.dtypes)[item]}, similarity double, first_word long, n_words long"
     out = None
     for items in _blocks(benchmark, item, item_text):
         sent = spark.sparkContext.broadcast(items)
@@ -184,10 +185,9 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
                 found = [(r, *x) for r, t in enumerate(b.column("t")) for x in sent.value.matches(hashes.of(t.as_py()))]
                 if found:
                     r, i, s, a, n = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(r)), pa.array(i, pa.int32()), pa.array(s), pa.array(a), pa.array(n)], ["row", "number", "similarity", "first_word", "n_words"])
+                    yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(r)), pa.array([sent.value.ids[x] for x in i], item_kind), pa.array(s), pa.array(a), pa.array(n)], ["row", "item_id", "similarity", "first_word", "n_words"])
 
-        ids = F.array(*(F.lit(x).cast(item_kind) for x in items.ids)) if items.ids else F.array().cast(f"array<{item_kind}>")
-        part = df.mapInArrow(run, schema).select("row.*", F.get(ids, F.col("number")).alias("item_id"), "similarity", "first_word", "n_words")
+        part = df.mapInArrow(run, schema).select("row.*", "item_id", "similarity", "first_word", "n_words")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -450,6 +450,27 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert lost == 0
 
 
+def test_lookups_without_broadcast(spark, monkeypatch):
+    """Large lookup tables take another way to the same rows."""
+    from lodestone.llm import common
+
+    docs = frame(spark, documents() + [row(i, t) for i, t in near_copies()[:40]])
+    plain = lambda df: sorted(map(repr, df.collect()))
+    def results():
+        return [
+            plain(jaccard.join(docs).select("row.doc_id", "class_id", "n_links", "n_class_links")),
+            plain(quality.judge(docs).select("row.doc_id", "kept")),
+            plain(mixing.mix(docs).select("row.doc_id", "copy", "mix")),
+            plain(sharded(docs)),
+        ]
+
+    want = results()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    for hot in (10_000, 5):
+        monkeypatch.setattr(common, "HOT_KEYS", hot)
+        assert results() == want
+
+
 # Suffix-array dedup.
 
 
