@@ -95,4 +95,73 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+#: Host rules over words, lines and windows; rates by moments as in quality.
+QUALITY_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '(none)') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM t),
+tok AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+win AS (SELECT doc_id, i, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d || ' ' || lead(word, 4) OVER d AS g FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win WHERE g IS NOT NULL) WHERE c > 1),
+cov AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM dup) GROUP BY doc_id),
+m AS (SELECT w.doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
+f AS (SELECT host, rule, count(*) AS n, count(*) FILTER (WHERE CASE rule WHEN 'short' THEN n_words < 10 WHEN 'repeats' THEN 100 * n_repeat_words > 20 * n_words WHEN 'symbols' THEN 10 * n_symbols > n_words
+  WHEN 'lines' THEN 10 * n_dup_lines > 3 * n_lines ELSE word_chars < 2 * n_words OR word_chars > 15 * n_words END) AS f FROM m, (SELECT unnest(['short', 'repeats', 'symbols', 'lines', 'lengths']) AS rule) GROUP BY host, rule),
+p AS (SELECT rule, sum(n) AS n, sum(f) AS f, sum(CAST(f AS DOUBLE) * f / n) AS q, count(*) AS h FROM f GROUP BY rule),
+v AS (SELECT rule, (f + 0.5) / (n + 1) AS mean, q / n - (f / n) * (f / n) - (h - 1) * (f / n) * (1 - f / n) / n AS between_hosts FROM p),
+s AS (SELECT rule, mean, CASE WHEN between_hosts <= 0 THEN 10000.0 ELSE least(10000.0, greatest(2.0, mean * (1 - mean) / between_hosts - 1)) END AS strength FROM v),
+r AS (SELECT host, max((f + mean * strength) / (n + strength)) > 0.5 AS rejected FROM f JOIN s ON f.rule = s.rule GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT rejected AS kept FROM m JOIN r ON m.host = r.host
+"""
+
+#: Shingle sets, exact similarities, and components by reachability.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+tok AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g5 AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d || ' ' || lead(word, 4) OVER d AS g FROM tok WHERE n >= 5 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT DISTINCT doc_id, g FROM g5 WHERE g IS NOT NULL UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+k AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM c JOIN k x ON a = x.doc_id JOIN k y ON b = y.doc_id WHERE 10 * c >= 8 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+cls AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+own AS (SELECT doc_id, least(doc_id, coalesce(min(b) FILTER (WHERE same), doc_id)) AS rep FROM documents LEFT JOIN l ON doc_id = a GROUP BY doc_id),
+n AS (SELECT l.a, count(*) AS n_links, count(DISTINCT own.rep) FILTER (WHERE NOT same) AS n_class_links FROM l JOIN own ON l.b = own.doc_id GROUP BY l.a)
+SELECT cls.a AS doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_class_links, 0) AS n_class_links FROM cls LEFT JOIN n ON cls.a = n.a
+"""
+
+#: All strings of 100 bytes, as hexadecimal digits; runs of those that occurred before; what is left between the runs.
+SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS x FROM (SELECT doc_id, h, unnest(range(0, greatest(CAST(length(h) / 2 AS BIGINT) - 99, 0))) AS s FROM d)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS k FROM x) WHERE k > 1),
+mark AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM again),
+num AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS r FROM mark),
+run AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM num GROUP BY doc_id, r),
+gap AS (SELECT run.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS piece FROM run JOIN d ON run.doc_id = d.doc_id WINDOW w AS (PARTITION BY run.doc_id ORDER BY a)),
+sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(piece, '' ORDER BY a) AS head FROM gap GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id
+"""
+
+#: Bags of shingles of all item-sized windows that share a shingle with an item; items have five words or more.
+LEAKS_SQL = r"""
+WITH low AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM low),
+tok AS (SELECT kind, id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS p FROM w),
+g0 AS (SELECT kind, id, p, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d || ' ' || lead(word, 4) OVER d AS g FROM tok WINDOW d AS (PARTITION BY kind, id ORDER BY p)),
+g AS (SELECT * FROM g0 WHERE g IS NOT NULL),
+size AS (SELECT kind, id, count(*) AS m FROM g GROUP BY kind, id),
+item AS (SELECT id, g, count(*) AS c FROM g WHERE kind = 'i' GROUP BY id, g),
+hit AS (SELECT g.id AS doc_id, item.id AS item_id, g.g, g.p, item.c, si.m, sd.m AS n FROM g JOIN item ON g.g = item.g JOIN size si ON si.kind = 'i' AND si.id = item.id JOIN size sd ON sd.kind = 'd' AND sd.id = g.id WHERE g.kind = 'd'),
+st AS (SELECT *, unnest(range(greatest(0, p - m + 1), least(p, greatest(n - m, 0)) + 1)) AS s FROM hit),
+part AS (SELECT doc_id, item_id, s, g, least(count(*), any_value(c)) AS x, any_value(m) AS m, any_value(n) AS n FROM st GROUP BY doc_id, item_id, s, g),
+win AS (SELECT doc_id, item_id, s, CAST(sum(x) AS DOUBLE) AS x, any_value(m) AS m, least(any_value(m), any_value(n)) AS held FROM part GROUP BY doc_id, item_id, s),
+sim AS (SELECT doc_id, item_id, s, x / (held + m - x) AS similarity, held FROM win)
+SELECT doc_id, item_id, similarity, CAST(s AS BIGINT) AS first_word, CAST(held + 4 AS BIGINT) AS n_words FROM
+  (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS k FROM sim WHERE similarity >= 0.8 - 1e-12) WHERE k = 1
+"""
+
+ORACLES: dict[str, str] = {"op2_suffix_dedup": SUFFIX_SQL, "op7_quality": QUALITY_SQL, "op9_decontamination": LEAKS_SQL, "op10_jaccard_join": JACCARD_SQL}
