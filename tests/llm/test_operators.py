@@ -235,6 +235,14 @@ def test_lm_cases(spark):
     assert lm_score.score(frame(spark, [])).count() == 0
 
 
+def test_lm_without_training_texts(spark):
+    i = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    docs = frame(spark, [row(i, "a b c"), row(i, None)])
+    out = lm_score.score(docs).collect()
+    assert [r["n_known"] for r in out] == [0, 0] and all(r["train_tokens"] == 0 and r["base_score"] == 0.0 for r in out)
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
+
+
 def check_lm(docs, scored):
     rows = docs.select("doc_id", "text").collect()
     out = {r["doc_id"]: r for r in scored.collect()}
@@ -412,6 +420,7 @@ def near_copies():
 @pytest.mark.parametrize("part", [2048, 24])
 def test_jaccard_join(spark, monkeypatch, part):
     monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "WHOLE", part)
     docs = [r for r in documents() if r[0] not in (None, 7)] + [row(i, t) for i, t in near_copies()]
     out = {r["d"]: r for r in jaccard.join(frame(spark, docs)).select(F.col("row.doc_id").alias("d"), "class_id", "n_links", "n_class_links").collect()}
     sets, links = plain_links([(r[0], r[1]) for r in docs])
