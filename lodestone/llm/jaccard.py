@@ -8,7 +8,7 @@
 4. Within a block every pair is pruned by length and verified exactly on the shingles themselves. Verified links give each class its
    number of links, and their components its group.
 
-Buckets and blocks of more than PART classes are cut to parts, and each pair of parts is a group of its own, so that no task
+Buckets of more than PART classes, and blocks of more than WHOLE, are cut to parts of PART at most, and each pair of parts is a group of its own, so that no task
 holds an unbounded group. A bucket gives a spanning tree of its links, a block the sums of each class: never all pairs.
 
 Defined cases: a null or empty text has no shingles, no links and a group of its own; a text of fewer than five words is one shingle;
@@ -23,7 +23,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lookup_join, small, table
@@ -35,8 +35,8 @@ ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
 STEP = 16
 TOLERANCE = 1e-7
-#: Classes of a bucket or block that a task holds, twice.
-PART = 2048
+#: Classes of a bucket or block that a task holds, twice; and of how many a block stays whole.
+PART, WHOLE = 2048, 512
 
 _seeds = np.frombuffer(b"".join(xxhash.xxh64_digest(b"minhash", i) for i in range(HASHES)), np.uint32).reshape(HASHES, 2)
 TURN, FACTOR = _seeds[:, 0].copy(), _seeds[:, 1] | np.uint32(1)
@@ -150,14 +150,15 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
-def _parted(df: DataFrame, group: str, id_: str, count: str) -> DataFrame:
-    """df with part, a key for each group or, if a group has more than PART rows, for each pair of its parts, and
-    side: the two parts and the one of them in which the row is."""
-    parts = F.ceil(F.col(count) / PART).cast("int")
+def _parted(df: DataFrame, group: str, id_: str, parts: Column) -> DataFrame:
+    """df with part, a key for each group or, if a group has several parts, for each pair of them; same: the pair is one part
+    twice; first: the row is in the first of the two."""
+    df = df.withColumn("_parts", parts.cast("int"))
+    parts = F.col("_parts")
     own = F.pmod(F.xxhash64(id_, F.lit("part")), parts).cast("int")
     df = df.withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), parts - 1)))
     low, high = F.least("_own", "_with"), F.greatest("_own", "_with")
-    return df.withColumn("part", F.xxhash64(group, low, high)).withColumn("same", low == high).withColumn("first", F.col("_own") == low).drop("_own", "_with")
+    return df.withColumn("part", F.xxhash64(group, low, high)).withColumn("same", low == high).withColumn("first", F.col("_own") == low).drop("_own", "_with", "_parts")
 
 
 def sketched(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -191,7 +192,8 @@ def _bucket_edges(classes: DataFrame) -> DataFrame:
     """Links (a, b) that the buckets propose and the posterior keeps, as spanning trees."""
     rows = classes.select("id", F.explode("keys").alias("key"))
     shared = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1")
-    parted = _parted(shared, "key", "id", "c").select("part", "id")
+    # a pair of parts gives a tree of its own, so parts are as large as may be
+    parted = _parted(shared, "key", "id", F.ceil(F.col("c") / PART)).select("part", "id")
     members = parted.join(classes.select("id", "n", "sketch"), "id").repartition("part").sortWithinPartitions("part", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +280,10 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_rows: bo
     inside = table(sized.join(classes.select("id", "weight", F.col("least.rid").alias("rid")), "id"), "inside")
     texts = rows.select("rid", "t")
     found = texts.join(F.broadcast(inside) if small(inside) else inside, "rid")
-    members = _parted(found.select("root", "id", "weight", "c", "t"), "root", "id", "c")
+    # small parts spread a block over more tasks, large ones repeat its texts less: their size follows the root of the block's
+    c = F.col("c")
+    parts = F.when(c <= WHOLE, 1).otherwise(F.ceil(c / F.least(F.lit(PART), F.ceil(4 * F.sqrt(c)))))
+    members = _parted(found.select("root", "id", "weight", "c", "t"), "root", "id", parts)
     members = members.select("part", "same", "first", "id", "weight", "t").repartition("part").sortWithinPartitions("part", "id")
     verified = table(_verified(members), "verified")
     sums = verified.groupBy("id").agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
