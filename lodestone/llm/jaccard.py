@@ -23,7 +23,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lookup_join, small, table
@@ -191,7 +191,8 @@ def sketched(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def _bucket_edges(classes: DataFrame) -> DataFrame:
     """Links (a, b) that the buckets propose and the posterior keeps, as spanning trees."""
     rows = classes.select("id", F.explode("keys").alias("key"))
-    shared = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1")
+    counts = table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
+    shared = lookup_join(rows, counts, "key", "inner")
     # a pair of parts gives a tree of its own, so parts are as large as may be
     parted = _parted(shared, "key", "id", F.ceil(F.col("c") / PART)).select("part", "id")
     members = parted.join(classes.select("id", "n", "sketch"), "id").repartition("part").sortWithinPartitions("part", "id")
@@ -276,7 +277,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_rows: bo
     classes = rows.filter("set is not null").groupBy("set").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     blocks = table(components(_bucket_edges(classes), "a", "b"), "blocks")
-    sized = blocks.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("root")))
+    sized = lookup_join(blocks, table(blocks.groupBy("root").agg(F.count(F.lit(1)).alias("c")), "sizes"), "root", "inner")
     inside = table(sized.join(classes.select("id", "weight", F.col("least.rid").alias("rid")), "id"), "inside")
     texts = rows.select("rid", "t")
     found = texts.join(F.broadcast(inside) if small(inside) else inside, "rid")
