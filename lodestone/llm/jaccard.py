@@ -291,9 +291,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_rows: bo
     trees = components(verified.filter("id <> root"), "id", "root")
     grouped = sums.join(trees, "id", "left").withColumn("root", F.coalesce("root", "id"))
     own = classes.select("id", "set", "weight", "least").join(grouped, "id", "left").filter("links is not null or weight > 1")
-    own = own.withColumn("root", F.coalesce("root", "id"))
-    heads = own.groupBy("root").agg(F.min("least").alias("head"))
-    known = own.join(heads, "root").select("set", "head", F.coalesce("links", F.lit(0)).alias("links"), (F.coalesce("copies", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    own = table(own.withColumn("root", F.coalesce("root", "id")), "own")
+    heads = table(own.groupBy("root").agg(F.min("least").alias("head")), "heads")
+    known = lookup_join(own, heads, "root", "inner").select("set", "head", F.coalesce("links", F.lit(0)).alias("links"), (F.coalesce("copies", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = lookup_join(rows.select("row", "rid", "set"), table(known, "known"), "set")
     return out.select(
         "row",
