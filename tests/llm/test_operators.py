@@ -276,6 +276,12 @@ def test_lm_probabilities_sum_to_one():
             assert abs(sum(inside) - 1) < 1e-4
 
 
+def test_lm_tells_all_classes_apart():
+    m = lm_score.Model([(b"%d" % i, 10) for i in range(24)], 240, 24, 0, 0, {})
+    assert len(set(m.classes[:24].tolist())) == 24
+    assert {lm_score.tail_class(b"%d" % i) for i in range(500)} == set(range(24, 32))
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark, sf):
     s = lm_score.score(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("score").alias("m"), F.sum("base_score").alias("b")).first()
     assert s["m"] > s["b"]
