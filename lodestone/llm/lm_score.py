@@ -3,7 +3,8 @@
 P(word | context) = P(class | context) * P(word | class). The class softmax has hashed features of the context:
 the last word, the last two words, and the word before the last (skip), each a row of CLASSES weights in one table
 of ROWS rows, beside a bias for each class. Within a class a word has its count less a discount; what the discounts
-free is the share of unknown words, which count as one outcome as in the base score.
+free is the share of unknown words, which count as one outcome as in the base score. No feature of the context reaches
+P(word | class): words of one class are told apart by their counts alone.
 
 Head words, the most frequent and HEAD at most, are dealt to classes by rank so that classes have about equal mass.
 Other words, known or not, have a class by their hash. A head of fixed size is broadcast; counts of other words
