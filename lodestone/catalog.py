@@ -764,8 +764,8 @@ def _quick():
 def debate_replay(spark, d):
     from .schema import RESPONSE
 
-    rows = pages.parsed(read(spark, d, "pages").filter("page_id < 20").select(F.col("page_id").alias("ord"), "url", "html"))
-    some = prompts(spark, d).filter("ord < 12")
+    rows = pages.parsed(read(spark, d, "pages").select(F.col("page_id").alias("ord"), "url", "html"))
+    some = prompts(spark, d)
     replies = {"Argue": '{"confidence": 0.8}', "Attack": "not json", "Answer": '{"updated_confidence": 0.7}', "Judge": '{"accuracy_score": 0.9, "overall_score": "0.75", "quality_rating": "HIGH"}'}
     service = completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded(replies), _quick())
     return debate.debate(some, rows, service).select("ord", "is_accurate", "is_faithful", "quality_rating", "overall_score", F.size("debate_summary").alias("turns"))
@@ -775,10 +775,10 @@ def debate_replay(spark, d):
 def factcheck_replay(spark, d):
     from .schema import RESPONSE
 
-    rows = pages.parsed(read(spark, d, "pages").filter("page_id < 20").select(F.col("page_id").alias("ord"), "url", "html"))
+    rows = pages.parsed(read(spark, d, "pages").select(F.col("page_id").alias("ord"), "url", "html"))
     replies = {"Round": '{"verifications":[{"verdict":"verified","confidence":0.9}]}', "Pages:": '{"claims":[{"claim_text":"a"},{"claim_text":""},{"claim_text":"b"}]}'}
     service = completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded(replies), _quick())
-    return claims.check(prompts(spark, d).filter("ord < 12"), rows, service).select("ord", F.size("claims").alias("n_claims"), "overall_factual_score", "is_factually_sound", "confidence_level")
+    return claims.check(prompts(spark, d), rows, service).select("ord", F.size("claims").alias("n_claims"), "overall_factual_score", "is_factually_sound", "confidence_level")
 
 
 @query()
@@ -805,7 +805,7 @@ def run_append(spark, d):
     from .sources.history import append, load
 
     path = f"{shared_dir(spark)}/runs-{uuid4().hex}"
-    p = prompts(spark, d).filter("ord < 50")
+    p = prompts(spark, d)
     for i in range(3):
         append(p.filter(F.col("ord") % 3 >= i), path, "shop.example.com", "2024-01-01 00:00:00", i)
     return load(spark, path, "shop.example.com").select("domain", "run_seq", "text", "score", "prompt_count", "ord")
@@ -901,6 +901,6 @@ def multi_turn_replay(spark, d):
     from .schema import RESPONSE
 
     service = completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded({"first": "one", "second": "two"}), _quick())
-    rows = prompts(spark, d).filter("ord < 5").select("ord", "prompt_text")
+    rows = prompts(spark, d).select("ord", "prompt_text")
     out = service.turns(rows, "ord", F.lit("s"), [F.concat(F.lit("first "), F.col("prompt_text")), F.lit("second")])
     return out.select("ord", F.size("messages").alias("n_messages"), F.array_join("replies", ",").alias("replies"))
