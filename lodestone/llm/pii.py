@@ -2,7 +2,8 @@
 
 Expressions are native throughout. Places are code points, ends exclusive. Matches are
 leftmost and do not overlap within a kind; those that a validator refuses are dropped
-without another try.
+without another try. Account numbers (IBAN) are tried from every start: of the texts there that end
+before a space or at the last letter or digit, the longest that mod-97 confirms.
 
 Patterns use possessive repeats and look-behinds so that each is linear in the text; they
 match exactly what the plain patterns beside them match.
@@ -32,6 +33,8 @@ class Kind:
     base: bool
 
 
+#: An account number and what of the words after it looks like more of it; LONGEST has room for 34 characters, spaces between them and one more.
+ACCOUNT, LONGEST = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", 68
 REACH = 48
 CONTEXT = 0.35
 ACCEPT = 0.5
@@ -45,7 +48,8 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", "", 0.7, "card|visa|credit|pay|carte|tarjeta|karte", True),
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "phone|tel|call|mobile|fax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", 0.8, "iban|account|bank|konto|compte|cuenta", False),
+    # the start alone, as what follows may be eaten too; _accounts() finds the end
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", "", 0.8, "iban|account|bank|konto|compte|cuenta", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social|security|tax", False),
 )
 
@@ -127,26 +131,53 @@ def find(docs: DataFrame, text: str = "text", keep: Callable[[DataFrame], Column
     lengths = lambda k: F.zip_with(found(k)["m"], F.slice(found(k)["g"], F.lit(1), F.size(found(k)["m"])), lambda m, g: F.length(m) + F.length(g))
     df = df.select("*", *(F.when(found(k).isNotNull(), lengths(k)).alias(f"_l_{k.name}") for k in KINDS))
     df = df.select("*", *(F.when(found(k).isNotNull(), _running(F.col(f"_l_{k.name}"))).alias(f"_e_{k.name}") for k in KINDS))
-    return df.select("row", *(_kept(t, k).alias(k.name) for k in KINDS))
+    df = df.select("*", *(_spans(t, k).alias(f"_s_{k.name}") for k in KINDS))
+    return df.select("row", *(_kept(k).alias(k.name) for k in KINDS))
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 
 
-def _kept(t: Column, kind: Kind) -> Column:
+def _spans(t: Column, kind: Kind) -> Column:
+    """The spans that the validator of the kind confirms; null where none are proposed."""
     ends = F.col(f"_e_{kind.name}")
 
-    def span(m: Column, i: Column) -> Column:
-        end = F.get(ends, i)
-        start = end - F.length(m)
+    def span(m: Column, start: Column) -> Column:
         left = F.greatest(start - REACH, F.lit(0))
         before = F.lower(F.substr(t, left + 1, start - left))
         score = F.lit(kind.score) + F.when(before.rlike(kind.near), F.lit(CONTEXT)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), m.alias("value"), F.least(score, F.lit(1.0)).alias("score"))
-
-    every = F.transform(F.col(f"_p_{kind.name}")["m"], span)
-    good = F.filter(every, lambda s: _valid(kind.name, s["value"]) if kind.base else _valid(kind.name, s["value"]) & (s["score"] >= ACCEPT))
-    return F.coalesce(good.cast(SPAN), F.array().cast(SPAN))
+        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), F.least(score, F.lit(1.0)).alias("score"))
+
+    start = lambda m, i: F.get(ends, i) - F.length(m)
+    found = F.col(f"_p_{kind.name}")["m"]
+    if kind.name == "iban":
+        return F.transform(_accounts(t, F.transform(found, start)), lambda x: span(x["m"], x["start"])).cast(SPAN)
+    return F.filter(F.transform(found, lambda m, i: span(m, start(m, i))), lambda s: _valid(kind.name, s["value"])).cast(SPAN)
+
+
+def _kept(kind: Kind) -> Column:
+    spans = F.col(f"_s_{kind.name}")
+    good = spans if kind.base else F.filter(_apart(spans) if kind.name == "iban" else spans, lambda s: s["score"] >= ACCEPT)
+    return F.coalesce(good, F.array().cast(SPAN))
+
+
+def _accounts(t: Column, starts: Column) -> Column:
+    """(start, m): the longest valid account number at each start that has one, with no letter or digit after it."""
+    near = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substr(t, s + 1, F.lit(LONGEST)).alias("t")))
+    most = F.transform(near, lambda x: F.struct(x["start"].alias("start"), x["t"].alias("t"), F.regexp_extract(x["t"], ACCOUNT, 0).alias("m")))
+    torn = lambda x: F.substr(x["t"], F.length(x["m"]) + 1, F.lit(1)).rlike("[A-Za-z0-9]").cast("int")
+    words = F.transform(most, lambda x: F.struct(x["start"].alias("start"), F.split(x["m"], " ").alias("w"), torn(x).alias("torn")))
+    prefixes = lambda x: F.transform(F.slice(x["w"], F.lit(1), F.size(x["w"]) - x["torn"]), lambda _, i: F.array_join(F.slice(x["w"], F.lit(1), i + 1), " "))
+    valid = F.transform(words, lambda x: F.struct(x["start"].alias("start"), F.filter(prefixes(x), lambda m: _valid("iban", m)).alias("m")))
+    return F.transform(F.filter(valid, lambda x: F.size(x["m"]) > 0), lambda x: F.struct(x["start"].alias("start"), F.element_at(x["m"], -1).alias("m")))
+
+
+def _apart(spans: Column) -> Column:
+    """Spans in order of start without those that begin inside one kept before."""
+    meets = lambda s, i: (i > 0) & (F.get(spans, i - 1)["end"] > s["start"])
+    inside = lambda a, s: F.coalesce(F.get(a, F.size(a) - 1)["end"] > s["start"], F.lit(False))
+    fold = F.aggregate(spans, F.array().cast(SPAN), lambda a, s: F.when(inside(a, s), a).otherwise(F.concat(a, F.array(s))))
+    return F.when(F.exists(F.transform(spans, meets), lambda x: x), fold).otherwise(spans)
 
 
 def joined(spans: Column) -> Column:

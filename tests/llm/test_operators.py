@@ -124,6 +124,19 @@ def test_pii_adds_confirmed_spans(spark):
     assert [len(r["ssn"]) for r in out] == [0, 0, 1, 0]
 
 
+def test_pii_ibans_before_other_words(spark):
+    one, two = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    texts = {
+        f"{one} Please": [one], f"to {one} BIC code": [one], f"{one} 2024-01-01": [one], f"{two} BIC X1": [two], f"{one} {two} A": [one, two], f"{two} {one}": [two, one],
+        f"{one}9": [], f"{one}x": [], f"é {one}": [one], "DE89 3704 0044 0532 0130 01 Please": [], "AB12 " * 500 + one: [one],
+    }
+    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()
+    for r in out:
+        text = list(texts)[r["row"]["i"]]
+        assert [s["value"] for s in r["iban"] if s["value"] in (one, two)] == texts[text], text
+        assert all(text[s["start"] : s["end"]] == s["value"] for s in r["iban"])
+
+
 # Sharding and mixing.
 
 
