@@ -826,8 +826,9 @@ def _exported(spark, rows: DataFrame, header: str) -> str:
     from uuid import uuid4
 
     path = f"{shared_dir(spark)}/export-{uuid4().hex}"
-    lines = rows.agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("x")).select(F.concat(F.lit(f"{header}\n"), F.array_join(F.transform("x", lambda v: v["line"]), "\n")).alias("value"))
-    lines.coalesce(1).write.text(path)
+    first = spark.createDataFrame([(None, header)], "ord long, line string")
+    # one partition, as a file keeps the order of lines; sorted there, so no value holds them all
+    first.unionByName(rows.select(F.col("ord").cast("long"), "line")).repartition(1).sortWithinPartitions(F.asc_nulls_first("ord")).select("line").write.text(path)
     return path
 
 
