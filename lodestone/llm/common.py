@@ -42,6 +42,17 @@ def keyed(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
 
 
+def digits(*parts: Column, n: int = 13) -> Column:
+    """The first n hexadecimal digits of the md5 of the parts, joined by colons, as a whole number."""
+    text = F.concat_ws(":", *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("long")
+
+
+def uniform(*parts: Column) -> Column:
+    """A double in (0, 1) hashed from the parts, none of which is null. 52 bits of md5, so that SQL engines draw the same."""
+    return (digits(*parts).cast("double") + 0.5) / float(1 << 52)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """left joined (left or inner) to right, a table() with one row for each key.
 

@@ -5,8 +5,9 @@ count is the Poisson quantile, for that mean, of a uniform number hashed from it
 a seed; it is repeated so often, and all copies are dealt to partitions and sorted by a hash.
 
 Defined cases: a null source is a source of its own; a null or empty text has mass 0 and
-still a rate (a source without mass gets rate 0); a null id draws one number;
-repeated rows draw alike; an empty table gives no rows; other columns of docs stay in row.
+still a rate (a source without mass gets rate 0); rows whose id is null or occurs again draw each for
+themselves, by their place in a stored table, and are dealt apart; ties of the hash keep any order; an empty table gives no rows; texts
+of any length travel whole; other columns of docs, whatever their names, stay in row.
 """
 
 from __future__ import annotations
@@ -14,17 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, lookup_join, table
+from .common import digits, keyed, lookup_join, table, uniform
 
 #: Larger means are sums of draws whose means are at most this, so that exp(-mean) keeps its digits.
 PART_MEAN = 30.0
 
 
-def uniform(*seeds: Column) -> Column:
-    """A double in (0, 1) hashed from seeds."""
-    return (F.shiftrightunsigned(F.xxhash64(*seeds), 11).cast("double") + 0.5) / float(1 << 53)
-
-
 def poisson(u: Column, mean: Column) -> Column:
     """The least k for which the Poisson distribution function with this mean (PART_MEAN at most) reaches u."""
     steps = F.sequence(F.lit(1), F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int"))
@@ -38,7 +34,7 @@ def poisson(u: Column, mean: Column) -> Column:
 
 
 def counts(key: Column, mean: Column, seed: int) -> Column:
-    """How often a document is repeated."""
+    """How often a document is repeated. key: a text that is never null."""
     parts = F.greatest(F.ceil(mean / PART_MEAN), F.lit(1)).cast("int")
     one = lambda i: poisson(uniform(key, F.lit(seed), i), mean / parts)
     return F.when(mean > 0, F.aggregate(F.transform(F.sequence(F.lit(1), parts), one), F.lit(0), lambda a, x: a + x)).otherwise(0)
@@ -62,12 +58,21 @@ def rates(docs: DataFrame, source: str, text: str, targets: dict[str, float] | N
     return shares.select("place", "mass", "share", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
+def _named(rows: DataFrame, key: str) -> DataFrame:
+    """rows whose column key, a text, tells them apart: those of one key get their places in a stored table added."""
+    again = table(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key, F.lit(True).alias("_again")), "again")
+    if not again.limit(1).count():
+        return rows
+    held = table(lookup_join(rows, again, key).withColumn("_no", F.monotonically_increasing_id()), "rows")
+    return held.withColumn(key, F.when(F.col("_again"), F.concat_ws("#", key, F.col("_no").cast("string"))).otherwise(F.col(key))).drop("_again", "_no")
+
+
 def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", targets: dict[str, float] | None = None, alpha: float = 0.5, budget: float | None = None, seed: int = 17) -> DataFrame:
     """row (struct of docs' columns), rate, copy (from 0) and mix, the hash by which copies are dealt and sorted."""
     by_source = table(rates(docs, source, text, targets, alpha, budget), "rates").select("place", "rate")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), keyed(F.col(source)).alias("place"), F.col(key).alias("_key"))
+    rows = _named(docs.select(F.struct(*docs.columns).alias("row"), keyed(F.col(source)).alias("place"), keyed(F.col(key)).alias("_key")), "_key")
     n = counts(F.col("_key"), F.col("rate"), seed)
     drawn = lookup_join(rows, by_source, "place").withColumn("_n", n).filter("_n > 0")
     copies = drawn.select("row", "_key", "rate", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
-    dealt = copies.select("row", "rate", "copy", F.xxhash64("_key", "copy", F.lit(seed), F.lit("mix")).alias("mix"))
+    dealt = copies.select("row", "rate", "copy", digits(F.col("_key"), F.lit(seed), F.lit("mix"), F.col("copy"), n=15).alias("mix"))
     return dealt.repartition("mix").sortWithinPartitions("mix")

@@ -164,4 +164,64 @@ SELECT doc_id, item_id, similarity, CAST(s AS BIGINT) AS first_word, CAST(held +
   (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS k FROM sim WHERE similarity >= 0.8 - 1e-12) WHERE k = 1
 """
 
-ORACLES: dict[str, str] = {"op2_suffix_dedup": SUFFIX_SQL, "op7_quality": QUALITY_SQL, "op9_decontamination": LEAKS_SQL, "op10_jaccard_join": JACCARD_SQL}
+#: The checksum of a text's bytes, by a table that follows from its polynomial.
+CRC = """crc_table AS (SELECT list(c ORDER BY i) AS l FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], [CAST(0 AS BIGINT) for z in range(8)]),
+  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i)))"""
+
+
+def _crc(text: str) -> str:
+    """SQL for the checksum of a column, beside crc_table."""
+    step = "lambda c, b: xor(c >> 8, crc_table.l[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))), {step}), 4294967295)"
+
+
+def _uniform(text: str) -> str:
+    """SQL for common.uniform of a text."""
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+
+
+def _descent(name: str, nodes: sharding.Tree) -> str:
+    """SQL for a table name (doc_id, size, text_crc32, n, k, shard): each level draws among the children of the chosen node."""
+    racks = {r: shards for inside in nodes.values() for r, shards in inside.items()}
+    rows = lambda level: ", ".join(f"({p}, {c}, {float(w)})" for p, c, w in level)
+    levels = {
+        "region": [(0, g, sum(sum(s.values()) for s in inside.values())) for g, inside in nodes.items()],
+        "rack": [(g, r, sum(s.values())) for g, inside in nodes.items() for r, s in inside.items()],
+        "shard": [(r, i, w) for r, s in racks.items() for i, w in s.items()],
+    }
+    out, before = "", "(SELECT *, 0 AS node FROM rows_)"
+    for level, places in levels.items():
+        u = _uniform(f"k || ':{level}:' || child")
+        out += f"""{name}_{level} AS (SELECT doc_id, size, text_crc32, n, k, CAST(arg_min(child, {{'d': -ln({u}) / w, 'n': child}}) AS INTEGER) AS node
+  FROM {before} JOIN (VALUES {rows(places)}) p(parent, child, w) ON node = parent GROUP BY doc_id, size, text_crc32, n, k),
+"""
+        before = f"{name}_{level}"
+    return out
+
+
+#: The descent level by level; slots by bucket, id, checksum and size, copies of a row one after another.
+SHARDS_SQL = f"""
+WITH {CRC},
+d AS (SELECT doc_id, CAST(octet_length(encode(t)) + 16 AS BIGINT) AS size, {_crc("t")} AS text_crc32 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), crc_table),
+rows_ AS (SELECT *, coalesce('=' || doc_id, 'null') AS k FROM (SELECT doc_id, size, text_crc32, count(*) AS n FROM d GROUP BY doc_id, size, text_crc32)),
+{_descent("now", sharding.tree(SHARDS))}{_descent("grown", sharding.tree(SHARDS + 1, laid=SHARDS))}s AS (SELECT a.*, a.node AS shard, b.node AS grown_shard,
+  floor({_uniform("a.k || ':' || a.text_crc32 || ':' || a.size || ':slot'")} * (1 + (SELECT count(*) FROM rows_) // {SHARDS * sharding.SLOT_ROWS})) AS bucket
+  FROM now_shard a JOIN grown_shard b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.size = b.size AND a.text_crc32 = b.text_crc32)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard
+FROM (SELECT *, unnest(range(n)) FROM s)
+"""
+
+#: Rates by source; the distribution function of each, step by step; copies by the steps that lie below the draw. Ids are not repeated.
+MIXING_SQL = f"""
+WITH RECURSIVE m AS (SELECT coalesce('=' || source, 'null') AS place, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS mass FROM documents GROUP BY 1),
+share AS (SELECT place, mass, CASE WHEN mass > 0 THEN pow(CAST(mass AS DOUBLE), 0.5) ELSE 0.0 END AS share FROM m),
+rate AS (SELECT place, CASE WHEN mass > 0 THEN CAST((SELECT sum(mass) FROM share) AS DOUBLE) * share / (SELECT sum(share) FROM share) / mass ELSE 0.0 END AS rate FROM share),
+part AS (SELECT place, rate, greatest(CAST(ceil(rate / {mixing.PART_MEAN}) AS INTEGER), 1) AS parts FROM rate WHERE rate > 0),
+cdf AS (SELECT place, rate / parts AS mean, 0 AS k, exp(-(rate / parts)) AS p, exp(-(rate / parts)) AS c FROM part
+  UNION ALL SELECT place, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < ceil(mean + 12 * sqrt(mean) + 30)),
+draw AS (SELECT doc_id, source, text, place, '=' || doc_id AS id, unnest(range(1, parts + 1)) AS i FROM documents JOIN part ON part.place = coalesce('=' || source, 'null')),
+n AS (SELECT draw.doc_id, draw.source, draw.text, draw.id, CAST(count(cdf.k) AS BIGINT) AS n FROM draw LEFT JOIN cdf ON cdf.place = draw.place AND cdf.c < {_uniform("id || ':17:' || i")} GROUP BY ALL)
+SELECT doc_id, source, text, CAST(copy AS INTEGER) AS copy, CAST('0x' || substr(md5(id || ':17:mix:' || copy), 1, 15) AS BIGINT) AS mix FROM (SELECT *, unnest(range(n)) AS copy FROM n)
+"""
+
+ORACLES: dict[str, str] = {"op6_sharding": SHARDS_SQL, "op8_mixing": MIXING_SQL, "op2_suffix_dedup": SUFFIX_SQL, "op7_quality": QUALITY_SQL, "op9_decontamination": LEAKS_SQL, "op10_jaccard_join": JACCARD_SQL}

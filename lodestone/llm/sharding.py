@@ -1,25 +1,26 @@
 """Shards by a hierarchical weighted hash tree of regions, racks and shards.
 
-Every leaf draws -ln(u) / weight with u hashed from the document's id and the leaf. A rack's draw
-is the least of its shards' draws and a region's the least of its racks', so a node wins with
-probability proportional to its weight; the descent takes the least draw at each level. A draw
-depends on nothing but the id and its leaf: a change of a leaf's weight changes the draws on the path above
-it alone, and rows move only into or out of that path. A new shard takes rows only into itself.
-
-Defined cases: a null id draws as one id of its own; a null text has no bytes; repeated rows
-get the same shard and slots of their own; an empty table gives no rows; further columns of docs
-stay in row.
+Each level draws for itself: of the children of the node that was reached, each draws -ln(u) / weight with u hashed from the
+document's id and the child, and the least draw wins, so that a child is chosen in proportion to its weight. A node's weight is
+the sum of its shards'. Only children of the chosen node draw. A change of one shard's weight changes the draws of its rack and region
+alone: rows move into that region or out of it, within it into that rack or out of it, and nowhere else.
+
+The first shards (laid) fill racks and regions in order; one that is added later opens a region of its own, so that
+it takes rows only into itself.
+
+Defined cases: a null id draws as one id of its own; a null text has no bytes; repeated rows, and equal texts of one id,
+get the same shard and slots of their own; ties of draws go to the least node; an empty table gives no rows; texts of any length are
+read once, for size and checksum; further columns of docs, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, table
+from .common import keyed, lookup_join, table, uniform
 
 HEADER_BYTES = 16
 SHARDS_PER_RACK = 5
@@ -27,81 +28,83 @@ RACKS_PER_REGION = 4
 #: Rows that one task numbers at a time.
 SLOT_ROWS = 50_000
 
+#: region -> rack -> shard -> weight
+Tree = dict[int, dict[int, dict[int, float]]]
 
-@dataclass(frozen=True)
-class Leaf:
-    shard: int
-    weight: float = 1.0
-
-    @property
-    def rack(self) -> int:
-        return self.shard // SHARDS_PER_RACK
-
-    @property
-    def region(self) -> int:
-        return self.rack // RACKS_PER_REGION
 
+def tree(shards: int, weights: dict[int, float] | None = None, laid: int | None = None) -> Tree:
+    """The first laid shards (by default all) in racks and regions, the others each in a region of its own; weights are 1 where none is given."""
+    laid = shards if laid is None else min(laid, shards)
+    region_of = lambda i: i // (SHARDS_PER_RACK * RACKS_PER_REGION)
+    regions, racks = (region_of(laid - 1) + 1 if laid else 0), -(-laid // SHARDS_PER_RACK)
+    places = [(region_of(i), i // SHARDS_PER_RACK, i) for i in range(laid)] + [(regions + k, racks + k, laid + k) for k in range(shards - laid)]
+    weight = lambda i: (weights or {}).get(i, 1.0)
+    return {g: {r: {i: weight(i) for *_, i in some} for r, some in groupby(inside, lambda x: x[1])} for g, inside in groupby(places, lambda x: x[0])}
 
-def tree(shards: int, weights: dict[int, float] | None = None) -> list[Leaf]:
-    """Leaves 0 to shards - 1; racks and regions fill in order, so that a further shard leaves all places as they are."""
-    return [Leaf(i, (weights or {}).get(i, 1.0)) for i in range(shards)]
 
+def _chosen(key: Column, level: str, weights: dict[int, float]) -> Column:
+    """The node of the least draw; nodes without weight draw nothing."""
+    nodes = [n for n, w in weights.items() if w > 0]
+    if len(nodes) == 1:
+        return F.lit(nodes[0])
+    draws = [F.struct((-F.ln(uniform(key, F.lit(level), F.lit(n))) / weights[n]).alias("d"), F.lit(n).alias("n")) for n in nodes]
+    return F.least(*draws)["n"]
 
-def _draw(key: Column, leaf: Leaf) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(leaf.shard), F.lit("leaf")), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.ln(u) / leaf.weight
 
-
-def _least(columns: list[Column]) -> Column:
-    return columns[0] if len(columns) == 1 else F.least(*columns)
-
-
-def _first_of(draws: list[tuple[Column, Column]]) -> Column:
-    """The second of the pair with the least first; of equal ones the earliest."""
-    best = _least([d for d, _ in draws])
-    out = draws[-1][1]
-    for draw, value in reversed(draws[:-1]):
-        out = F.when(draw == best, value).otherwise(out)
+def _within(parent: Column, key: Column, level: str, children: dict[int, dict[int, float]]) -> Column:
+    """The child that the chosen parent's children draw."""
+    out = F.lit(None).cast("int")
+    for p, weights in children.items():
+        if any(w > 0 for w in weights.values()):
+            out = F.when(parent == p, _chosen(key, level, weights)).otherwise(out)
     return out
 
 
-def shard_of(df: DataFrame, key: Column, leaves: list[Leaf], name: str) -> DataFrame:
-    """df with column name: the shard that the descent through the tree of leaves reaches."""
+def shard_of(df: DataFrame, key: Column, nodes: Tree, name: str) -> DataFrame:
+    """df with column name: the shard that the descent through the tree reaches."""
+    racks = {r: shards for inside in nodes.values() for r, shards in inside.items()}
+    heavy = {g: {r: sum(shards.values()) for r, shards in inside.items()} for g, inside in nodes.items()}
     kept = df.columns
-    draws = {x.shard: F.col(f"_d{x.shard}") for x in leaves}
-    df = df.select("*", *(_draw(key, x).alias(f"_d{x.shard}") for x in leaves))
-    racks = {k: list(v) for k, v in groupby(leaves, lambda x: x.rack)}
-    df = df.select("*", *(_least([draws[x.shard] for x in v]).alias(f"_k{k}") for k, v in racks.items()))
-    regions = {k: list(v) for k, v in groupby(racks, lambda k: racks[k][0].region)}
-    df = df.select("*", *(_least([F.col(f"_k{r}") for r in v]).alias(f"_g{k}") for k, v in regions.items()))
+    df = df.withColumn("_region", _chosen(key, "region", {g: sum(w.values()) for g, w in heavy.items()}))
+    df = df.withColumn("_rack", _within(F.col("_region"), key, "rack", heavy))
+    return df.select(*kept, _within(F.col("_rack"), key, "shard", racks).alias(name))
+
 
-    def in_rack(r: int) -> Column:
-        return _first_of([(draws[x.shard], F.lit(x.shard)) for x in racks[r]])
+#: Copies of one row that a task writes at a time.
+COPIES = 100_000
 
-    def in_region(g: int) -> Column:
-        return _first_of([(F.col(f"_k{r}"), in_rack(r)) for r in regions[g]])
 
-    return df.select(*kept, _first_of([(F.col(f"_g{g}"), in_region(g)) for g in regions]).alias(name))
+def _repeated(df: DataFrame, n: str, ordinal: str, most: int) -> DataFrame:
+    """df with each row n times (most at most), ordinal from 0; rows that occur very often are spread over tasks before they are written out."""
+    rest = df.columns
+    df = df.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(COPIES).cast("long"))))
+    if most > COPIES:
+        df = df.repartition("_from", *rest)
+    last = F.least(F.col(n), F.col("_from") + COPIES) - 1
+    return df.withColumn(ordinal, F.explode(F.sequence(F.col("_from"), last))).drop("_from")
 
 
-def assign(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id", weights: dict[int, float] | None = None, grown: bool = True) -> DataFrame:
+def assign(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id", weights: dict[int, float] | None = None, grown: bool = True, laid: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and grown_shard (with one more shard of weight 1) for each row of docs.
 
     Slots run from 0 without gaps in each shard, ordered by a hash bucket, then by id: each bucket is numbered by
-    its own task and starts where a running sum of the buckets' counts says. Only numbers are shuffled, no texts."""
+    its own task and starts where a running sum of the buckets' counts says. Equal rows are counted first and numbered as one, so that a
+    bucket holds no more than different rows. Only numbers are shuffled, no texts."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(F.col(key).alias("doc_id"), (F.octet_length(t) + HEADER_BYTES).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
-    leaves = tree(shards, weights)
-    df = shard_of(df, F.col("doc_id"), leaves, "shard")
-    df = shard_of(df, F.col("doc_id"), tree(shards + 1, weights), "grown_shard") if grown else df.withColumn("grown_shard", F.lit(None).cast("int"))
-    df = table(df, "shards")
-    buckets = 1 + df.count() // (shards * SLOT_ROWS)
-    df = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("slot")), F.lit(buckets)).cast("int"))
-    counts = df.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    laid = shards if laid is None else min(laid, shards)
+    df = table(df.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), "rows")
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most")).first()
+    buckets = 1 + found["rows"] // (shards * SLOT_ROWS)
+    own = keyed(F.col("doc_id"))
+    df = shard_of(df, own, tree(shards, weights, laid), "shard")
+    df = shard_of(df, own, tree(shards + 1, weights, laid), "grown_shard") if grown else df.withColumn("grown_shard", F.lit(None).cast("int"))
+    bucket = F.floor(uniform(own, F.col("text_crc32"), F.col("size"), F.lit("slot")) * buckets).cast("int")
+    df = table(df.withColumn("bucket", bucket), "shards")
+    counts = df.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.concat_ws(":", "shard", "bucket").alias("place"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    numbered = df.withColumn("n", F.row_number().over(inside)).withColumn("place", F.concat_ws(":", "shard", "bucket"))
-    return lookup_join(numbered, table(offsets, "offsets"), "place").select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("n") - 1 + F.col("offset")).cast("long").alias("slot"), "grown_shard"
-    )
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = df.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("place", F.concat_ws(":", "shard", "bucket"))
+    placed = lookup_join(numbered, table(offsets, "offsets"), "place")
+    return _repeated(placed, "n", "copy", found["most"] or 0).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("first") + F.col("copy")).cast("long").alias("slot"), "grown_shard")

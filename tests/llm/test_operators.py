@@ -140,32 +140,77 @@ def test_pii_ibans_before_other_words(spark):
 # Sharding and mixing.
 
 
+def drawn(*parts):
+    """The number in (0, 1) that the parts give."""
+    return (int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+
+def plain_shard(doc_id, nodes):
+    k = "null" if doc_id is None else f"={doc_id}"
+    least = lambda level, weights: min(weights, key=lambda n: (-math.log(drawn(k, level, n)) / weights[n], n))
+    region = least("region", {g: sum(sum(s.values()) for s in racks.values()) for g, racks in nodes.items()})
+    rack = least("rack", {r: sum(s.values()) for r, s in nodes[region].items()})
+    return least("shard", nodes[region][rack])
+
+
+def check_shards(rows, out, weights=None):
+    assert sorted(map(repr, ((r["doc_id"], r["size"], r["text_crc32"]) for r in out))) == sorted(repr((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))) for i, t in rows)
+    now, grown = sharding.tree(40, weights), sharding.tree(41, weights, laid=40)
+    slots = defaultdict(list)
+    for r in out:
+        assert r["shard"] == plain_shard(r["doc_id"], now) and r["grown_shard"] == plain_shard(r["doc_id"], grown)
+        assert r["grown_shard"] in (r["shard"], 40)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_sharding(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
-    out = sharding.assign(docs, 40).toPandas()
-    assert ((out.shard == out.grown_shard) | (out.grown_shard == 40)).all()
-    assert 60 < (out.grown_shard == 40).sum() < 190
-    for _, g in out.groupby("shard"):
-        assert sorted(g.slot) == list(range(len(g)))
-    assert set(out["size"]) == {20} and set(out.text_crc32) == {zlib.crc32(b"text")}
+    out = sharding.assign(docs, 40).collect()
+    check_shards([(i, "text") for i in range(5000)], out)
+    assert 60 < sum(r["grown_shard"] == 40 for r in out) < 190
+
+
+def test_sharding_of_heavy_and_idle_shards(spark):
+    weights = {3: 5.0, 17: 0.5}
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    check_shards([(i, "x") for i in range(1000)], sharding.assign(docs, 40, weights=weights).collect(), weights)
+    idle = sharding.assign(docs, 40, weights={i: 0.0 for i in range(1, 40)}).agg(F.min("shard"), F.max("shard")).first()
+    assert tuple(idle) == (0, 0)
 
 
-def test_sharding_moves_only_with_weight(spark):
+def test_sharding_moves_rows_in_changed_subtrees_only(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     plain = sharding.assign(docs, 40, grown=False).select("doc_id", F.col("shard").alias("a"))
     heavy = sharding.assign(docs, 40, weights={7: 3.0}, grown=False).select("doc_id", F.col("shard").alias("b"))
-    moved = plain.join(heavy, "doc_id").filter("a <> b")
-    assert moved.filter("b <> 7").count() == 0 and moved.count() > 50
-
-
-def test_sharding_cases(spark):
-    out = sharded(frame(spark)).toPandas()
-    assert len(out) == len(documents())
-    by = {r[0]: r[1] for r in documents()}
-    for r in out.itertuples():
-        if r.doc_id == r.doc_id:
-            data = (by[r.doc_id] or "").encode()
-            assert r.size == len(data) + 16 and r.text_crc32 == zlib.crc32(data)
+    moved = [(r["a"], r["b"]) for r in plain.join(heavy, "doc_id").filter("a <> b").collect()]
+    assert len(moved) > 50
+    for a, b in moved:
+        if a // 20 != b // 20:
+            assert b // 20 == 0  # between regions only into the one that weighs more
+        elif a // 5 != b // 5:
+            assert b // 5 == 1  # within that region only into its heavier rack
+        else:
+            assert b == 7
+
+
+def test_shards_join_one_by_one(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    before = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 7, laid=7, grown=False).collect()}
+    for n in (8, 9):
+        after = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, n, laid=7, grown=False).collect()}
+        assert all(after[i] in (before[i], n - 1) for i in before) and any(x == n - 1 for x in after.values())
+        before = after
+
+
+def test_sharding_cases(spark, monkeypatch):
+    rows = [(r[0], r[1]) for r in documents()]
+    check_shards(rows, sharded(frame(spark)).collect())
+    assert sharded(frame(spark, [])).count() == 0
+    monkeypatch.setattr(sharding, "COPIES", 7)  # a row that occurs very often is written out in parts
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 2)
+    many = [row(5, "same")] * 50 + [row(None, None)] * 20 + [row(i, "a") for i in range(100, 200)]
+    check_shards([(r[0], r[1]) for r in many], sharded(frame(spark, many)).collect())
 
 
 def test_poisson_is_the_quantile(spark):
@@ -194,12 +239,60 @@ def test_mixing_reaches_its_targets(spark):
     assert 80_000 < again.count() < 120_000  # means above one part
 
 
+def quantile(u, mean):
+    k, p = 0, math.exp(-mean)
+    c = p
+    while c < u:
+        k += 1
+        p *= mean / k
+        c += p
+    return k
+
+
+def plain_copies(key, mean, seed=17):
+    parts = max(math.ceil(mean / mixing.PART_MEAN), 1)
+    return sum(quantile(drawn(key, seed, i), mean / parts) for i in range(1, parts + 1)) if mean > 0 else 0
+
+
+def plain_rates(rows, alpha=0.5):
+    mass = defaultdict(int)
+    for _, t, source in rows:
+        mass[source] += len((t or "").encode())
+    share = {s: m**alpha if m else 0.0 for s, m in mass.items()}
+    return {s: sum(mass.values()) * share[s] / sum(share.values()) / m if m else 0.0 for s, m in mass.items()}
+
+
+def test_mixing_draws_and_deals_as_stated(spark, sf):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rates = plain_rates(rows)
+    want = Counter()
+    for i, _, source in rows:
+        want.update((i, source, c, int(hashlib.md5(f"={i}:17:mix:{c}".encode()).hexdigest()[:15], 16)) for c in range(plain_copies(f"={i}", rates[source])))
+    out = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert Counter((r["doc_id"], r["source"], r["copy"], r["mix"]) for r in out.select("row.*", "copy", "mix").collect()) == want
+    parts = out.select(F.spark_partition_id().alias("p"), "mix").collect()
+    by = defaultdict(list)
+    for r in parts:
+        by[r["p"]].append(r["mix"])
+    assert all(x == sorted(x) for x in by.values())
+
+
 def test_mixing_cases(spark):
     out = mixing.mix(frame(spark)).select("row.*")
     assert out.columns == frame(spark).columns and out.count() > 0
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_of_repeated_and_null_ids(spark):
+    """Rows that share an id draw each for themselves, and their copies are dealt apart."""
+    rows = [row(None, f"null {i}") for i in range(400)] + [row(7, "same")] * 400 + [row(i, f"own {i}") for i in range(1000, 1400)]
+    out = mixing.mix(frame(spark, rows), targets={"a": 1.0}).select("row.doc_id", "row.text", "mix").collect()
+    n = Counter(r["doc_id"] if r["doc_id"] in (None, 7) else "own" for r in out)
+    assert all(300 < n[k] < 500 for k in (None, 7, "own"))
+    assert len({r["mix"] for r in out}) == len(out)
+    assert 150 < len({r["text"] for r in out if r["doc_id"] is None}) < 350  # some of them, not all or none
+
+
 # Token counts.
 
 
@@ -488,7 +581,7 @@ def test_lookups_without_broadcast(spark, monkeypatch):
         return [
             plain(jaccard.join(docs).select("row.doc_id", "class_id", "n_links", "n_class_links")),
             plain(quality.judge(docs).select("row.doc_id", "kept")),
-            plain(mixing.mix(docs).select("row.doc_id", "copy", "mix")),
+            plain(mixing.mix(docs.filter("doc_id <> 7")).select("row.doc_id", "copy", "mix")),
             plain(sharded(docs)),
         ]
 
