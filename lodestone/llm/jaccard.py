@@ -5,14 +5,18 @@
    buckets with a probability of (1 - SIMILARITY ** ROWS) ** BANDS, 5e-8.
 3. In a bucket, the values (8 bits of each) are compared STEP at a time, and a pair is dropped as soon as the posterior probability that its
    similarity reaches SIMILARITY, from a uniform prior, is below TOLERANCE. What is left joins classes to blocks.
-4. Within a block every pair is pruned by length and verified exactly on the shingles themselves. Verified links give each class its
+4. Within a block the same comparison prunes pairs, and each pair that survives, no other, is verified exactly on the shingles
+   themselves. Verified links give each class its
    number of links, and their components its group.
 
-Buckets of more than PART classes, and blocks of more than WHOLE, are cut to parts of PART at most, and each pair of parts is a group of its own, so that no task
-holds an unbounded group. A bucket gives a spanning tree of its links, a block the sums of each class: never all pairs.
+No group grows without bound. A bucket of more than PART classes is cut to parts, each of which also holds the bucket's least class: what
+hangs together with that class needs no further comparison, and only what does not, in any part, is compared with the whole bucket.
+A block of more than PART classes or PART_BYTES bytes of shingles is cut to parts, and each pair of parts is a group of its own. Shingles
+travel as hashes, once for each part that a class meets. A bucket gives a spanning tree of its links, a block the sums of each class: never all pairs.
 
 Defined cases: a null or empty text has no shingles, no links and a group of its own; a text of fewer than five words is one shingle;
-copies are one class; repeated rows are copies; a null id comes after all others; an empty table gives no rows; texts are read whole.
+copies are one class; repeated rows are copies; a null id comes after all others; of equal ids the row read first stands for the group; an
+empty table gives no rows; texts are read whole; columns of docs with any names stay in row.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
 STEP = 16
 TOLERANCE = 1e-7
-#: Classes of a bucket or block that a task holds, twice; and of how many a block stays whole.
-PART, WHOLE = 2048, 512
+#: Classes of a bucket or block, and bytes of a block's shingles, that a task holds, twice.
+PART, PART_BYTES = 16_384, 1 << 25
 
 _seeds = np.frombuffer(b"".join(xxhash.xxh64_digest(b"minhash", i) for i in range(HASHES)), np.uint32).reshape(HASHES, 2)
 TURN, FACTOR = _seeds[:, 0].copy(), _seeds[:, 1] | np.uint32(1)
@@ -101,11 +105,12 @@ def possible(sketches: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarr
 PAIRS = 200_000
 
 
-def spanning(sketches: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join the members of a bucket as all pairs that are not dropped would."""
+def spanning(sketches: np.ndarray, sizes: np.ndarray, roots: int | None = None) -> list[tuple[int, int]]:
+    """Edges that join the members of a bucket as all pairs that are not dropped would. With roots, only the first so many
+    members are compared with all others: what they reach directly hangs together with them."""
     edges: list[tuple[int, int]] = []
     left = np.arange(len(sizes))
-    while len(left) > 1:
+    while len(left) > 1 and (roots is None or left[0] < roots):
         root, left = left[0], left[1:]
         front = np.array([root])
         while len(front) and len(left):
@@ -191,83 +196,182 @@ def sketched(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def _bucket_edges(classes: DataFrame) -> DataFrame:
     """Links (a, b) that the buckets propose and the posterior keeps, as spanning trees."""
     rows = classes.select("id", F.explode("keys").alias("key"))
-    counts = table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
-    shared = lookup_join(rows, counts, "key", "inner")
-    # a pair of parts gives a tree of its own, so parts are as large as may be
-    parted = _parted(shared, "key", "id", F.ceil(F.col("c") / PART)).select("part", "id")
-    members = parted.join(classes.select("id", "n", "sketch"), "id").repartition("part").sortWithinPartitions("part", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for g in groups(batches, "part"):
-            ids = g.column("id").to_numpy()
-            found = spanning(_matrix(g.column("sketch")), g.column("n").to_numpy())
-            seen.update((int(ids[a]), int(ids[b])) for a, b in found)
-            if len(seen) > 50_000:
-                yield _pairs(seen)
-                seen.clear()
-        yield _pairs(seen)
-
-    return members.select("part", "id", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
-
-
-def _pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.int64()), pa.array([x[1] for x in seen], pa.int64())], ["a", "b"])
-
-
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets. Shingles of one set alone are left out; the others are multiplied in slices."""
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    column = np.cumsum(np.diff(flat, prepend=flat[:1]) != 0)
-    held = np.bincount(column)
-    use = held[column] > 1
-    owner, column = owner[use], np.unique(column[use], return_inverse=True)[1]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    width = max(256, min(4096, 4_000_000 // len(sets)))
-    for i in range(0, int(column.max(initial=-1)) + 1, width):
-        a, b = np.searchsorted(column, (i, i + width))
-        met = np.zeros((len(sets), width), np.float32)
-        met[owner[a:b], column[a:b] - i] = 1
-        out += met @ met.T
-    return out
-
-
-def linked(sets: list[np.ndarray], same: bool, first: np.ndarray) -> np.ndarray:
-    """Which pairs reach SIMILARITY exactly; if not same, only pairs of a first and another row."""
-    n = np.array([len(s) for s in sets], np.float32)
-    common = intersections(sets)
-    out = common >= SIMILARITY * (n[:, None] + n - common) - 1e-3
-    np.fill_diagonal(out, False)
-    return out if same else out & (first[:, None] != first)
+    counts = table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).filter("c > 1"), "buckets")
+    parts = F.ceil(F.col("c") / PART).cast("int")
+    own = F.xxhash64("key", F.when(parts > 1, F.pmod(F.xxhash64("id", F.lit("part")), parts)).otherwise(0).cast("long"))
+    shared = lookup_join(rows, counts, "key", "inner").select("key", "id", own.alias("part"), F.when(F.col("id") == F.col("pivot"), 0).otherwise(1).alias("place"), (parts > 1).alias("hot"))
+    every = counts.filter(F.col("c") > PART).select("key", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
+    pivots = every.select("key", "id", F.xxhash64("key", F.col("p").cast("long")).alias("part"), F.lit(0).alias("place"), F.lit(True).alias("hot"))
+    dealt = shared.filter("NOT (hot AND place = 0)").unionByName(pivots)
+    found = table(_with_sketches(dealt, classes).mapInArrow(_own_trees, "a long, b long, key long").distinct(), "trees")
+    edges = found.filter("key IS NULL").select("a", "b")
+    rest = found.filter("key IS NOT NULL").select("key", F.col("a").alias("id"))
+    if not rest.limit(1).count():
+        return edges
+    # what no least class reached meets its whole bucket, PART of it at a time
+    many = table(rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("sets")), "rests")
+    spread = lookup_join(lookup_join(rest, many, "key", "inner"), counts, "key", "inner")
+    spread = table(spread.select("key", "id", F.pmod(F.xxhash64("id", F.lit("set")), "sets").cast("long").alias("set"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p")), "rest")
+    roots = spread.select("key", "id", F.xxhash64("key", "set", F.col("p").cast("long"), F.lit("rest")).alias("part"), F.lit(0).alias("place"), F.lit(False).alias("hot"))
+    p = F.pmod(F.xxhash64("id", F.lit("part")), parts).cast("long")
+    others = lookup_join(lookup_join(rows, counts.filter(F.col("c") > PART), "key", "inner"), many, "key", "inner")
+    others = others.withColumn("set", F.explode(F.sequence(F.lit(0), F.col("sets") - 1))).select("key", "id", F.xxhash64("key", F.col("set").cast("long"), p, F.lit("rest")).alias("part"), F.lit(1).alias("place"), F.lit(False).alias("hot"))
+    more = _with_sketches(roots.unionByName(others), classes).mapInArrow(_rest_trees, "a long, b long, key long")
+    return edges.unionByName(more.select("a", "b")).distinct()
+
+
+def _with_sketches(dealt: DataFrame, classes: DataFrame) -> DataFrame:
+    members = dealt.join(classes.select("id", "n", "sketch"), "id").repartition("part").sortWithinPartitions("part", "place", "id")
+    return members.select("part", "place", "key", "hot", "id", "n", "sketch")
+
+
+def _own_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each part; of a part of a cut bucket also those (a, null, key) that its least class, the first row, does not reach."""
+    return _trees(batches, False)
+
+
+def _rest_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the rows at place 0 with all others of their part."""
+    return _trees(batches, True)
+
+
+def _trees(batches: Iterator[pa.RecordBatch], rooted: bool) -> Iterator[pa.RecordBatch]:
+    seen: set[tuple[int, int | None, int | None]] = set()
+    for g in groups(batches, "part"):
+        ids, place = g.column("id").to_numpy(), g.column("place").to_numpy()
+        found = spanning(_matrix(g.column("sketch")), g.column("n").to_numpy(), int((place == 0).sum()) if rooted else None)
+        seen.update((int(ids[a]), int(ids[b]), None) for a, b in found)
+        if g.column("hot")[0].as_py():
+            reached = {0, *(b for a, b in found if a == 0)}
+            key = g.column("key")[0].as_py()
+            seen.update((int(x), None, key) for i, x in enumerate(ids.tolist()) if i not in reached)
+        if len(seen) > 50_000:
+            yield _edges(seen)
+            seen.clear()
+    yield _edges(seen)
+
+
+def _edges(seen: set[tuple[int, int | None, int | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.int64()) for i in range(3)], ["a", "b", "key"])
+
+
+#: Bytes up to which a group's shingles are held as bits, and pairs that are looked up at a time beyond that.
+PACKED, CHECKED = 1 << 26, 20_000
+
+
+class Shared:
+    """The shingles that two members or more of a group have: a row of bits for each member, or if that is too much, a sorted list of (member, shingle)."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        column = np.cumsum(np.diff(flat, prepend=flat[:1]) != 0)
+        use = np.bincount(column)[column] > 1
+        owner, column = owner[use], np.unique(column[use], return_inverse=True)[1]
+        columns = int(column.max(initial=-1)) + 1
+        self.bits = None
+        if len(sets) * columns <= 8 * PACKED:
+            self.bits = np.zeros((len(sets), -(-columns // 64)), np.uint64)
+            np.bitwise_or.at(self.bits, (owner, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+            return
+        order = np.lexsort((column, owner))
+        self.column, self.columns = column[order], columns
+        self.start = np.searchsorted(owner[order], np.arange(len(sets) + 1))
+        self.place = owner[order].astype(np.int64) * columns + self.column
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles member i shares with each of the others."""
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        own = self.column[self.start[i] : self.start[i + 1]]
+        out = np.zeros(len(others), np.int64)
+        step = max(1, CHECKED // max(len(own), 1))
+        for k in range(0, len(others), step):
+            want = others[k : k + step, None] * self.columns + own
+            found = np.minimum(np.searchsorted(self.place, want), len(self.place) - 1)
+            out[k : k + step] = (self.place[found] == want).sum(axis=1)
+        return out
+
+
+def links(sets: list[np.ndarray], sketches: np.ndarray, same: bool, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member the members that reach SIMILARITY with it, each pair once; if not same, only pairs of a first and another row.
+
+    Of all pairs only those are verified that survive the comparison of their values."""
+    sizes = np.array([len(s) for s in sets])
+    index, shared = np.arange(len(sets)), Shared(sets)
+    blocks = [np.ascontiguousarray(sketches[:, k : k + STEP]) for k in range(0, HASHES, STEP)]
+    for i in index.tolist():
+        if not same and not first[i]:
+            continue
+        left = index[i + 1 :] if same else np.flatnonzero(~first)
+        left = left[np.minimum(sizes[left], sizes[i]) >= SIMILARITY * np.maximum(sizes[left], sizes[i]) - 1e-9]
+        matches = np.zeros(len(left), np.int32)
+        for k, block in enumerate(blocks):
+            if not len(left):
+                break
+            matches += (block[left] == block[i]).sum(axis=1, dtype=np.int32)
+            alive = matches >= NEED[STEP * (k + 1)]
+            if not alive.all():
+                left, matches = left[alive], matches[alive]
+        if len(left):
+            common = shared.common(i, left)
+            left = left[common >= SIMILARITY * (sizes[i] + sizes[left] - common) - 1e-9]
+            if len(left):
+                yield i, left
 
 
 def _verified(members: DataFrame) -> DataFrame:
-    """members (part, same, first, id, weight, t) as id, links (classes), copies (documents of linked classes) and root
+    """members (part, same, first, id, weight, sketch, s) as id, links (classes), copies (documents of linked classes) and root
     (least member that is reached by links), for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for g in groups(batches, "part"):
             ids, weight = g.column("id").to_numpy(), g.column("weight").to_numpy()
-            sets = [shingle_set(t.as_py(), hashes) for t in g.column("t")]
-            met = linked(sets, g.column("same")[0].as_py(), g.column("first").to_numpy())
-            root = np.arange(len(ids))
-            while True:  # least neighbour, then the neighbour's own root
-                best = np.where(met, root, len(ids)).min(axis=1, initial=len(ids))
-                after = np.minimum(root, best)
-                after = after[after]
-                if (after == root).all():
-                    break
-                root = after
-            yield pa.RecordBatch.from_arrays(
-                [g.column("part").combine_chunks(), pa.array(ids), pa.array(met.sum(axis=1)), pa.array(met @ weight), pa.array(ids[root])], ["part", "id", "links", "copies", "root"]
-            )
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in g.column("s")]
+            met, copies, root = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for i, near in links(sets, _matrix(g.column("sketch")), g.column("same")[0].as_py(), g.column("first").to_numpy(zero_copy_only=False)):
+                met[i] += len(near)
+                met[near] += 1
+                copies[i] += weight[near].sum()
+                copies[near] += weight[i]
+                if (root[near] != root[i]).any():
+                    root = _joined(root, np.full(len(near), i), near)
+            yield pa.RecordBatch.from_arrays([g.column("part").combine_chunks(), pa.array(ids), pa.array(met), pa.array(copies), pa.array(ids[root])], ["part", "id", "links", "copies", "root"])
 
     return members.mapInArrow(run, "part long, id long, links long, copies long, root long")
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after the pairs (a, b) are joined: of each component its least member."""
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        least = root.copy()
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(after := least[least], least):
+            least = after
+        root = least[root]
+
+
+def members_of(texts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows for _verified, sorted by part: the members of blocks (root, id, rid, weight, sketch, c, bytes) with their shingles, once for each part they meet."""
+    inside = table(blocks, "inside")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            sets = pa.array([shingle_set(t.as_py(), hashes).tobytes() for t in b.column("t")], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("rid"), sets], ["rid", "s"])
+
+    ids = inside.select("rid")
+    found = texts.join(F.broadcast(ids) if small(inside) else ids, "rid").mapInArrow(hashed, "rid long, s binary")
+    parts = F.ceil(F.greatest(F.col("c") / PART, F.col("bytes") / PART_BYTES))
+    members = _parted(found.join(inside, "rid"), "root", "id", parts)
+    return members.select("part", "same", "first", "id", "weight", "sketch", "s").repartition("part").sortWithinPartitions("part", "id")
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_rows: bool = False) -> DataFrame:
     """row (struct of key, or of docs' columns if keep_rows), class_id (least id of the group), n_links (other documents at
     SIMILARITY or more, copies among them), n_class_links (different texts among them), first (true for one document of each group)."""
@@ -277,15 +381,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_rows: bo
     classes = rows.filter("set is not null").groupBy("set").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     blocks = table(components(_bucket_edges(classes), "a", "b"), "blocks")
-    sized = lookup_join(blocks, table(blocks.groupBy("root").agg(F.count(F.lit(1)).alias("c")), "sizes"), "root", "inner")
-    inside = table(sized.join(classes.select("id", "weight", F.col("least.rid").alias("rid")), "id"), "inside")
-    texts = rows.select("rid", "t")
-    found = texts.join(F.broadcast(inside) if small(inside) else inside, "rid")
-    # small parts spread a block over more tasks, large ones repeat its texts less: their size follows the root of the block's
-    c = F.col("c")
-    parts = F.when(c <= WHOLE, 1).otherwise(F.ceil(c / F.least(F.lit(PART), F.ceil(4 * F.sqrt(c)))))
-    members = _parted(found.select("root", "id", "weight", "c", "t"), "root", "id", parts)
-    members = members.select("part", "same", "first", "id", "weight", "t").repartition("part").sortWithinPartitions("part", "id")
+    held = table(blocks.join(classes.select("id", "weight", "n", "sketch", F.col("least.rid").alias("rid")), "id"), "held")
+    sizes = table(held.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long") * 8).alias("bytes")), "sizes")
+    members = members_of(rows.select("rid", "t"), lookup_join(held, sizes, "root", "inner"))
     verified = table(_verified(members), "verified")
     sums = verified.groupBy("id").agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
     trees = components(verified.filter("id <> root"), "id", "root")
