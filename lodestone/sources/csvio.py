@@ -1,7 +1,9 @@
-"""Search and traffic exports: delimiter, header and columns are found on the driver from a file's first lines; rows are read by Spark."""
+"""Search and traffic exports: separator and header are found line by line, columns by the header's cells; Spark reads the records."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.scoring import number, percent, whole
 from ..functions.text import trimmed
 from ..operators.dedup import last_wins
 from ..operators.metrics import merge_organic
+from ..storage import leave_at_exit, shared_dir
 
 # Names that exports give to their columns, in the order in which they are tried.
 SEARCH_NAMES = {
@@ -34,63 +37,75 @@ TRAFFIC_NAMES = {
     "bounce_rate": ["bounce rate", "bounceRate", "bounce rate (%)"],
     "conversions": ["conversions", "key events", "goal completions"],
 }
-HEAD_LINES = 200
+SEPARATORS = ",;\t"  # of equally frequent ones the first
+BOM = "\ufeff"
+
 
+def _plain(name: str) -> str:
+    return name.strip().lower().translate(str.maketrans("_-", "  "))
 
-def plain_header(text: str) -> str:
-    return text.strip().lower().replace("_", " ").replace("-", " ")
 
+def separator(line: str) -> str:
+    return max(SEPARATORS, key=line.count)
 
-def delimiter(first_line: str) -> str:
-    """Tab if it is strictly the most frequent, else semicolon if it is more frequent than comma, else comma."""
-    tabs, commas, semicolons = (first_line.count(x) for x in "\t,;")
-    if tabs > commas and tabs > semicolons:
-        return "\t"
-    return ";" if semicolons > commas else ","
 
+def places(header: list[str], names: dict[str, list[str]]) -> dict[str, int | None]:
+    """For each field the cell that names it: of all cells that hold one of its names, the one of the earliest name, then the leftmost."""
+    cells = [_plain(c) for c in header]
+    out = {}
+    for field, known in names.items():
+        hits = ((rank, at) for at, c in enumerate(cells) for rank, name in enumerate(known) if _plain(name) in c)
+        out[field] = min(hits, default=(None, None))[1]
+    return out
 
-def header_line(lines: list[str], sep: str) -> int:
-    """The number of the first line that looks like a header: with two parts or more, one of which is like a known name; or any other that is no remark."""
-    known = [x for names in (SEARCH_NAMES, TRAFFIC_NAMES) for all_ in names.values() for x in all_]
-    for i, line in enumerate(lines):
-        text = line.strip()
-        if not text:
-            continue
-        parts = text.split(sep)
-        if len(parts) >= 2 and any(k in p or p in k for p in map(plain_header, parts) for k in known):
-            return i
-        if not (text.startswith("#") or ":" in parts[0]):
-            return i
-    return 0
 
+def _may_be_header(line: Column, sep: str) -> Column:
+    """A line with several cells of which one is like a known name; or any other that is neither blank nor a remark, "# ..." or "name: ..."."""
+    known = sorted({x for names in (SEARCH_NAMES, TRAFFIC_NAMES) for many in names.values() for x in many})
+    text = trimmed(line)
+    cells = F.split(text, sep, -1)
+    like = F.exists(F.transform(cells, lambda c: F.translate(F.lower(trimmed(c)), "_-", "  ")), lambda c: F.exists(F.array(*map(F.lit, known)), lambda k: F.contains(c, k) | F.contains(k, c)))
+    remark = F.startswith(text, F.lit("#")) | F.contains(F.get(cells, 0), F.lit(":"))
+    return (text != "") & (((F.size(cells) > 1) & like) | ~remark)
 
-def column_place(headers: list[str], names: list[str]) -> int | None:
-    """For the names in turn, the first header that is or contains the name."""
-    plain = [plain_header(h) for h in headers]
-    for name in map(plain_header, names):
-        for i, h in enumerate(plain):
-            if name in h:
-                return i
-    return None
+
+def layout(spark: SparkSession, path: str) -> tuple[str, int, str] | None:
+    """The separator, the number of the line at which the header starts, and the path of a file that starts there; None for an empty file.
+
+    The first line's characters give the separator. However many remarks stand before the header, the first line that may be one
+    is looked for line by line; without one the file counts from its first line."""
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    first = lines.first()
+    if first is None:
+        return None
+    sep = separator(first["value"].removeprefix(BOM))
+    found = lines.filter(_may_be_header(F.regexp_replace("value", f"^{BOM}", ""), sep)).select("at").first()
+    at = found["at"] if found else 0
+    if not at:
+        return sep, 0, path
+    rest = f"{shared_dir(spark)}/lodestone-export-{uuid.uuid4().hex}"
+    # as a file keeps the order of lines, one task copies them, line by line
+    lines.filter(F.col("at") >= at).coalesce(1).select("value").write.text(rest)
+    leave_at_exit(spark, rest)
+    return sep, at, rest
 
 
 def _rows(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]] | None:
-    """Records after the header (ord, cells), and the header's cells."""
-    head = [r["value"] for r in spark.read.text(path).limit(HEAD_LINES).collect()]
-    if not head:
+    """Records after the header (ord, cells), and the header's cells. As many columns as the header has; quoted cells may hold line breaks."""
+    found = layout(spark, path)
+    if found is None:
+        return None
+    sep, _, path = found
+    most = spark.read.text(path).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit(""))))).first()[0]
+    records = spark.read.csv(path, sep=sep, quote='"', escape='"', multiLine=True, header=False, inferSchema=False, maxColumns=max(20_480, 4 * most), maxCharsPerColumn=-1)
+    if not records.columns:
         return None
-    head[0] = head[0].removeprefix("﻿")
-    sep = delimiter(head[0])
-    at = header_line(head, sep)
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    width = 64
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    cells = F.from_csv(F.regexp_replace("value", "^﻿", ""), schema, {"sep": sep, "quote": '"', "escape": '"'})
-    rows = lines.withColumn("cells", F.array(*(cells[f"c{i}"] for i in range(width))))
-    header = rows.filter(F.col("ord") == at).select("cells").first()
+    records = records.select(F.array(*(F.col(f"`{c}`") for c in records.columns)).alias("cells")).withColumn("ord", F.monotonically_increasing_id())
+    header = records.first()
     if header is None:
         return None
-    return rows.filter(F.col("ord") > at).select("ord", "cells"), [h or "" for h in header["cells"]]
+    cells = [c or "" for c in header["cells"]]
+    return records.filter(F.col("ord") > header["ord"]).select("ord", "cells"), [cells[0].removeprefix(BOM).strip('"') if i == 0 else c for i, c in enumerate(cells)]
 
 
 def _cell(at: int | None) -> Column:
@@ -113,7 +128,7 @@ def _search(spark: SparkSession, path: str, names: dict[str, list[str]], first:
     if found is None:
         return empty
     rows, header = found
-    at = {k: column_place(header, v) for k, v in names.items()}
+    at = places(header, names)
     if at[first] is None:
         return empty
     rows = rows.withColumn("_key", trimmed(_cell(at[first]))).filter(F.coalesce(F.col("_key"), F.lit("")) != "")
@@ -138,7 +153,7 @@ def traffic_pages(spark: SparkSession, path: str) -> DataFrame:
     if found is None:
         return empty
     rows, header = found
-    at = {k: column_place(header, v) for k, v in TRAFFIC_NAMES.items()}
+    at = places(header, TRAFFIC_NAMES)
     if at["page_path"] is None:
         return empty
     rows = rows.withColumn("_key", trimmed(_cell(at["page_path"]))).filter(F.coalesce(F.col("_key"), F.lit("")) != "")
@@ -154,7 +169,8 @@ def organic_traffic(spark: SparkSession, path: str, existing: DataFrame | None =
     if found is None:
         return existing
     rows, header = found
-    page, sessions = column_place(header, TRAFFIC_NAMES["page_path"]), column_place(header, TRAFFIC_NAMES["sessions"])
+    at = places(header, TRAFFIC_NAMES)
+    page, sessions = at["page_path"], at["sessions"]
     if page is None:
         return existing
     rows = rows.withColumn("page_path", trimmed(_cell(page))).filter(F.coalesce(F.col("page_path"), F.lit("")) != "")

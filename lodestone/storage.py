@@ -20,11 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def leave_at_exit(spark: SparkSession, path: str) -> None:
+    """The files of path go when the driver's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder and read again. The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    leave_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

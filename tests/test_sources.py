@@ -36,6 +36,33 @@ def test_search_export_with_remarks_and_quotes(spark, tmp_path):
     assert [(r["query"], r["clicks"], r["ctr"]) for r in out] == [('a, "b"', 1234, 0.12)]
 
 
+def test_export_with_line_breaks_in_quotes(spark, tmp_path):
+    text = 'Query,Clicks,Impressions\n"multi\nline",5,6\nplain,"1,\n000",2\n"a ""b""\n\nc",7,8\n'
+    out = csvio.search_queries(spark, written(tmp_path, text)).orderBy("ord").collect()
+    assert [(r["query"], r["clicks"], r["impressions"]) for r in out] == [("multi\nline", 5, 6), ("plain", 0, 2), ('a "b"\n\nc', 7, 8)]
+
+
+@pytest.mark.parametrize("columns", [72, 3000])
+def test_export_of_many_columns(spark, tmp_path, columns):
+    header = ",".join([*(f"x{i}" for i in range(columns - 2)), "Query", "Clicks"])
+    text = header + "\n" + ",".join([*("0" for _ in range(columns - 2)), "red plate", "12"]) + "\n"
+    out = csvio.search_queries(spark, written(tmp_path, text)).collect()
+    assert [(r["query"], r["clicks"]) for r in out] == [("red plate", 12)]
+
+
+def test_export_with_many_remarks(spark, tmp_path):
+    text = "".join(f"# remark {i}\n" for i in range(205)) + '\nDate range: "May\nQuery,Clicks\n"two\nlines",3\n'
+    assert csvio.layout(spark, written(tmp_path, text))[:2] == (",", 207)
+    out = csvio.search_queries(spark, written(tmp_path, text)).collect()
+    assert [(r["query"], r["clicks"]) for r in out] == [("two\nlines", 3)]
+
+
+def test_separators_and_places():
+    assert [csvio.separator(x) for x in ("a,b;c", "a;b;c,d", "a\tb\tc,d", "a\tb,c", "a;b\tc", "a", "")] == [",", ";", "\t", ",", ";", ",", ","]
+    header = ["Avg. position", "top_queries", "Query", "CTR (%)"]
+    assert csvio.places(header, csvio.SEARCH_NAMES) == {"query": 1, "clicks": None, "impressions": None, "ctr": 3, "position": 0}
+
+
 def test_exports_without_key_column_or_file(spark, tmp_path):
     assert csvio.search_queries(spark, written(tmp_path, "foo,bar\n1,2\n")).count() == 0
     assert csvio.search_queries(spark, str(tmp_path / "none.csv")).count() == 0
