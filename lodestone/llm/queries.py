@@ -148,7 +148,9 @@ SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed
 
 #: Bags of shingles of all item-sized windows that share a shingle with an item; items have five words or more.
 LEAKS_SQL = r"""
-WITH low AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+WITH distinct_item AS (SELECT min(item_id) AS id, count(*) AS n_items, any_value(text) AS text FROM benchmark
+  GROUP BY regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')),
+low AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', id, text FROM distinct_item),
 w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM low),
 tok AS (SELECT kind, id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS p FROM w),
 g0 AS (SELECT kind, id, p, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d || ' ' || lead(word, 4) OVER d AS g FROM tok WINDOW d AS (PARTITION BY kind, id ORDER BY p)),
@@ -160,8 +162,8 @@ st AS (SELECT *, unnest(range(greatest(0, p - m + 1), least(p, greatest(n - m, 0
 part AS (SELECT doc_id, item_id, s, g, least(count(*), any_value(c)) AS x, any_value(m) AS m, any_value(n) AS n FROM st GROUP BY doc_id, item_id, s, g),
 win AS (SELECT doc_id, item_id, s, CAST(sum(x) AS DOUBLE) AS x, any_value(m) AS m, least(any_value(m), any_value(n)) AS held FROM part GROUP BY doc_id, item_id, s),
 sim AS (SELECT doc_id, item_id, s, x / (held + m - x) AS similarity, held FROM win)
-SELECT doc_id, item_id, similarity, CAST(s AS BIGINT) AS first_word, CAST(held + 4 AS BIGINT) AS n_words FROM
-  (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS k FROM sim WHERE similarity >= 0.8 - 1e-12) WHERE k = 1
+SELECT doc_id, item_id, n_items, similarity, CAST(s AS BIGINT) AS first_word, CAST(held + 4 AS BIGINT) AS n_words FROM
+  (SELECT sim.*, n_items, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS k FROM sim JOIN distinct_item ON item_id = distinct_item.id WHERE similarity >= 0.8 - 1e-12) WHERE k = 1
 """
 
 #: The checksum of a text's bytes, by a table that follows from its polynomial.

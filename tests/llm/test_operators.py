@@ -436,67 +436,114 @@ def test_word_memory_may_run_full(monkeypatch):
 
 
 def plain_matches(docs, items):
-    bags = {}
+    """(doc_id, least item id, items, similarity, first word, words) of each row and distinct item."""
+    bags, ids, many = {}, {}, Counter()
     for i, t in items:
-        w = words(t)
+        w = tuple(words(t))
         if w:
             k = min(5, len(w))
-            bags[i] = (len(w), k, Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)))
-    out = {}
+            bags[w] = (k, Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)))
+            ids[w] = min((x for x in (i, ids.get(w)) if x is not None), default=None)
+            many[w] += 1
+    out = Counter()
     for d, t in docs:
         w = words(t)
-        for i, (n, k, bag) in bags.items():
+        for item, (k, bag) in bags.items():
             grams = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
             if not any(g in bag for g in grams):
                 continue
-            m, best = n - k + 1, 0.0
+            m, best = len(item) - k + 1, (0.0, 0, 0)
             for s in range(max(1, len(grams) - m + 1)):
                 a = Counter(grams[s : s + m])
-                best = max(best, sum((a & bag).values()) / sum((a | bag).values()))
-            if best >= 0.8:
-                out[d, i] = best
+                found = sum((a & bag).values()) / sum((a | bag).values())
+                if found > best[0]:
+                    best = (found, s, sum(a.values()) + k - 1)
+            if best[0] >= 0.8:
+                out[d, ids[item], many[item], round(best[0], 9), *best[1:]] += 1
     return out
 
 
-def test_decontamination(spark, sf):
-    items = [(1, PASSAGE), (2, "one two"), (3, None), (4, ""), (5, "the quick brown fox jumps"), (6, PASSAGE + " and yet more words of another kind"), (None, "word1 filler1 word2 filler2 word3 filler3 word4")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    docs = documents() + [row(50, "zero one two three"), row(51, PASSAGE.replace("seven", "eight")), row(52, "start " + PASSAGE.replace("the lazy", "the very lazy") + " stop")]
+ITEMS = [
+    (1, PASSAGE), (21, PASSAGE.upper().replace(" ", "  ")), (2, "one two"), (3, None), (4, ""), (5, "the quick brown fox jumps"), (6, PASSAGE + " and yet more words of another kind"),
+    (None, "word1 filler1 word2 filler2 word3 filler3 word4"), (8, "tick tock tick tock tick tock tick tock tick tock"),
+]
+
+
+def dirty_documents():
+    return documents() + [
+        row(50, "zero one two three"), row(51, PASSAGE.replace("seven", "eight")), row(52, "start " + PASSAGE.replace("the lazy", "the very lazy") + " stop"),
+        row(53, "tick tock " * 40), row(54, PASSAGE + " and some more. " + PASSAGE), row(50, "zero one two three"),
+    ]
+
+
+@pytest.mark.parametrize("block", [1 << 23, 100])
+def test_decontamination(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "ITEM_BYTES", block)  # with small blocks, documents are screened first
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = dirty_documents()
     found = decontam.find(frame(spark, docs), bench, ["doc_id"]).collect()
-    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found}
-    assert got == pytest.approx(plain_matches([(r[0], r[1]) for r in docs], items))
+    want = plain_matches([(r[0], r[1]) for r in docs], ITEMS)
+    assert Counter((r["doc_id"], r["item_id"], r["n_items"], round(r["similarity"], 9), r["first_word"], r["n_words"]) for r in found) == want
     kept = decontam.clean(frame(spark, docs), bench)
-    dirty = {d for d, _ in got}
-    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in docs} - dirty
+    dirty = {(r[0], r[1]) for r in docs if plain_matches([(r[0], r[1])], ITEMS)}
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter((r[0], r[1]) for r in docs if (r[0], r[1]) not in dirty)
     assert kept.columns == frame(spark).columns
-    assert decontam.find(frame(spark, []), bench, ["doc_id"]).count() == 0
+    assert decontam.find(frame(spark, []), bench, ["doc_id"]).count() == 0 and decontam.clean(frame(spark, []), bench).count() == 0
     assert decontam.find(frame(spark), bench.limit(0), ["doc_id"]).count() == 0
 
 
-def test_hamming_index_is_complete():
+def test_decontamination_of_clashing_names(spark):
+    docs = frame(spark).withColumn("similarity", F.lit("x"))
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    out = decontam.find(docs, bench, ["doc_id", "similarity", "row"])
+    assert out.columns == ["doc_id", "row", *decontam.FOUND] and out.schema["similarity"].dataType.simpleString() == "double"
+    assert decontam.clean(docs, bench).columns == docs.columns
+
+
+def test_hamming_index_is_complete_and_selects():
     rng = np.random.default_rng(3)
-    prints = rng.integers(0, 256, (300, 8), np.uint8)
-    index = decontam.HammingIndex(prints)
-    for _ in range(40):
-        q = prints[int(rng.integers(300))].copy()
-        for bit in rng.choice(64, int(rng.integers(0, 40)), replace=False):
-            q[bit // 8] ^= np.uint8(1 << (bit % 8))
-        near = np.flatnonzero(np.bitwise_count(prints ^ q).sum(axis=1) <= decontam.RADIUS)
-        assert set(index.within(q)) == set(near)
-
-
-def test_fingerprints_reach_all_similar_windows():
-    """At the similarity asked for, fingerprints lie well within the radius."""
+    for n in (300, 5000):  # a short list is looked through, a long one by the values near the query's
+        prints = rng.integers(0, 1 << 16, (n, decontam.BLOCKS), np.uint16)
+        index = decontam.HammingIndex(prints)
+        for _ in range(40):
+            q = prints[int(rng.integers(n))].copy()
+            for bit in rng.choice(decontam.BITS, int(rng.integers(0, 70)), replace=False):
+                q[bit // 16] ^= np.uint16(1 << (bit % 16))
+            near = np.flatnonzero(np.bitwise_count(prints ^ q).sum(axis=1) <= decontam.RADIUS)
+            assert set(index.within(q)) == set(near)
+        index.examined = candidates = 0
+        for q in rng.integers(0, 1 << 16, (200, decontam.BLOCKS), np.uint16):
+            candidates += len(index.within(q))
+        assert candidates == 0 and index.examined < 0.1 * 200 * n  # of random pairs
+
+
+def near_pair(rng, m):
+    """Fingerprints of two bags of m at the similarity asked for, or just above it."""
+    common = int(np.ceil(2 * m * 0.8 / 1.8))
+    a = rng.integers(0, 1 << 63, m).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    b = np.concatenate([a[:common], rng.integers(0, 1 << 63, m - common).astype(np.uint64)])
+    return [decontam.fingerprints(decontam.signs(v).sum(axis=0)[None, :])[0] for v in (a, b)]
+
+
+def test_fingerprints_reach_nearly_all_similar_windows():
     rng = np.random.default_rng(4)
-    worst = 0
-    for _ in range(3000):
-        m = int(rng.integers(8, 60))
-        common = int(np.ceil(2 * m * 0.8 / 1.8))
-        a = rng.integers(0, 1 << 63, m).astype(np.uint64)
-        b = np.concatenate([a[:common], rng.integers(0, 1 << 63, m - common).astype(np.uint64)])
-        x, y = (decontam.fingerprints(decontam.signs(v).sum(axis=0)[None, :]) for v in (a, b))
-        worst = max(worst, int(np.bitwise_count(x ^ y).sum()))
-    assert worst <= decontam.RADIUS
+    pairs = [near_pair(rng, int(rng.integers(5, 80))) for _ in range(4000)]
+    lost = sum(int(np.bitwise_count(x ^ y).sum()) > decontam.RADIUS for x, y in pairs)
+    assert lost <= 0.01 * len(pairs)
+
+
+def test_windows_are_passed_over_only_if_far():
+    """Whatever the window, the bound lets it pass if it is near an item."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        m, n = int(rng.integers(1, 30)), int(rng.integers(1, 40))
+        item, text = rng.integers(0, 12, m).astype(np.uint64), rng.integers(0, 12, n).astype(np.uint64)
+        text[: min(m, n)] = np.where(rng.random(min(m, n)) < 0.9, item[: min(m, n)], text[: min(m, n)])
+        starts = set(decontam.possible(np.isin(text, item), m).tolist())
+        for s in range(max(1, n - m + 1)):
+            bag = np.unique(text[s : s + m], return_counts=True)
+            if decontam.similarity(bag, np.unique(item, return_counts=True)) >= 0.8:
+                assert s in starts
 
 
 # Jaccard join.
