@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, scoring, text, urls
 from .operators import claims, competitors, completion, context, correlate, debate, dedup, lookup, matching, metrics, pages, reconcile, report
 from .params import Reconcile
-from .storage import shared_dir
+from .storage import leave_at_exit, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,11 +154,13 @@ def competitor_merge_anti(spark, d):
 def validations(spark, d) -> DataFrame:
     score = ((F.col("p_size") % 20) / 20.0).alias("overall_score")
     grade = F.when(F.col("p_size") % 7 == 0, "rejected").otherwise("high").alias("quality_rating")
-    return read(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("ord"), F.concat("p_name", F.lit(" "), "p_brand").alias("prompt_text"), score, grade)
+    # every second text is one that no prompt has
+    name = F.concat("p_name", F.lit(" "), "p_brand", F.when(F.col("p_partkey") % 2 == 0, "").otherwise(" again"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("ord"), name.alias("prompt_text"), score, grade)
 
 
-VV = """vv AS (SELECT p_partkey AS ord, p_name || ' ' || p_brand AS prompt_text, (p_size % 20) / 20.0 AS overall_score,
-  CASE WHEN p_size % 7 = 0 THEN 'rejected' ELSE 'high' END AS quality_rating FROM part WHERE p_partkey % 2 = 0)"""
+VV = """vv AS (SELECT p_partkey AS ord, p_name || ' ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' again' END AS prompt_text, (p_size % 20) / 20.0 AS overall_score,
+  CASE WHEN p_size % 7 = 0 THEN 'rejected' ELSE 'high' END AS quality_rating FROM part)"""
 
 
 def branded(spark, d) -> DataFrame:
@@ -262,7 +264,7 @@ def fuzzy_match_top10(spark, d):
 
 
 def ranked(spark, d) -> DataFrame:
-    return correlate.correlate(prompts(spark, d), search(spark, d), traffic(spark, d), ratio=False)
+    return correlate.correlate(prompts(spark, d), search(spark, d), traffic(spark, d), ratio=False, rank=False)
 
 
 RANKED = f"""WITH {VP}, {VR}, {VG}, {VA}, {CASCADE}, {BOTH},
@@ -283,10 +285,14 @@ s AS (SELECT j.*, round(least(CASE WHEN query IS NOT NULL THEN match_score * 0.3
 r AS (SELECT s.*, CAST(row_number() OVER (ORDER BY impact_score DESC, ord) AS INTEGER) AS priority_rank FROM s)"""
 
 
+def unranked(rows: DataFrame) -> DataFrame:
+    """Scores rounded to nine digits, so that the last bits of a sum do not decide ties."""
+    return rows.withColumns({c: F.round(c, 9) for c in ("data_correlation_score", "impact_score")})
+
+
 def rounded(rows: DataFrame) -> DataFrame:
-    """Ranked by scores rounded to nine digits, so that the last bits of a sum do not decide ties."""
-    nine = {c: F.round(c, 9) for c in ("data_correlation_score", "impact_score")}
-    return correlate.ranked(rows.drop("priority_rank").withColumns(nine))
+    """Ranked by rounded scores."""
+    return correlate.ranked(unranked(rows))
 
 
 @query(f"{RANKED} SELECT ord, data_correlation_score FROM s")
@@ -307,7 +313,7 @@ def rule_recommendation(spark, d):
 @query(f"""{RANKED} SELECT ord, CASE WHEN data_correlation_score > 0.3 OR impact_score > 0.5 THEN round(impact_score * 0.4 + 0.5 * 0.6, 6) ELSE round(impact_score, 6) END AS impact_score,
   CASE WHEN data_correlation_score > 0.3 OR impact_score > 0.5 THEN round(data_correlation_score * 0.4 + 0.25 * 0.6, 6) ELSE round(data_correlation_score, 6) END AS data_correlation_score FROM s""")
 def blended_scores(spark, d):
-    rows = rounded(ranked(spark, d))
+    rows = unranked(ranked(spark, d))
     gate = scoring.needs_model(F.col("data_correlation_score"), F.col("impact_score"))
     one = lambda c, m: F.round(scoring.blended(F.col(c), F.when(gate, F.lit(m))), 6).alias(c)
     return rows.select("ord", one("impact_score", 0.5), one("data_correlation_score", 0.25))
@@ -321,12 +327,12 @@ def ranked_opportunities(spark, d):
 
 @query(f"{RANKED} SELECT ord FROM s WHERE impact_score >= 0.5 OR data_correlation_score >= 0.3")
 def high_impact_filter(spark, d):
-    return rounded(ranked(spark, d)).filter(scoring.high_impact(F.col("impact_score"), F.col("data_correlation_score"))).select("ord")
+    return unranked(ranked(spark, d)).filter(scoring.high_impact(F.col("impact_score"), F.col("data_correlation_score"))).select("ord")
 
 
 @query(f"{RANKED} SELECT CASE WHEN impact_score >= 0.7 THEN 'high' WHEN impact_score >= 0.4 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM s GROUP BY 1")
 def impact_tiers(spark, d):
-    return rounded(ranked(spark, d)).groupBy(scoring.impact_tier(F.col("impact_score")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    return unranked(ranked(spark, d)).groupBy(scoring.impact_tier(F.col("impact_score")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""{RANKED} SELECT coalesce(nullif(topic_cluster, ''), 'Uncategorized') AS topic, count(*) AS count, round(avg(impact_score), 6) AS avg_impact, round(avg(data_correlation_score), 6) AS avg_correlation FROM r GROUP BY 1""")
@@ -350,7 +356,7 @@ def intent_distribution(spark, d):
   count(*) FILTER (WHERE impact_score < 0.4) AS low_impact_prompts, count(query) AS with_gsc_data, count(page_path) AS with_ga_data, round(avg(impact_score), 6) AS avg_impact_score, round(avg(data_correlation_score), 6) AS avg_correlation_score FROM s""")
 def report_summary(spark, d):
     six = {c: F.round(c, 6) for c in ("avg_impact_score", "avg_correlation_score")}
-    return report.summary(rounded(ranked(spark, d))).withColumns(six)
+    return report.summary(unranked(ranked(spark, d))).withColumns(six)
 
 
 @query(f"{RANKED} SELECT priority_rank AS priority, prompt_text AS prompt, impact_score, recommendation, '' AS reasoning FROM r WHERE priority_rank <= 30")
@@ -365,16 +371,24 @@ def csv_projection(spark, d):
     return rows.select("priority_rank", "prompt_text", F.round("impact_score", 3).alias("impact_score"), "search_intent", "topic_cluster", "estimated_volume", b("clicks").alias("clicks"), b("impressions").alias("impressions"), F.round(b("ctr"), 4).alias("ctr"), b("position").alias("position"), t["sessions"].alias("sessions"), t["organic_sessions"].alias("organic_sessions"), F.array_join(F.slice("source_urls", 1, 3), "; ").alias("urls"))
 
 
-@query()
+@query(f"""{RANKED} SELECT CAST(priority_rank AS VARCHAR) AS rank, prompt_text AS prompt, format('{{:.3f}}', impact_score) AS impact_score, format('{{:.3f}}', data_correlation_score) AS correlation_score, search_intent, topic_cluster,
+  estimated_volume AS est_volume, 'medium' AS difficulty, '' AS validation_score, '' AS factcheck_score, coalesce(CAST(clicks AS VARCHAR), '') AS gsc_clicks, coalesce(CAST(impressions AS VARCHAR), '') AS gsc_impressions,
+  coalesce(format('{{:.4f}}', ctr), '') AS gsc_ctr, coalesce(format('{{:.1f}}', position), '') AS gsc_position, coalesce(CAST(sessions AS VARCHAR), '') AS ga_sessions, coalesce(CAST(organic_sessions AS VARCHAR), '') AS ga_organic_sessions,
+  coalesce(format('{{:.2f}}', sessions / 1000.0), '') AS ga_bounce_rate, recommendation, source_urls[1] AS source_urls FROM r""")
 def report_csv(spark, d):
     """The CSV report's text columns."""
-    return report.csv_rows(ranked(spark, d)).toDF(*(c.lower().replace(" ", "_").replace(".", "") for c in report.CSV_HEADER))
+    return report.csv_rows(rounded(ranked(spark, d))).toDF(*(c.lower().replace(" ", "_").replace(".", "") for c in report.CSV_HEADER))
 
 
-@query()
+@query(f"""{RANKED}, line AS (SELECT CAST(1 AS BIGINT) AS section, priority_rank, prompt_text, impact_score, query, clicks, page_path FROM r WHERE priority_rank <= 50
+  UNION ALL SELECT CAST(2 AS BIGINT), priority_rank, prompt_text, impact_score, query, clicks, page_path FROM r) SELECT * FROM line""")
 def report_json(spark, d):
-    """The JSON report, one row."""
-    return report.json_report(ranked(spark, d), "https://shop.example.com", "2024-01-01T00:00:00", 0)
+    """The prompts of the JSON report, read back from its lines: those shown first, and all."""
+    lines = report.json_report(rounded(ranked(spark, d)), "https://shop.example.com", "2024-01-01T00:00:00", 0)
+    kind = "priority_rank int, prompt struct<prompt_text:string>, gsc_data struct<query:string,clicks:long>, ga_data struct<page_path:string>, impact_score double"
+    rows = lines.withColumn("section", F.shiftright("ord", 40)).filter("section IN (1, 2) AND ord % 1099511627776 > 0")
+    x = F.from_json(F.regexp_replace("value", "^,", ""), kind)
+    return rows.select("section", x.alias("x")).select("section", "x.priority_rank", "x.prompt.prompt_text", "x.impact_score", "x.gsc_data.query", "x.gsc_data.clicks", "x.ga_data.page_path")
 
 
 @query("SELECT event_id, CASE WHEN value / 100.0 < 0.2 THEN 'LOW' WHEN value / 100.0 < 0.5 THEN 'MODERATE' ELSE 'HIGH' END AS tier FROM events")
@@ -466,45 +480,59 @@ def page_word_count(spark, d):
     return read(spark, d, "pages").select("page_id", text.word_count(pages.article_text(F.col("html"))).alias("word_count"))
 
 
-@query()
+HREFS = """regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"', 1)"""
+
+
+@query(f"""SELECT page_id, trim({TITLE}) AS title, trim({H1}) AS h1, CAST(CASE WHEN {ARTICLE} = '' THEN 0 ELSE len(string_split({ARTICLE}, ' ')) END AS INTEGER) AS word_count,
+  CAST(len(list_distinct([rtrim(x, '/') FOR x IN {HREFS}])) AS INTEGER) AS internal, CAST(0 AS INTEGER) AS external FROM pages""")
 def page_parse(spark, d):
-    """The full parser on every page."""
+    """The full parser on every page, whose links are all of its own site."""
     rows = pages.parsed(read(spark, d, "pages").select("page_id", "url", "html"))
-    return rows.select("page_id", "title", F.get("h1_tags", 0).alias("h1"), "word_count", F.size("internal_links").alias("internal"), F.size("external_links").alias("external"), F.md5("body_text").alias("body_md5"))
+    return rows.select("page_id", "title", F.get("h1_tags", 0).alias("h1"), "word_count", F.size("internal_links").alias("internal"), F.size("external_links").alias("external"))
 
 
-@query()
-def page_sparse_compose(spark, d):
-    """Titles and descriptions head the bodies of pages of few words."""
-    rows = read(spark, d, "pages").select("page_id", pages.title(F.col("html")).alias("t"))
-    body = F.array_join(F.slice(F.split("t", " "), 1, 3), " ")
-    out = pages.sparse_body(body, F.col("t"), F.lit("shared"), F.lit(""), F.lit("about"), F.lit(None).cast("string"))
-    return rows.select("page_id", out.alias("body"))
+def described(spark, d) -> DataFrame:
+    """Pages with metadata of their own: a description, an Open Graph title and linked data with the title, a number and the first heading."""
+    rows = read(spark, d, "pages")
+    data = F.to_json(F.struct(pages.title(F.col("html")).alias("name"), F.lit(3).alias("description"), F.lit("page").alias("headline")))
+    tags = F.concat(F.lit('<meta name="description" content="about '), F.col("page_id").cast("string"), F.lit('"><meta property="og:title" content="shared"><script type="application/ld+json">'), data, F.lit("</script></head>"))
+    return rows.withColumn("html", F.replace("html", F.lit("</head>"), tags))
 
 
-@query()
+@query(f"""SELECT page_id, 'about ' || page_id AS meta_description, 'shared' AS og_title, trim({TITLE}) || ' page' AS ld_text FROM pages""")
 def page_json_ld(spark, d):
-    rows = read(spark, d, "pages").select("page_id", pages.title(F.col("html")).alias("t"))
-    script = F.to_json(F.struct(F.col("t").alias("name"), F.lit(3).alias("description"), F.lit("x").alias("headline")))
-    return rows.select("page_id", pages.linked_data(script).alias("ld_text"))
+    """Meta tags and linked data of the pages themselves, by native expressions."""
+    script = F.regexp_extract("html", r'(?s)<script type="application/ld\+json">(.*?)</script>', 1)
+    h = F.col("html")
+    return described(spark, d).select("page_id", pages.meta_content(h, "name", "description").alias("meta_description"), pages.meta_content(h, "property", "og:title").alias("og_title"), pages.linked_data(script).alias("ld_text"))
 
 
-@query()
+@query(f"""SELECT page_id, trim({TITLE}) || '. shared. about ' || page_id || '. ' || trim({TITLE}) || ' page' || '. few words' AS body, 'about ' || page_id AS meta_description FROM pages""")
+def page_sparse_compose(spark, d):
+    """Pages cut to two words, through the whole parser: metadata and linked data head their bodies."""
+    short = F.regexp_replace("html", r"(?s)<body>.*", "<body><p>few words</p></body></html>")
+    rows = pages.parsed(described(spark, d).select("page_id", "url", short.alias("html")))
+    return rows.select("page_id", F.col("body_text").alias("body"), "meta_description")
+
+
+@query("SELECT page_id, url FROM pages")
 def sitemap_urls(spark, d):
+    """A sitemap of each page's address, with one more that has none."""
     from .sources.web import sitemap_locations
 
-    rows = read(spark, d, "pages").select("page_id", F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> '), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url></urlset>")).alias("xml"))
+    entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url><url><lastmod>2024-01-01</lastmod></url>"))
+    rows = read(spark, d, "pages").select("page_id", F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), entry, F.lit("</urlset>")).alias("xml"))
     return rows.select("page_id", F.explode(sitemap_locations(F.col("xml"), F.lit("url"))).alias("url"))
 
 
-@query()
+@query(f"""SELECT page_id, url FROM pages WHERE NOT starts_with({URL_PATH}, '/fr/') AND NOT starts_with({URL_PATH}, '/en/2')""")
 def robots_filter(spark, d):
-    rules = F.lit("User-agent: *\nDisallow: /fr/\n")
+    rules = F.lit("User-agent: *\nDisallow: /fr/\nDisallow: /en/2\nCrawl-delay: 1\n\nUser-agent: other\nDisallow: /\n")
     rows = read(spark, d, "pages")
     return rows.filter(urls.robots_allowed(rules, F.lit("lodestone/1.0"), F.col("url"))).select("page_id", "url")
 
 
-@query()
+@query(f"""SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS full_url FROM (SELECT page_id, url, unnest({HREFS}) AS href FROM pages)""")
 def url_resolve(spark, d):
     rows = read(spark, d, "pages").select("page_id", "url", F.explode(pages.hrefs(F.col("html"))).alias("href"))
     return rows.select("page_id", urls.url_join(F.col("url"), F.col("href")).alias("full_url"))
@@ -551,10 +579,11 @@ def competitor_order(spark, d):
 
 
 @query(f"""WITH {VC} SELECT up.domain, CAST(coalesce(c.n, 0) AS INTEGER) AS pages_crawled, CAST(coalesce(p.n, 0) AS INTEGER) AS prompts_found FROM up
-  LEFT JOIN (SELECT domain, count(*) AS n FROM vc WHERE ord % 50 = 0 GROUP BY domain) c ON up.domain = c.domain LEFT JOIN (SELECT domain, count(*) AS n FROM vc WHERE ord % 20 = 0 GROUP BY domain) p ON up.domain = p.domain""")
+  LEFT JOIN (SELECT domain, count(*) AS n FROM vc GROUP BY domain) c ON up.domain = c.domain LEFT JOIN (SELECT domain || CASE WHEN strength = 'direct' THEN '' ELSE '-2' END AS domain, count(*) AS n FROM vc GROUP BY 1) p ON up.domain = p.domain""")
 def competitor_counters(spark, d):
     rows = found(spark, d)
-    return competitors.counters(competitors.upserted(rows), rows.filter("ord % 50 = 0"), rows.filter("ord % 20 = 0")).select("domain", "pages_crawled", "prompts_found")
+    found_ = rows.withColumn("domain", F.concat("domain", F.when(F.col("strength") == "direct", "").otherwise("-2")))  # some of domains that are no competitors
+    return competitors.counters(competitors.upserted(rows), rows, found_).select("domain", "pages_crawled", "prompts_found")
 
 
 # Runs.
@@ -590,21 +619,29 @@ def stable_fuzzy(spark, d):
     return rows.select("domain", "text", F.round("avg_score", 6).alias("avg_score"), "appearances", "total_runs", F.round("stability", 6).alias("stability"))
 
 
+def shop_runs(spark, d) -> DataFrame:
+    """All orders as the runs of one domain, a run a quarter; every text names one of three things."""
+    return runs(spark, d).withColumn("domain", F.lit("shop")).withColumn("text", F.concat("text", F.lit("of"), (F.col("ord") % 3).cast("string")))
+
+
 def two_runs(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The last run of the urgent domain and of the low one, as the current and the previous run."""
-    last = reconcile.previous_run(runs(spark, d).filter(F.col("domain").startswith("1") | F.col("domain").startswith("5"))).withColumn("text", F.concat("text", F.lit("of"), (F.col("ord") % 3).cast("string")))
-    return last.filter(F.col("domain").startswith("1")).select("ord", "text"), last.filter(F.col("domain").startswith("5")).select("ord", "text")
+    """The last run and the one before it."""
+    near = reconcile.recent(shop_runs(spark, d), 2)
+    last = F.broadcast(near.agg(F.max("run_seq").alias("last")))  # one row
+    both = near.join(last, F.lit(True))
+    return both.filter("run_seq = last").select("ord", "text"), both.filter("run_seq < last").select("ord", "text", "domain", "run_seq", "score")
 
 
-TWO = """last AS (SELECT domain, ord, norm || ' of' || CAST(ord % 3 AS VARCHAR) AS norm, text || 'of' || CAST(ord % 3 AS VARCHAR) AS text FROM vh WHERE domain[1] IN ('1', '5') QUALIFY dense_rank() OVER (PARTITION BY domain ORDER BY run_seq DESC) = 1),
-cur AS (SELECT norm, min(ord) AS ord, arg_max(text, ord) AS text FROM last WHERE domain[1] = '1' GROUP BY norm), prev AS (SELECT norm, min(ord) AS ord, arg_max(text, ord) AS text FROM last WHERE domain[1] = '5' GROUP BY norm)"""
+TWO = """two AS (SELECT ord, score, run_seq, norm || ' of' || CAST(ord % 3 AS VARCHAR) AS norm, text || 'of' || CAST(ord % 3 AS VARCHAR) AS text, dense_rank() OVER (ORDER BY run_seq DESC) AS age FROM vh),
+cur AS (SELECT norm, min(ord) AS ord, arg_max(text, ord) AS text FROM two WHERE age = 1 GROUP BY norm), prev AS (SELECT norm, min(ord) AS ord, arg_max(text, ord) AS text FROM two WHERE age = 2 GROUP BY norm)"""
 
 
 @query(f"""WITH {VH}, {TWO} SELECT (SELECT count(*) FROM cur WHERE norm NOT IN (SELECT norm FROM prev)) AS new_count, (SELECT count(*) FROM prev WHERE norm NOT IN (SELECT norm FROM cur)) AS dropped_count,
   (SELECT count(*) FROM (SELECT norm FROM cur UNION SELECT norm FROM prev)) AS union_count,
   round(((SELECT count(*) FROM cur WHERE norm NOT IN (SELECT norm FROM prev)) + (SELECT count(*) FROM prev WHERE norm NOT IN (SELECT norm FROM cur))) / (SELECT count(*) FROM (SELECT norm FROM cur UNION SELECT norm FROM prev)), 6) AS drift_score""")
 def drift_exact(spark, d):
-    _, _, counts = reconcile.drift(*two_runs(spark, d), fuzzy=False)
+    current, previous = two_runs(spark, d)
+    _, _, counts = reconcile.drift(current, previous.select("ord", "text"), fuzzy=False)
     return counts.select("new_count", "dropped_count", "union_count", F.round("drift_score", 6).alias("drift_score"))
 
 
@@ -620,23 +657,35 @@ def drift_dropped(spark, d):
 
 @query()
 def drift_fuzzy(spark, d):
-    return reconcile.drift(*two_runs(spark, d))[2]
+    current, previous = two_runs(spark, d)
+    return reconcile.drift(current, previous.select("ord", "text"))[2]
 
 
-@query()
+@query(f"""WITH {VH}, {TWO}, near AS (SELECT * FROM two WHERE age BETWEEN 2 AND 6), total AS (SELECT count(DISTINCT run_seq) AS t FROM near),
+  st AS (SELECT norm, avg(score) AS s, count(*) AS n, arg_min(text, (run_seq, ord)) AS text FROM near GROUP BY norm HAVING count(*) >= greatest(2, floor((SELECT t FROM total) * 0.6))),
+  n AS (SELECT text, ord FROM cur WHERE norm NOT IN (SELECT norm FROM prev)), g AS (SELECT text, ord FROM prev WHERE norm NOT IN (SELECT norm FROM cur))
+  SELECT true AS has_history, round(((SELECT count(*) FROM n) + (SELECT count(*) FROM g)) / (SELECT count(*) FROM (SELECT norm FROM cur UNION SELECT norm FROM prev)), 6) AS drift_score, (SELECT count(*) FROM prev) AS previous_count,
+  (SELECT count(*) FROM cur) AS current_count, (SELECT count(*) FROM n) AS new_count, (SELECT count(*) FROM g) AS dropped_count, (SELECT count(*) FROM st) AS stable_count,
+  (SELECT coalesce(string_agg(text, ',' ORDER BY ord), '') FROM (FROM n ORDER BY ord LIMIT 20)) AS new_prompts, (SELECT coalesce(string_agg(text, ',' ORDER BY ord), '') FROM (FROM g ORDER BY ord LIMIT 20)) AS dropped_prompts,
+  (SELECT coalesce(string_agg(text, ',' ORDER BY -s, text), '') FROM (FROM st ORDER BY -s, text LIMIT 20)) AS stable_prompts, (SELECT count(DISTINCT run_seq) FROM two WHERE age > 1) AS total_historical_runs""")
 def drift_report(spark, d):
+    """The last run against all runs before it."""
     current, _ = two_runs(spark, d)
-    return reconcile.drift_report(current, runs(spark, d).filter(F.col("domain").startswith("5")))
+    every = shop_runs(spark, d)
+    last = F.broadcast(every.agg(F.max("run_seq").alias("last")))  # one row
+    rows = reconcile.drift_report(current, every.join(last, F.col("run_seq") < F.col("last")).drop("last"), fuzzy=False)
+    lists = ("new_prompts", "dropped_prompts", "stable_prompts")
+    return rows.drop("message").withColumns({c: F.array_join(c, ",") for c in lists}).withColumn("drift_score", F.round("drift_score", 6))
 
 
 def stables(spark, d) -> DataFrame:
-    """Stable texts: every fifth part name, and some that no prompt has."""
-    rows = read(spark, d, "part").filter("p_partkey % 5 = 0 AND p_partkey < 200")
+    """Stable texts: the names of all parts, but for some that no prompt has."""
+    rows = read(spark, d, "part")
     name = F.when(F.col("p_partkey") % 15 == 0, F.concat(F.lit("lost "), F.col("p_partkey").cast("string"))).otherwise(F.upper("p_name"))
     return rows.select(F.col("p_partkey").alias("ord"), name.alias("text"), (0.4 + (F.col("p_size") % 5) / 10.0).alias("stability"), F.lit(0.5).alias("avg_score"))
 
 
-VST = """vst AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 15 = 0 THEN 'lost ' || CAST(p_partkey AS VARCHAR) ELSE upper(p_name) END AS text, 0.4 + (p_size % 5) / 10.0 AS stability FROM part WHERE p_partkey % 5 = 0 AND p_partkey < 200)"""
+VST = """vst AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 15 = 0 THEN 'lost ' || CAST(p_partkey AS VARCHAR) ELSE upper(p_name) END AS text, 0.4 + (p_size % 5) / 10.0 AS stability FROM part)"""
 
 
 @query(f"""WITH {VP}, {VST}, keyed AS (SELECT lower(prompt_text) AS n, max(ord) AS held FROM vp GROUP BY 1), b AS (SELECT held, sum(0.3 * stability) AS boost FROM vst JOIN keyed ON lower(vst.text) = keyed.n GROUP BY held)
@@ -743,61 +792,125 @@ def domain_array_union(spark, d):
 # Models with recorded replies, and round trips.
 
 
-@query()
+def _quick():
+    from .params import Completion
+
+    return Completion(spacing=0.0, retries=1, backoff=0.0)
+
+
+def replayed(spark, replies: dict[str, str]) -> completion.Service:
+    """A service that knows nothing and answers from records."""
+    from .schema import RESPONSE
+
+    return completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded(replies), _quick())
+
+
+def parsed_pages(spark, d) -> DataFrame:
+    return pages.parsed(read(spark, d, "pages").select(F.col("page_id").alias("ord"), "url", "html"))
+
+
+REPLY = '{"prompts":[{"prompt_text":"first query","relevance_score":0.9},{"prompt_text":" ","relevance_score":1},{"prompt_text":"second query","relevance_score":"0.4"}]}'
+BATCHED = """batched AS (SELECT url, CAST(floor((row_number() OVER (ORDER BY page_id) - 1) / 10) AS BIGINT) AS batch FROM pages),
+said AS (SELECT batch, CAST(count(*) AS INTEGER) AS n_urls FROM batched GROUP BY batch HAVING bool_or(contains(url, '/en/')))"""
+
+
+@query(f"""WITH {BATCHED} SELECT batch, pos, prompt_text, relevance_score, n_urls FROM said, (VALUES (0, 'first query', CAST(0.9 AS DOUBLE)), (2, 'second query', CAST(0.4 AS DOUBLE))) v(pos, prompt_text, relevance_score)""")
 def extract_replay(spark, d):
+    """Batches with an English page get a reply around its object, the others one without JSON."""
     from .operators.extraction import extract_batches
-    from .schema import RESPONSE
 
-    rows = pages.parsed(read(spark, d, "pages").select(F.col("page_id").alias("ord"), "url", "html"))
-    reply = '{"prompts":[{"prompt_text":"first query","relevance_score":0.9},{"prompt_text":" ","relevance_score":1},{"prompt_text":"second query","relevance_score":"0.4"}]}'
-    service = completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded({"/en/": f"Here: {reply}", "PAGE": "sorry"}), _quick())
-    return extract_batches(rows, service).select(F.col("_order").alias("batch"), F.col("_pos").alias("pos"), "prompt_text", "relevance_score", F.size("source_urls").alias("n_urls"))
+    service = replayed(spark, {"/en/": f"Here: {REPLY}", "": "sorry"})
+    return extract_batches(parsed_pages(spark, d), service).select(F.col("_order").alias("batch"), F.col("_pos").alias("pos"), "prompt_text", "relevance_score", F.size("source_urls").alias("n_urls"))
 
 
-def _quick():
-    from .params import Completion
+@query(f"""WITH {BATCHED}, both_ AS (SELECT 'first query' AS prompt_text, CAST(0.9 AS DOUBLE) AS relevance_score, 0 AS k WHERE (SELECT count(*) FROM said) > 0 UNION ALL SELECT 'second query', 0.4, 1 WHERE (SELECT count(*) FROM said) > 0
+  UNION ALL SELECT 'for the site', 0.7, 2) SELECT prompt_text, relevance_score, CASE WHEN k = 2 THEN 0 ELSE (SELECT CAST(sum(n_urls) AS INTEGER) FROM said) END AS n_urls FROM both_""")
+def extract_all_replay(spark, d):
+    """The whole extraction: batches and the site, made distinct, best first."""
+    from .operators.extraction import SITE, extract
 
-    return Completion(spacing=0.0, retries=1, backoff=0.0)
+    class Both(completion.Recorded):
+        def __call__(self, request):
+            if list(request["messages"])[0]["content"] == SITE:
+                return '{"site_analysis":{},"additional_prompts":[{"prompt_text":"for the site","relevance_score":0.7}]}', {}
+            return super().__call__(request)
 
+    service = replayed(spark, {"/en/": REPLY, "": "sorry"})
+    service.backend = Both(service.backend.replies)
+    return extract(parsed_pages(spark, d), service).select("prompt_text", "relevance_score", F.size("source_urls").alias("n_urls"))
 
-@query()
-def debate_replay(spark, d):
-    from .schema import RESPONSE
 
-    rows = pages.parsed(read(spark, d, "pages").select(F.col("page_id").alias("ord"), "url", "html"))
-    some = prompts(spark, d)
-    replies = {"Argue": '{"confidence": 0.8}', "Attack": "not json", "Answer": '{"updated_confidence": 0.7}', "Judge": '{"accuracy_score": 0.9, "overall_score": "0.75", "quality_rating": "HIGH"}'}
-    service = completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded(replies), _quick())
-    return debate.debate(some, rows, service).select("ord", "is_accurate", "is_faithful", "quality_rating", "overall_score", F.size("debate_summary").alias("turns"))
+@query(f"""WITH {VP}, c AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY ord) - 1) / 100) AS BIGINT) AS chunk FROM vp), good AS (SELECT chunk FROM c GROUP BY chunk HAVING bool_or(prompt_text = 'blue bolt'))
+  SELECT chunk, 'merged' AS prompt_text, CAST(0.8 AS DOUBLE) AS relevance_score, CAST(0.5 AS DOUBLE) AS content_match_score FROM good
+  UNION ALL SELECT chunk, prompt_text, relevance_score, 0.0 FROM c WHERE chunk NOT IN (SELECT chunk FROM good)""")
+def consolidate_replay(spark, d):
+    """Chunks with a certain prompt are merged to one; those whose reply fails stay."""
+    from .operators.extraction import consolidate
 
+    service = replayed(spark, {'"prompt_text":"blue bolt"': '{"prompts":[{"prompt_text":"merged","relevance_score":0.8,"content_match_score":"0.5"}]}'})
+    out = consolidate(prompts(spark, d).withColumn("content_match_score", F.lit(0.0)), service)
+    return out.select(F.col("_order").alias("chunk"), "prompt_text", "relevance_score", "content_match_score")
 
-@query()
-def factcheck_replay(spark, d):
-    from .schema import RESPONSE
 
-    rows = pages.parsed(read(spark, d, "pages").select(F.col("page_id").alias("ord"), "url", "html"))
-    replies = {"Round": '{"verifications":[{"verdict":"verified","confidence":0.9}]}', "Pages:": '{"claims":[{"claim_text":"a"},{"claim_text":""},{"claim_text":"b"}]}'}
-    service = completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded(replies), _quick())
-    return claims.check(prompts(spark, d), rows, service).select("ord", F.size("claims").alias("n_claims"), "overall_factual_score", "is_factually_sound", "confidence_level")
+@query(f"""WITH h AS (SELECT {HOST} AS domain, count(*) AS n, min(page_id) AS f FROM pages WHERE {HOST} NOT IN ('', 'spam-farm.example.org') GROUP BY 1 ORDER BY count(*) DESC, min(page_id) LIMIT 10),
+  linked AS (SELECT domain, row_number() OVER (ORDER BY n DESC, f) - 1 AS ord FROM h),
+  every AS (SELECT 0 AS s, 0 AS k, 0 AS ord, 'one.example' AS domain, 'manual' AS source, 'direct' AS strength UNION ALL SELECT 1, 1, 0, 'two.example', 'llm_discovery', 'indirect' UNION ALL SELECT 1, 0, 1, 'three.example', 'llm_discovery', 'direct'
+    UNION ALL SELECT 2, 1, ord, domain, 'link_analysis', 'indirect' FROM linked)
+  SELECT domain, source, strength, CAST(row_number() OVER (ORDER BY s, k, ord) AS INTEGER) AS place FROM every""")
+def discover_replay(spark, d):
+    """Competitors by hand, from a reply and from the links of all pages."""
+    reply = '{"target_analysis":{"industry":"shops"},"competitors":[{"domain":"www.two.example","name":"Two"},{"domain":"three.example","strength":"direct"},{"domain":" "},{"domain":"one.example"}]}'
+    rows = parsed_pages(spark, d).withColumn("external_links", F.array("url"))
+    out = competitors.discover(rows, "https://spam-farm.example.org/", ["https://www.one.example/"], replayed(spark, {"": reply}))
+    return out.select("domain", "source", "strength", "place")
 
 
-@query()
-def header_resolution(spark, d):
-    from .sources.csvio import SEARCH_NAMES, TRAFFIC_NAMES, column_place, delimiter, header_line
+@query(f"""WITH {BATCHED} SELECT 'two.example' AS domain, batch, pos, prompt_text, n_urls FROM said, (VALUES (0, 'first query'), (2, 'second query')) v(pos, prompt_text)""")
+def mine_replay(spark, d):
+    """The pages of a competitor, by batches."""
+    out = competitors.mine(parsed_pages(spark, d), "two.example", replayed(spark, {"/en/": REPLY, "": "none"}))
+    return out.select("domain", F.col("_order").alias("batch"), F.col("_pos").alias("pos"), "prompt_text", F.size("source_urls").alias("n_urls"))
 
-    files = ["# export\nTop queries,Clicks,Impressions,CTR,Position", "Date range: May\n\nquery;clicks;ctr", "Page path\tSessions\tTotal users\tViews", "a,b"]
-    rows = []
-    for i, content in enumerate(files):
-        lines = content.split("\n")
-        sep = delimiter(lines[-1])
-        at = header_line(lines, sep)
-        cells = lines[at].split(sep)
-        for names in (SEARCH_NAMES, TRAFFIC_NAMES):
-            rows += [(i, at, k, column_place(cells, v)) for k, v in names.items()]
-    return spark.createDataFrame(rows, "file int, header_line int, field string, place int")
 
+@query(f"""{RANKED}, g AS (SELECT *, data_correlation_score > 0.3 OR impact_score > 0.5 AS asked, prompt_text LIKE 'blue%' AS answered FROM s)
+  SELECT ord, CASE WHEN asked AND answered THEN round(impact_score * 0.4 + 0.5 * 0.6, 6) ELSE round(impact_score, 6) END AS impact_score,
+  CASE WHEN asked AND answered THEN round(data_correlation_score * 0.4 + 0.25 * 0.6, 6) ELSE round(data_correlation_score, 6) END AS data_correlation_score,
+  CASE WHEN NOT asked THEN recommendation WHEN answered THEN 'do it' ELSE '' END AS recommendation FROM g""")
+def refine_replay(spark, d):
+    """Scores that matter are judged by the model, too; prompts without a reply keep their metrics and lose the recommendation."""
+    service = replayed(spark, {'Search Prompt: "blue': '{"data_correlation_score":0.25,"impact_score":"0.5","recommendation":"do it"}'})
+    rows = correlate.refined(unranked(ranked(spark, d)), service)
+    six = {c: F.round(c, 6) for c in ("impact_score", "data_correlation_score")}
+    return rows.withColumns(six).select("ord", "impact_score", "data_correlation_score", "recommendation")
 
-@query()
+
+@query("SELECT p_partkey AS ord, true AS is_accurate, false AS is_faithful, 'high' AS quality_rating, CAST(0.75 AS DOUBLE) AS overall_score, CAST(4 AS INTEGER) AS turns, 'CHALLENGER: not json' AS second FROM part")
+def debate_replay(spark, d):
+    replies = {"Argue": '{"confidence": 0.8}', "Attack": "not json", "Answer": '{"updated_confidence": 0.7}', "Judge": '{"accuracy_score": 0.9, "overall_score": "0.75", "quality_rating": "HIGH"}'}
+    out = debate.debate(prompts(spark, d), parsed_pages(spark, d), replayed(spark, replies))
+    return out.select("ord", "is_accurate", "is_faithful", "quality_rating", "overall_score", F.size("debate_summary").alias("turns"), F.get("debate_summary", 1).alias("second"))
+
+
+@query("""SELECT p_partkey AS ord, CASE WHEN p_name LIKE 'blue%' THEN 1 ELSE 2 END AS n_claims, CAST(CASE WHEN p_name LIKE 'blue%' THEN 1.0 ELSE 0.5 END AS DOUBLE) AS overall_factual_score, true AS is_factually_sound,
+  CAST(CASE WHEN p_name LIKE 'blue%' THEN 0.9 ELSE 0.45 END AS DOUBLE) AS confidence_level FROM part""")
+def factcheck_replay(spark, d):
+    """Some prompts cannot be split and are a claim of their own; of two claims one gets a verdict."""
+    replies = {"Round": '{"verifications":[{"verdict":"verified","confidence":0.9}]}', "Query: blue": "no json", "Pages:": '{"claims":[{"claim_text":"a"},{"claim_text":""},{"claim_text":"b"}]}'}
+    out = claims.check(prompts(spark, d), parsed_pages(spark, d), replayed(spark, replies))
+    return out.select("ord", F.size("claims").alias("n_claims"), "overall_factual_score", "is_factually_sound", F.round("confidence_level", 9).alias("confidence_level"))
+
+
+@query("SELECT p_partkey AS ord, CAST(CASE WHEN p_name LIKE 'blue%' THEN 4 ELSE 5 END AS INTEGER) AS n_messages, CASE WHEN p_name LIKE 'blue%' THEN 'two' ELSE 'one,two' END AS replies FROM part")
+def multi_turn_replay(spark, d):
+    """Two turns; a failed reply stays out of the dialogue."""
+    rows = prompts(spark, d).select("ord", "prompt_text")
+    name = F.when(F.col("prompt_text").startswith("blue"), "none ").otherwise("first ")
+    out = replayed(spark, {"first": "one", "second": "two"}).turns(rows, "ord", F.lit("s"), [F.concat(name, F.col("prompt_text")), F.lit("second")])
+    return out.select("ord", F.size("messages").alias("n_messages"), F.array_join("replies", ",").alias("replies"))
+
+
+@query(f"""WITH {VP}, run AS (SELECT r.i AS run_seq, vp.* FROM vp, range(3) r(i) WHERE vp.ord % 3 >= r.i), n AS (SELECT run_seq, count(*) AS c FROM run GROUP BY run_seq)
+  SELECT 'shop.example.com' AS domain, CAST(run.run_seq AS BIGINT) AS run_seq, prompt_text AS text, relevance_score AS score, CAST(c AS INTEGER) AS prompt_count, CAST(ord AS BIGINT) AS ord FROM run JOIN n ON n.run_seq = run.run_seq""")
 def run_append(spark, d):
     """Runs written to the history table and read back: the last ten of a domain."""
     from uuid import uuid4
@@ -811,52 +924,87 @@ def run_append(spark, d):
     return load(spark, path, "shop.example.com").select("domain", "run_seq", "text", "score", "prompt_count", "ord")
 
 
-@query()
-def window_rank_check(spark, d):
-    """Places within a topic, as ranks use them."""
-    w = Window.partitionBy("topic_cluster").orderBy(F.desc("relevance_score"), "ord")
-    return prompts(spark, d).select("ord", F.row_number().over(w).alias("place"))
-
-
 # Exports, captured API rows, dates.
 
 
 def _exported(spark, rows: DataFrame, header: str) -> str:
-    """Path of a text file: a remark, the header, and the rows' lines in order."""
+    """Path of a text file: the header, which may have lines before it, and the rows' lines in order."""
     from uuid import uuid4
 
     path = f"{shared_dir(spark)}/export-{uuid4().hex}"
-    first = spark.createDataFrame([(None, header)], "ord long, line string")
-    # one partition, as a file keeps the order of lines; sorted there, so no value holds them all
-    first.unionByName(rows.select(F.col("ord").cast("long"), "line")).repartition(1).sortWithinPartitions(F.asc_nulls_first("ord")).select("line").write.text(path)
+    first = spark.createDataFrame([(-1, header)], "ord long, value string")
+    report.write_lines(first.unionByName(rows.select(F.col("ord").cast("long"), F.col("line").alias("value"))), path)
+    leave_at_exit(spark, path)
     return path
 
 
-@query("""SELECT p_name AS query, CAST(p_size * 1000 AS BIGINT) AS clicks, CAST(p_partkey AS BIGINT) AS impressions, CASE WHEN p_size / 10.0 > 1 THEN round(p_size / 10.0 / 100, 9) ELSE round(p_size / 10.0, 9) END AS ctr,
-  CASE WHEN p_size % 2 = 0 THEN 0.0 ELSE CAST(p_size AS DOUBLE) END AS position FROM part WHERE p_partkey < 500 AND p_partkey % 7 <> 0""")
+@query("""WITH t AS (SELECT p_type, count(*) AS n_rows, (row_number() OVER (ORDER BY p_type) - 1) % 4 AS k FROM part GROUP BY p_type)
+  SELECT p_type, n_rows, [',', ';', chr(9), ','][k + 1] AS separator, [0, 2, 1, 300][k + 1] AS header_line, [0, 1, 1, 2][k + 1] AS query_at, [1, 2, 0, NULL][k + 1] AS clicks_at FROM t""")
+def header_resolution(spark, d):
+    """An export of the parts of each type; types differ in separator, remarks and header."""
+    from .sources import csvio
+
+    heads = ("Top queries,Clicks", "# made; by; hand\n\nRank;Search_query;Clicks", "# parts\tx\nClicks\tKeyword", "# remark\n" * 300 + "Avg. position,x,Query")
+    lines = ("{q},5", "1;{q};5", "5\t{q}", "1,,{q}")
+    part = read(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    out = None
+    for i, kind in enumerate(r["p_type"] for r in part.select("p_type").distinct().orderBy("p_type").collect()):  # a few types
+        before, after = lines[i % 4].split("{q}")
+        rows = part.filter(F.col("p_type") == kind).select(F.col("p_partkey").alias("ord"), F.concat(F.lit(before), "p_name", F.lit(after)).alias("line"))
+        path = _exported(spark, rows, heads[i % 4])
+        sep, at, _ = csvio.layout(spark, path)
+        records, header = csvio._rows(spark, path)
+        found = csvio.places(header, csvio.SEARCH_NAMES)
+        one = csvio.search_queries(spark, path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(kind).alias("p_type"), "n_rows", F.lit(sep).alias("separator"), F.lit(at).cast("int").alias("header_line"), F.lit(found["query"]).cast("int").alias("query_at"), F.lit(found["clicks"]).cast("int").alias("clicks_at"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT CASE WHEN p_partkey % 5 = 0 THEN replace(p_name, ' ', chr(10)) ELSE p_name END AS query, CAST(p_size * 1000 AS BIGINT) AS clicks, CAST(p_partkey AS BIGINT) AS impressions, CASE WHEN p_size / 10.0 > 1 THEN round(p_size / 10.0 / 100, 9) ELSE round(p_size / 10.0, 9) END AS ctr,
+  CASE WHEN p_size % 2 = 0 THEN 0.0 ELSE CAST(p_size AS DOUBLE) END AS position FROM part WHERE p_partkey % 7 <> 0""")
 def search_export_import(spark, d):
-    """A search export written out and read: thousands with commas, percentages, missing positions, blank queries."""
+    """A search export of 80 columns written out and read: line breaks in quotes, thousands with commas, percentages, missing positions, blank queries."""
     from .sources.csvio import search_queries
 
     c = F.col
-    name = F.when(c("p_partkey") % 7 == 0, " ").otherwise(c("p_name"))
-    line = F.concat_ws(",", name, F.concat(F.lit('"'), c("p_size").cast("string"), F.lit(',000"')), c("p_partkey").cast("string"), F.concat((c("p_size") / 10.0).cast("string"), F.lit("%")), F.when(c("p_size") % 2 == 0, "-").otherwise(c("p_size").cast("string")))
-    rows = read(spark, d, "part").filter("p_partkey < 500").select(c("p_partkey").alias("ord"), line.alias("line"))
-    out = search_queries(spark, _exported(spark, rows, "Top queries,Clicks,Impressions,CTR,Avg. position"))
+    broken = F.concat(F.lit('"'), F.replace("p_name", F.lit(" "), F.lit("\n")), F.lit('"'))
+    name = F.when(c("p_partkey") % 7 == 0, " ").when(c("p_partkey") % 5 == 0, broken).otherwise(c("p_name"))
+    line = F.concat_ws(",", F.repeat(F.lit("0,"), F.lit(74)), name, F.concat(F.lit('"'), c("p_size").cast("string"), F.lit(',000"')), c("p_partkey").cast("string"), F.concat((c("p_size") / 10.0).cast("string"), F.lit("%")), F.when(c("p_size") % 2 == 0, "-").otherwise(c("p_size").cast("string")))
+    rows = read(spark, d, "part").select(c("p_partkey").alias("ord"), line.alias("line"))
+    wide = "".join(f"x{i}," for i in range(75))
+    out = search_queries(spark, _exported(spark, rows, f"{wide}Top queries,Clicks,Impressions,CTR,Avg. position"))
     return out.select("query", "clicks", "impressions", F.round("ctr", 9).alias("ctr"), "position")
 
 
-@query("""SELECT p_brand AS page_path, CAST(arg_max(p_size, p_partkey) AS BIGINT) AS sessions, round(CASE WHEN arg_max(p_size, p_partkey) / 50.0 > 1 THEN arg_max(p_size, p_partkey) / 5000.0 ELSE arg_max(p_size, p_partkey) / 50.0 END, 9) AS bounce_rate FROM part WHERE p_partkey < 500 GROUP BY p_brand""")
+def traffic_export(spark, d) -> str:
+    c = F.col
+    rows = read(spark, d, "part").select(c("p_partkey").alias("ord"), F.concat_ws("\t", "p_brand", c("p_size").cast("string"), (c("p_size") / 50.0).cast("string")).alias("line"))
+    return _exported(spark, rows, "Page path\tSessions\tBounce rate")
+
+
+@query("""SELECT p_brand AS page_path, CAST(arg_max(p_size, p_partkey) AS BIGINT) AS sessions, round(CASE WHEN arg_max(p_size, p_partkey) / 50.0 > 1 THEN arg_max(p_size, p_partkey) / 5000.0 ELSE arg_max(p_size, p_partkey) / 50.0 END, 9) AS bounce_rate FROM part GROUP BY p_brand""")
 def traffic_export_import(spark, d):
     """A traffic export separated by tabs; of equal paths the last row."""
     from .sources.csvio import traffic_pages
 
-    c = F.col
-    rows = read(spark, d, "part").filter("p_partkey < 500").select(c("p_partkey").alias("ord"), F.concat_ws("\t", "p_brand", c("p_size").cast("string"), (c("p_size") / 50.0).cast("string")).alias("line"))
-    out = traffic_pages(spark, _exported(spark, rows, "Page path\tSessions\tBounce rate"))
+    out = traffic_pages(spark, traffic_export(spark, d))
     return out.select("page_path", "sessions", F.round("bounce_rate", 9).alias("bounce_rate"))
 
 
+@query("""WITH t AS (SELECT p_brand AS page_path, CAST(arg_max(p_size, p_partkey) AS BIGINT) AS sessions FROM part GROUP BY p_brand),
+  o AS (SELECT p_brand || CASE WHEN p_size % 2 = 0 THEN '' ELSE '/x' END AS page_path, CAST(arg_max(p_size, p_partkey) AS BIGINT) AS organic FROM part GROUP BY 1)
+  SELECT coalesce(t.page_path, o.page_path) AS page_path, coalesce(sessions, 0) AS sessions, coalesce(organic, 0) AS organic_sessions FROM t FULL OUTER JOIN o ON t.page_path = o.page_path""")
+def organic_export_import(spark, d):
+    """An organic export merged into a traffic export; it knows pages that the other lacks."""
+    from .sources.csvio import organic_traffic, traffic_pages
+
+    c = F.col
+    line = F.concat(F.col("p_brand"), F.when(c("p_size") % 2 == 0, "").otherwise("/x"), F.lit(";"), c("p_size").cast("string"))
+    rows = read(spark, d, "part").select(c("p_partkey").alias("ord"), line.alias("line"))
+    out = organic_traffic(spark, _exported(spark, rows, "Landing page;Sessions"), traffic_pages(spark, traffic_export(spark, d)))
+    return out.select("page_path", "sessions", "organic_sessions")
+
+
 @query(f"""WITH {VR} SELECT query, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions FROM vr GROUP BY query""")
 def api_search_rows(spark, d):
     """Rows as the search service replies them, and some with a key too few."""
@@ -895,13 +1043,3 @@ def crawl_word_gate(spark, d):
 @query("SELECT o_orderkey AS ord, translate(o_orderpriority, './', '__') AS file_key FROM orders")
 def history_file_key(spark, d):
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), text.file_key(F.col("o_orderpriority")).alias("file_key"))
-
-
-@query()
-def multi_turn_replay(spark, d):
-    from .schema import RESPONSE
-
-    service = completion.Service(spark.createDataFrame([], RESPONSE), completion.Recorded({"first": "one", "second": "two"}), _quick())
-    rows = prompts(spark, d).select("ord", "prompt_text")
-    out = service.turns(rows, "ord", F.lit("s"), [F.concat(F.lit("first "), F.col("prompt_text")), F.lit("second")])
-    return out.select("ord", F.size("messages").alias("n_messages"), F.array_join("replies", ",").alias("replies"))

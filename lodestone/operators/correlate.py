@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import blended, correlation_score, impact_score, needs_model, recommendation, score_or
 from .completion import Service, message, read_reply
 from .context import correlation_context
+from .dedup import numbered
 from .matching import top_matches, traffic_cascade
 
 SYSTEM = "You judge how search and traffic data bear out a search query. Reply with JSON: {data_correlation_score, impact_score, recommendation, reasoning}."
@@ -51,17 +52,18 @@ def refined(rows: DataFrame, service: Service) -> DataFrame:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Rows with priority_rank from 1: by impact, equal ones in order. One task ranks them; rows are as many as prompts."""
-    return rows.withColumn("priority_rank", F.row_number().over(Window.orderBy(F.desc("impact_score"), "ord")))
+    """Rows with priority_rank from 1: by impact, equal ones in order."""
+    return numbered(rows, F.desc("impact_score"), "ord", name="priority_rank").withColumn("priority_rank", (F.col("priority_rank") + 1).cast("int"))
 
 
-def correlate(prompts: DataFrame, search: DataFrame, traffic: DataFrame, service: Service | None = None, threshold: float = 0.5, ratio: bool = True) -> DataFrame:
-    """The whole: matches, scores, model if there is one, ranks. prompts may lack validation and factcheck."""
+def correlate(prompts: DataFrame, search: DataFrame, traffic: DataFrame, service: Service | None = None, threshold: float = 0.5, ratio: bool = True, rank: bool = True) -> DataFrame:
+    """The whole: matches, scores, model if there is one, ranks if wanted. prompts may lack validation and factcheck."""
     for name, kind in (("validation", "struct<overall_score:double,accuracy_score:double,faithfulness_score:double,quality_score:double>"), ("factcheck", "struct<overall_factual_score:double,is_factually_sound:boolean>")):
         if name not in prompts.columns:
             prompts = prompts.withColumn(name, F.lit(None).cast(kind))
     rows = scored(matched(prompts, search, traffic, threshold, ratio=ratio))
-    return ranked(refined(rows, service) if service else rows)
+    rows = refined(rows, service) if service else rows
+    return ranked(rows) if rank else rows
 
 
 def best_query(field: str) -> Column:

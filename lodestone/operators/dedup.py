@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, key, trimmed
+from ..storage import stored
 
 
 def exact_dedup(prompts: DataFrame, text: str = "prompt_text", score: str = "relevance_score", urls: str = "source_urls", by: tuple[str, ...] = ()) -> DataFrame:
@@ -37,15 +38,27 @@ def merge_new(mine: DataFrame, theirs: DataFrame, text: str = "prompt_text") ->
     return mine.withColumn("part", F.lit(0)).unionByName(new.withColumn("part", F.lit(1)), allowMissingColumns=True)
 
 
+#: Bits of a row's number within its partition, as monotonically_increasing_id() gives them.
+WITHIN = 33
+
+
 def numbered(df: DataFrame, *order: Column | str, name: str = "ord") -> DataFrame:
-    """Rows numbered from 0 in a total order. For bounded relations: one task numbers them all."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """Rows numbered from 0 in a total order.
+
+    A sort deals the rows to ranges, a table keeps them, and each row's number is its place in its range plus the rows of the ranges
+    before. What is summed in one task is a row for each range, never the rows themselves."""
+    rest = [c for c in df.columns if c != name]
+    held = stored(df.orderBy(*order).select(*rest, F.monotonically_increasing_id().alias("_at")), "numbered")
+    held = held.withColumn("_range", F.shiftright("_at", WITHIN))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = F.col("_start") + F.col("_at").bitwiseAND((1 << WITHIN) - 1)
+    return held.join(F.broadcast(starts), "_range").select(*rest, number.cast("long").alias(name))
 
 
 def batches(df: DataFrame, size: int, name: str = "batch") -> DataFrame:
-    """The number of each row's batch of size rows, by ord. For bounded relations."""
-    place = F.row_number().over(Window.orderBy("ord"))
-    return df.withColumn(name, F.floor((place - 1) / size).cast("long"))
+    """The number of each row's batch of size rows, by ord."""
+    return numbered(df, "ord", name="_place").withColumn(name, F.floor(F.col("_place") / size).cast("long")).drop("_place")
 
 
 def top(df: DataFrame, score: str, n: int) -> DataFrame:

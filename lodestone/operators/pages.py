@@ -30,8 +30,11 @@ PARSED = (
 )
 DROPPED = {"script", "style", "nav", "footer", "header"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-ROUTE = re.compile(r"""["']/([\w-]+(?:/[\w-]+)*)["']""")
+# Fields of linked data that hold text, and first parts of script paths that are no pages.
+LINKED_DATA = ("name", "description", "headline", "articleBody", "text")
 BUILD_ROUTES = ("static", "assets", "_next", "chunk")
+#: What quotes enclose in a script; a page's path among it begins with a slash.
+QUOTED = re.compile(r"""(?<=["'])/[^"'\s]*(?=["'])""")
 SPARSE_WORDS = 10
 EXTERNAL_LIMIT = 50
 
@@ -121,11 +124,18 @@ def linked_data_text(script: str) -> str:
         data = json.loads(script)
     except ValueError:
         return ""
-    wide, narrow = ("name", "description", "headline", "articleBody", "text"), ("name", "description", "headline")
+    wide, narrow = LINKED_DATA, LINKED_DATA[:3]
     items = [(data, wide)] if isinstance(data, dict) else [(x, narrow) for x in data if isinstance(x, dict)] if isinstance(data, list) else []
     return " ".join(x[k] for x, keys in items for k in keys if isinstance(x.get(k), str))
 
 
+def script_paths(script: str) -> list[str]:
+    """Quoted absolute paths whose parts are words and hyphens, two characters or more, but for those of a site's build."""
+    found = (p.split("/")[1:] for p in QUOTED.findall(script))
+    words = (p for p in found if all(part and re.fullmatch(r"[\w-]+", part) for part in p))
+    return ["/" + "/".join(p) for p in words if len("/".join(p)) > 1 and not p[0].startswith(BUILD_ROUTES)]
+
+
 def parse(url: str, html: str, site: str | None = None) -> tuple:
     """The fields of PARSED for a page; site: the authority whose links are internal, by default the page's own."""
     page = _Reader()
@@ -146,10 +156,7 @@ def parse(url: str, html: str, site: str | None = None) -> tuple:
         elif href.startswith("http"):
             outside.append(full)
     for _, parts in page.scripts:
-        for route in ROUTE.findall("".join(parts)):
-            full = urljoin(url, f"/{route}")
-            if len(route) > 1 and not route.startswith(BUILD_ROUTES) and site_of(full) == home and _is_page(full):
-                inside.append(_bare(full))
+        inside += [_bare(full) for full in (urljoin(url, p) for p in script_paths("".join(parts))) if site_of(full) == home and _is_page(full)]
     region = next((page.texts[r] for r in ("main", "article") if page.regions[r]), page.texts["body"])
     body = " ".join(" ".join(region).split())
     if len(body.split()) < SPARSE_WORDS:
@@ -224,4 +231,6 @@ def sparse_body(body: Column, title_: Column, og_title: Column, desc: Column, og
 def linked_data(script: Column) -> Column:
     """Native form of linked_data_text() for one object."""
     v = F.try_parse_json(script)
-    return F.concat_ws(" ", *(F.try_variant_get(v, f"$.{k}", "string") for k in ("name", "description", "headline", "articleBody", "text")))
+    # values that are no texts count as missing
+    value = lambda k: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.try_variant_get(v, f"$.{k}", "string"))
+    return F.concat_ws(" ", *map(value, LINKED_DATA))

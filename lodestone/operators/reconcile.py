@@ -132,13 +132,14 @@ def drift(current: DataFrame, previous: DataFrame, params: Reconcile = Reconcile
     return new, dropped, counts.withColumn("drift_score", score)
 
 
-def drift_report(current: DataFrame, runs: DataFrame, params: Reconcile = Reconcile(), listed: int = 20) -> DataFrame:
+def drift_report(current: DataFrame, runs: DataFrame, params: Reconcile = Reconcile(), listed: int = 20, fuzzy: bool = True) -> DataFrame:
     """One row: the drift of current (ord, text) from the last of runs (of one domain), lists cut to listed texts; counts are null without history."""
     last = previous_run(runs)
-    new, dropped, counts = drift(current, last, params)
-    stables = stable(runs, params).select(F.struct((-F.col("avg_score")).alias("s"), "text").alias("x"))
-    first = lambda df, name: df.agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "text"))), 1, listed), lambda x: x["text"]).alias(name))
-    texts = stables.agg(F.transform(F.slice(F.array_sort(F.collect_list("x")), 1, listed), lambda x: x["text"]).alias("stable_prompts"), F.count(F.lit(1)).alias("stable_count"))
+    new, dropped, counts = drift(current, last, params, fuzzy)
+    stables = stable(runs, params, fuzzy).select((-F.col("avg_score")).alias("ord"), "text")
+    # at most listed rows reach the lists
+    first = lambda df, name: df.orderBy("ord", "text").limit(listed).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias(name))
+    texts = first(stables, "stable_prompts").join(stables.agg(F.count(F.lit(1)).alias("stable_count")), F.lit(True))
     history = runs.agg(F.count_distinct("run_seq").alias("total_historical_runs"))
     one = F.lit(True)
     row = counts.join(first(new, "new_prompts"), one).join(first(dropped, "dropped_prompts"), one).join(texts, one).join(history, one)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import impact_tier
@@ -18,9 +18,12 @@ CSV_HEADER = (
 
 def topic_clusters(rows: DataFrame, listed: int = 5) -> DataFrame:
     """topic, count, avg_impact, avg_correlation and the listed prompts of the highest impact."""
-    topic = F.coalesce(filled(F.col("topic_cluster")), F.lit("Uncategorized"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("impact_score")).alias("i"), "priority_rank", "prompt_text"))), 1, listed)
-    return rows.groupBy(topic.alias("topic")).agg(F.count(F.lit(1)).alias("count"), F.avg("impact_score").alias("avg_impact"), F.avg("data_correlation_score").alias("avg_correlation"), F.transform(best, lambda x: x["prompt_text"]).alias("top_prompts"), F.min("priority_rank").alias("first_rank"))
+    rows = rows.withColumn("topic", F.coalesce(filled(F.col("topic_cluster")), F.lit("Uncategorized")))
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("impact_score"), "priority_rank"))
+    near = rows.select("topic", "prompt_text", place.alias("place")).filter(F.col("place") <= listed)  # the limit holds before the shuffle, too
+    best = near.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "prompt_text"))), lambda x: x["prompt_text"]).alias("top_prompts"))
+    sums = rows.groupBy("topic").agg(F.count(F.lit(1)).alias("count"), F.avg("impact_score").alias("avg_impact"), F.avg("data_correlation_score").alias("avg_correlation"), F.min("priority_rank").alias("first_rank"))
+    return sums.join(best, "topic").select("topic", "count", "avg_impact", "avg_correlation", "top_prompts", "first_rank")
 
 
 def intents(rows: DataFrame) -> DataFrame:
@@ -46,9 +49,21 @@ def recommendations(rows: DataFrame, first: int = 30) -> DataFrame:
 
 
 def _fixed(c: Column, digits: int) -> Column:
-    """A double with fixed digits, exact halves to even as the double stands; null stays null."""
-    exact = c.cast("decimal(38,18)")
-    return F.format_string(f"%.{digits}f", F.bround(exact, digits).cast("double"))
+    """A double with fixed digits: the nearest to the double's exact value, of two the even one; null stays null.
+
+    The product with the power of ten is split into what a double holds of it and the rest, so that no rounding decides."""
+    scale = float(10**digits)
+    a = F.abs(c)
+    half = lambda x: (x * 134217729.0) - ((x * 134217729.0) - x)  # noqa: E731  the upper half of a double's digits
+    p, high, low = a * scale, half(a), a - half(a)
+    top, rest = half(F.lit(scale)), F.lit(scale) - half(F.lit(scale))
+    error = (((high * top - p) + high * rest) + low * top) + low * rest
+    n = F.floor(p)
+    part = p - n
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (n % 2 == 1))))
+    k = n + up.cast("long")
+    text = F.concat(F.when(c < 0, "-").otherwise(""), F.floor(k / F.lit(10**digits)).cast("string"), F.lit("."), F.lpad((k % 10**digits).cast("string"), digits, "0"))
+    return F.when(c.isNotNull(), text)
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:
@@ -76,34 +91,51 @@ def _fields(rows: DataFrame) -> Column:
 
 
 def json_report(rows: DataFrame, target_url: str, generated_at: str, pages: int, usage: DataFrame | None = None, shown: int = 50) -> DataFrame:
-    """One row, value: the whole report as JSON. rows are as many as prompts."""
+    """The whole report as JSON, in lines: ord and value. A prompt, a topic and an intent have a line each, so that no row holds them all."""
     one = F.lit(True)
-    lists = lambda df, name, *order: df.agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("x")))).alias(name)).select(F.transform(name, lambda v: v["x"]).alias(name))
-    ranks = rows.select("priority_rank", _fields(rows).alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("priority_rank", "x"))), lambda v: v["x"]).alias("all_prompts"))
-    clusters = topic_clusters(rows).agg(F.map_from_entries(F.collect_list(F.struct("topic", F.struct("count", "avg_impact", "avg_correlation", "top_prompts")))).alias("topic_clusters"))
-    distribution = intents(rows).agg(F.map_from_entries(F.collect_list(F.struct("intent", "count"))).alias("intent_distribution"))
     head = summary(rows).select(F.struct("*").alias("summary"))
-    advice = lists(recommendations(rows), "recommendations", "priority")
-    row = head.join(ranks, one).join(clusters, one).join(distribution, one).join(advice, one)
+    advice = recommendations(rows)  # 30 rows at most
+    advice = advice.agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", F.struct(*advice.columns).alias("x")))), lambda v: v["x"]).alias("recommendations"))
+    row = head.join(advice, one)
     used = F.lit(None).cast("struct<calls:long>")
     if usage is not None:
         row = row.join(usage.select(F.struct("*").alias("llm_usage")), one)
         used = F.col("llm_usage")
     meta = F.struct(F.lit(generated_at).alias("generated_at"), F.lit(target_url).alias("target_url"), F.lit(pages).alias("total_pages_crawled"), F.col("summary.total_prompts").alias("total_prompts_analyzed"), used.alias("llm_usage"))
-    return row.select(F.to_json(F.struct(meta.alias("metadata"), "summary", F.slice("all_prompts", 1, shown).alias("top_prompts"), "all_prompts", "topic_clusters", "intent_distribution", "recommendations")).alias("value"))
+    start = F.to_json(F.struct(meta.alias("metadata"), "summary", "recommendations"))
+    first = row.select(F.lit(0).cast("long").alias("ord"), F.concat(F.substr(start, F.lit(1), F.length(start) - 1), F.lit(',"top_prompts":[')).alias("value"))
+
+    def lines(df: DataFrame, section: int, rank: str, text: Column) -> DataFrame:
+        """A line for each row in order of rank, which is 1 for the first and for it alone."""
+        return df.select((F.lit(section << 40) + F.col(rank)).alias("ord"), F.concat(F.when(F.col(rank) == 1, "").otherwise(","), text).alias("value"))
+
+    def entry(name: str, *fields: str) -> Column:
+        pair = F.to_json(F.create_map(F.col(name), F.struct(*fields) if len(fields) > 1 else F.col(fields[0])))
+        return F.substr(pair, F.lit(2), F.length(pair) - 2)
+
+    prompts = rows.select("priority_rank", F.to_json(_fields(rows)).alias("x"))
+    topics = topic_clusters(rows)
+    said = rows.groupBy(F.coalesce(filled(F.col("search_intent")), F.lit("unknown")).alias("intent")).agg(F.count(F.lit(1)).alias("count"), F.min("priority_rank").alias("first_rank"))
+    marks = rows.sparkSession.createDataFrame([(2 << 40, '],"all_prompts":['), (3 << 40, '],"topic_clusters":{'), (4 << 40, '},"intent_distribution":{'), (5 << 40, "}}")], "ord long, value string")
+    out = first.unionByName(marks).unionByName(lines(prompts.filter(F.col("priority_rank") <= shown), 1, "priority_rank", F.col("x"))).unionByName(lines(prompts, 2, "priority_rank", F.col("x")))
+    return out.unionByName(lines(topics, 3, "first_rank", entry("topic", "count", "avg_impact", "avg_correlation", "top_prompts"))).unionByName(lines(said, 4, "first_rank", entry("intent", "count")))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One text file of lines (ord, value) in order: sorted and written by one task, as a file keeps their order, line by line."""
+    lines.repartition(1).sortWithinPartitions("ord").select("value").write.mode("overwrite").text(path)
 
 
 def text_report(rows: DataFrame, target_url: str, generated_at: str, pages: int) -> str:
-    """The report as lines of text: tiers, the first 50 prompts, the 20 largest clusters, recommendations of the first 20."""
+    """The report for reading: tiers, the first 50 prompts, the 20 largest clusters, recommendations of the first 20."""
     s = summary(rows).first()
-    rule, wide = "=" * 80, "-" * 80
-    lines = [rule, "SEARCH PROMPT DISCOVERY REPORT", rule, f"Target: {target_url}", f"Generated: {generated_at}", f"Pages Crawled: {pages}", f"Prompts Analyzed: {s['total_prompts']}", ""]
-    lines += [wide, "SUMMARY", wide, f"High Impact Prompts:   {s['high_impact_prompts']}", f"Medium Impact Prompts: {s['medium_impact_prompts']}", f"Low Impact Prompts:    {s['low_impact_prompts']}", f"With GSC Data:         {s['with_gsc_data']}", f"With GA Data:          {s['with_ga_data']}", ""]
-    lines += [wide, "TOP 50 HIGH-IMPACT PROMPTS", wide, f"{'#':<4} {'Prompt':<50} {'Impact':<8} {'Corr.':<8} {'Intent':<15}", "-" * 85]
     near = rows.orderBy("priority_rank").limit(50).select("priority_rank", "prompt_text", "impact_score", "data_correlation_score", "search_intent", "recommendation").collect()
-    lines += [f"{r['priority_rank']:<4} {r['prompt_text'][:48]:<50} {r['impact_score']:<8.2f} {r['data_correlation_score']:<8.2f} {r['search_intent'] or '':<15}" for r in near]
-    lines += ["", wide, "TOPIC CLUSTERS", wide]
-    lines += [f"  {r['topic']}: {r['count']} prompts (avg impact: {r['avg_impact']:.2f})" for r in topic_clusters(rows).orderBy(F.desc("count"), "first_rank").limit(20).collect()]
-    lines += ["", wide, "TOP RECOMMENDATIONS", wide]
-    lines += [f"  {i}. {r['recommendation']}" for i, r in enumerate(near[:20], 1) if r["recommendation"]]
-    return "\n".join([*lines, "", rule, "END OF REPORT", rule])
+    topics = topic_clusters(rows).orderBy(F.desc("count"), "first_rank").limit(20).collect()
+    parts = [
+        (f"Search opportunities of {target_url}", [f"made {generated_at} from {pages} pages and {s['total_prompts']} prompts"]),
+        ("Tiers", [f"{tier}: {s[f'{tier}_impact_prompts']}" for tier in ("high", "medium", "low")] + [f"with search data: {s['with_gsc_data']}", f"with traffic data: {s['with_ga_data']}"]),
+        ("Prompts of the highest impact", [f"{r['priority_rank']}. {r['prompt_text']} (impact {r['impact_score']:.2f}, correlation {r['data_correlation_score']:.2f}, {r['search_intent'] or 'no intent'})" for r in near]),
+        ("Topics", [f"{r['topic']}, {r['count']} prompts, mean impact {r['avg_impact']:.2f}" for r in topics]),
+        ("What to do first", [f"{r['priority_rank']}. {r['recommendation']}" for r in near[:20] if r["recommendation"]]),
+    ]
+    return "\n\n".join("\n".join([f"# {title}", *lines]) for title, lines in parts)

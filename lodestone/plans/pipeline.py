@@ -101,7 +101,7 @@ class Analysis:
     def report(self, ranked: DataFrame, url: str, pages: int) -> None:
         if not ranked.take(1):
             raise ValueError("there is nothing to report")
-        report.json_report(ranked, url, self.timestamp, pages).write.mode("overwrite").text(f"{self.path}/report_json")
+        report.write_lines(report.json_report(ranked, url, self.timestamp, pages), f"{self.path}/report_json")
         report.write_csv(ranked, f"{self.path}/report_csv")
         text = report.text_report(ranked, url, self.timestamp, pages)
         self.spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(f"{self.path}/report_text")

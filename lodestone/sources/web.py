@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.urls import authority, is_page, normal_url, robots_allowed, same_domain
+from ..functions.urls import is_page, normal_url, robots_allowed, same_domain
 from ..operators.pages import parsed
 from ..params import Crawl
 from ..storage import stored
@@ -152,6 +152,3 @@ def reachable(links: DataFrame, start: Column | str, max_depth: int) -> DataFram
         seen = seen.unionByName(front)
     return seen
 
-
-def page_site(url: Column) -> Column:
-    return authority(url)

@@ -172,3 +172,24 @@ def test_parameters_from_settings():
     p = load({"CRAWL_MAX_PAGES": "7", "CRAWL_RESPECT_ROBOTS": "no", "EXTRACTION_TOP_N": "", "RECONCILE_SIMILARITY": "0.9"})
     assert p.crawl.max_pages == 7 and not p.crawl.respect_robots and p.extraction.top_n == 500 and p.reconcile == Reconcile(similarity=0.9)
     assert math.isclose(p.match_threshold, 0.5)
+
+
+def test_fixed_digits_are_those_of_the_exact_value(spark):
+    import random
+
+    from lodestone.operators.report import _fixed
+
+    rng = random.Random(1)
+    values = [0.065, 0.045, 0.125, 0.375, 0.5, 1.005, 2.675, 0.0, 1e-9, -0.125, -2.5, 0.995, 123456.785, None] + [round(rng.random() * 10, rng.randint(1, 5)) for _ in range(500)] + [rng.randint(0, 4000) / 2 ** rng.randint(1, 8) for _ in range(200)]
+    out = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", *(_fixed(F.col("v"), k).alias(f"d{k}") for k in (1, 2, 3, 4))).collect()
+    for r in out:
+        for k in (1, 2, 3, 4):
+            v = values[r["i"]]
+            assert r[f"d{k}"] == (None if v is None else f"{v:.{k}f}"), (v, k)
+
+
+def test_script_paths():
+    from lodestone.operators.pages import script_paths
+
+    text = """x = "/docs/api-guide", '/a', "/static/x", "/a.js", '/a//b', "/ab/", "not /this", '/été'"""
+    assert script_paths(text) == ["/docs/api-guide", "/été"]

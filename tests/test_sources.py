@@ -228,7 +228,7 @@ def test_whole_analysis(spark, tmp_path):
     assert out[0]["recommendation"] == "do it" and out[0]["matches"][0]["query"] == "red plates"
     assert {r["status"] for r in out} == {"factchecked"} and out[0]["traffic"]["page_path"] == "/a"
     assert told[0] == "pages" and told[-1] == "ranked"
-    report = json.loads(spark.read.text(f"file://{tmp_path}/out/report_json").first()["value"])
+    report = json.loads("\n".join(r["value"] for r in spark.read.text(f"file://{tmp_path}/out/report_json").collect()))
     assert report["summary"]["total_prompts"] == 3 and report["top_prompts"][0]["gsc_data"]["query"] == "red plates"
     assert run.results["drift"].first()["has_history"] is False
     again = Analysis(spark, params, service, fetch_site, f"file://{tmp_path}/out", "2024-01-02 00:00:00").run("https://e.com", search_csv=search, traffic_csv=traffic, skip_validation=True, skip_factcheck=True)
