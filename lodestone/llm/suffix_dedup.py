@@ -4,26 +4,28 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a
 
 Anchors: among the LENGTH - GRAM + 1 grams (GRAM bytes) of a string the one of the least hash, the first of equal ones, is
 its anchor. Equal strings have their anchors at the same place in them, so only suffixes at anchors, one in about 33, are compared.
-1. Suffixes at anchors are range-partitioned by their leading bytes at sampled splitters; equal leading bytes are
-   split further by the hash of the leading gram. Each has the strings of which it is the anchor (an interval of starts) and a hash of
-   all bytes of these strings. Where gram and bytes agree, all but the earliest are repeats in whole; a task settles its own first.
-   A suffix whose gram occurs with other bytes around it, too, goes on.
-2. These fetch their bytes; all their strings are sorted by multikey quicksort with eight bytes as a character,
-   equal strings are neighbours, and all but the earliest are repeats. Strings with equal leading grams meet in one range, so none
-   are torn apart at a range's ends.
-3. Each document gathers its repeated strings and loses them.
-
-Texts travel compressed, and only numbers with the suffixes. Grams are hashed with 64 bits and bytes around them with 64;
-both are compared within equal leading grams only.
-
-Defined cases: a null text is empty; a null id comes after all others; rows with equal ids count as one document, so that
+1. Splitters are drawn from a sample of suffixes. Suffixes at anchors, with the bytes of all strings that they stand for, are range-partitioned by
+   their leading bytes, up to LENGTH of them, in true order.
+2. A range sorts its suffixes by multikey quicksort, eight bytes a character, and lets go of those whose leading gram occurs once. Of
+   suffixes that agree in all their bytes all but the earliest are repeats in whole. Where a gram has different bytes around it, the strings
+   themselves are sorted in the same way; equal ones are neighbours, and all but the earliest are repeats.
+3. Strings whose anchors lie on either side of a splitter can be equal only if the leading gram is the splitter's own. Suffixes with such a gram are
+   compared across boundaries: they go on as single strings, which have ranges of their own with splitters by all LENGTH bytes, so that equal strings meet and a gram
+   however frequent is split inside.
+4. Each document gathers its repeated strings and loses them.
+
+A task settles copies among its own suffixes and strings first, so that what occurs in every document travels once a task. Hashes only choose anchors and
+find candidates for equality: what is removed has been compared byte by byte.
+
+Defined cases: a null text is empty; a null id comes after all others, the largest number too; ids that are no whole numbers count by their rank among all
+ids; rows with equal ids count as one document, so that
 neither is earlier than the other but for a smaller start; repeated rows give equal rows; texts shorter than LENGTH
-stay; long texts are read in overlapping pieces of PIECE bytes; an empty table gives no rows.
+stay; long texts are read in overlapping pieces of PIECE bytes; an empty table gives no rows; other columns of docs, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +34,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lookup_join, table
 
 LENGTH = 100
 GRAM = 32
 REACH = LENGTH - GRAM
 AROUND = REACH + LENGTH
 PIECE = 1 << 22
-#: Documents and suffixes of each from which splitters are drawn, at most.
-SAMPLE_DOCS, SAMPLE_SUFFIXES = 2000, 64
+#: Documents, or one for so many ranges if that is more, and suffixes of each from which splitters are drawn.
+SAMPLE_DOCS, RANGES_A_DOC, SAMPLE_SUFFIXES = 2000, 8, 64
 #: Ranges for each shuffle partition.
 RANGES = 4
-LAST = (1 << 63) - 1
+#: Suffixes that a task holds before it settles and deals them; strings that it takes apart at a time.
+HELD, STRINGS = 120_000, 200_000
+#: Segments of so many rows are no more split by a pivot.
+SMALL = 4096
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -80,7 +85,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
-    """For each anchor of a piece: its place, first and last start of the strings it stands for, leading bytes, gram hash, hash of all bytes of these strings."""
+    """For each anchor of a piece: its place, the place less the first start of the strings it stands for, the last start less
+    the first, gram hash, hash of all bytes of these strings, and these bytes: REACH columns before the anchor and LENGTH from it on, 0 where no string reaches."""
     up, down = powers.get(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(CODES[raw] * up[:-1], out=sums[1:])
@@ -92,10 +98,11 @@ def anchors(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
     last = np.append(first[1:], len(chosen)) - 1
     p = chosen[first]
     whole = mixed((sums[last + LENGTH] - sums[first]) * down[first] + ((p - first) * 128 + last - p + 128).astype(np.uint64) * np.uint64(INVERSE))
-    lead = np.zeros(len(p), np.uint64)
-    for k in range(4):
-        lead = lead << np.uint64(8) | raw[p + k]
-    return p, first, last, lead, grams[p], whole
+    padded = np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(LENGTH, np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[p]
+    column = np.arange(AROUND)
+    around *= (column >= (REACH - (p - first))[:, None]) & (column < (REACH + LENGTH + last - p)[:, None])
+    return p, (p - first).astype(np.uint8), (last - first).astype(np.uint8), grams[p], whole, around
 
 
 def pieces(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -104,8 +111,24 @@ def pieces(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield a, raw[a : a + PIECE + LENGTH - 1]
 
 
-def range_keys(lead: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    return lead << np.uint64(32) | gram >> np.uint64(32)
+def texts_of(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as texts of fixed length, which compare byte by byte."""
+    rows = np.ascontiguousarray(rows)
+    return rows.view(f"S{rows.shape[1]}").reshape(-1)
+
+
+def strings_at(span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row, and start less that of the row's first string, of every string that the anchors stand for."""
+    many = span.astype(np.int64) + 1
+    row = np.repeat(np.arange(len(many)), many)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def strings_of(left: np.ndarray, span: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """strings_at(), and the LENGTH bytes of each."""
+    row, offset = strings_at(span)
+    windows = np.lib.stride_tricks.sliding_window_view(around, LENGTH, axis=1)
+    return row, offset, windows[row, REACH - left[row].astype(np.int64) + offset]
 
 
 PACK = zstandard.ZstdCompressor(level=1)
@@ -154,9 +177,38 @@ def text_hash(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw) & 0x7FFFFFFF
 
 
-def home(ids: np.ndarray, hashes: np.ndarray, parts: int) -> np.ndarray:
-    """The part in which a document gathers what belongs to it."""
-    return (mixed(ids.astype(np.uint64) * np.uint64(BASE) + hashes.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+class Owners:
+    """Whose the rows are: whether the id is null, the id, a hash of the text."""
+
+    KINDS = (np.uint8, np.int64, np.int32)
+
+    def __init__(self, none: np.ndarray, id_: np.ndarray, text: np.ndarray):
+        self.columns = (none, id_, text)
+
+    @classmethod
+    def of(cls, none: bool, id_: int, data: bytes, n: int) -> Owners:
+        return cls(np.full(n, none, np.uint8), np.full(n, id_, np.int64), np.full(n, text_hash(data), np.int32))
+
+    @classmethod
+    def joined(cls, parts: list[Owners]) -> Owners:
+        return cls(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True)))
+
+    def __getitem__(self, at) -> Owners:
+        return Owners(*(c[at] for c in self.columns))
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def differ(self, a: np.ndarray, b: np.ndarray, text: bool = False) -> np.ndarray:
+        """Whether rows a and b are of different documents (or texts)."""
+        none, id_, th = self.columns
+        out = (none[a] != none[b]) | (id_[a] != id_[b])
+        return out | (th[a] != th[b]) if text else out
+
+    def home(self, parts: int) -> np.ndarray:
+        """The part in which a document gathers what belongs to it."""
+        none, id_, th = self.columns
+        return (mixed(id_.astype(np.uint64) * np.uint64(BASE) + th.astype(np.uint64) + none) % np.uint64(parts)).astype(np.int32)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,22 +222,27 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[at], reach[np.append(at[1:], len(reach)) - 1]
 
 
-def firsts(ids: np.ndarray, places: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by keys, id and place; the start of each row's group of equal keys in it; which rows in it come truly after their group's first."""
-    order = np.lexsort((places, ids, *reversed(keys)))
+def firsts(owners: Owners, places: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order by keys, id and place; the start of each row's group of equal keys in it; which rows in it come truly after their group's first;
+    which are rows of the same text and place as the one before."""
+    none, id_, th = owners.columns
+    order = np.lexsort((th, places, id_, none, *reversed(keys)))
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
         k = k[order]
         new[1:] |= k[1:] != k[:-1]
     start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    i, p = ids[order], places[order]
-    return order, start, (i != i[start]) | (p != p[start])
+    place = places[order]
+    after = owners.differ(order, order[start]) | (place != place[start])
+    again = ~new
+    again[1:] &= ~owners.differ(order[1:], order[:-1], text=True) & (place[1:] == place[:-1])
+    return order, start, after, again
 
 
-SUFFIX = (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8, np.uint8)  # gram, whole, id, text hash, place, place - first, last - first
-SPAN = (np.int64, np.int32, np.int32, np.int32)  # id, text hash, start, end
-DETAIL = (np.uint64, np.int64, np.int32, np.int32, np.uint8, np.uint8)  # gram, id, text hash, place, place - first, last - first
+SUFFIX = (*Owners.KINDS, np.int32, np.uint8, np.uint8, (np.uint8, AROUND))  # owner, place, place - first, last - first, bytes
+STRING = (*Owners.KINDS, np.int32, (np.uint8, LENGTH))  # owner, start, bytes
+SPAN = (*Owners.KINDS, np.int32, np.int32)  # owner, start, end
 
 
 def _rows(pairs: list[tuple[int, int, bytes]], names: tuple[str, str, str]) -> pa.RecordBatch:
@@ -207,10 +264,33 @@ def _blobs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, l
         yield last, held
 
 
-def splitters(df: DataFrame, ranges: int) -> np.ndarray:
-    """ranges - 1 keys that part the suffixes of a sample of documents evenly."""
-    every = max(1, df.count() // SAMPLE_DOCS)
-    sample = df.filter(F.pmod(F.xxhash64("k", F.lit("splitters")), F.lit(every)) == 0).orderBy(F.xxhash64("k")).limit(SAMPLE_DOCS)
+class Splitters:
+    """Where ranges begin: of suffixes by their leading bytes, and of single strings of the grams that a splitter has."""
+
+    def __init__(self, sample: list[tuple], ranges: int):
+        self.ranges = ranges
+        left, span, gram, around = (np.concatenate(x) for x in zip(*sample, strict=True)) if sample else (np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros((0, AROUND), np.uint8))
+        texts = texts_of(around[:, REACH:])
+        order = np.argsort(texts, kind="stable")
+        at = order[np.arange(1, ranges) * len(order) // ranges] if len(order) else order
+        self.suffixes, self.grams = texts[at], np.unique(gram[at])
+        own = np.isin(gram, self.grams)
+        strings = np.sort(texts_of(strings_of(left[own], span[own], around[own])[2]))
+        self.strings = np.unique(strings[np.arange(1, ranges) * len(strings) // ranges]) if len(strings) else strings
+
+    def of_suffixes(self, around: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.suffixes, texts_of(around[:, REACH:]), "right").astype(np.int32)
+
+    def of_strings(self, strings: np.ndarray) -> np.ndarray:
+        return (self.ranges + np.searchsorted(self.strings, texts_of(strings), "right")).astype(np.int32)
+
+
+def splitters(df: DataFrame, ranges: int) -> Splitters:
+    """Splitters from a sample of documents; its size follows the number of ranges, whatever the number of documents."""
+    wanted = max(SAMPLE_DOCS, ranges // RANGES_A_DOC)
+    every = max(1, df.count() // wanted)
+    draw = F.xxhash64("k", F.octet_length("t"), F.lit("splitters"))
+    sample = df.filter(F.pmod(draw, F.lit(every)) == 0).orderBy(draw).limit(wanted).select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -218,72 +298,86 @@ def splitters(df: DataFrame, ranges: int) -> np.ndarray:
             for t in b.column("t"):
                 raw = np.frombuffer((t.as_py() or "").encode("utf-8"), np.uint8)[:PIECE]
                 if len(raw) >= LENGTH:
-                    _, _, _, lead, gram, _ = anchors(raw, powers)
-                    keys = range_keys(lead, gram)
-                    some = keys[:: max(1, len(keys) // SAMPLE_SUFFIXES)][:SAMPLE_SUFFIXES]
-                    yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], ["x"])
+                    _, left, span, gram, _, around = anchors(raw, powers)
+                    some = slice(None, None, -(-len(gram) // SAMPLE_SUFFIXES))
+                    yield pa.RecordBatch.from_arrays([pa.array([pack(left[some], span[some], gram[some], around[some])], pa.binary())], ["z"])
+
+    kinds = (np.uint8, np.uint8, np.uint64, (np.uint8, AROUND))
+    return Splitters([unpack([bytes(x)], *kinds) for x in sample.mapInArrow(run, "z binary").toPandas().z], ranges)
 
-    found = np.sort(sample.mapInArrow(run, "x long").toPandas().x.to_numpy(np.int64).view(np.uint64))
-    if not len(found):
-        return np.zeros(0, np.uint64)
-    return found[np.arange(1, ranges) * len(found) // ranges]
+
+def with_places(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """k (a whole number in the ids' order, null for null), t; and for other ids than whole numbers a table of k and id."""
+    if dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
+        return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), None
+    ids = docs.select(F.col(key).alias("id")).filter("id IS NOT NULL").distinct()
+    ids = table(ids.orderBy("id").withColumn("k", F.monotonically_increasing_id()), "ids")
+    return lookup_join(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), ids, "id").select("k", "t"), ids
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """k (id), n_bytes, n_removed, n_spans and kept (the bytes that stay) for each document."""
     spark = docs.sparkSession
-    df = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    df, ids = with_places(docs, key, text)
     parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = spark.sparkContext.broadcast(splitters(df, parts))
+    sent = spark.sparkContext.broadcast(splitters(df, parts))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
+        found: list[tuple] = []
+        held = 0
         for b in batches:
-            found: list[tuple] = []
             for k, t in zip(b.column("k").to_pylist(), b.column("t"), strict=True):
                 data = (t.as_py() or "").encode("utf-8")
                 if len(data) < LENGTH:
                     continue
-                k = LAST if k is None else k
-                th = text_hash(data)
                 for at, raw in pieces(np.frombuffer(data, np.uint8)):
-                    p, first, last, lead, gram, whole = anchors(raw, powers)
-                    found.append((lead, gram, whole, np.full(len(p), k), np.full(len(p), th, np.int32), (p + at).astype(np.int32), (p - first).astype(np.uint8), (last - first).astype(np.uint8)))
-                if sum(len(x[0]) for x in found[-64:]) > 500_000:
-                    yield settle(found)
-                    found = []
-            if found:
-                yield settle(found)
+                    p, *rest = anchors(raw, powers)
+                    found.append((Owners.of(k is None, k or 0, data, len(p)), (p + at).astype(np.int32), *rest))
+                    held += len(p)
+                    if held > HELD:
+                        yield settle(found)
+                        found, held = [], 0
+        if found:
+            yield settle(found)
 
     def settle(found: list[tuple]) -> pa.RecordBatch:
-        lead, gram, whole, k, th, p, left, span = (np.concatenate(x) for x in zip(*found, strict=True))
-        order, _, after = firsts(k, p, gram, whole)
-        own, rest = np.sort(order[~after]), order[after]
-        where = np.searchsorted(cuts.value, range_keys(lead[own], gram[own]), "right").astype(np.int32)
-        rows = [(r, 0, z) for r, z in dealt(where, gram[own], whole[own], k[own], th[own], p[own], left[own], span[own])]
+        owners = Owners.joined([x[0] for x in found])
+        p, left, span, gram, whole, around = (np.concatenate(x) for x in zip(*(x[1:] for x in found), strict=True))
+        order, start, after, again = firsts(owners, p, gram, whole)
+        first = order[start]
+        same = (left[order] == left[first]) & (span[order] == span[first]) & (around[order] == around[first]).all(axis=1)
+        rest, own = order[after & same], np.sort(order[~(after & same) & ~again])
         a = p[rest] - left[rest]
-        rows += _spans(k[rest], th[rest], a, a + span[rest] + LENGTH, parts, 1)
+        rows = _spans(owners[rest], a, a + span[rest] + LENGTH, parts)
+        hot = np.isin(gram[own], sent.value.grams)
+        some = own[~hot]
+        rows += [(r, 0, z) for r, z in dealt(sent.value.of_suffixes(around[some]), *owners[some].columns, p[some], left[some], span[some], around[some])]
+        some = own[hot]
+        for i in range(0, len(some), STRINGS // (REACH + 1)):
+            rows += apart(owners, p, left, span, around, some[i : i + STRINGS // (REACH + 1)])
         return _rows(rows, ("r", "kind", "z"))
 
+    def apart(owners: Owners, p: np.ndarray, left: np.ndarray, span: np.ndarray, around: np.ndarray, some: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """The strings of some suffixes, dealt to their ranges; those that are not the task's first are repeats already."""
+        row, offset, strings = strings_of(left[some], span[some], around[some])
+        at = some[row]
+        start = (p[at] - left[at] + offset).astype(np.int32)
+        place = np.unique(texts_of(strings), return_inverse=True)[1]
+        order, _, after, again = firsts(owners[at], start, place)
+        rest, own = order[after], order[~after & ~again]
+        rows = _spans(owners[at[rest]], start[rest], start[rest] + LENGTH, parts)
+        return rows + [(r, 1, z) for r, z in dealt(sent.value.of_strings(strings[own]), *owners[at[own]].columns, start[own], strings[own])]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, blobs in _blobs(batches, "r"):
-            rows = [(r, 0, z) for kind, z in blobs if kind == 1]
-            gram, whole, k, th, p, left, span = unpack([z for kind, z in blobs if kind == 0], *SUFFIX)
-            order, start, after = firsts(k, p, gram, whole)
-            rest, own = order[after], order[~after]
-            a = p[rest] - left[rest]
-            rows += _spans(k[rest], th[rest], a, a + span[rest] + LENGTH, parts, 0)
-            # own is sorted by gram, then by bytes: grams that have neighbours with other bytes
-            g, w = gram[own], whole[own]
-            other = np.zeros(len(g), bool)
-            other[1:] = (g[1:] == g[:-1]) & (w[1:] != w[:-1])
-            several = np.isin(g, g[other])
-            own = own[several]
-            rows += [(h, 2, z) for h, z in dealt(home(k[own], th[own], parts), gram[own], k[own], th[own], p[own], left[own], span[own])]
+            rows = [(r, 2, z) for kind, z in blobs if kind == 2]
+            rows += repeated_suffixes([z for kind, z in blobs if kind == 0], parts)
+            rows += repeated_strings([z for kind, z in blobs if kind == 1], parts)
             yield _rows(rows, ("h", "kind", "z"))
 
     first = df.mapInArrow(suffixes, "r int, kind int, z binary").repartition("r").sortWithinPartitions("r")
-    first = table(first.mapInArrow(compare, "h int, kind int, z binary"), "suffixes")
+    spans = table(first.mapInArrow(compare, "h int, kind int, z binary"), "spans")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Text rows: kind 3, the compressed text, with id and whether the id was null before it."""
@@ -291,45 +385,18 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
             rows = []
             for k, t in zip(b.column("k").to_pylist(), b.column("t"), strict=True):
                 data = (t.as_py() or "").encode("utf-8")
-                at = home(np.array([LAST if k is None else k]), np.array([text_hash(data)]), parts)
-                rows.append((int(at[0]), 3, (LAST if k is None else k).to_bytes(8, "little", signed=True) + bytes([k is None]) + compressed(data)))
+                at = Owners.of(k is None, k or 0, data, 1).home(parts)
+                rows.append((int(at[0]), 3, (k or 0).to_bytes(8, "little", signed=True) + bytes([k is None]) + compressed(data)))
             yield _rows(rows, ("h", "kind", "z"))
 
-    def with_texts(rows: DataFrame) -> DataFrame:
-        return df.mapInArrow(texts, "h int, kind int, z binary").unionByName(rows).repartition("h").sortWithinPartitions("h", "kind")
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, blobs, documents in _homes(batches):
-            gram, k, th, p, left, span = unpack(blobs, *DETAIL)
-            order = np.lexsort((th, k))
-            gram, k, th, p, left, span = (x[order] for x in (gram, k, th, p, left, span))
-            for i, _, data in documents:
-                a, b = _own(k, th, i, data)
-                if a == b:
-                    continue
-                raw = np.concatenate([np.zeros(REACH, np.uint8), np.frombuffer(data, np.uint8), np.zeros(LENGTH, np.uint8)])
-                around = np.lib.stride_tricks.sliding_window_view(raw, AROUND)[p[a:b]]
-                lead = np.zeros(b - a, np.uint64)
-                for c in range(4):
-                    lead = lead << np.uint64(8) | around[:, REACH + c]
-                where = np.searchsorted(cuts.value, range_keys(lead, gram[a:b]), "right").astype(np.int32)
-                yield _rows([(r, 0, z) for r, z in dealt(where, k[a:b], th[a:b], p[a:b], left[a:b], span[a:b], around)], ("r", "kind", "z"))
-
-    def sort_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _blobs(batches, "r"):
-            k, th, p, left, span, around = unpack([z for _, z in blobs], np.int64, np.int32, np.int32, np.uint8, np.uint8, (np.uint8, AROUND))
-            row, start = repeated_strings(around, k, p, left.astype(np.int64), span.astype(np.int64))
-            yield _rows(_spans(k[row], th[row], start, start + LENGTH, parts, 0), ("h", "kind", "z"))
-
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs, documents in _homes(batches):
-            k, th, a, b = unpack(blobs, *SPAN)
-            order = np.lexsort((th, k))
-            k, th, a, b = k[order], th[order], a[order], b[order]
+            *owner, a, b = unpack(blobs, *SPAN)
+            own = _by_owner(*owner)
             out: list[tuple] = []
             for i, null, data in documents:
-                x, y = _own(k, th, i, data)
-                starts, ends = merged(a[x:y], b[x:y])
+                at = own.get((null, i, text_hash(data)), np.zeros(0, np.int64))
+                starts, ends = merged(a[at], b[at])
                 kept = b"".join(data[e:s] for e, s in zip([0, *ends.tolist()], [*starts.tolist(), len(data)], strict=True))
                 out.append((None if null else i, len(data), len(data) - len(kept), len(starts), kept))
                 if len(out) >= 256:
@@ -337,11 +404,11 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
                     out = []
             yield _finished(out)
 
-    details = with_texts(first.filter("kind = 2")).mapInArrow(fetch, "r int, kind int, z binary")
-    second = details.repartition("r").sortWithinPartitions("r").mapInArrow(sort_strings, "h int, kind int, z binary")
-    second = table(second, "strings")
-    spans = first.filter("kind = 0").unionByName(second)
-    return with_texts(spans).mapInArrow(finish, "k long, n_bytes long, n_removed long, n_spans long, kept binary")
+    gathered = df.mapInArrow(texts, "h int, kind int, z binary").unionByName(spans).repartition("h").sortWithinPartitions("h", "kind")
+    out = gathered.mapInArrow(finish, "k long, n_bytes long, n_removed long, n_spans long, kept binary")
+    if ids is None:
+        return out
+    return lookup_join(out, ids, "k").select(F.col("id").alias("k"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def _finished(rows: list[tuple]) -> pa.RecordBatch:
@@ -350,33 +417,27 @@ def _finished(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())], ["k", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def _runs(k: np.ndarray, th: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Intervals of each document; those that overlap or touch become one."""
-    if not len(k):
-        return k, th.astype(np.int32), starts.astype(np.int32), ends.astype(np.int32)
-    order = np.lexsort((starts, th, k))
-    k, th, starts, ends = k[order], th[order], starts[order].astype(np.int64), ends[order].astype(np.int64)
-    document = np.cumsum(np.append(False, (k[1:] != k[:-1]) | (th[1:] != th[:-1])))
-    shift = document << np.int64(32)
-    a, b = merged(starts + shift, ends + shift)
-    at = np.searchsorted(document, a >> 32)
-    mask = np.int64((1 << 32) - 1)
-    return k[at], th[at].astype(np.int32), (a & mask).astype(np.int32), (b & mask).astype(np.int32)
-
-
-def _spans(k: np.ndarray, th: np.ndarray, starts: np.ndarray, ends: np.ndarray, parts: int, kind: int) -> list[tuple[int, int, bytes]]:
-    """Packed runs of the intervals, for the home of each document."""
-    runs = _runs(k, th, starts, ends)
-    return [(h, kind, z) for h, z in dealt(home(runs[0], runs[1], parts), *runs)]
+def _by_owner(none: np.ndarray, id_: np.ndarray, th: np.ndarray) -> dict[tuple[bool, int, int], np.ndarray]:
+    """The rows of each owner."""
+    order = np.lexsort((th, id_, none))
+    none, id_, th = none[order], id_[order], th[order]
+    cuts = np.append(np.flatnonzero(np.append(len(th) > 0, (none[1:] != none[:-1]) | (id_[1:] != id_[:-1]) | (th[1:] != th[:-1]))), len(th))
+    return {(bool(none[a]), int(id_[a]), int(th[a])): order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
 
 
-def _own(k: np.ndarray, th: np.ndarray, i: int, data: bytes) -> tuple[int, int]:
-    """Where the rows of a document lie in columns sorted by id and text hash."""
-    a, b = np.searchsorted(k, i, "left"), np.searchsorted(k, i, "right")
-    if a == b:
-        return 0, 0
-    h = text_hash(data)
-    return int(a + np.searchsorted(th[a:b], h, "left")), int(a + np.searchsorted(th[a:b], h, "right"))
+def _spans(owners: Owners, starts: np.ndarray, ends: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+    """Packed runs of the intervals of each document, for its home; intervals that overlap or touch become one."""
+    if not len(owners):
+        return []
+    none, id_, th = owners.columns
+    order = np.lexsort((starts, th, id_, none))
+    owners, starts, ends = owners[order], starts[order].astype(np.int64), ends[order].astype(np.int64)
+    at = np.arange(len(order))
+    document = np.cumsum(np.append(False, owners.differ(at[1:], at[:-1], text=True)))
+    shift = document << np.int64(32)
+    a, b = merged(starts + shift, ends + shift)
+    owners, mask = owners[np.searchsorted(document, a >> 32)], np.int64((1 << 32) - 1)
+    return [(h, 2, z) for h, z in dealt(owners.home(parts), *owners.columns, (a & mask).astype(np.int32), (b & mask).astype(np.int32))]
 
 
 def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], Iterator[tuple[int, bool, bytes]]]]:
@@ -402,39 +463,88 @@ def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]
             pass
 
 
-def repeated_strings(around: np.ndarray, k: np.ndarray, p: np.ndarray, left: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and start (in its document) of every string that also starts earlier.
-
-    around: REACH bytes before each anchor and LENGTH from it on. Multikey quicksort with eight bytes as a character: each
-    round sorts groups that are equal so far by the next character, parts them, and lets go of those that are alone."""
-    if not len(k):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    padded = np.ascontiguousarray(around)
-    row = np.repeat(np.arange(len(k)), span + 1)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)  # of the string's start from the first
-    at = REACH - left[row] + offset
-    group = np.zeros(len(row), np.int64)
-    for c in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
-        word = _characters(padded, row, at + c)
-        order = np.lexsort((word, group))
-        row, at, offset, group, word = row[order], at[order], offset[order], group[order], word[order]
-        new = np.append(True, (group[1:] != group[:-1]) | (word[1:] != word[:-1]))
-        group = np.cumsum(new)
-        many = np.bincount(group)[group] > 1
-        row, at, offset, group = row[many], at[many], offset[many], group[many]
-        if not len(row):
-            break
-    start = p[row] - left[row] + offset
-    order, _, after = firsts(k[row], start, group)
-    again = order[after]
-    return row[again], start[again]
-
-
-def _characters(rows: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from at on in each row, the first most significant."""
-    flat = rows.reshape(-1)
-    base = row * rows.shape[1] + at
-    out = np.zeros(len(row), np.uint64)
-    for c in range(8):
-        out = out << np.uint64(8) | flat[base + c]
+def equal_rows(character: Callable[[np.ndarray, int], np.ndarray], n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that equal another in all depth characters, and a number for each group of equal ones, in the rows' order.
+
+    Multikey quicksort: a pivot parts a segment by one character, and what equals the pivot goes on with the next. Small segments are
+    sorted character by character; rows that are alone are let go."""
+    rows_out, group_out, groups = [], [], 0
+    stack = [(np.arange(n), 0)]
+    while stack:
+        rows, d = stack.pop()
+        if d < depth and len(rows) > SMALL:
+            x = character(rows, d)
+            pivot = np.sort(x[:: max(1, len(x) // 9)])[4]
+            stack += [(rows[x > pivot], d), (rows[x == pivot], d + 1), (rows[x < pivot], d)]
+            continue
+        group = np.zeros(len(rows), np.int64)
+        for c in range(d, depth):
+            if len(rows) < 2:
+                break
+            x = character(rows, c)
+            order = np.lexsort((x, group))
+            rows, group, x = rows[order], group[order], x[order]
+            group = np.cumsum(np.append(True, (group[1:] != group[:-1]) | (x[1:] != x[:-1])))
+            many = np.bincount(group)[group] > 1
+            rows, group = rows[many], group[many]
+        if len(rows) > 1:
+            group = np.unique(group, return_inverse=True)[1]
+            rows_out.append(rows)
+            group_out.append(group + groups)
+            groups += int(group[-1]) + 1 if len(group) else 0
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(rows_out), np.concatenate(group_out)) if rows_out else (none, none)
+
+
+def characters(rows: np.ndarray, begin: np.ndarray | int, length: int, row: np.ndarray | None = None) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Eight bytes as a character, the first byte most significant, of texts of length bytes that begin at a place of a row; the last character may overlap the one before."""
+    flat = np.ascontiguousarray(rows).reshape(-1)
+    words = np.ndarray((max(len(flat) - 7, 0),), ">u8", flat.data, strides=(1,)) if len(flat) > 7 else np.zeros(0, ">u8")
+    base = (np.arange(len(rows)) if row is None else row) * rows.shape[1] + begin
+    return lambda at, c: words[base[at] + min(8 * c, length - 8)].astype(np.uint64)
+
+
+def repeated_suffixes(blobs: list[bytes], parts: int) -> list[tuple[int, int, bytes]]:
+    """Spans of the strings of a range's suffixes that also start earlier."""
+    *owner, p, left, span, around = unpack(blobs, *SUFFIX)
+    owners = Owners(*owner)
+    rows, gram = equal_rows(characters(around, REACH, GRAM), len(p), GRAM // 8)
+    if not len(rows):
+        return []
+    owners, p, left, span, around = owners[rows], p[rows], left[rows], span[rows], around[rows]
+    factors = mixed(np.arange(1, AROUND // 8 + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+    whole = mixed((np.ascontiguousarray(around).view(np.uint64) * factors).sum(axis=1, dtype=np.uint64))
+    order, start, after, again = firsts(owners, p, gram, left, span, whole)
+    same = (around[order] == around[order[start]]).all(axis=1)
+    rest, own = order[after & same], order[~(after & same) & ~again]
+    a = p[rest] - left[rest]
+    out = _spans(owners[rest], a, a + span[rest] + LENGTH, parts)
+    own = own[np.bincount(gram[own], minlength=1)[gram[own]] > 1]
+    # the strings of whole grams at a time, so that those of one meet
+    own = own[np.argsort(gram[own], kind="stable")]
+    ends = np.append(np.flatnonzero(np.diff(gram[own])) + 1, len(own))
+    total = np.append(0, np.cumsum(span[own].astype(np.int64) + 1))
+    done = 0
+    while done < len(own):
+        fit = np.searchsorted(total[ends], total[done] + STRINGS, "right") - 1
+        end = int(ends[max(fit, np.searchsorted(ends, done, "right"))])
+        some = own[done:end]
+        done = end
+        row, offset = strings_at(span[some])
+        at = some[row]
+        begin = REACH - left[at].astype(np.int64) + offset
+        out += _repeated(owners[at], (p[at] - left[at] + offset).astype(np.int32), characters(around[some], begin, LENGTH, row), parts)
     return out
+
+
+def repeated_strings(blobs: list[bytes], parts: int) -> list[tuple[int, int, bytes]]:
+    """Spans of a range's strings that also start earlier."""
+    *owner, start, strings = unpack(blobs, *STRING)
+    return _repeated(Owners(*owner), start, characters(strings, 0, LENGTH), parts)
+
+
+def _repeated(owners: Owners, start: np.ndarray, character: Callable[[np.ndarray, int], np.ndarray], parts: int) -> list[tuple[int, int, bytes]]:
+    rows, group = equal_rows(character, len(start), -(-LENGTH // 8))
+    order, _, after, _ = firsts(owners[rows], start[rows], group)
+    again = rows[order[after]]
+    return _spans(owners[again], start[again], start[again] + LENGTH, parts)

@@ -708,12 +708,13 @@ def test_lookups_without_broadcast(spark, monkeypatch):
 
 
 def plain_dedup(docs, length=100):
-    """docs in order of id; rows of one id are one document for what is earlier."""
+    """Rows of one id are one document for what is earlier; null comes after all."""
     first, out = {}, []
+    rank = lambda d: (d is None, 0 if d is None else d)
     for d, t in docs:
         data = (t or "").encode()
         for s in range(len(data) - length + 1):
-            key = (d, s)
+            key = (rank(d), s)
             x = data[s : s + length]
             if x not in first or key < first[x]:
                 first[x] = key
@@ -721,28 +722,91 @@ def plain_dedup(docs, length=100):
         data = (t or "").encode()
         gone = bytearray(len(data))
         for s in range(len(data) - length + 1):
-            if first[data[s : s + length]] < (d, s):
+            if first[data[s : s + length]] < (rank(d), s):
                 gone[s : s + length] = b"\1" * length
         runs = len(re.findall(rb"\x01+", bytes(gone)))
         kept = bytes(c for c, g in zip(data, gone, strict=True) if not g)
         out.append((d, len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
-    return out
+    return Counter(out)
 
 
 def dedup_rows(df):
-    return [(r["k"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in df.collect()]
+    return Counter((r["k"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in df.collect())
+
+
+def check_dedup(spark, rows):
+    docs = [(r[0], r[1]) for r in rows]
+    assert dedup_rows(suffix_dedup.repeats(frame(spark, rows))) == plain_dedup(docs)
+
+
+def repeating_documents():
+    return documents() + [row(20, "ab" * 400), row(21, LONG[1000:3000] + PASSAGE), row(22, "x" + PASSAGE), row(23, PASSAGE * 3), row(2**63 - 1, PASSAGE), row(-5, "z" + PASSAGE), row(21, "other " + LONG[1500:2500]), row(None, LONG[100:400])]
 
 
 def test_suffix_dedup_cases(spark):
-    docs = [r for r in documents() if r[0] is not None] + [row(20, "ab" * 400), row(21, LONG[1000:3000] + PASSAGE), row(22, "x" + PASSAGE), row(23, PASSAGE * 3)]
-    out = sorted(dedup_rows(suffix_dedup.repeats(frame(spark, docs))))
-    assert out == sorted(plain_dedup([(r[0], r[1]) for r in docs]))
+    check_dedup(spark, repeating_documents())
     assert suffix_dedup.repeats(frame(spark, [])).count() == 0
+    check_dedup(spark, [row(None, PASSAGE), row(5, PASSAGE)])
+
+
+def test_suffix_dedup_settles_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HELD", 50)
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 300)
+    monkeypatch.setattr(suffix_dedup, "SMALL", 10)
+    check_dedup(spark, repeating_documents())
 
 
-def test_suffix_dedup_null_id_comes_last(spark):
-    out = {r[0]: r for r in dedup_rows(suffix_dedup.repeats(frame(spark, [row(None, PASSAGE), row(5, PASSAGE)])))}
-    assert out[5][2] == 0 and out[None][2] == len(PASSAGE)
+def test_suffix_dedup_of_text_ids(spark):
+    rows = [("b", PASSAGE), ("a", PASSAGE + " more"), (None, PASSAGE), ("10", None)]
+    out = {r["k"]: r["n_removed"] for r in suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert out == {"a": 0, "b": len(PASSAGE), None: len(PASSAGE), "10": 0}
+
+
+@pytest.mark.parametrize("line", [60, 99, 130])
+def test_suffix_dedup_of_a_line_in_every_document(spark, line):
+    """One line in every document, with other text around it: its grams are split, and compared across boundaries."""
+    rng = np.random.default_rng(line)
+    words_ = lambda n: " ".join(str(x) for x in rng.integers(0, 10**6, n))
+    licence = words_(40)[:line]
+    rows = [row(i, f"{words_(6)} {'same' if i % 3 else 'other'} {licence}{' end' if i % 4 else ' stop'} {words_(20)}") for i in range(300)]
+    check_dedup(spark, rows)
+
+
+def test_hot_grams_are_split(spark):
+    """A gram that most documents have takes no range of its own: its strings are dealt by all their bytes."""
+    rng = np.random.default_rng(1)
+    powers = suffix_dedup.Powers()
+    sample = []
+    for _ in range(400):
+        raw = np.frombuffer((str(rng.integers(0, 10**18, 8)) + "licence " * 8 + str(rng.integers(0, 10**18, 8))).encode(), np.uint8)
+        _, left, span, gram, _, around = suffix_dedup.anchors(raw, powers)
+        sample.append((left, span, gram, around))
+    cuts = suffix_dedup.Splitters(sample, 40)
+    left, span, gram, around = (np.concatenate(x) for x in zip(*sample, strict=True))
+    hot = np.isin(gram, cuts.grams)
+    assert hot.sum() > 300  # the line's gram
+    _, _, strings = suffix_dedup.strings_of(left[hot], span[hot], around[hot])
+    share = np.bincount(cuts.of_strings(strings) - 40)
+    assert share.max() < 0.1 * len(strings)
+    assert np.bincount(cuts.of_suffixes(around[~hot])).max() < 0.1 * len(gram)
+
+
+def test_equal_rows_are_found_by_multikey_quicksort(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SMALL", 10)
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 3, (3000, 20)).astype(np.uint8)
+    rows[:, 4:18] = rows[:, :1]
+    for begin, length in ((0, 20), (2, 17), (0, 8)):
+        found, group = suffix_dedup.equal_rows(suffix_dedup.characters(rows, begin, length), len(rows), -(-length // 8))
+        by = defaultdict(set)
+        for r, g in zip(found.tolist(), group.tolist(), strict=True):
+            by[g].add(r)
+        want = defaultdict(set)
+        for i, x in enumerate(rows[:, begin : begin + length]):
+            want[x.tobytes()].add(i)
+        assert {frozenset(x) for x in by.values()} == {frozenset(x) for x in want.values() if len(x) > 1}
+        heads = [rows[min(by[g]), begin : begin + length].tobytes() for g in sorted(by)]
+        assert heads == sorted(heads)  # groups follow the rows' order
 
 
 def test_suffix_dedup_in_pieces(spark, monkeypatch):
@@ -755,16 +819,15 @@ def test_suffix_dedup_in_pieces(spark, monkeypatch):
     for _, t in data:
         raw = np.frombuffer(t.encode(), np.uint8)
         for at, piece in suffix_dedup.pieces(raw):
-            p, first, last, *_ = suffix_dedup.anchors(piece, powers)
-            total += int((last - first + 1).sum())
-            assert (p >= first.min()).all() and at % 700 == 0
+            p, left, span, *_ = suffix_dedup.anchors(piece, powers)
+            total += int((span.astype(int) + 1).sum())
+            assert (p >= left).all() and at % 700 == 0
     assert total == sum(len(t) - 99 for _, t in data)  # every string belongs to one anchor
 
 
 def test_suffix_dedup_smallest_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    assert sorted(dedup_rows(suffix_dedup.repeats(docs))) == sorted(plain_dedup(rows))
+    assert dedup_rows(suffix_dedup.repeats(docs)) == plain_dedup([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
 # Queries and the pipeline.
