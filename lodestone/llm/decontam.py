@@ -64,30 +64,61 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
 
 
 class HammingIndex:
-    """Finds all stored fingerprints within RADIUS bits of a query, by lists of those whose block is near a value."""
+    """Finds all stored fingerprints within RADIUS bits of queries, by lists of those whose block is near a value."""
 
-    def __init__(self, prints: np.ndarray):
-        self.prints = prints
-        order = [np.argsort(prints[:, b], kind="stable") for b in range(BLOCKS)]
-        self.lists = [(prints[o, b], o) for b, o in enumerate(order)]
-        self.examined = 0
+    #: Of up to so many fingerprints a block's list is found by looking at all of the block's values.
+    SHORT = len(_near)
 
-    def within(self, query: np.ndarray) -> np.ndarray:
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.lists, self.examined = prints, [], 0
+        if len(prints) > self.SHORT:
+            order = [np.argsort(prints[:, b], kind="stable") for b in range(BLOCKS)]
+            self.lists = [(prints[o, b], o) for b, o in enumerate(order)]
+
+    def within(self, queries: np.ndarray) -> np.ndarray:
+        """The fingerprints near one of the queries at least."""
+        if not self.lists:
+            found = np.zeros(len(self.prints), bool)
+            step = max(1, 100_000 // max(len(self.prints), 1))
+            for i in range(0, len(queries), step):
+                apart = np.bitwise_count(queries[i : i + step, None] ^ self.prints)
+                listed = (apart <= RADIUS // BLOCKS).any(axis=2)
+                self.examined += int(listed.sum())
+                found |= (listed & (apart.sum(axis=2, dtype=np.int32) <= RADIUS)).any(axis=0)
+            return np.flatnonzero(found)
+        return np.unique(np.concatenate([self._listed(q) for q in queries]))
+
+    def _listed(self, query: np.ndarray) -> np.ndarray:
         met = []
         for b, (values, order) in enumerate(self.lists):
-            if len(values) > len(_near):
-                want = query[b] ^ _near
-                left, right = np.searchsorted(values, want, "left"), np.searchsorted(values, want, "right")
-                met += [order[i:j] for i, j in zip(left[left < right].tolist(), right[left < right].tolist(), strict=True)]
-            else:
-                met.append(order[np.bitwise_count(values ^ query[b]) <= RADIUS // BLOCKS])
+            want = query[b] ^ _near
+            left, right = np.searchsorted(values, want, "left"), np.searchsorted(values, want, "right")
+            met += [order[i:j] for i, j in zip(left[left < right].tolist(), right[left < right].tolist(), strict=True)]
         some = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
         self.examined += len(some)
         return some[np.bitwise_count(self.prints[some] ^ query).sum(axis=1) <= RADIUS]
 
 
-class Known:
-    """Which shingles the benchmark has, as bits by hash: none is missed, and few others are taken for one."""
+class Exact:
+    """The shingles of a block of items, behind a mask by their leading bits that turns most others away."""
+
+    BITS = 22
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.mask = np.unique(hashes), np.zeros(1 << self.BITS, bool)
+        self.mask[self.hashes >> np.uint64(64 - self.BITS)] = True
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the shingles that some item has."""
+        at = np.flatnonzero(self.mask[hashes >> np.uint64(64 - self.BITS)])
+        if not len(at):
+            return at
+        found = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        return at[self.hashes[found] == hashes[at]]
+
+
+class Filter:
+    """Which shingles the whole benchmark has, as bits by hash: none is missed, and few others are taken for one."""
 
     def __init__(self, bits: int):
         self.shift, self.bits = np.uint64(64 - bits), np.zeros(1 << (bits - 3), np.uint8)
@@ -96,9 +127,9 @@ class Known:
         at = hashes >> self.shift
         np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes >> self.shift
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+        return np.flatnonzero((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
 
 
 def least_hits(m: int, n: int) -> int:
@@ -106,31 +137,35 @@ def least_hits(m: int, n: int) -> int:
     return int(np.ceil((m + n) * SIMILARITY / (1 + SIMILARITY) - 1e-9))
 
 
-def possible(hit: np.ndarray, m: int) -> np.ndarray:
-    """Starts of the windows of m shingles, or of the only one of a shorter text, with so many hits that they could be near an item of m."""
-    held = min(m, len(hit))
-    sums = np.append(0, np.cumsum(hit))
-    return np.flatnonzero(sums[held:] - sums[:-held] >= least_hits(m, held))
+def possible(hits: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Starts of the windows of m shingles, or of the only one of a shorter text of n, with so many hits (places, sorted) that they could be near an item of m."""
+    held = min(m, n)
+    need = least_hits(m, held)
+    if len(hits) < need:
+        return np.zeros(0, np.int64)
+    # a run of so many hits within a window's reach lets all windows pass that hold it
+    close = np.flatnonzero(hits[need - 1 :] - hits[: len(hits) - need + 1] < held)
+    first, last = np.maximum(hits[close + need - 1] - held + 1, 0), np.minimum(hits[close], n - held)
+    return np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)])) if len(close) else close
 
 
 class Screen:
     """The sizes of all items, and which shingles they have."""
 
-    def __init__(self, sizes: list[tuple[int, int]], known: Known):
-        self.sizes, self.known = sizes, known  # (words of a shingle, shingles)
+    def __init__(self, sizes: list[tuple[int, int]], known: Exact | Filter):
+        self.known, self.sizes = known, {}
+        for k, m in sizes:  # words of a shingle, shingles
+            self.sizes.setdefault(k, []).append(m)
 
     def starts(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Words of a shingle, shingles of a window, the text's shingles and the starts of windows that could be near an item."""
-        for k in sorted({k for k, _ in self.sizes}):
+        for k, sizes in self.sizes.items():
             hashes = shingles(words, k)
-            hit = self.known.has(hashes)
-            total = int(hit.sum())
-            if total:
-                for m in (m for j, m in self.sizes if j == k):
-                    if total >= least_hits(m, min(m, len(hashes))):
-                        found = possible(hit, m)
-                        if len(found):
-                            yield k, m, hashes, found
+            hits = self.known.hits(hashes)
+            for m in sizes if len(hits) else ():
+                found = possible(hits, len(hashes), m)
+                if len(found):
+                    yield k, m, hashes, found
 
 
 class Items:
@@ -145,13 +180,10 @@ class Items:
         widths = [min(len(w), SHINGLE) for w in words]
         flat = [shingles(w, k) for w, k in zip(words, widths, strict=True)]
         self.bags = [np.unique(x, return_counts=True) for x in flat]
-        self.known = Known(filter_bits(sum(len(t or "") for *_, t in rows)))
-        for x in flat:
-            self.known.add(x)
         sizes = [(k, len(x)) for k, x in zip(widths, flat, strict=True)]
-        self.screen = Screen(sorted(set(sizes)), self.known)
+        self.screen = Screen(sorted(set(sizes)), Exact(np.concatenate(flat) if flat else np.zeros(0, np.uint64)))
         self.by_size = {}
-        for size in self.screen.sizes:
+        for size in sorted(set(sizes)):
             own = np.array([i for i, x in enumerate(sizes) if x == size])
             sums = np.array([(signs(self.bags[i][0]) * self.bags[i][1][:, None]).sum(axis=0) for i in own])
             self.by_size[size] = (own, HammingIndex(fingerprints(sums)))
@@ -164,8 +196,7 @@ class Items:
             own, index = self.by_size[k, m]
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                 sums = np.vstack([np.zeros((1, BITS), np.int32), np.cumsum(signs(hashes[run[0] : run[-1] + held]), axis=0)])
-                prints = np.unique(fingerprints(sums[run - run[0] + held] - sums[run - run[0]]), axis=0)
-                near = np.unique(np.concatenate([own[index.within(q)] for q in prints]))
+                near = own[index.within(fingerprints(sums[run - run[0] + held] - sums[run - run[0]]))]
                 if len(near):
                     for s in run.tolist():
                         bag = np.unique(hashes[s : s + held], return_counts=True)
@@ -210,7 +241,7 @@ def _screen(items: DataFrame, size: int) -> Screen:
     bits = filter_bits(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known, sizes = WordHashes(), Known(bits), set()
+        hashes, known, sizes = WordHashes(), Filter(bits), set()
         for b in batches:
             for t in b.column("t"):
                 words = hashes.of(t.as_py())
@@ -219,7 +250,7 @@ def _screen(items: DataFrame, size: int) -> Screen:
                 sizes.add((k, len(words) - k + 1))
         yield pa.RecordBatch.from_arrays([pa.array([known.bits.tobytes()], pa.binary()), pa.array([[x for pair in sorted(sizes) for x in pair]], pa.list_(pa.int32()))], ["bits", "sizes"])
 
-    known, sizes = Known(bits), set()
+    known, sizes = Filter(bits), set()
     for row in items.select("t").coalesce(8).mapInArrow(run, "bits binary, sizes array<int>").toLocalIterator():  # a filter at a time, 8 of them
         known.bits |= np.frombuffer(row["bits"], np.uint8)
         sizes |= set(zip(row["sizes"][::2], row["sizes"][1::2], strict=True))
