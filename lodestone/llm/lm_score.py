@@ -1,20 +1,24 @@
-"""Log-probability of texts under a hashed, class-factored maximum-entropy model.
+"""Log-probability of texts under a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). The class softmax has hashed features of the context:
-the last word, the last two words, and the word before the last (skip), each a row of CLASSES weights in one table
-of ROWS rows, beside a bias for each class. Within a class a word has its count less a discount; what the discounts
-free is the share of unknown words, which count as one outcome as in the base score. No feature of the context reaches
-P(word | class): words of one class are told apart by their counts alone.
+P(word | context) = P(class | context) * P(word | class, context). The first softmax is over CLASSES classes; a class is parted into
+sub-classes by softmaxes of the same width until a word is alone, so that the product over its path is a softmax over all words of
+the class. Every softmax on the path, not the first alone, has the hashed features of the context beside its bias: the last word, the last two words, and the word before the
+last (skip). Each feature of each softmax is a row of CLASSES weights.
 
-Head words, the most frequent and HEAD at most, are dealt to classes by rank so that classes have about equal mass.
-Other words, known or not, have a class by their hash. A head of fixed size is broadcast; counts of other words
-are joined by shuffle, a row for each document and word.
+Head words, the most frequent and HEAD at most, are dealt to HEAD_CLASSES classes by rank so that classes have about equal mass, and parted further in the same way.
+Other words, known or not, have one of TAIL_CLASSES classes by their hash and within it their discounted count; what discounts free is the share of unknown words, which
+count as one outcome as in the base score. The head is broadcast; counts of other words, as many as the corpus has, are joined by shuffle, a row for each document and word.
 
-Training is distributed: every task takes gradient steps over its share of all training documents from the same start;
-the tasks' weights, as rows, are averaged by the words they saw and start the next round.
+Training is distributed: every task sums the gradient of the log-likelihood of all training texts at the start, where the weights are 0 and biases give each word
+its share: for each row the observed less the expected counts of its classes. The step divides it by the curvature as iterative scaling does, w = rate * log(1 + g / (p * (n + PRIOR))), with n the
+row's count and p the bias's share, so that rare contexts move little. Counts are whole numbers, so that scores do not depend on how
+texts are dealt to tasks.
+
+Rows are shared out to softmaxes by their mass. Their number grows with the training tokens up to ROWS, as the weights are broadcast; beyond it more contexts share a row.
 
 Defined cases: null and empty texts have the end token alone; a null id counts as the text "" in the hold-out rule; repeated rows are
-learned from and scored each; with no training documents weights stay 0 and every word is unknown; texts are read whole.
+learned from and scored each; words of equal counts are ranked by their bytes; an empty table gives no rows; with no training documents weights stay 0 and every word is unknown; texts of any
+length are read whole; kept columns with names of the result's columns give way to them.
 """
 
 from __future__ import annotations
@@ -25,23 +29,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import lookup_join, table, words_of
 
-#: Rows of the table of features, and classes of words.
-ROWS = 1 << 15
 HEAD_CLASSES, TAIL_CLASSES = 24, 8
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 HEAD = 1 << 17
 #: The head is cut between words of which one has 2 ** (1 / LEVELS) times the count of the other.
 LEVELS = 16
-ROUNDS = 1
-STEP = 0.05
-#: Weights stay between this and its negative.
-LIMIT = 8.0
+#: Rows of weights: one for so many training tokens, between these.
+TOKENS_A_ROW, ROWS = 16, (1 << 12, 1 << 18)
+#: Rates of the features: the last word, the last two, the word before the last. A row's count is taken with so many expected ones.
+RATES, PRIOR = (0.5, 0.3, 0.5), 20.0
+#: What a token counts in the sums; a part of it goes to the unknown words.
+UNIT = 64
+#: Rows of weights that are summed up together.
+BLOCK = 4096
 CHUNK = 8192
+#: Steps of a path after which words are parted by number, so that no path is long.
+EVEN = 6
 END = b"\n"  # no word holds a line feed
 #: Words that a task counts before it passes its counts on.
 HELD_WORDS = 400_000
@@ -77,42 +86,86 @@ def count_words(df: DataFrame) -> DataFrame:
 
 
 def tail_class(word: bytes) -> int:
-    return HEAD_CLASSES + xxhash.xxh32_intdigest(word, 7) % TAIL_CLASSES
+    return xxhash.xxh32_intdigest(word, 7) % TAIL_CLASSES
 
 
 class Model:
-    """What is broadcast: the head, of fixed size, and sums over the vocabulary."""
+    """What is broadcast: the head with its paths, and sums over the vocabulary."""
 
     def __init__(self, head: list[tuple[bytes, int]], n: int, v: int, singles: int, doubles: int, tail: dict[int, tuple[int, int]]):
         self.n, self.v = n, v
         self.discount = d = min(0.9, max(0.1, singles / (singles + 2 * doubles))) if singles + doubles else 0.5
         counts = np.array([c for _, c in head], float)
-        share = (np.cumsum(counts) - counts) / max(counts.sum(), 1)
-        classes = np.minimum((share * HEAD_CLASSES).astype(int), HEAD_CLASSES - 1)
         # the head's discounts, and one count, go to the unknown words of the tail classes in equal parts
         self.free = (d * len(head) + 1) / TAIL_CLASSES
         self.types = np.array([tail.get(k, (0, 0))[1] for k in range(TAIL_CLASSES)], float)
-        self.mass = np.full(CLASSES, 1e-6)
-        np.add.at(self.mass, classes, counts - d)
-        self.mass[HEAD_CLASSES:] = [tail.get(k, (0, 0))[0] + self.free for k in range(TAIL_CLASSES)]
-        within = np.log10((counts - d) / self.mass[classes])
-        base = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))
+        self.tail_mass = np.array([tail.get(k, (0, 0))[0] + self.free for k in range(TAIL_CLASSES)])
         self.head = {w: i for i, (w, _) in enumerate(head)}
-        # one place more, for codes of the tail
-        self.classes = np.append(classes, 0).astype(np.int16)
-        self.within, self.base = np.append(within, 0.0), np.append(base, 0.0)
-        self.lost = np.append(d / counts, 0.0).astype(np.float32)
-        self.bias = np.log(self.mass / self.mass.sum())
+        #: For each head word, then each tail class: the softmax at each step of the path, -1 beyond its end, and the class taken there.
+        self.node, self.taken, mass = paths(counts - d, self.tail_mass)
+        total = mass.sum(axis=1, keepdims=True)
+        self.share = mass / np.where(total > 0, total, 1)
+        self.bias = np.log(np.maximum(self.share, 1e-30)).astype(np.float32)
+        base = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))
+        self.base = np.append(base, np.zeros(TAIL_CLASSES))
+        lost = np.append(np.rint(UNIT * d / np.maximum(counts, 1)), np.zeros(TAIL_CLASSES)).astype(np.int64)
+        self.lost = np.minimum(lost, UNIT)
+        wanted = min(ROWS[1], max(ROWS[0], n // TOKENS_A_ROW)) / len(RATES)
+        self.size = np.maximum(1, np.rint(wanted * total[:, 0] / max(total.sum(), 1e-9))).astype(np.uint64)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int64)
+        self.rows = int(self.size.sum())  # for each feature
 
     def tail_within(self, c: np.ndarray, k: np.ndarray) -> np.ndarray:
         """log10 P(word | class) of words of tail class k with training count c."""
-        mass = self.mass[HEAD_CLASSES + k]
         free = self.discount * self.types[k] + self.free
-        return np.log10(np.where(c > 0, np.maximum(c - self.discount, 1e-9), free) / mass)
+        return np.log10(np.where(c > 0, np.maximum(c - self.discount, 1e-9), free) / self.tail_mass[k])
+
+    def row(self, j: int, feature: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The row of a hashed context (feature j) for a softmax."""
+        x = feature ^ (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        x = ((x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+        return ((x * self.size[node]) >> np.uint64(32)).astype(np.int64) + (self.start[node] + j * self.rows)
+
+    def node_of_rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size)), self.size.astype(np.int64))
+
+
+def parted(mass: np.ndarray, classes: int, depth: int) -> np.ndarray:
+    """A class for each word: runs of about equal mass, far down of equal length, or each word alone if they are so few."""
+    if len(mass) <= classes:
+        return np.arange(len(mass))
+    if depth >= EVEN:
+        return np.arange(len(mass)) * classes // len(mass)
+    share = (np.cumsum(mass) - mass) / max(mass.sum(), 1e-9)
+    return np.minimum((share * classes).astype(int), classes - 1)
+
+
+def paths(mass: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Softmaxes and classes on the way to each word and tail class, and the masses of each softmax's classes."""
+    steps: list[tuple[int, np.ndarray, int, np.ndarray]] = []
+    masses: list[np.ndarray] = []
+    stack = [(np.arange(len(mass)), 0)]
+    while stack:
+        words, depth = stack.pop()
+        own = parted(mass[words], CLASSES if depth else HEAD_CLASSES, depth)
+        sums = np.bincount(own, mass[words], minlength=CLASSES) if len(words) else np.zeros(CLASSES)
+        if not depth:
+            sums[HEAD_CLASSES:] = tail
+        steps.append((depth, words, len(masses), own))
+        masses.append(sums)
+        cuts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
+        stack += [(words[a:b], depth + 1) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 1]
+    deep = 1 + max(depth for depth, *_ in steps)
+    node = np.full((len(mass) + len(tail), deep), -1, np.int32)
+    taken = np.zeros((len(mass) + len(tail), deep), np.int8)
+    for depth, words, i, own in steps:
+        node[words, depth], taken[words, depth] = i, own
+    node[len(mass) :, 0], taken[len(mass) :, 0] = 0, HEAD_CLASSES + np.arange(len(tail))
+    return node, taken, np.array(masses)
 
 
 class Words(dict):
-    """Word to (head place or -1 - tail class) packed with its 32-bit hash; forgets all when full."""
+    """Word to its place in the head, or beyond it its tail class, packed with its 32-bit hash; forgets all when full."""
 
     def __init__(self, head: dict[bytes, int]):
         super().__init__()
@@ -122,13 +175,13 @@ class Words(dict):
         if len(self) >= HELD_WORDS:
             self.clear()
         place = self.head.get(word, -1)
-        code = place if place >= 0 else HEAD + tail_class(word) - HEAD_CLASSES
+        code = place if place >= 0 else len(self.head) + tail_class(word)
         self[word] = packed = (xxhash.xxh32_intdigest(word) << 24) | code
         return packed
 
 
-def encode(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Codes, context features (three for each token) and owners of all tokens of the texts, and the tokens."""
+def encode(texts: list[str | None], words: Words) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[bytes]]:
+    """Codes, context features (three hashes for each token) and owners of all tokens of the texts, and the tokens."""
     flat: list[bytes] = []
     ends = []
     for t in texts:
@@ -137,81 +190,99 @@ def encode(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarra
     sizes = np.diff(ends, prepend=0)
     packed = np.fromiter(map(words.__getitem__, flat), np.uint64, len(flat))
     code = (packed & np.uint64(0xFFFFFF)).astype(np.int64)
-    h = packed >> np.uint64(24)
+    h = (packed >> np.uint64(24)) + np.uint64(3)
     start = np.cumsum(sizes) - sizes
     one = np.roll(h, 1)
     two = np.roll(h, 2)
     one[start] = 1
     two[start] = 2
     two[(start + 1)[sizes > 1]] = 2
-    mix = lambda x, salt: ((x * np.uint64(0x9E3779B97F4A7C15 + 2 * salt)) >> np.uint64(64 - 15)).astype(np.int64)
-    f = np.stack([mix(one, 1), mix(one * np.uint64(0xC2B2AE3D27D4EB4F) ^ two, 2), mix(two, 3)], axis=1)
-    return code, f, np.repeat(np.arange(len(texts)), sizes), flat
-
-
-def margins(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """log P(class | context) but for a constant, a row for each token; so bounded by LIMIT that no exponential overflows."""
-    x = w[f[:, 0]]
-    x += w[f[:, 1]]
-    x += w[f[:, 2]]
-    x += bias
-    return x
-
-
-def log_classes(w: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """log P(y | context)."""
-    x = margins(w, bias, f)
-    return x[np.arange(len(y)), y] - np.log(np.exp(x).sum(axis=1))
-
-
-def class_of(code: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return np.where(code < HEAD, classes[np.minimum(code, len(classes) - 1)], HEAD_CLASSES + code - HEAD)
-
-
-def train_round(df: DataFrame, sent, start) -> np.ndarray:
-    """Weights after each task's steps over its texts, averaged by tokens; the driver gets ROWS rows of CLASSES sums."""
-
+    mix = lambda x: (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return code, [mix(one * np.uint64(0x9E3779B97F4A7C15)), mix(one * np.uint64(0xC2B2AE3D27D4EB4F) ^ two), mix(two * np.uint64(0xD6E8FEB86659FD93))], np.repeat(np.arange(len(texts)), sizes), flat
+
+
+def steps(model: Model, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens, their softmax and the class that they take there, step by step."""
+    at = np.arange(len(code))
+    for depth in range(model.node.shape[1]):
+        node = model.node[code[at], depth]
+        at, node = at[node >= 0], node[node >= 0]
+        if not len(at):
+            return
+        yield at, node, model.taken[code[at], depth]
+
+
+def log_words(model: Model, weights: np.ndarray, code: np.ndarray, f: list[np.ndarray]) -> np.ndarray:
+    """Natural log of P(head word or tail class | context)."""
+    out = np.zeros(len(code))
+    for at, node, taken in steps(model, code):
+        x = model.bias[node]
+        for j, feature in enumerate(f):
+            x += weights[model.row(j, feature[at], node)]
+        out[at] += x[np.arange(len(at)), taken] - np.log(np.exp(x).sum(axis=1))
+    return out
+
+
+def observe(model: Model, code: np.ndarray, f: list[np.ndarray], sums: np.ndarray) -> None:
+    """Adds the classes taken in each row, in parts of UNIT.
+
+    A word's own count would not know it but for the rest of its occurrences, so the share that its discount has of it counts for an unknown word."""
+    for depth, (at, node, taken) in enumerate(steps(model, code)):
+        lost = model.lost[code[at]]
+        some = np.flatnonzero(lost) if depth == 0 else np.zeros(0, np.int64)
+        for j, feature in enumerate(f):
+            row = model.row(j, feature[at], node) * CLASSES
+            np.add.at(sums, row + taken, UNIT - lost)
+            if len(some):
+                np.add.at(sums, row[some] + HEAD_CLASSES + code[at][some] % TAIL_CLASSES, lost[some])
+
+
+def train(df: DataFrame, sent) -> np.ndarray:
+    """Weights, a row of CLASSES for each row of each feature, from the texts (column t) of df.
+
+    Each task sums over its texts; sums are added up in blocks of rows by as many tasks, which also take the step; the driver gets the weights alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, w0 = sent.value, start.value
-        w, bias, words = w0.copy(), model.bias.astype(np.float32), Words(model.head)
-        squares = np.full(ROWS, 1.0, np.float32)
-        seen = np.zeros(ROWS, np.int64)
+        model = sent.value
+        words, sums, seen = Words(model.head), np.zeros(len(RATES) * model.rows * CLASSES, np.int64), False
         for b in batches:
             texts = b.column("t").to_pylist()
             for i in range(0, len(texts), 64):
-                code, f, _, _ = encode(texts[i : i + 64], words)
-                y = class_of(code, model.classes)
-                # left out of its own count, a word would be unknown with the share that its discount has of it
-                lost = model.lost[np.minimum(code, len(model.lost) - 1)]
-                for j in range(0, len(code), CHUNK):
-                    fj, yj, unknown = f[j : j + CHUNK], y[j : j + CHUNK], lost[j : j + CHUNK]
-                    g = np.exp(margins(w, bias, fj))
-                    g /= g.sum(axis=1, keepdims=True)
-                    g[np.arange(len(yj)), yj] -= 1 - unknown
-                    g[:, HEAD_CLASSES:] -= unknown[:, None] / TAIL_CLASSES
-                    flat = fj.ravel()
-                    order = np.argsort(flat.astype(np.int16), kind="stable")
-                    met = flat[order]
-                    last = np.append(np.flatnonzero(met[1:] != met[:-1]), len(met) - 1)
-                    total = np.cumsum(g[order // 3], axis=0)[last]
-                    total[1:] -= total[:-1].copy()  # sums of each row of features
-                    rows = met[last]
-                    squares[rows] += np.einsum("ij,ij->i", total, total) / CLASSES
-                    total *= (STEP / np.sqrt(squares[rows]))[:, None]
-                    w[rows] = np.clip(w[rows] - total, -LIMIT, LIMIT)
-                    seen[rows] += np.diff(last, prepend=-1)
-        at = np.flatnonzero(seen)
-        step = (w[at] - w0[at]) * seen[at, None]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * CLASSES), pa.array(step.astype(np.float32).ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at]), lists], ["r", "n", "g"])
-
-    parts = df.mapInArrow(run, "r int, n long, g array<float>")
-    sums = [F.sum(F.col("g")[k].cast("double")).alias(f"g{k}") for k in range(CLASSES)]
-    found = parts.groupBy("r").agg(F.sum("n").alias("n"), *sums).toPandas()  # ROWS rows at most
-    w = start.value.copy()
-    if len(found):
-        w[found.r.to_numpy()] += (found[[f"g{k}" for k in range(CLASSES)]].to_numpy() / found[["n"]].to_numpy()).astype(np.float32)
-    return w
+                code, f, *_ = encode(texts[i : i + 64], words)
+                seen = True
+                for k in range(0, len(code), CHUNK):
+                    observe(model, code[k : k + CHUNK], [x[k : k + CHUNK] for x in f], sums)
+        if seen:
+            size, pack = BLOCK * CLASSES, zstandard.ZstdCompressor(level=1)
+            for k in range(0, len(sums), size):
+                part = sums[k : k + size]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k // size], pa.int32()), pa.array([pack.compress(part.tobytes())], pa.binary())], ["block", "z"])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        share = model.share[model.node_of_rows()]
+        held: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            for block, z in zip(b.column("block").to_pylist(), b.column("z"), strict=True):
+                part = np.frombuffer(unpack.decompress(z.as_py()), np.int64)
+                held[block] = held[block] + part if block in held else part
+        for block, sums in held.items():
+            observed = sums.reshape(-1, CLASSES) / UNIT
+            row = block * BLOCK + np.arange(len(observed))
+            p, rate = share[row % model.rows], np.array(RATES)[row // model.rows]
+            n = observed.sum(axis=1, keepdims=True)
+            gradient = observed - n * p
+            scaled = np.maximum(gradient / np.where(p > 0, p * (n + PRIOR), 1.0), -1 + 1e-9)
+            w = np.where(p > 0, rate[:, None] * np.log1p(scaled), 0.0).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([w.tobytes()], pa.binary())], ["block", "w"])
+
+    parts = df.mapInArrow(run, "block int, z binary").repartition("block")
+    weights = np.zeros((len(RATES) * sent.value.rows, CLASSES), np.float32)
+    for row in parts.mapInArrow(step, "block int, w binary").collect():  # ROWS rows of CLASSES numbers at most
+        part = np.frombuffer(row["w"], np.float32).reshape(-1, CLASSES)
+        weights[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
+    return weights
 
 
 def fit(df: DataFrame, counts: DataFrame):
@@ -234,7 +305,7 @@ def fit(df: DataFrame, counts: DataFrame):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mass, types = np.zeros(TAIL_CLASSES, np.int64), np.zeros(TAIL_CLASSES, np.int64)
             for b in batches:
-                k = np.array([tail_class(w) - HEAD_CLASSES for w in b.column("w").to_pylist()], np.int64)
+                k = np.array([tail_class(w) for w in b.column("w").to_pylist()], np.int64)
                 np.add.at(mass, k, b.column("c").to_numpy())
                 np.add.at(types, k, 1)
             yield pa.RecordBatch.from_arrays([pa.array(range(TAIL_CLASSES), pa.int32()), pa.array(mass), pa.array(types)], ["k", "m", "v"])
@@ -243,15 +314,16 @@ def fit(df: DataFrame, counts: DataFrame):
         tail = {x["k"]: (x["m"], x["v"]) for x in found}
     model = Model(words, sums["n"] or 0, sums["v"] or 0, sums["a"] or 0, sums["b"] or 0, tail)
     sent = spark.sparkContext.broadcast(model)
-    weights = spark.sparkContext.broadcast(np.zeros((ROWS, CLASSES), np.float32))
-    for _ in range(ROUNDS):
-        weights = spark.sparkContext.broadcast(train_round(df, sent, weights))
-    return sent, weights
+    return sent, spark.sparkContext.broadcast(train(df, sent))
+
+
+SCORED = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
-    df = docs.select(F.struct(*keep).alias("row"), held_out(F.col(key)).alias("h"), F.col(text).alias("t"))
+    """The columns of keep, and held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
+    keep = [c for c in keep if c not in SCORED]
+    df = docs.select(F.struct(*(keep or [F.lit(None).alias("none")])).alias("row"), held_out(F.col(key)).alias("h"), F.col(text).alias("t"))
     training = df.filter(~F.col("h")).select("t")
     counts = table(count_words(training), "words")
     sent, weights = fit(training, counts)
@@ -259,20 +331,17 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, w = sent.value, weights.value
-        bias, words = model.bias.astype(np.float32), Words(model.head)
+        words, head = Words(model.head), len(model.head)
         for b in batches:
             texts = b.column("t").to_pylist()
             for i in range(0, len(texts), 64):
                 part = texts[i : i + 64]
                 code, f, owner, flat = encode(part, words)
-                y = class_of(code, model.classes)
                 logs = np.empty(len(code))
                 for j in range(0, len(code), CHUNK):
-                    yj = y[j : j + CHUNK]
-                    logs[j : j + CHUNK] = log_classes(w, bias, f[j : j + CHUNK], yj)
-                known = code < HEAD
-                place = np.minimum(code, len(model.within) - 1)
-                logs = logs / np.log(10) + np.where(known, model.within[place], 0.0)
+                    logs[j : j + CHUNK] = log_words(model, w, code[j : j + CHUNK], [x[j : j + CHUNK] for x in f])
+                known = code < head
+                logs /= np.log(10)
                 sums = lambda x, m=len(part), o=owner: np.bincount(o, x, minlength=m)
                 rest: list[Counter] = [Counter() for _ in part]
                 for q in np.flatnonzero(~known).tolist():
@@ -282,20 +351,20 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[
                 held = b.slice(i, len(part))
                 yield pa.RecordBatch.from_arrays(
                     [held.column("row"), held.column("h"), pa.array(sums(np.ones(len(code))).astype(np.int64)), pa.array(sums(known).astype(np.int64)),
-                     pa.array(sums(np.where(known, model.base[place], 0.0))), pa.array(sums(logs)), lists],
+                     pa.array(sums(model.base[code])), pa.array(sums(logs)), lists],
                     ["row", "h", "n", "known", "base", "score", "rest"],
                 )
 
     parts = table(df.mapInArrow(run, f"row {kind}, h boolean, n long, known long, base double, score double, rest array<struct<w:binary,n:int>>").withColumn("id", F.monotonically_increasing_id()), "scored")
     model = sent.value
     rest = parts.select("id", F.explode("rest").alias("x")).select("id", "x.w", "x.n")
-    rest = rest.join(counts, "w", "left").select("id", "w", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    rest = lookup_join(rest, counts, "w").select("id", "w", "n", F.coalesce("c", F.lit(0)).alias("c"))
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
             c, n = b.column("c").to_numpy(), b.column("n").to_numpy()
-            k = np.array([tail_class(w) - HEAD_CLASSES for w in b.column("w").to_pylist()], np.int64)
+            k = np.array([tail_class(w) for w in b.column("w").to_pylist()], np.int64)
             base = n * np.log10((c + 0.5) / (model.n + 0.5 * (model.v + 1)))
             ids, at = np.unique(b.column("id").to_numpy(), return_inverse=True)
             sums = lambda x: np.bincount(at, x, minlength=len(ids))
@@ -305,7 +374,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[
     added = added.agg(*(F.sum(x).alias(f"{x}_2") for x in ("known", "base", "score")))
     zero = lambda x: F.coalesce(F.col(f"{x}_2"), F.lit(0))
     return parts.drop("rest").join(added, "id", "left").select(
-        "row.*",
+        *(F.col(f"row.{c}") for c in keep),
         F.col("h").alias("held_out"),
         F.col("n").alias("n_tokens"),
         (F.col("known") + zero("known")).alias("n_known"),

@@ -336,9 +336,11 @@ def test_lm_base_score(spark, sf):
 
 
 def test_lm_cases(spark):
-    docs = frame(spark).filter("doc_id is not null")
-    check_lm(docs, lm_score.score(docs))
+    check_lm(frame(spark), lm_score.score(frame(spark)))
     assert lm_score.score(frame(spark, [])).count() == 0
+    clash = frame(spark).withColumn("score", F.lit("x"))
+    out = lm_score.score(clash, keep=("doc_id", "score", "row"))
+    assert out.columns == ["doc_id", "row", *lm_score.SCORED] and out.schema["score"].dataType.simpleString() == "double"
 
 
 def test_lm_without_training_texts(spark):
@@ -349,43 +351,121 @@ def test_lm_without_training_texts(spark):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
 
 
+def is_held(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+
+
 def check_lm(docs, scored):
     rows = docs.select("doc_id", "text").collect()
-    out = {r["doc_id"]: r for r in scored.collect()}
-    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    seen = Counter(w for r in rows if not held(r["doc_id"]) for w in [*words(r["text"]), b"\n"])
+    seen = Counter(w for r in rows if not is_held(r["doc_id"]) for w in [*words(r["text"]), b"\n"])
     n, v = sum(seen.values()), len(seen)
+    want = []
     for r in rows:
-        t, o = [*words(r["text"]), b"\n"], out[r["doc_id"]]
+        t = [*words(r["text"]), b"\n"]
         base = sum(math.log10((seen[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        assert o["held_out"] == held(r["doc_id"]) and o["n_tokens"] == len(t) and o["train_tokens"] == n
-        assert o["n_known"] == sum(w in seen for w in t)
-        assert abs(o["base_score"] - base) < 1e-6 * max(1, abs(base))
-        assert o["score"] < 0 and math.isfinite(o["score"])
+        want.append((r["doc_id"], is_held(r["doc_id"]), len(t), sum(w in seen for w in t), n, f"{base:.6g}"))
+    out = scored.collect()
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], f"{r['base_score']:.6g}") for r in out) == Counter(want)
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
 
 
 def test_lm_probabilities_sum_to_one():
-    head = [(b"a", 50), (b"b", 30), (b"c", 5), (b"d", 1)]
-    m = lm_score.Model(head, 90, 6, 2, 1, {0: (3, 2), 2: (1, 1)})
-    w = np.random.default_rng(0).normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32)
-    f = np.array([[1, 2, 3]])
-    p = np.exp([lm_score.log_classes(w, m.bias.astype(np.float32), f, np.array([k]))[0] for k in range(lm_score.CLASSES)])
-    assert abs(p.sum() - 1) < 1e-5
-    for k in range(lm_score.CLASSES):
-        inside = 10 ** m.within[:4][m.classes[:4] == k]
-        if k >= lm_score.HEAD_CLASSES:
-            t = k - lm_score.HEAD_CLASSES
-            counts = {0: [2, 1], 2: [1]}.get(t, [])
-            known = [10 ** m.tail_within(np.array([c]), np.array([t]))[0] for c in counts]
-            inside = [*known, 10 ** m.tail_within(np.array([0]), np.array([t]))[0]]
-        if len(inside):
-            assert abs(sum(inside) - 1) < 1e-4
-
-
-def test_lm_tells_all_classes_apart():
-    m = lm_score.Model([(b"%d" % i, 10) for i in range(24)], 240, 24, 0, 0, {})
-    assert len(set(m.classes[:24].tolist())) == 24
-    assert {lm_score.tail_class(b"%d" % i) for i in range(500)} == set(range(24, 32))
+    rng = np.random.default_rng(0)
+    head = [(b"w%d" % i, int(c)) for i, c in enumerate(sorted(rng.integers(2, 5000, 3000), reverse=True))]
+    m = lm_score.Model(head, sum(c for _, c in head) + 4, 3003, 2, 1, {0: (3, 2), 2: (1, 1)})
+    assert m.node.shape[1] >= 3
+    weights = rng.normal(size=(3 * m.rows, lm_score.CLASSES)).astype(np.float32)
+    every = np.arange(len(m.node))
+    f = [np.full(len(every), x, np.uint64) for x in (1, 2, 3)]
+    p = np.exp(lm_score.log_words(m, weights, every, f))
+    assert abs(p.sum() - 1) < 1e-4
+    for k, counts in ((0, [2, 1]), (2, [1]), (5, [])):  # within a tail class: known words and the unknown one
+        inside = 10 ** m.tail_within(np.array([*counts, 0]), np.full(len(counts) + 1, k))
+        assert abs(inside.sum() - 1) < 1e-4
+
+
+def test_lm_tells_all_words_apart():
+    head = [(b"w%d" % i, 1000 - i // 4) for i in range(2000)]
+    m = lm_score.Model(head, 1, 1, 0, 0, {})
+    ways = {tuple(zip(m.node[i].tolist(), m.taken[i].tolist(), strict=True)) for i in range(len(m.node))}
+    assert len(ways) == 2000 + lm_score.TAIL_CLASSES
+    assert len(set(m.taken[:2000, 0].tolist())) == lm_score.HEAD_CLASSES and m.taken[2000:, 0].tolist() == list(range(24, 32))
+    assert {lm_score.tail_class(b"%d" % i) for i in range(500)} == set(range(8))
+
+
+def test_lm_knows_words_of_one_class_by_their_context(spark):
+    """Of two equally frequent words one always follows "new"."""
+    train = [i for i in range(400) if not is_held(i)][:200]
+    texts = [f"new york f{i % 40} g{i % 37} h{i % 31} old boston" if i % 2 else f"the old boston h{i % 31} new york g{i % 37}" for i in range(200)]
+    i, j = [i for i in range(400) if is_held(i)][:2]
+    rows = [row(k, t) for k, t in zip(train, texts, strict=True)] + [row(i, "new york"), row(j, "new boston")]
+    out = {r["doc_id"]: r["score"] for r in lm_score.score(frame(spark, rows)).collect()}
+    assert out[i] > out[j] + 0.5
+
+
+def plain_scores(docs):
+    """The model in plain loops, over the same classes and rows."""
+    train = [t for i, t in docs if not is_held(i)]
+    seen = Counter(w for t in train for w in lm_score.tokens(t))
+    by = Counter(seen.values())
+    head = sorted(seen.items(), key=lambda x: (-x[1], x[0]))
+    m = lm_score.Model(head, sum(seen.values()), len(seen), by[1], by[2], {})
+
+    def visits(t):
+        code, f, _, flat = lm_score.encode([t], lm_score.Words(m.head))
+        for q in range(len(code)):
+            way = [(int(n), int(c)) for n, c in zip(m.node[code[q]], m.taken[code[q]], strict=True) if n >= 0]
+            yield flat[q], int(code[q]), [(n, c, [int(m.row(j, f[j][q : q + 1], np.array([n]))[0]) for j in range(3)]) for n, c in way]
+
+    sums = defaultdict(Counter)
+    for t in train:
+        for _, code, way in visits(t):
+            lost = int(m.lost[code])
+            for depth, (_, c, rows) in enumerate(way):
+                for r in rows:
+                    sums[r][c] += 64 - lost
+                    if lost and depth == 0:
+                        sums[r][24 + code % 8] += lost
+
+    def weight(r, n, c):
+        p = m.share[n, c]
+        if r not in sums or p <= 0:
+            return 0.0
+        total = sum(sums[r].values()) / 64
+        return (0.5, 0.3, 0.5)[r // m.rows] * math.log1p(max((sums[r][c] / 64 - total * p) / (p * (total + 20)), -1 + 1e-9))
+
+    out = []
+    for i, t in docs:
+        total = 0.0
+        for w, code, way in visits(t):
+            for n, c, rows in way:
+                x = [math.log(max(m.share[n, k], 1e-30)) + sum(weight(r, n, k) for r in rows) for k in range(lm_score.CLASSES)]
+                total += (x[c] - math.log(sum(map(math.exp, x)))) / math.log(10)
+            if code >= len(head):
+                total += float(m.tail_within(np.array([0]), np.array([lm_score.tail_class(w)]))[0])
+        out.append((i, total))
+    return out
+
+
+def test_lm_scores_are_those_of_a_plain_model(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(20).collect()]
+    docs = [(i, (t or "")[:400]) for i, t in docs] + [(20_001, "a b c a b c"), (20_002, None)]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, want in plain_scores(docs):
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_scores_do_not_depend_on_the_deal(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, four = ({r["doc_id"]: r["score"] for r in lm_score.score(docs.repartition(n)).collect()} for n in (1, 4))
+    assert one.keys() == four.keys() and all(one[i] == pytest.approx(four[i], rel=1e-6) for i in one)
+
+
+def test_lm_with_a_small_head(spark, sf, monkeypatch):
+    """Words beyond the head are known by their joined counts."""
+    monkeypatch.setattr(lm_score, "HEAD", 500)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    check_lm(docs, lm_score.score(docs))
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark, sf):
