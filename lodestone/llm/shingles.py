@@ -12,7 +12,7 @@ from .common import words_of
 
 SHINGLE = 5
 #: Words whose hashes a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 def _odd(i: int) -> np.uint64:
