@@ -1,15 +1,20 @@
-"""Personal data: patterns propose spans, checksums confirm them, words nearby move their score.
+"""Personal data and secrets: patterns propose spans, checks confirm them, words nearby move their score.
 
 Expressions are native throughout. Places are code points, ends exclusive. Matches are
 leftmost and do not overlap within a kind; those that a validator refuses are dropped
 without another try. Account numbers (IBAN) are tried from every start: of the texts there that end
-before a space or at the last letter or digit, the longest that mod-97 confirms.
+before a space or at the last letter or digit, the longest that mod-97 confirms. Secrets are long runs of letters and digits, both of
+them and of enough different ones.
+
+A kind has a score of its own; one of its words, as a whole word within REACH characters before or after the span, raises it. Base kinds keep every
+confirmed span, whatever its score; the others keep those that score ACCEPT, which social security numbers and secrets reach by such words alone.
 
 Patterns use possessive repeats and look-behinds so that each is linear in the text; they
 match exactly what the plain patterns beside them match.
 
 Defined cases: a null text is empty and has no spans; long texts are read whole; repeated
-rows are judged each; an empty table gives no rows; other columns of docs are kept in row.
+rows are judged each; spans of different kinds may overlap, and are listed by kind, then by start; an empty table gives no rows; other columns of docs,
+whatever their names, are kept in row.
 """
 
 from __future__ import annotations
@@ -28,13 +33,15 @@ class Kind:
     #: True for a text that may hold a match; cheap.
     hint: str
     score: float
-    #: Lower-case words that raise the score if they stand within REACH before the span.
+    #: Lower-case words that raise the score if they stand within REACH of the span.
     near: str
     base: bool
 
 
 #: An account number and what of the words after it looks like more of it; LONGEST has room for 34 characters, spaces between them and one more.
 ACCOUNT, LONGEST = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", 68
+#: Characters of the longest secret.
+SECRET = 512
 REACH = 48
 CONTEXT = 0.35
 ACCEPT = 0.5
@@ -51,6 +58,7 @@ KINDS = (
     # the start alone, as what follows may be eaten too; _accounts() finds the end
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", "", 0.8, "iban|account|bank|konto|compte|cuenta", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social|security|tax", False),
+    Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", "", 0.3, "token|secret|password|passwd|pwd|key|apikey|api_key|access_key|bearer|credential|credentials", False),
 )
 
 
@@ -91,6 +99,9 @@ def _valid(kind: str, m: Column) -> Column:
         return F.when(F.length(packed).between(15, 34), mod97(packed)).otherwise(False)
     if kind == "ssn":
         return ~m.rlike("^(000|666|9)") & ~m.rlike("-00-|-0000$")
+    if kind == "secret":
+        characters = F.size(F.array_distinct(F.split(m, "")))
+        return F.when(F.length(m) > SECRET, False).otherwise(m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (characters >= 8))
     return F.lit(True)
 
 
@@ -142,11 +153,18 @@ def _spans(t: Column, kind: Kind) -> Column:
     """The spans that the validator of the kind confirms; null where none are proposed."""
     ends = F.col(f"_e_{kind.name}")
 
+    word = rf"(?<![\p{{L}}\p{{N}}])(?:{kind.near})(?![\p{{L}}\p{{N}}])"
+
     def span(m: Column, start: Column) -> Column:
+        end = start + F.length(m)
         left = F.greatest(start - REACH, F.lit(0))
-        before = F.lower(F.substr(t, left + 1, start - left))
-        score = F.lit(kind.score) + F.when(before.rlike(kind.near), F.lit(CONTEXT)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), F.least(score, F.lit(1.0)).alias("score"))
+        # a word that the reach cuts is none
+        before = F.when(left > 0, F.regexp_replace(F.substr(t, left + 1, start - left), r"^[\p{L}\p{N}]+", "")).otherwise(F.substr(t, left + 1, start - left))
+        more = F.substr(t, end + 1, F.lit(REACH))
+        after = F.when(F.length(more) == REACH, F.regexp_replace(more, r"[\p{L}\p{N}]+$", "")).otherwise(more)
+        near = F.lower(before).rlike(word) | F.lower(after).rlike(word)
+        score = F.lit(kind.score) + F.when(near, F.lit(CONTEXT)).otherwise(F.lit(0.0))
+        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), m.alias("value"), F.least(score, F.lit(1.0)).alias("score"))
 
     start = lambda m, i: F.get(ends, i) - F.length(m)
     found = F.col(f"_p_{kind.name}")["m"]

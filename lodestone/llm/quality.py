@@ -5,7 +5,7 @@ shrunk towards a beta prior that is fitted to all hosts by moments, and hosts wh
 rate is too high lose all their documents. Expressions are native throughout.
 
 Defined cases: a null text counts as empty (no words, so the base rule fails); documents
-of a null host form one host; repeated rows count each; an empty table gives no rows;
+of a null host form one host; repeated rows count each; of hosts that fail alike all are judged alike; texts of any length are read whole; an empty table gives no rows;
 columns that docs has besides are kept by judge() and never clash, as docs' row travels
 in one struct.
 """
@@ -56,7 +56,8 @@ def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> Da
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     words, n = F.col("_words"), F.size("_words")
-    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))
+    one = one.select("*", F.transform(words, lambda w: F.xxhash64(w)).alias("_hashes"))  # each word is hashed once
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get("_hashes", i + k) for k in range(WINDOW))))
     two = one.select(
         *keep, "word_chars", "n_symbols",
         n.cast("long").alias("n_words"),

@@ -40,6 +40,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(k.name).cast("long").alias(f"n_{k.name}") for k in pii.KINDS if k.base),
         F.sha2(pii.joined(base), 256).alias("base_sha256"),
         pii.joined(spans).alias("spans"),
+        F.array_join(F.transform(spans, lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
+        *(F.size(k.name).cast("long").alias(f"n_{k.name}") for k in pii.KINDS if not k.base),
     )
 
 

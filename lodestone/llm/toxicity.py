@@ -8,7 +8,8 @@ so that the weights, of a fixed width, are broadcast.
 Labels come from at most SAMPLE rows, those least by a hash of their id; all else covers all documents.
 
 Defined cases: a null or empty text has the bias alone; null labels are no labels; repeated labels of a
-document count once, toxic if one says so; without any label the score is 0.5; other columns of docs stay in row.
+document count once, toxic if one says so; of rows that share an id the least text is learned from, and each is scored; ties of the hash go by id; without any label the score is 0.5; texts of any
+length are read whole; an empty table gives no rows; a kept column named score gives way to the result's.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BITS = 20
 SAMPLE = 16_384
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 1.0
 EPOCHS, BATCH = 3, 64
+#: Texts that are taken apart at a time.
+TEXTS = 64
 #: Odd multipliers, one for each place of a word in a feature.
 PLACES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 WORDS = re.compile(r"[^\W_]+")
@@ -62,13 +65,23 @@ class Hashes(dict):
         return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
-def features(text: str | None, hashes: Hashes) -> np.ndarray:
-    """Coordinates of all words, beginnings of words, pairs and skip pairs of the text, with repeats."""
-    rows = hashes.of(WORDS.findall(text.lower()) if text else [])
+def features(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of all words, beginnings of words, pairs and skip pairs of the texts, with repeats, and whose each is. No pair reaches over two texts."""
+    words = [WORDS.findall(t.lower()) if t else [] for t in texts]
+    rows = hashes.of([w for x in words for w in x])
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in words])
     h = rows[:, 0]
+    one, two = owner[1:] == owner[:-1], owner[2:] == owner[:-2]
     a, b, c, d, e = (np.uint32(x) for x in PLACES)
-    parts = [rows.ravel() * a, h[:-1] * b + (h[1:] ^ (h[1:] >> np.uint32(15))) * c, h[:-2] * d + (h[2:] ^ (h[2:] >> np.uint32(13))) * e]
-    return (np.concatenate(parts) * a) >> np.uint32(32 - BITS)
+    pairs, skips = h[:-1] * b + (h[1:] ^ (h[1:] >> np.uint32(15))) * c, h[:-2] * d + (h[2:] ^ (h[2:] >> np.uint32(13))) * e
+    found = np.concatenate([rows.ravel() * a, pairs[one], skips[two]])
+    return (found * a) >> np.uint32(32 - BITS), np.concatenate([np.repeat(owner, rows.shape[1]), owner[:-1][one], owner[:-2][two]])
+
+
+def distinct(flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each coordinate of an owner once, by owner."""
+    both = np.unique(owner.astype(np.int64) << BITS | flat.astype(np.int64))
+    return both & ((1 << BITS) - 1), both >> BITS
 
 
 def learn(docs: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
@@ -105,12 +118,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     marked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("double").alias("_y"))
     chosen = marked.orderBy(F.xxhash64("_key"), "_key").limit(sample)
     chosen = table(chosen, "labelled")  # sample rows at most
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("t")).join(F.broadcast(chosen), "_key").select(F.xxhash64("_key").alias("o"), "t", "_y")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("t")).join(F.broadcast(chosen), "_key")
+    # one text for each id, however often it is repeated: sample rows at most go on
+    rows = rows.groupBy("_key").agg(F.min("t").alias("t"), F.max("_y").alias("_y")).select(F.xxhash64("_key").alias("o"), "t", "_y")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            found = [np.unique(features(t, hashes)).astype(np.int32) for t in b.column("t").to_pylist()]
+            texts, found = b.column("t").to_pylist(), []
+            for i in range(0, len(texts), TEXTS):
+                flat, owner = distinct(*features(texts[i : i + TEXTS], hashes))
+                found += np.split(flat.astype(np.int32), np.searchsorted(owner, np.arange(1, len(texts[i : i + TEXTS]))))
             yield pa.RecordBatch.from_arrays([b.column("o"), pa.array(found, pa.list_(pa.int32())), b.column("_y")], ["o", "f", "y"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str], text: str = "text") -> DataFrame:
     """The columns of keep and score: the probability that the text is toxic."""
+    keep = [c for c in keep if c != "score"]
     sent = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
     df = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("t"))
 
@@ -142,11 +161,14 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str], te
         w, b0 = sent.value
         some, hashes = w != 0, Hashes()
         for b in batches:
-            out = np.empty(b.num_rows)
-            for i, t in enumerate(b.column("t")):
-                f = features(t.as_py(), hashes)
-                out[i] = w[np.unique(f[some[f]])].sum(dtype=float)
+            out = np.zeros(b.num_rows)
+            texts = b.column("t").to_pylist()
+            for i in range(0, len(texts), TEXTS):
+                flat, owner = features(texts[i : i + TEXTS], hashes)
+                weighed = some[flat]
+                flat, owner = distinct(flat[weighed], owner[weighed])
+                out[i : i + TEXTS] = np.bincount(owner, w[flat].astype(float), minlength=len(texts[i : i + TEXTS]))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(1 / (1 + np.exp(-np.clip(out + b0, -35, 35))))], ["row", "score"])
 
     kind = dict(df.dtypes)["row"]
-    return df.mapInArrow(run, f"row {kind}, score double").select("row.*", "score")
+    return df.mapInArrow(run, f"row {kind}, score double").select(*(F.col(f"row.{c}") for c in keep), "score")
