@@ -74,11 +74,11 @@ def consolidate(prompts: DataFrame, service: Service, params: Extraction = Extra
 
 
 def extract(pages: DataFrame, service: Service, params: Extraction = Extraction()) -> DataFrame:
-    """Prompts of a site: batches and the whole, made distinct, consolidated if there are more than twice the wanted number, best first."""
+    """Prompts of a site: batches and the whole, made distinct, consolidated in their order if there are more than twice the wanted number, best first, equal ones as they came."""
     both = extract_batches(pages, service, params).withColumn("_part", F.lit(0)).unionByName(extract_site(pages, service).withColumn("_part", F.lit(1)))
     order = lambda df, *first: numbered(df, *first, "_order", "_pos").drop("_part", "_order", "_pos")
     unique = exact_dedup(order(both, "_part"))
     if unique.count() > 2 * params.top_n:
-        ranked = numbered(unique.drop("ord"), F.desc("relevance_score"), "prompt_text")
-        unique = order(consolidate(ranked, service, params))
-    return top(unique.filter(F.length(key(F.col("prompt_text"))) > 0), "relevance_score", params.top_n)
+        unique = order(consolidate(numbered(unique, "ord"), service, params))
+    best = top(unique.filter(F.length(key(F.col("prompt_text"))) > 0), "relevance_score", params.top_n)
+    return numbered(best, F.desc("relevance_score"), "ord")

@@ -63,19 +63,19 @@ def clustered(df: DataFrame, by: str, text: str, threshold: float, fuzzy: bool)
 
 
 def consensus(prompts: DataFrame, by: str = "domain", params: Reconcile = Reconcile(), fuzzy: bool = True) -> DataFrame:
-    """Prompts that recur over passes: best row of each cluster with its mean score and appearances.
+    """Prompts that recur over passes: best row of each cluster with its mean score, appearances and the ord of its first row.
 
     prompts: by, pass, ord (over all passes), prompt_text, relevance_score, extraction_reasoning and others. Domains of one pass stay as they are."""
     passes = F.size(F.collect_set("pass").over(Window.partitionBy(by)))
     rows = clustered(prompts, by, "prompt_text", params.similarity, fuzzy).withColumn("passes", passes)
-    rest = [c for c in prompts.columns if c not in (by, "relevance_score")]
+    rest = [c for c in prompts.columns if c not in (by, "relevance_score", "ord")]
     seen = F.count_distinct("pass") if params.strict else F.count(F.lit(1))
     best = F.max_by(F.struct(*rest), F.struct("relevance_score", (-F.col("ord")).alias("first")))
-    sums = rows.filter("passes > 1").groupBy(by, "leader", "passes").agg(best.alias("b"), seen.alias("appearances"), F.avg("relevance_score").alias("relevance_score"))
+    sums = rows.filter("passes > 1").groupBy(by, "leader", "passes").agg(best.alias("b"), seen.alias("appearances"), F.avg("relevance_score").alias("relevance_score"), F.min("ord").alias("ord"))
     least = F.ceil(F.col("passes") * params.consensus) if params.strict else F.floor(F.col("passes") * params.consensus)
     kept = sums.filter(F.col("appearances") >= F.greatest(F.lit(1), least))
     mark = F.concat(F.lit("[Consensus: "), F.col("appearances").cast("string"), F.lit("/"), F.col("passes").cast("string"), F.lit(" passes, avg score: "), F.format_string("%.2f", "relevance_score"), F.lit("] "), F.coalesce(F.col("b.extraction_reasoning"), F.lit("")))
-    out = kept.select(by, "relevance_score", "appearances", *((mark if c == "extraction_reasoning" else F.col(f"b.{c}")).alias(c) for c in rest))
+    out = kept.select(by, "relevance_score", "appearances", "ord", *((mark if c == "extraction_reasoning" else F.col(f"b.{c}")).alias(c) for c in rest))
     single = rows.filter("passes = 1").withColumn("appearances", F.lit(1).cast("long")).select(out.columns)
     return out.unionByName(single)
 
@@ -87,7 +87,7 @@ def recent(runs: DataFrame, n: int) -> DataFrame:
 
 
 def stable(runs: DataFrame, params: Reconcile = Reconcile(), fuzzy: bool = True) -> DataFrame:
-    """Texts that recur over a domain's recent runs: domain, text, avg_score, appearances, total_runs, stability.
+    """Texts that recur over a domain's recent runs: domain, text, avg_score, appearances, total_runs, stability, and ord, which follows their first rows.
 
     runs: domain, run_seq, ord (within the run), text, score. Domains with one run have none."""
     near = recent(runs, params.recent_runs)
@@ -95,11 +95,11 @@ def stable(runs: DataFrame, params: Reconcile = Reconcile(), fuzzy: bool = True)
     total = F.size(F.collect_set("run_seq").over(Window.partitionBy("domain")))
     rows = near.withColumn("total_runs", total).withColumn("ord", order.cast("long")).filter("total_runs > 1")
     sums = clustered(rows, "domain", "text", params.similarity, fuzzy).groupBy("domain", "leader", "total_runs").agg(
-        F.min_by("text", "ord").alias("text"), F.avg("score").alias("avg_score"), F.count(F.lit(1)).alias("appearances")
+        F.min_by("text", "ord").alias("text"), F.avg("score").alias("avg_score"), F.count(F.lit(1)).alias("appearances"), F.min("ord").alias("ord")
     )
     least = F.greatest(F.lit(2), F.floor(F.col("total_runs") * 0.6))
     return sums.filter(F.col("appearances") >= least).select(
-        "domain", "text", "avg_score", "appearances", "total_runs", (F.col("appearances") / F.col("total_runs")).alias("stability")
+        "domain", "text", "avg_score", "appearances", "total_runs", (F.col("appearances") / F.col("total_runs")).alias("stability"), "ord"
     )
 
 

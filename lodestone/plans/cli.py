@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import os
 import sys
 from dataclasses import replace
@@ -16,7 +17,7 @@ from ..functions.scoring import impact_tier
 from ..operators.completion import Recorded, Service
 from ..params import Params, load
 from ..schema import RESPONSE
-from ..sources import csvio, web
+from ..sources import auth, csvio, web
 from .pipeline import Analysis
 
 
@@ -26,6 +27,8 @@ def session() -> SparkSession:
 
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestone")
+    p.add_argument("--log-level", default="INFO")
+    p.add_argument("--log-file", help="file that gets what is logged, too")
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("analyze", help="analyse a site")
     a.add_argument("url")
@@ -46,14 +49,28 @@ def arguments() -> argparse.ArgumentParser:
     c.add_argument("url")
     c.add_argument("--max-pages", type=int, default=50)
     sub.add_parser("check-config", help="show the parameters")
-    u = sub.add_parser("auth", help="say what a service needs to be signed in to")
+    u = sub.add_parser("auth", help="sign in to services, or renew their tokens")
     u.add_argument("--service", choices=("search", "traffic", "both"), default="both")
+    u.add_argument("--credentials", default="credentials.json", help="JSON file with client_id, client_secret, auth_uri and token_uri")
+    u.add_argument("--tokens", default="tokens", help="folder of the services' tokens")
+    u.add_argument("--scope", default="", help="scope to ask consent for")
     v = sub.add_parser("preview-csv", help="show what would be read from exports")
     v.add_argument("--search-csv")
     v.add_argument("--traffic-csv")
     return p
 
 
+def set_up_logging(level: str, file: str | None = None) -> None:
+    """Messages of a level and above go to standard error and, if one is named, to a file, whose folder is made; an unknown level counts as INFO."""
+    handlers: list[logging.Handler] = [logging.StreamHandler()]
+    if file:
+        os.makedirs(os.path.dirname(os.path.abspath(file)), exist_ok=True)
+        handlers.append(logging.FileHandler(file, encoding="utf-8"))
+    known = logging.getLevelNamesMapping().get(level.upper(), logging.INFO)
+    logging.basicConfig(level=known, format="%(asctime)s %(levelname)s %(name)s: %(message)s", handlers=handlers, force=True)
+    logging.getLogger("py4j").setLevel(logging.WARNING)
+
+
 def overridden(params: Params, args: argparse.Namespace) -> Params:
     """Parameters with those of the command line that are set; 0 and empty count as not set."""
     if args.max_pages:
@@ -75,7 +92,8 @@ def analyze(args: argparse.Namespace, params: Params) -> int:
     with open(args.replies, encoding="utf-8") as f:
         service = Service(spark.createDataFrame([], RESPONSE), Recorded(json.load(f)), params.completion)
     now = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
-    tell = (lambda stage, n: print(f"{stage}: {n}")) if args.verbose else None
+    log = logging.getLogger("lodestone")
+    tell = (lambda stage, n: log.info("%s: %s rows", stage, n)) if args.verbose else None
     run = Analysis(spark, params, service, web.http_fetch(params.crawl), params.output_dir, now, tell)
     manual = [d for d in args.competitors.split(",") if d.strip()]
     ranked = run.run(web.with_scheme(args.url), manual=manual, with_competitors=args.find_competitors, passes=args.passes, skip_validation=args.skip_validation, skip_factcheck=args.skip_factcheck, search_csv=args.search_csv, traffic_csv=args.traffic_csv)
@@ -103,8 +121,26 @@ def check(params: Params) -> int:
     return 0
 
 
+def sign_in(args: argparse.Namespace) -> int:
+    """A valid token of each service in the folder of tokens; 1 if one cannot be had."""
+    services = ("search", "traffic") if args.service == "both" else (args.service,)
+    try:
+        credentials = auth.load_credentials(args.credentials)
+        refresh, consent = auth.refresher(credentials), auth.console_consent(credentials, args.scope) if args.scope else None
+    except (OSError, ValueError, StopIteration):
+        logging.getLogger("lodestone").warning("no credentials at %s: tokens cannot be renewed", args.credentials)
+        credentials, refresh, consent = None, None, None
+    done = True
+    for service in services:
+        token = auth.sign_in(os.path.join(args.tokens, f"{service}.json"), refresh, consent)
+        print(f"{service}: {'signed in' if token else 'not signed in'}")
+        done = done and token is not None
+    return 0 if done else 1
+
+
 def main(argv: list[str] | None = None) -> int:
     args = arguments().parse_args(argv)
+    set_up_logging(args.log_level, args.log_file)
     params = load()
     try:
         if args.command == "analyze":
@@ -116,8 +152,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "check-config":
             return check(params)
         if args.command == "auth":
-            print(f"{args.service}: tokens are read by the transport that you pass to sources.api; none is stored here")
-            return 0
+            return sign_in(args)
         return preview(args)
     except KeyboardInterrupt:
         return 130

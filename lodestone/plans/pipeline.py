@@ -6,6 +6,7 @@ of the web cannot be had twice.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,6 +21,9 @@ from ..params import Params
 from ..sources import csvio, history, web
 
 Progress = Callable[[str, int], None]
+#: A table of a service's rows, or a function that fetches it and may fail.
+Rows = DataFrame | Callable[[], DataFrame] | None
+log = logging.getLogger("lodestone")
 
 
 @dataclass
@@ -58,7 +62,7 @@ class Analysis:
     def extract(self, pages: DataFrame, theirs: DataFrame | None = None, name: str = "prompts") -> DataFrame:
         mine = extraction.extract(pages, self.service, self.params.extraction)
         if theirs is not None:
-            mine = numbered(merge_new(mine, theirs).drop("ord"), "part", F.desc("relevance_score"), "prompt_text").drop("part")
+            mine = numbered(merge_new(mine, theirs), "part", "ord").drop("part")
         prompts = self._store(name, mine)
         if not prompts.take(1):
             raise RuntimeError("no prompts were found")
@@ -72,9 +76,9 @@ class Analysis:
         for i, df in enumerate(passes):
             part = df.withColumn("domain", F.lit(domain)).withColumn("pass", F.lit(i)).withColumn("ord", F.col("ord") + F.lit(i << 32))
             rows = part if rows is None else rows.unionByName(part)
-        agreed = self._store("consensus", numbered(reconcile.consensus(rows, params=p).drop("ord", "pass", "appearances", "domain"), F.desc("relevance_score"), "prompt_text"))
+        agreed = self._store("consensus", numbered(reconcile.consensus(rows, params=p).drop("pass", "appearances", "domain"), F.desc("relevance_score"), "ord"))
         runs = history.load(self.spark, f"{self.path}/runs", domain, p)
-        stables = numbered(reconcile.stable(runs, p), F.desc("avg_score"), "text")
+        stables = numbered(reconcile.stable(runs, p), F.desc("avg_score"), "ord")
         raised = reconcile.boosts(stables, agreed, p).drop("boost")
         back = reconcile.recovered(stables, agreed, p).select((F.col("ord") + F.lit(1 << 40)).alias("ord"), F.col("text").alias("prompt_text"), "relevance_score", "search_intent", "topic_cluster")
         both = self._store("anchored", raised.unionByName(back, allowMissingColumns=True).fillna({"status": "extracted", "estimated_volume": "medium", "difficulty": "medium"}).withColumn("source_urls", F.coalesce("source_urls", F.array().cast("array<string>"))))
@@ -106,16 +110,26 @@ class Analysis:
         text = report.text_report(ranked, url, self.timestamp, pages)
         self.spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(f"{self.path}/report_text")
 
-    def metrics(self, search_csv: str | None, traffic_csv: str | None, search: DataFrame | None = None, traffic: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Of each service: the export, else the rows of its API, else none."""
-        found = csvio.search_queries(self.spark, search_csv) if search_csv else search
-        seen = csvio.traffic_pages(self.spark, traffic_csv) if traffic_csv else traffic
+    def _asked(self, service: str, source: Rows) -> DataFrame | None:
+        """The rows of a service, stored; none if it cannot be signed in to or asked: the analysis goes on without it."""
+        if source is None or isinstance(source, DataFrame):
+            return source
+        try:
+            return self._store(f"{service}_rows", source())
+        except Exception as e:  # noqa: BLE001
+            log.warning("%s data are left out: %s", service, e)
+            return None
+
+    def metrics(self, search_csv: str | None, traffic_csv: str | None, search: Rows = None, traffic: Rows = None) -> tuple[DataFrame, DataFrame]:
+        """Of each service: the export, else the rows of its API, a table or a function that signs in and fetches them, else none."""
+        found = csvio.search_queries(self.spark, search_csv) if search_csv else self._asked("search", search)
+        seen = csvio.traffic_pages(self.spark, traffic_csv) if traffic_csv else self._asked("traffic", traffic)
         none = lambda kind: self.spark.createDataFrame([], kind)
         from ..schema import SEARCH, TRAFFIC
 
         return (none(SEARCH) if found is None else found), (none(TRAFFIC) if seen is None else seen)
 
-    def run(self, url: str, *, manual: list[str] | None = None, with_competitors: bool = False, passes: int = 1, skip_validation: bool = False, skip_factcheck: bool = False, search_csv: str | None = None, traffic_csv: str | None = None, search: DataFrame | None = None, traffic: DataFrame | None = None) -> DataFrame:
+    def run(self, url: str, *, manual: list[str] | None = None, with_competitors: bool = False, passes: int = 1, skip_validation: bool = False, skip_factcheck: bool = False, search_csv: str | None = None, traffic_csv: str | None = None, search: Rows = None, traffic: Rows = None) -> DataFrame:
         """Every stage in order; the ranked prompts."""
         pages = self.crawl(url)
         theirs = self.competitors(url, pages, manual or [])[1] if with_competitors or manual else None

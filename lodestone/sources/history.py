@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +23,11 @@ def load(spark: SparkSession, path: str, domain: str, params: Reconcile = Reconc
 
 
 def append(prompts: DataFrame, path: str, domain: str, timestamp: str, run_seq: int | None = None) -> None:
-    """A run of a domain; its number follows the last one's."""
+    """A run of a domain; its number follows the last one's, and no other writer gets the same."""
     spark = prompts.sparkSession
     if run_seq is None:
         last = load(spark, path, domain).agg(F.max("run_seq").alias("m")).first()["m"]
-        run_seq = 0 if last is None else last + 1
+        run_seq = _reserved(spark, path, domain, 0 if last is None else last + 1)
     n = prompts.count()
     rows = prompts.select(
         F.lit(run_seq).cast("long").alias("run_seq"), F.lit(timestamp).cast("timestamp").alias("timestamp"), F.lit(n).cast("int").alias("prompt_count"), F.col("prompt_text").alias("text"),
@@ -34,6 +36,16 @@ def append(prompts: DataFrame, path: str, domain: str, timestamp: str, run_seq:
     rows.write.mode("append").partitionBy("domain").parquet(path)
 
 
+def _reserved(spark: SparkSession, path: str, domain: str, number: int) -> int:
+    """The first free number from number on: a marker file, which only one writer can create, takes it. Readers skip the markers' folder."""
+    jvm = spark.sparkContext._jvm
+    folder = f"{path}/_numbers/{hashlib.md5(domain.encode()).hexdigest()}"
+    files = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while not files.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{folder}/{number}")):
+        number += 1
+    return number
+
+
 def save_stage(df: DataFrame, path: str, stage: str) -> DataFrame:
     """df as a table of its stage, read again."""
     df.write.mode("overwrite").parquet(f"{path}/{stage}")

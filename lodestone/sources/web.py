@@ -8,11 +8,12 @@ from urllib.request import Request, urlopen
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.urls import is_page, normal_url, robots_allowed, same_domain
+from ..operators.dedup import numbered
 from ..operators.pages import parsed
 from ..params import Crawl
 from ..storage import stored
@@ -83,13 +84,14 @@ def robots_text(base: str, fetch: Fetch) -> str | None:
 
 
 def fetched(urls: DataFrame, fetch: Fetch, params: Crawl = Crawl(), partitions: int = 1) -> DataFrame:
-    """urls with status_code, content_type and html; html is null for errors and what is not HTML. Each task keeps the delay between its fetches."""
+    """urls with status_code, content_type and html; html is null for errors and what is not HTML. A task's pauses grow with the number of tasks, so that
+    together they keep the delay between fetches."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for url in frame["url"]:
-                time.sleep(params.delay)
+                time.sleep(params.delay * partitions)
                 try:
                     status, kind, text = fetch(url)
                     rows.append((status, kind, text if status < 400 and "text/html" in kind else None))
@@ -109,8 +111,8 @@ def word_gate(first: Column, words: Column, title: Column, params: Crawl = Crawl
 def crawl(spark: SparkSession, start: str, fetch: Fetch, params: Crawl = Crawl(), partitions: int = 1, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pages of a site, breadth first, level by level: ord, url, depth, status_code, content_type and the fields of a parsed page.
 
-    A level is fetched as one distributed step; the page limit cuts the last level in frontier order. Links of a page that has
-    too few words are followed all the same. store makes a table of each level, so that nothing is fetched twice."""
+    A level is fetched in waves, each a distributed step of as many URLs, in frontier order, as pages are still wanted, so that no fetch is
+    made after the page limit is reached. Links of a page that has too few words are followed all the same. store makes a table of each wave, so that nothing is fetched twice."""
     store = store or stored
     start = with_scheme(start)
     site = start.split("://", 1)[1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0]
@@ -118,25 +120,35 @@ def crawl(spark: SparkSession, start: str, fetch: Fetch, params: Crawl = Crawl()
     rules = robots_text(base, fetch) if params.respect_robots else None
     seeds = [(0, start, 0), *((i + 1, u, 1) for i, u in enumerate(sitemap_urls(base, fetch)))]
     queue = spark.createDataFrame(seeds, "ord long, url string, depth int").withColumn("url", normal_url(F.col("url"))).filter(same_domain(F.col("url"), F.lit(site)))
-    visited, pages, kept = None, None, 0
+    visited, pages, kept, met = None, None, 0, False
     for depth in range(params.max_depth + 1):
         level = queue.filter(F.col("depth") == depth).groupBy("url").agg(F.min("ord").alias("ord"))
         if visited is not None:
             level = level.join(visited, "url", "left_anti")
         level = level.select("ord", "url", F.lit(depth).alias("depth"))
         visited = level.select("url") if visited is None else visited.unionByName(level.select("url"))
-        wanted = level.filter(is_page(F.col("url")) & robots_allowed(F.lit(rules), F.lit(params.user_agent), F.col("url")))
-        got = parsed(fetched(wanted, fetch, params, partitions).filter(F.col("html").isNotNull()), site=F.lit(site))
-        got = store(got)
-        first = F.col("ord") == got.agg(F.min("ord").alias("o")).first()["o"] if pages is None else F.lit(False)
-        good = got.filter(F.coalesce(word_gate(first, F.col("word_count"), F.col("title"), params), F.lit(False)))
-        pages = good if pages is None else pages.unionByName(good)
-        kept += good.count()
-        links = got.select(F.col("ord").alias("from_ord"), F.posexplode("internal_links").alias("pos", "url")).filter(same_domain(F.col("url"), F.lit(site)))
-        place = F.row_number().over(Window.orderBy("from_ord", "pos")).cast("long")
-        queue = queue.filter(F.col("depth") > depth).unionByName(links.select((place + (1 << 32) * (depth + 1)).alias("ord"), "url", F.lit(depth + 1).alias("depth")))
-        if kept >= params.max_pages or not got.take(1):
+        wanted = store(level.filter(is_page(F.col("url")) & robots_allowed(F.lit(rules), F.lit(params.user_agent), F.col("url"))))
+        got, done = None, -1
+        while kept < params.max_pages:
+            wave = store(wanted.filter(F.col("ord") > done).orderBy("ord").limit(params.max_pages - kept))
+            last = wave.agg(F.max("ord").alias("o")).first()["o"]
+            if last is None:
+                break
+            done = last
+            part = store(parsed(fetched(wave, fetch, params, partitions).filter(F.col("html").isNotNull()), site=F.lit(site)))
+            first = F.lit(False)
+            if not met and part.take(1):
+                met, first = True, F.col("ord") == part.agg(F.min("ord").alias("o")).first()["o"]
+            good = part.filter(F.coalesce(word_gate(first, F.col("word_count"), F.col("title"), params), F.lit(False)))
+            pages, got = (good, part) if pages is None else (pages.unionByName(good), part if got is None else got.unionByName(part))
+            kept += good.count()
+        if kept >= params.max_pages or got is None or not got.take(1):
             break
+        links = got.select(F.col("ord").alias("from_ord"), F.posexplode("internal_links").alias("pos", "url")).filter(same_domain(F.col("url"), F.lit(site)))
+        links = numbered(links, "from_ord", "pos").select((F.col("ord") + (1 << 32) * (depth + 1)).alias("ord"), "url", F.lit(depth + 1).alias("depth"))
+        queue = queue.filter(F.col("depth") > depth).unionByName(links)
+    if pages is None:
+        pages = parsed(spark.createDataFrame([], "ord long, url string, depth int, status_code int, content_type string, html string"), site=F.lit(site))
     return pages.orderBy("depth", "ord").limit(params.max_pages)
 
 

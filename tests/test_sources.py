@@ -11,7 +11,7 @@ from lodestone.params import Completion, Crawl, Extraction, Factcheck, Params
 from lodestone.plans import cli
 from lodestone.plans.pipeline import Analysis
 from lodestone.schema import RESPONSE
-from lodestone.sources import api, csvio, history, web
+from lodestone.sources import api, auth, csvio, history, web
 
 QUICK = Completion(spacing=0.0, retries=1, backoff=0.0)
 
@@ -165,6 +165,45 @@ def test_crawl(spark):
     assert len(few) == 2
 
 
+def test_crawl_stops_fetching_at_its_limit(spark, tmp_path):
+    """Of a level of 40 links only so many are fetched as pages are wanted."""
+    log = tmp_path / "fetched"
+
+    def fetch(u):
+        with open(log, "a") as f:
+            f.write(u + "\n")
+        if u == "https://e.com":
+            return 200, "text/html", page_of(20, *(f"/p{i}" for i in range(40)))
+        return (200, "text/html", page_of(20 if int(u.rsplit("p", 1)[1]) % 2 else 1)) if "/p" in u else (404, "", "")
+
+    out = web.crawl(spark, "e.com", fetch, Crawl(delay=0.0, max_pages=5, respect_robots=False)).collect()
+    assert [r["url"] for r in sorted(out, key=lambda r: r["ord"])] == ["https://e.com"] + [f"https://e.com/p{i}" for i in (1, 11, 13, 15)]
+    pages = [u for u in log.read_text().split() if "sitemap" not in u]
+    assert len(pages) == len(set(pages)) <= 10
+    assert web.crawl(spark, "e.com", lambda u: (404, "", ""), Crawl(delay=0.0)).count() == 0
+
+
+def test_two_writers_get_two_run_numbers(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    taken = [history._reserved(spark, path, "d", 0) for _ in range(3)]
+    assert taken == [0, 1, 2] and history._reserved(spark, path, "other", 0) == 0
+    df = spark.createDataFrame([(0, "a", 0.5, "i", "t")], "ord long, prompt_text string, relevance_score double, search_intent string, topic_cluster string")
+    history.append(df, path, "d", "2024-01-01 00:00:00")
+    assert [r["run_seq"] for r in history.load(spark, path, "d").collect()] == [3]
+
+
+def test_logging_goes_to_a_file(tmp_path):
+    import logging
+
+    cli.set_up_logging("warning", str(tmp_path / "logs" / "a.log"))
+    logging.getLogger("lodestone").warning("seen")
+    logging.getLogger("lodestone").info("not seen")
+    text = (tmp_path / "logs" / "a.log").read_text()
+    assert "WARNING lodestone: seen" in text and "not seen" not in text
+    cli.set_up_logging("nonsense")
+    assert logging.getLogger().level == logging.INFO
+
+
 def test_history(spark, tmp_path):
     path = f"file://{tmp_path}/runs"
     assert history.load(spark, path, "d").count() == 0
@@ -237,7 +276,77 @@ def test_whole_analysis(spark, tmp_path):
 
 def test_command_line(tmp_path, capsys, spark):
     assert cli.main(["check-config"]) == 0 and "max_pages=500" in capsys.readouterr().out
-    assert cli.main(["auth", "--service", "search"]) == 0
+    assert cli.main(["auth", "--service", "search", "--tokens", str(tmp_path)]) == 1
     assert cli.main(["preview-csv", "--search-csv", written(tmp_path, "query,clicks\nred plate,3\n")]) == 0
     assert "red plate" in capsys.readouterr().out
     assert cli.main(["analyze", "https://e.com"]) == 1
+
+
+def test_signing_in(tmp_path):
+    path, calls = str(tmp_path / "t" / "search.json"), []
+    old = auth.Token("a", "r", 1000.0)
+
+    def refresh(token):
+        calls.append(token)
+        return auth.Token("b", token.refresh, 9000.0)
+
+    assert auth.sign_in(path, refresh) is None  # no token and nobody to ask
+    assert auth.sign_in(path, refresh, lambda: old, now=lambda: 0.0) == old == auth.load_token(path) and not calls
+    assert auth.sign_in(path, refresh, now=lambda: 100.0) == old  # valid still
+    assert auth.sign_in(path, refresh, now=lambda: 950.0).access == "b" and calls == [old] and auth.load_token(path).access == "b"
+    assert auth.sign_in(path, lambda t: 1 / 0, now=lambda: 9500.0) is None  # a failure is logged
+    (tmp_path / "t" / "search.json").write_text("{broken")
+    assert auth.load_token(path) is None
+
+
+def test_tokens_and_rows_by_http(tmp_path, capsys):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            seen.append((self.path, self.headers.get("Authorization"), body))
+            if self.path == "/token":
+                grant = parse_qs(body)["grant_type"][0]
+                reply = {"access_token": f"by-{grant}", "expires_in": 3600} | ({"refresh_token": "r2"} if grant == "authorization_code" else {})
+            else:
+                reply = {"rows": [{"keys": ["q"], "clicks": 1}]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(reply).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    file = tmp_path / "credentials.json"
+    file.write_text(json.dumps({"installed": {"client_id": "c", "client_secret": "s", "auth_uri": f"{base}/auth", "token_uri": f"{base}/token"}}))
+    credentials = auth.load_credentials(str(file))
+    asked = []
+    first = auth.console_consent(credentials, "read", lambda text: asked.append(text) or " code ")()
+    assert first.access == "by-authorization_code" and first.refresh == "r2" and "scope=read" in asked[0]
+    assert auth.refresher(credentials)(first) == auth.Token("by-refresh_token", "r2", pytest.approx(first.expires, abs=60))
+    rows = auth.http_transport(f"{base}/sites/{{siteUrl}}/query", first)({"siteUrl": "https://a.b/", "startRow": 0})
+    assert rows == [{"keys": ["q"], "clicks": 1}] and seen[-1][0] == "/sites/https%3A%2F%2Fa.b%2F/query" and seen[-1][1] == "Bearer by-authorization_code"
+    auth.save_token(str(tmp_path / "tokens" / "search.json"), auth.Token("old", "r", 0.0))
+    arguments = ["auth", "--credentials", str(file), "--tokens", str(tmp_path / "tokens")]
+    assert cli.main([*arguments, "--service", "search"]) == 0 and "search: signed in" in capsys.readouterr().out
+    assert cli.main(arguments) == 1 and "traffic: not signed in" in capsys.readouterr().out
+    server.shutdown()
+
+
+def test_analysis_goes_on_without_a_service(spark, tmp_path):
+    run = Analysis(spark, Params(), None, fetch_site, f"file://{tmp_path}/out", "2024-01-01 00:00:00")
+
+    def denied():
+        raise PermissionError("no token")
+
+    rows = spark.createDataFrame([(0, "/a")], "ord long, page_path string")
+    search, traffic = run.metrics(None, None, denied, lambda: rows)
+    assert search.count() == 0 and "query" in search.columns and traffic.count() == 1
