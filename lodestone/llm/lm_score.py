@@ -48,12 +48,14 @@ RATES, PRIOR = (0.5, 0.3, 0.5), 20.0
 UNIT = 64
 #: Rows of weights that are summed up together.
 BLOCK = 4096
-CHUNK = 8192
+CHUNK = 2048
 #: Steps of a path after which words are parted by number, so that no path is long.
 EVEN = 6
 END = b"\n"  # no word holds a line feed
 #: Words that a task counts before it passes its counts on.
 HELD_WORDS = 400_000
+#: A word beyond the head that more documents of a task hold, and more than one in a hundred, is joined apart.
+OFTEN = 50
 
 
 def held_out(key) -> object:
@@ -212,14 +214,35 @@ def steps(model: Model, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarr
         yield at, node, model.taken[code[at], depth]
 
 
-def log_words(model: Model, weights: np.ndarray, code: np.ndarray, f: list[np.ndarray]) -> np.ndarray:
-    """Natural log of P(head word or tail class | context)."""
+def aligned(weights: np.ndarray) -> np.ndarray:
+    """A copy whose rows begin at cache lines."""
+    room = np.empty(weights.size + 16, np.float32)
+    skip = -room.ctypes.data // 4 % 16
+    out = room[skip : skip + weights.size].reshape(weights.shape)
+    out[:] = weights
+    return out
+
+
+class Scratch:
+    """Memory for the rows of some tokens, used again and again."""
+
+    def __init__(self, n: int = CHUNK):
+        self.x, self.w = (np.empty((n, CLASSES), np.float32) for _ in range(2))
+        self.ones = np.ones(CLASSES, np.float32)
+
+
+def log_words(model: Model, weights: np.ndarray, code: np.ndarray, f: list[np.ndarray], scratch: Scratch | None = None) -> np.ndarray:
+    """Natural log of P(head word or tail class | context) of as many tokens as scratch has room for."""
+    scratch = scratch or Scratch(len(code))
     out = np.zeros(len(code))
     for at, node, taken in steps(model, code):
-        x = model.bias[node]
+        x, w = scratch.x[: len(at)], scratch.w[: len(at)]
+        np.take(model.bias, node, axis=0, out=x, mode="clip")
         for j, feature in enumerate(f):
-            x += weights[model.row(j, feature[at], node)]
-        out[at] += x[np.arange(len(at)), taken] - np.log(np.exp(x).sum(axis=1))
+            np.take(weights, model.row(j, feature if len(at) == len(code) else feature[at], node), axis=0, out=w, mode="clip")
+            x += w
+        out[at] += x[np.arange(len(at)), taken]
+        out[at] -= np.log(np.exp(x, out=x) @ scratch.ones)
     return out
 
 
@@ -317,6 +340,12 @@ def fit(df: DataFrame, counts: DataFrame):
     return sent, spark.sparkContext.broadcast(train(df, sent))
 
 
+def _lists(bags: list[dict[bytes, int]]) -> pa.ListArray:
+    """Words and numbers of each bag."""
+    pairs = pa.StructArray.from_arrays([pa.array([w for x in bags for w in x], pa.binary()), pa.array([n for x in bags for n in x.values()], pa.int32())], ["w", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in bags])).astype(np.int32)), pairs)
+
+
 SCORED = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -330,8 +359,9 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[
     kind = dict(df.dtypes)["row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, w = sent.value, weights.value
-        words, head = Words(model.head), len(model.head)
+        model, w = sent.value, aligned(weights.value)
+        words, head, scratch = Words(model.head), len(model.head), Scratch()
+        seen, often = 0, Counter()
         for b in batches:
             texts = b.column("t").to_pylist()
             for i in range(0, len(texts), 64):
@@ -339,26 +369,37 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[
                 code, f, owner, flat = encode(part, words)
                 logs = np.empty(len(code))
                 for j in range(0, len(code), CHUNK):
-                    logs[j : j + CHUNK] = log_words(model, w, code[j : j + CHUNK], [x[j : j + CHUNK] for x in f])
+                    logs[j : j + CHUNK] = log_words(model, w, code[j : j + CHUNK], [x[j : j + CHUNK] for x in f], scratch)
                 known = code < head
                 logs /= np.log(10)
                 sums = lambda x, m=len(part), o=owner: np.bincount(o, x, minlength=m)
                 rest: list[Counter] = [Counter() for _ in part]
                 for q in np.flatnonzero(~known).tolist():
                     rest[owner[q]][flat[q]] += 1
-                pairs = pa.StructArray.from_arrays([pa.array([w for x in rest for w in x], pa.binary()), pa.array([n for x in rest for n in x.values()], pa.int32())], ["w", "n"])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in rest])).astype(np.int32)), pairs)
+                seen += len(part)
+                often.update(w for x in rest for w in x)
+                limit = max(OFTEN, seen // 100)
+                hot = [{w: n for w, n in x.items() if often[w] > limit} for x in rest]
+                lists = [_lists([{w: n for w, n in x.items() if w not in y} if y else x for x, y in zip(rest, hot, strict=True)]), _lists(hot)]
+                if len(often) > HELD_WORDS:
+                    often.clear()
                 held = b.slice(i, len(part))
                 yield pa.RecordBatch.from_arrays(
                     [held.column("row"), held.column("h"), pa.array(sums(np.ones(len(code))).astype(np.int64)), pa.array(sums(known).astype(np.int64)),
-                     pa.array(sums(model.base[code])), pa.array(sums(logs)), lists],
-                    ["row", "h", "n", "known", "base", "score", "rest"],
+                     pa.array(sums(model.base[code])), pa.array(sums(logs)), *lists],
+                    ["row", "h", "n", "known", "base", "score", "rest", "hot"],
                 )
 
-    parts = table(df.mapInArrow(run, f"row {kind}, h boolean, n long, known long, base double, score double, rest array<struct<w:binary,n:int>>").withColumn("id", F.monotonically_increasing_id()), "scored")
+    pairs = "array<struct<w:binary,n:int>>"
+    parts = table(df.mapInArrow(run, f"row {kind}, h boolean, n long, known long, base double, score double, rest {pairs}, hot {pairs}").withColumn("id", F.monotonically_increasing_id()), "scored")
     model = sent.value
-    rest = parts.select("id", F.explode("rest").alias("x")).select("id", "x.w", "x.n")
-    rest = lookup_join(rest, counts, "w").select("id", "w", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    each = lambda c: parts.select("id", F.explode(c).alias("x")).select("id", "x.w", "x.n")
+    rest = each("rest").join(counts, "w", "left")
+    if each("hot").limit(1).count():
+        # a word of very many documents meets its count by itself, not in one task
+        words = table(each("hot").select("w").distinct(), "often")
+        rest = rest.unionByName(lookup_join(each("hot"), table(lookup_join(words, counts, "w"), "known"), "w"))
+    rest = rest.select("id", "w", "n", F.coalesce("c", F.lit(0)).alias("c"))
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -373,7 +414,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[
     added = rest.mapInArrow(tails, "id long, known long, base double, score double").groupBy("id")
     added = added.agg(*(F.sum(x).alias(f"{x}_2") for x in ("known", "base", "score")))
     zero = lambda x: F.coalesce(F.col(f"{x}_2"), F.lit(0))
-    return parts.drop("rest").join(added, "id", "left").select(
+    return parts.drop("rest", "hot").join(added, "id", "left").select(
         *(F.col(f"row.{c}") for c in keep),
         F.col("h").alias("held_out"),
         F.col("n").alias("n_tokens"),
