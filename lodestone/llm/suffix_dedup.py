@@ -205,10 +205,10 @@ class Owners:
         out = (none[a] != none[b]) | (id_[a] != id_[b])
         return out | (th[a] != th[b]) if text else out
 
-    def home(self, parts: int) -> np.ndarray:
-        """The part in which a document gathers what belongs to it."""
+    def home(self, homes: int) -> np.ndarray:
+        """Where a document gathers what belongs to it."""
         none, id_, th = self.columns
-        return (mixed(id_.astype(np.uint64) * np.uint64(BASE) + th.astype(np.uint64) + none) % np.uint64(parts)).astype(np.int32)
+        return (mixed(id_.astype(np.uint64) * np.uint64(BASE) + th.astype(np.uint64) + none) % np.uint64(homes)).astype(np.int32)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +243,13 @@ def firsts(owners: Owners, places: np.ndarray, *keys: np.ndarray) -> tuple[np.nd
 SUFFIX = (*Owners.KINDS, np.int32, np.uint8, np.uint8, (np.uint8, AROUND))  # owner, place, place - first, last - first, bytes
 STRING = (*Owners.KINDS, np.int32, (np.uint8, LENGTH))  # owner, start, bytes
 SPAN = (*Owners.KINDS, np.int32, np.int32)  # owner, start, end
+#: Rows that meet at a document's home: spans of kind 2, texts of kind 3.
+HOME = "h int, kind int, none int, k long, th int, a int, b int, z binary"
+HOME_NAMES = [x.split()[0] for x in HOME.split(", ")]
+HOME_TYPES = [{"int": pa.int32(), "long": pa.int64()}[x.split()[1]] for x in HOME.split(", ")[:-1]]
+NOTHING = np.zeros(0, np.int64)
+#: Whose runs of bytes are, where they start and end.
+Spans = tuple[Owners, np.ndarray, np.ndarray]
 
 
 def _rows(pairs: list[tuple[int, int, bytes]], names: tuple[str, str, str]) -> pa.RecordBatch:
@@ -319,8 +326,8 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     """k (id), n_bytes, n_removed, n_spans and kept (the bytes that stay) for each document."""
     spark = docs.sparkSession
     df, ids = with_places(docs, key, text)
-    parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = spark.sparkContext.broadcast(splitters(df, parts))
+    homes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = spark.sparkContext.broadcast(splitters(df, RANGES * homes))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -349,7 +356,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         same = (left[order] == left[first]) & (span[order] == span[first]) & (around[order] == around[first]).all(axis=1)
         rest, own = order[after & same], np.sort(order[~(after & same) & ~again])
         a = p[rest] - left[rest]
-        rows = _spans(owners[rest], a, a + span[rest] + LENGTH, parts)
+        rows = _packed(_spans(owners[rest], a, a + span[rest] + LENGTH))
         hot = np.isin(gram[own], sent.value.grams)
         some = own[~hot]
         rows += [(r, 0, z) for r, z in dealt(sent.value.of_suffixes(around[some]), *owners[some].columns, p[some], left[some], span[some], around[some])]
@@ -366,45 +373,61 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         place = np.unique(texts_of(strings), return_inverse=True)[1]
         order, _, after, again = firsts(owners[at], start, place)
         rest, own = order[after], order[~after & ~again]
-        rows = _spans(owners[at[rest]], start[rest], start[rest] + LENGTH, parts)
+        rows = _packed(_spans(owners[at[rest]], start[rest], start[rest] + LENGTH))
         return rows + [(r, 1, z) for r, z in dealt(sent.value.of_strings(strings[own]), *owners[at[own]].columns, start[own], strings[own])]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, blobs in _blobs(batches, "r"):
-            rows = [(r, 2, z) for kind, z in blobs if kind == 2]
-            rows += repeated_suffixes([z for kind, z in blobs if kind == 0], parts)
-            rows += repeated_strings([z for kind, z in blobs if kind == 1], parts)
-            yield _rows(rows, ("h", "kind", "z"))
+            for kind, found in ((0, repeated_suffixes), (1, repeated_strings), (2, _unpacked)):
+                own = [z for k, z in blobs if k == kind]
+                for owners, a, b in found(own) if own else ():
+                    yield at_home(owners, 2, a, b, pa.nulls(len(a), pa.binary()))
+
+    def at_home(owners: Owners, kind: int, a: np.ndarray, b: np.ndarray, z: pa.Array) -> pa.RecordBatch:
+        none, id_, th = owners.columns
+        columns = (owners.home(homes), np.full(len(a), kind), none, id_, th, a, b)
+        return pa.RecordBatch.from_arrays([*(pa.array(x).cast(t) for x, t in zip(columns, HOME_TYPES, strict=True)), z], HOME_NAMES)
 
     first = df.mapInArrow(suffixes, "r int, kind int, z binary").repartition("r").sortWithinPartitions("r")
-    spans = table(first.mapInArrow(compare, "h int, kind int, z binary"), "spans")
+    spans = table(first.mapInArrow(compare, HOME), "spans")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Text rows: kind 3, the compressed text, with id and whether the id was null before it."""
+        """Compressed texts with whose they are."""
         for b in batches:
-            rows = []
-            for k, t in zip(b.column("k").to_pylist(), b.column("t"), strict=True):
-                data = (t.as_py() or "").encode("utf-8")
-                at = Owners.of(k is None, k or 0, data, 1).home(parts)
-                rows.append((int(at[0]), 3, (k or 0).to_bytes(8, "little", signed=True) + bytes([k is None]) + compressed(data)))
-            yield _rows(rows, ("h", "kind", "z"))
+            data = [(t.as_py() or "").encode("utf-8") for t in b.column("t")]
+            if data:
+                owners = Owners.joined([Owners.of(k is None, k or 0, d, 1) for k, d in zip(b.column("k").to_pylist(), data, strict=True)])
+                zero = np.zeros(len(data), np.int32)
+                yield at_home(owners, 3, zero, zero, pa.array(map(compressed, data), pa.binary()))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs, documents in _homes(batches):
-            *owner, a, b = unpack(blobs, *SPAN)
-            own = _by_owner(*owner)
-            out: list[tuple] = []
-            for i, null, data in documents:
-                at = own.get((null, i, text_hash(data)), np.zeros(0, np.int64))
-                starts, ends = merged(a[at], b[at])
-                kept = b"".join(data[e:s] for e, s in zip([0, *ends.tolist()], [*starts.tolist(), len(data)], strict=True))
-                out.append((None if null else i, len(data), len(data) - len(kept), len(starts), kept))
-                if len(out) >= 256:
-                    yield _finished(out)
-                    out = []
-            yield _finished(out)
-
-    gathered = df.mapInArrow(texts, "h int, kind int, z binary").unionByName(spans).repartition("h").sortWithinPartitions("h", "kind")
+        home, held, own, a, b = None, [], {}, NOTHING, NOTHING
+        for batch in batches:
+            h, kind, none, id_, th, start, end = (batch.column(i).to_numpy() for i in range(7))
+            z = batch.column("z")
+            cuts = np.append(np.flatnonzero(np.append(len(h) > 0, (h[1:] != h[:-1]) | (kind[1:] != kind[:-1]))), len(h))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if h[i] != home:
+                    home, held, own = h[i], [], None
+                if kind[i] == 2:
+                    held.append([x[i:j] for x in (none, id_, th, start, end)])
+                    continue
+                if own is None:
+                    *owner, a, b = (np.concatenate(x) for x in zip(*held, strict=True)) if held else [NOTHING] * 5
+                    held, own = [], _by_owner(*owner)
+                out: list[tuple] = []
+                for r in range(i, j):
+                    data = restored(z[r].as_py())
+                    at = own.get((bool(none[r]), int(id_[r]), int(th[r])), NOTHING)
+                    starts, ends = merged(a[at], b[at])
+                    kept = b"".join(data[e:s] for e, s in zip([0, *ends.tolist()], [*starts.tolist(), len(data)], strict=True))
+                    out.append((None if none[r] else int(id_[r]), len(data), len(data) - len(kept), len(starts), kept))
+                    if len(out) >= 256:
+                        yield _finished(out)
+                        out = []
+                yield _finished(out)
+
+    gathered = df.mapInArrow(texts, HOME).unionByName(spans).repartition("h").sortWithinPartitions("h", "kind")
     out = gathered.mapInArrow(finish, "k long, n_bytes long, n_removed long, n_spans long, kept binary")
     if ids is None:
         return out
@@ -425,10 +448,10 @@ def _by_owner(none: np.ndarray, id_: np.ndarray, th: np.ndarray) -> dict[tuple[b
     return {(bool(none[a]), int(id_[a]), int(th[a])): order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
 
 
-def _spans(owners: Owners, starts: np.ndarray, ends: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
-    """Packed runs of the intervals of each document, for its home; intervals that overlap or touch become one."""
+def _spans(owners: Owners, starts: np.ndarray, ends: np.ndarray) -> Spans:
+    """The runs of the intervals of each document; intervals that overlap or touch become one."""
     if not len(owners):
-        return []
+        return owners, starts.astype(np.int32), ends.astype(np.int32)
     none, id_, th = owners.columns
     order = np.lexsort((starts, th, id_, none))
     owners, starts, ends = owners[order], starts[order].astype(np.int64), ends[order].astype(np.int64)
@@ -437,30 +460,18 @@ def _spans(owners: Owners, starts: np.ndarray, ends: np.ndarray, parts: int) ->
     shift = document << np.int64(32)
     a, b = merged(starts + shift, ends + shift)
     owners, mask = owners[np.searchsorted(document, a >> 32)], np.int64((1 << 32) - 1)
-    return [(h, 2, z) for h, z in dealt(owners.home(parts), *owners.columns, (a & mask).astype(np.int32), (b & mask).astype(np.int32))]
+    return owners, (a & mask).astype(np.int32), (b & mask).astype(np.int32)
 
 
-def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], Iterator[tuple[int, bool, bytes]]]]:
-    """For each home: its blobs, and an iterator of its documents (id, whether it was null, bytes), which must be used up."""
-    rows = ((h, kind, z.as_py()) for b in batches for h, kind, z in zip(b.column("h").to_pylist(), b.column("kind").to_pylist(), b.column("z"), strict=True))
-    now = next(rows, None)
-    while now is not None:
-        h, blobs = now[0], []
-        while now is not None and now[0] == h and now[1] != 3:
-            blobs.append(now[2])
-            now = next(rows, None)
+def _packed(spans: Spans) -> list[tuple[int, int, bytes]]:
+    """A row for all the spans, which any range may pass on."""
+    owners, a, b = spans
+    return [(int(owners.columns[2][0]), 2, pack(*owners.columns, a, b))] if len(a) else []
 
-        def documents(h=h):
-            nonlocal now
-            while now is not None and now[0] == h:
-                z = now[2]
-                yield int.from_bytes(z[:8], "little", signed=True), bool(z[8]), restored(z[9:])
-                now = next(rows, None)
 
-        held = documents()
-        yield h, blobs, held
-        for _ in held:
-            pass
+def _unpacked(blobs: list[bytes]) -> Iterator[Spans]:
+    *owner, a, b = unpack(blobs, *SPAN)
+    yield Owners(*owner), a, b
 
 
 def equal_rows(character: Callable[[np.ndarray, int], np.ndarray], n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -504,13 +515,13 @@ def characters(rows: np.ndarray, begin: np.ndarray | int, length: int, row: np.n
     return lambda at, c: words[base[at] + min(8 * c, length - 8)].astype(np.uint64)
 
 
-def repeated_suffixes(blobs: list[bytes], parts: int) -> list[tuple[int, int, bytes]]:
+def repeated_suffixes(blobs: list[bytes]) -> Iterator[Spans]:
     """Spans of the strings of a range's suffixes that also start earlier."""
     *owner, p, left, span, around = unpack(blobs, *SUFFIX)
     owners = Owners(*owner)
     rows, gram = equal_rows(characters(around, REACH, GRAM), len(p), GRAM // 8)
     if not len(rows):
-        return []
+        return
     owners, p, left, span, around = owners[rows], p[rows], left[rows], span[rows], around[rows]
     factors = mixed(np.arange(1, AROUND // 8 + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
     whole = mixed((np.ascontiguousarray(around).view(np.uint64) * factors).sum(axis=1, dtype=np.uint64))
@@ -518,7 +529,7 @@ def repeated_suffixes(blobs: list[bytes], parts: int) -> list[tuple[int, int, by
     same = (around[order] == around[order[start]]).all(axis=1)
     rest, own = order[after & same], order[~(after & same) & ~again]
     a = p[rest] - left[rest]
-    out = _spans(owners[rest], a, a + span[rest] + LENGTH, parts)
+    yield _spans(owners[rest], a, a + span[rest] + LENGTH)
     own = own[np.bincount(gram[own], minlength=1)[gram[own]] > 1]
     # the strings of whole grams at a time, so that those of one meet
     own = own[np.argsort(gram[own], kind="stable")]
@@ -533,18 +544,17 @@ def repeated_suffixes(blobs: list[bytes], parts: int) -> list[tuple[int, int, by
         row, offset = strings_at(span[some])
         at = some[row]
         begin = REACH - left[at].astype(np.int64) + offset
-        out += _repeated(owners[at], (p[at] - left[at] + offset).astype(np.int32), characters(around[some], begin, LENGTH, row), parts)
-    return out
+        yield _repeated(owners[at], (p[at] - left[at] + offset).astype(np.int32), characters(around[some], begin, LENGTH, row))
 
 
-def repeated_strings(blobs: list[bytes], parts: int) -> list[tuple[int, int, bytes]]:
+def repeated_strings(blobs: list[bytes]) -> Iterator[Spans]:
     """Spans of a range's strings that also start earlier."""
     *owner, start, strings = unpack(blobs, *STRING)
-    return _repeated(Owners(*owner), start, characters(strings, 0, LENGTH), parts)
+    yield _repeated(Owners(*owner), start, characters(strings, 0, LENGTH))
 
 
-def _repeated(owners: Owners, start: np.ndarray, character: Callable[[np.ndarray, int], np.ndarray], parts: int) -> list[tuple[int, int, bytes]]:
+def _repeated(owners: Owners, start: np.ndarray, character: Callable[[np.ndarray, int], np.ndarray]) -> Spans:
     rows, group = equal_rows(character, len(start), -(-LENGTH // 8))
     order, _, after, _ = firsts(owners[rows], start[rows], group)
     again = rows[order[after]]
-    return _spans(owners[again], start[again], start[again] + LENGTH, parts)
+    return _spans(owners[again], start[again], start[again] + LENGTH)

@@ -538,9 +538,11 @@ def test_lm_scores_do_not_depend_on_the_deal(spark, sf):
     assert one.keys() == four.keys() and all(one[i] == pytest.approx(four[i], rel=1e-6) for i in one)
 
 
-def test_lm_with_a_small_head(spark, sf, monkeypatch):
-    """Words beyond the head are known by their joined counts."""
+@pytest.mark.parametrize("often", [50, 0])
+def test_lm_with_a_small_head(spark, sf, monkeypatch, often):
+    """Words beyond the head are known by their joined counts; those of many documents are joined apart."""
     monkeypatch.setattr(lm_score, "HEAD", 500)
+    monkeypatch.setattr(lm_score, "OFTEN", often)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     check_lm(docs, lm_score.score(docs))
 
