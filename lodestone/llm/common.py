@@ -9,8 +9,8 @@ from ..storage import stored
 
 #: Characters that separate words: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a materialised and counted table may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of its files up to which a materialised and counted table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 1 << 25
 #: Keys that are joined apart because each has more than this share of the rows.
 HOT_KEYS = 10_000
 
@@ -32,9 +32,10 @@ def drop_table(df: DataFrame) -> None:
 
 
 def small(df: DataFrame, rows: int | None = None) -> bool:
-    """True if a table() has at most so many rows (BROADCAST_ROWS); reads one row more than that at most."""
+    """True if a table() has at most so many rows (BROADCAST_ROWS) and BROADCAST_BYTES bytes; reads one row more than that at most."""
     rows = BROADCAST_ROWS if rows is None else rows
-    return df.limit(rows + 1).count() <= rows
+    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return held <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows
 
 
 def keyed(column: Column) -> Column:
