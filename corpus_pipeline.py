@@ -6,11 +6,13 @@ them, its shard and slot.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontam, jaccard, mixing, quality
 from lodestone.llm.common import table
-from lodestone.llm.queries import sharded
+from lodestone.llm.queries import JACCARD_SQL, LEAKS_SQL, MIXING_SQL, QUALITY_SQL, SHARDS_SQL, sharded
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +48,20 @@ STAGES = [
     ("shards", shards),
 ]
 
-#: Fingerprints, MinHash and hash draws have no SQL form; tests compare each stage with plain Python.
-ORACLE_SQL = None
+
+def _over(sql: str, name: str) -> str:
+    """The SQL with another table in place of documents."""
+    return re.sub(r"\bdocuments\b", name, sql)
+
+
+#: Each stage's SQL over what the one before kept; where ids are not repeated, a group's document is the one of its class's id.
+ORACLE_SQL = f"""
+WITH good AS MATERIALIZED (SELECT documents.* FROM documents JOIN ({QUALITY_SQL}) q ON documents.doc_id = q.doc_id WHERE q.kept),
+single AS MATERIALIZED (SELECT good.* FROM good JOIN ({_over(JACCARD_SQL, "good")}) j ON good.doc_id = j.doc_id WHERE j.class_id = j.doc_id),
+clean AS MATERIALIZED (SELECT * FROM single WHERE doc_id NOT IN (SELECT doc_id FROM ({_over(LEAKS_SQL, "single")}))),
+mixed AS MATERIALIZED (SELECT doc_id, source, text FROM ({_over(MIXING_SQL, "clean")}))
+SELECT * FROM ({_over(SHARDS_SQL, "mixed")})
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
