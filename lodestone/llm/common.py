@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stored
@@ -31,6 +33,12 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets the files of shuffles that no plan refers to any more leave the disks: the driver deletes them when it collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int | None = None) -> bool:
     """True if a table() has at most so many rows (BROADCAST_ROWS) and BROADCAST_BYTES bytes; reads one row more than that at most."""
     rows = BROADCAST_ROWS if rows is None else rows

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, table
+from .common import let_go, lookup_join, table
 
 LENGTH = 100
 GRAM = 32
@@ -390,6 +390,8 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
     first = df.mapInArrow(suffixes, "r int, kind int, z binary").repartition("r").sortWithinPartitions("r")
     spans = table(first.mapInArrow(compare, HOME), "spans")
+    del first
+    let_go(spark)  # the suffixes are several times the texts
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Compressed texts with whose they are."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
@@ -48,8 +48,8 @@ def upserted(found: DataFrame) -> DataFrame:
 
 def ordered(competitors: DataFrame, limit: int | None = None) -> DataFrame:
     """Competitors with place from 1: by source, strength, then order."""
-    at = F.row_number().over(Window.orderBy(place(F.col("source"), SOURCES), place(F.col("strength"), STRENGTHS), "ord"))
-    out = competitors.withColumn("place", at)
+    numbers = numbered(competitors, place(F.col("source"), SOURCES), place(F.col("strength"), STRENGTHS), "ord", name="place")
+    out = numbers.withColumn("place", (F.col("place") + 1).cast("int"))
     return out.filter(F.col("place") <= limit) if limit else out
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import native_score, needs_ratio, seq_ratio
 from ..functions.text import normal
 from ..functions.urls import other_slash, path
+from ..storage import stored
 
 #: Distinct texts of the right side that are broadcast at a time.
 BLOCK = 50_000
@@ -20,9 +21,10 @@ BLOCK = 50_000
 
 def text_pairs(left: DataFrame, right: DataFrame, threshold: float, containment: bool, ratio: bool = True) -> DataFrame:
     """a, b, score for all pairs of distinct normal texts (columns a, b) that reach threshold."""
-    lefts, rights = left.select("a").distinct(), right.select("b").distinct()
-    total = rights.count()
-    blocks = 1 + total // BLOCK
+    lefts, rights = left.select("a").distinct(), stored(right.select("b").distinct(), "texts")
+    blocks = 1 + rights.count() // BLOCK
+    if blocks > 1:
+        lefts = stored(lefts, "texts")  # each block reads it
     out = None
     for i in range(blocks):
         part = rights if blocks == 1 else rights.filter(F.pmod(F.xxhash64("b"), F.lit(blocks)) == i)
@@ -61,6 +63,28 @@ def best_match(texts: DataFrame, candidates: DataFrame, threshold: float, ratio:
     return texts.join(best, "a").select("ord", "best.cand_ord", "best.score")
 
 
+#: Lengths of the endings by which a text is looked for inside others.
+ENDINGS = (32, 16, 8, 4, 2, 1)
+
+
+def containing(longs: DataFrame, a: str, shorts: DataFrame, b: str) -> DataFrame:
+    """The columns of both for all pairs of which the text a contains the text b.
+
+    A text that holds another holds its ending, too: b's ending, of the greatest of a few lengths that it has, is joined with all parts of a of
+    that length, and only pairs that agree in it are looked at. An empty b, and there is one at most, is in every a."""
+    size = F.length(F.col(b))
+    length = F.lit(0)
+    for n in reversed(ENDINGS):
+        length = F.when(size >= n, n).otherwise(length)
+    keyed = shorts.filter(size > 0).withColumn("_length", length).withColumn("_key", F.expr(f"right({b}, _length)"))
+    lengths = keyed.select("_length").distinct()
+    parts = longs.join(F.broadcast(lengths), F.length(F.col(a)) >= F.col("_length"))  # a row for each of ENDINGS at most
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(F.col(a)) - F.col("_length") + 1), lambda i: F.substr(F.col(a), i, F.col("_length"))))
+    met = parts.withColumn("_key", F.explode(pieces)).join(keyed, ["_length", "_key"]).filter(F.contains(F.col(a), F.col(b))).drop("_length", "_key")
+    empty = longs.join(F.broadcast(shorts.filter(size == 0)), F.lit(True))
+    return met.select(*longs.columns, *shorts.columns).unionByName(empty.select(*longs.columns, *shorts.columns))
+
+
 def traffic_cascade(prompts: DataFrame, traffic: DataFrame) -> DataFrame:
     """The traffic row of each prompt: prompt_ord, traffic_ord.
 
@@ -70,14 +94,8 @@ def traffic_cascade(prompts: DataFrame, traffic: DataFrame) -> DataFrame:
     t = traffic.select(F.col("ord").alias("traffic_ord"), F.col("page_path").alias("t"))
     exact = urls.join(t, F.col("p") == F.col("t")).select("prompt_ord", "pos", F.lit(0).alias("rule"), "traffic_ord")
     slash = urls.join(t, other_slash(F.col("p")) == F.col("t")).select("prompt_ord", "pos", F.lit(1).alias("rule"), "traffic_ord")
-    paths = urls.select("p").distinct()
-    part = paths.join(F.broadcast(t), F.contains(F.col("p"), F.col("t")) | F.contains(F.col("t"), F.col("p"))) if traffic.count() <= BLOCK else None
-    if part is None:
-        blocks = 1 + traffic.count() // BLOCK
-        for i in range(blocks):
-            some = F.broadcast(t.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == i))
-            met = paths.join(some, F.contains(F.col("p"), F.col("t")) | F.contains(F.col("t"), F.col("p")))
-            part = met if part is None else part.unionByName(met)
+    paths, pages = urls.select("p").distinct(), t.select("t", "traffic_ord")
+    part = containing(paths, "p", pages, "t").unionByName(containing(pages, "t", paths, "p").select("p", "t", "traffic_ord"))
     inside = part.groupBy("p").agg(F.min("traffic_ord").alias("traffic_ord"))
     partial = urls.join(inside, "p").select("prompt_ord", "pos", F.lit(2).alias("rule"), "traffic_ord")
     every = exact.unionByName(slash).unionByName(partial)

@@ -18,6 +18,10 @@ from ..params import Reconcile
 from .matching import best_match
 
 
+#: Bits of a row's place within its run.
+RUN_BITS = 48
+
+
 def similar(a: str, b: str, threshold: float) -> bool:
     """Whether texts in normal form reach the threshold by words or by matching blocks. b is the leader."""
     return similarity(a, b, threshold) >= threshold
@@ -66,8 +70,7 @@ def consensus(prompts: DataFrame, by: str = "domain", params: Reconcile = Reconc
     """Prompts that recur over passes: best row of each cluster with its mean score, appearances and the ord of its first row.
 
     prompts: by, pass, ord (over all passes), prompt_text, relevance_score, extraction_reasoning and others. Domains of one pass stay as they are."""
-    passes = F.size(F.collect_set("pass").over(Window.partitionBy(by)))
-    rows = clustered(prompts, by, "prompt_text", params.similarity, fuzzy).withColumn("passes", passes)
+    rows = with_count(clustered(prompts, by, "prompt_text", params.similarity, fuzzy), by, "pass", "passes")
     rest = [c for c in prompts.columns if c not in (by, "relevance_score", "ord")]
     seen = F.count_distinct("pass") if params.strict else F.count(F.lit(1))
     best = F.max_by(F.struct(*rest), F.struct("relevance_score", (-F.col("ord")).alias("first")))
@@ -80,20 +83,31 @@ def consensus(prompts: DataFrame, by: str = "domain", params: Reconcile = Reconc
     return out.unionByName(single)
 
 
+def with_count(rows: DataFrame, by: str, of: str, name: str) -> DataFrame:
+    """rows with how many values of a column their group has. Values are made distinct before a shuffle, so no group's rows meet in one task."""
+    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count_distinct(of).cast("int").alias(name))
+    return rows.join(counts, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
+def _aged(runs: DataFrame, n: int) -> DataFrame:
+    """Rows of each domain's last n runs with _age, 1 for the last. Runs are ranked, not their rows."""
+    place = F.row_number().over(Window.partitionBy("_domain").orderBy(F.desc("_run")))
+    last = runs.select(F.col("domain").alias("_domain"), F.col("run_seq").alias("_run")).distinct().withColumn("_age", place).filter(F.col("_age") <= n)
+    return runs.join(last, F.col("domain").eqNullSafe(F.col("_domain")) & F.col("run_seq").eqNullSafe(F.col("_run"))).drop("_domain", "_run")
+
+
 def recent(runs: DataFrame, n: int) -> DataFrame:
     """Rows of each domain's last n runs."""
-    place = F.dense_rank().over(Window.partitionBy("domain").orderBy(F.desc("run_seq")))
-    return runs.withColumn("_age", place).filter(F.col("_age") <= n).drop("_age")
+    return _aged(runs, n).drop("_age")
 
 
 def stable(runs: DataFrame, params: Reconcile = Reconcile(), fuzzy: bool = True) -> DataFrame:
     """Texts that recur over a domain's recent runs: domain, text, avg_score, appearances, total_runs, stability, and ord, which follows their first rows.
 
     runs: domain, run_seq, ord (within the run), text, score. Domains with one run have none."""
-    near = recent(runs, params.recent_runs)
-    order = F.row_number().over(Window.partitionBy("domain").orderBy("run_seq", "ord"))
-    total = F.size(F.collect_set("run_seq").over(Window.partitionBy("domain")))
-    rows = near.withColumn("total_runs", total).withColumn("ord", order.cast("long")).filter("total_runs > 1")
+    near = with_count(_aged(runs, params.recent_runs), "domain", "run_seq", "total_runs").filter("total_runs > 1")
+    # the runs' order before that within a run
+    rows = near.withColumn("ord", F.shiftleft(F.lit(params.recent_runs) - F.col("_age").cast("long"), RUN_BITS) + F.col("ord")).drop("_age")
     sums = clustered(rows, "domain", "text", params.similarity, fuzzy).groupBy("domain", "leader", "total_runs").agg(
         F.min_by("text", "ord").alias("text"), F.avg("score").alias("avg_score"), F.count(F.lit(1)).alias("appearances"), F.min("ord").alias("ord")
     )
