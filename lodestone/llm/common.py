@@ -42,7 +42,7 @@ def let_go(spark: SparkSession) -> None:
 def small(df: DataFrame, rows: int | None = None) -> bool:
     """True if a table() has at most so many rows (BROADCAST_ROWS) and BROADCAST_BYTES bytes; reads one row more than that at most."""
     rows = BROADCAST_ROWS if rows is None else rows
-    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return held <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows
 
 
