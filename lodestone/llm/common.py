@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ..storage import stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of its files up to which a materialised and counted table may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 1 << 25
+#: Whether Spark removes a statement's shuffle files once it is done.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Keys that are joined apart because each has more than this share of the rows.
 HOT_KEYS = 10_000
 
@@ -33,10 +36,18 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Lets the files of shuffles that no plan refers to any more leave the disks: the driver deletes them when it collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the files of a statement's shuffles leave the executors' disks at the end of the statement, as a table() holds its rows by then."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def small(df: DataFrame, rows: int | None = None) -> bool:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, lookup_join, table
+from .common import lookup_join, shuffles_removed, table
 
 LENGTH = 100
 GRAM = 32
@@ -389,9 +389,8 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         return pa.RecordBatch.from_arrays([*(pa.array(x).cast(t) for x, t in zip(columns, HOME_TYPES, strict=True)), z], HOME_NAMES)
 
     first = df.mapInArrow(suffixes, "r int, kind int, z binary").repartition("r").sortWithinPartitions("r")
-    spans = table(first.mapInArrow(compare, HOME), "spans")
-    del first
-    let_go(spark)  # the suffixes are several times the texts
+    with shuffles_removed(spark):  # the suffixes are several times the texts
+        spans = table(first.mapInArrow(compare, HOME), "spans")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Compressed texts with whose they are."""
