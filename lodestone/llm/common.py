@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import leave_at_exit, shared_dir, stored
 
 #: Characters that separate words: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,11 +21,18 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 HOT_KEYS = 10_000
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, and survives lost executors.
 
+    by: a column whose values get folders of their own, so that a filter on it reads no others.
     The files go when the driver's JVM ends."""
-    return stored(df, name)
+    if by is None:
+        return stored(df, name)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).option("compression", "zstd").parquet(path)
+    leave_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lm_score, mixing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
+from . import decontam, divergence, jaccard, line_dedup, lm_score, mixing, pii, quality, sharding, suffix_dedup, token_counts, toxicity, vector_codes
 
 SHARDS = 40
 #: Where the machines keep the ranks of the tokenizer.
@@ -84,6 +84,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents")).select("row.doc_id", "class_id", "n_links", "n_class_links")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(_read(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -95,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_divergence": op12_divergence,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: Host rules over words, lines and windows; rates by moments as in quality.
@@ -228,4 +244,63 @@ n AS (SELECT draw.doc_id, draw.source, draw.text, draw.id, CAST(count(cdf.k) AS
 SELECT doc_id, source, text, CAST(copy AS INTEGER) AS copy, CAST('0x' || substr(md5(id || ':17:mix:' || copy), 1, 15) AS BIGINT) AS mix FROM (SELECT *, unnest(range(n)) AS copy FROM n)
 """
 
-ORACLES: dict[str, str] = {"op6_sharding": SHARDS_SQL, "op8_mixing": MIXING_SQL, "op2_suffix_dedup": SUFFIX_SQL, "op7_quality": QUALITY_SQL, "op9_decontamination": LEAKS_SQL, "op10_jaccard_join": JACCARD_SQL}
+#: Lines with their keys; documents and keeper of each key; what is left of each text. Ids are not repeated.
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM x),
+bad AS (SELECT k, max(doc_id) AS keeper FROM k WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id < keeper) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keeper IS NULL OR doc_id >= keeper), '')) AS kept_sha256
+FROM k LEFT JOIN bad ON k.k = bad.k GROUP BY doc_id
+"""
+
+#: Matches by group, the vocabulary of each language, whole-number shares of every group and term, distances and ranks.
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+m AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS lang_count FROM m GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+vs AS (SELECT lang, count(*) AS v, CAST(sum(lang_count) AS HUGEINT) AS lang_total FROM v GROUP BY lang),
+c AS (SELECT m.lang, source, m.term, count(*) AS c FROM m JOIN v ON m.lang = v.lang AND m.term = v.term GROUP BY m.lang, source, m.term),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, CAST(sum(c) AS HUGEINT) AS total FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 5) // (coalesce(n.total, 0) + 5 * vs.v) AS p,
+  1 + CAST(1000000000 AS HUGEINT) * (v.lang_count + 5) // (vs.lang_total + 5 * vs.v) AS q FROM g JOIN vs ON g.lang = vs.lang JOIN v ON g.lang = v.lang
+  LEFT JOIN n ON g.lang = n.lang AND g.source = n.source LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND v.term = c.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+_NEAREST = """a{r} AS MATERIALIZED (SELECT vec_id, p.part, arg_min(b.e, {{'d': {d}, 'e': b.e}}) AS e, min({d}) AS d FROM p JOIN b{r} b ON p.part = b.part GROUP BY vec_id, p.part)"""
+_DISTANCE = "list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_CENTRE = """s{r} AS (SELECT a.part, a.e, j, CAST(sum(p.v[j]) AS BIGINT) AS s, count(*) AS c FROM a{r} a JOIN p ON a.vec_id = p.vec_id AND a.part = p.part, (SELECT unnest(range(1, (SELECT max(len(v)) FROM p) + 1)) AS j) GROUP BY a.part, a.e, j),
+b{n} AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.v, b.v) AS v FROM b{r} b LEFT JOIN (SELECT part, e, list((s - ((s % c) + c) % c) // c ORDER BY j) AS v FROM s{r} GROUP BY part, e) n ON b.part = n.part AND b.e = n.e)"""
+
+#: Parts of each vector as whole numbers; rounds of nearest entries and their means, unrolled. Ids are not repeated, and vectors have one length.
+CODES_SQL = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS v FROM k, (SELECT unnest(range(8)) AS part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 16)),
+{", ".join(_NEAREST.format(r=r, d=_DISTANCE) + ", " + _CENTRE.format(r=r, n=r + 1) for r in range(vector_codes.ROUNDS))},
+{_NEAREST.format(r=vector_codes.ROUNDS, d=_DISTANCE)},
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{vector_codes.ROUNDS} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{vector_codes.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": SUFFIX_SQL,
+    "op6_sharding": SHARDS_SQL,
+    "op7_quality": QUALITY_SQL,
+    "op8_mixing": MIXING_SQL,
+    "op9_decontamination": LEAKS_SQL,
+    "op10_jaccard_join": JACCARD_SQL,
+    "op11_line_dedup": LINES_SQL,
+    "op12_divergence": DIVERGENCE_SQL,
+    "op13_vector_codes": CODES_SQL,
+}
