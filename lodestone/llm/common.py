@@ -103,3 +103,17 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left")
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text, A to Z in lower case. bytes.split() cuts at exactly the characters that WORD leaves out."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+#: Copies of one row that a task writes at a time.
+COPIES = 100_000
+
+
+def repeated(df: DataFrame, n: str, ordinal: str, most: int) -> DataFrame:
+    """df with each row n times (most at most), ordinal from 0; rows that occur very often are spread over tasks before they are written out."""
+    rest = df.columns
+    df = df.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(COPIES).cast("long"))))
+    if most > COPIES:
+        df = df.repartition("_from", *rest)
+    last = F.least(F.col(n), F.col("_from") + COPIES) - 1
+    return df.withColumn(ordinal, F.explode(F.sequence(F.col("_from"), last))).drop("_from")

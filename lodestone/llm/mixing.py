@@ -6,7 +6,7 @@ a seed; it is repeated so often, and all copies are dealt to partitions and sort
 
 Defined cases: a null source is a source of its own; a null or empty text has mass 0 and
 still a rate (a source without mass gets rate 0); rows whose id is null or occurs again draw each for
-themselves, by their place in a stored table, and are dealt apart; ties of the hash keep any order; an empty table gives no rows; texts
+themselves, by a hash of the row and a number among equal rows, and are dealt apart; ties of the hash keep any order; an empty table gives no rows; texts
 of any length travel whole; other columns of docs, whatever their names, stay in row.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digits, keyed, lookup_join, table, uniform
+from .common import digits, keyed, lookup_join, repeated, table, uniform
 
 #: Larger means are sums of draws whose means are at most this, so that exp(-mean) keeps its digits.
 PART_MEAN = 30.0
@@ -59,12 +59,19 @@ def rates(docs: DataFrame, source: str, text: str, targets: dict[str, float] | N
 
 
 def _named(rows: DataFrame, key: str) -> DataFrame:
-    """rows whose column key, a text, tells them apart: those of one key get their places in a stored table added."""
+    """rows whose column key, a text, tells them apart: those of one key get a hash of their row added, and a number among equal rows.
+
+    Equal rows are counted and written out again, as they are alike, so that names follow from what the rows hold and not from where they are."""
     again = table(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key, F.lit(True).alias("_again")), "again")
     if not again.limit(1).count():
         return rows
-    held = table(lookup_join(rows, again, key).withColumn("_no", F.monotonically_increasing_id()), "rows")
-    return held.withColumn(key, F.when(F.col("_again"), F.concat_ws("#", key, F.col("_no").cast("string"))).otherwise(F.col(key))).drop("_again", "_no")
+    held = lookup_join(rows, again, key)
+    alone = held.filter(F.col("_again").isNull()).drop("_again")
+    some = held.filter("_again").withColumn("_hash", F.md5(F.to_json("row")))
+    equal = table(some.groupBy(key, "place", "_hash").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("_n")), "equal-rows")
+    most = equal.agg(F.max("_n")).first()[0]
+    each = repeated(equal, "_n", "_no", most).withColumn(key, F.concat_ws("#", key, "_hash", F.col("_no").cast("string")))
+    return alone.unionByName(each.select(alone.columns))
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", targets: dict[str, float] | None = None, alpha: float = 0.5, budget: float | None = None, seed: int = 17) -> DataFrame:

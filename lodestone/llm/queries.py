@@ -200,33 +200,21 @@ def _uniform(text: str) -> str:
     return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
 
 
-def _descent(name: str, nodes: sharding.Tree) -> str:
-    """SQL for a table name (doc_id, size, text_crc32, n, k, shard): each level draws among the children of the chosen node."""
-    racks = {r: shards for inside in nodes.values() for r, shards in inside.items()}
-    rows = lambda level: ", ".join(f"({p}, {c}, {float(w)})" for p, c, w in level)
-    levels = {
-        "region": [(0, g, sum(sum(s.values()) for s in inside.values())) for g, inside in nodes.items()],
-        "rack": [(g, r, sum(s.values())) for g, inside in nodes.items() for r, s in inside.items()],
-        "shard": [(r, i, w) for r, s in racks.items() for i, w in s.items()],
-    }
-    out, before = "", "(SELECT *, 0 AS node FROM rows_)"
-    for level, places in levels.items():
-        u = _uniform(f"k || ':{level}:' || child")
-        out += f"""{name}_{level} AS (SELECT doc_id, size, text_crc32, n, k, CAST(arg_min(child, {{'d': -ln({u}) / w, 'n': child}}) AS INTEGER) AS node
-  FROM {before} JOIN (VALUES {rows(places)}) p(parent, child, w) ON node = parent GROUP BY doc_id, size, text_crc32, n, k),
-"""
-        before = f"{name}_{level}"
-    return out
+def _won(name: str, shards: int) -> str:
+    """SQL for a table name (doc_id, size, text_crc32, n, k, shard): the shard of the least draw. A node draws what the least of its shards does."""
+    u = _uniform("k || ':shard:' || i")
+    return f"""{name} AS (SELECT doc_id, size, text_crc32, n, k, CAST(arg_min(i, {{'d': -ln({u}), 'n': i}}) AS INTEGER) AS shard
+  FROM rows_, (SELECT unnest(range({shards})) AS i) GROUP BY doc_id, size, text_crc32, n, k)"""
 
 
-#: The descent level by level; slots by bucket, id, checksum and size, copies of a row one after another.
+#: The least draw of all shards, and with one more; slots by bucket, id, checksum and size, copies of a row one after another.
 SHARDS_SQL = f"""
 WITH {CRC},
 d AS (SELECT doc_id, CAST(octet_length(encode(t)) + 16 AS BIGINT) AS size, {_crc("t")} AS text_crc32 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), crc_table),
 rows_ AS (SELECT *, coalesce('=' || doc_id, 'null') AS k FROM (SELECT doc_id, size, text_crc32, count(*) AS n FROM d GROUP BY doc_id, size, text_crc32)),
-{_descent("now", sharding.tree(SHARDS))}{_descent("grown", sharding.tree(SHARDS + 1, laid=SHARDS))}s AS (SELECT a.*, a.node AS shard, b.node AS grown_shard,
+{_won("now", SHARDS)}, {_won("grown", SHARDS + 1)}, s AS (SELECT a.*, b.shard AS grown_shard,
   floor({_uniform("a.k || ':' || a.text_crc32 || ':' || a.size || ':slot'")} * (1 + (SELECT count(*) FROM rows_) // {SHARDS * sharding.SLOT_ROWS})) AS bucket
-  FROM now_shard a JOIN grown_shard b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.size = b.size AND a.text_crc32 = b.text_crc32)
+  FROM now a JOIN grown b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.size = b.size AND a.text_crc32 = b.text_crc32)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard
 FROM (SELECT *, unnest(range(n)) FROM s)
 """

@@ -1,12 +1,10 @@
 """Shards by a hierarchical weighted hash tree of regions, racks and shards.
 
-Each level draws for itself: of the children of the node that was reached, each draws -ln(u) / weight with u hashed from the
-document's id and the child, and the least draw wins, so that a child is chosen in proportion to its weight. A node's weight is
-the sum of its shards'. Only children of the chosen node draw. A change of one shard's weight changes the draws of its rack and region
-alone: rows move into that region or out of it, within it into that rack or out of it, and nowhere else.
-
-The first shards (laid) fill racks and regions in order; one that is added later opens a region of its own, so that
-it takes rows only into itself.
+Every shard draws -ln(u) / weight with u hashed from the document's id and the shard. A node draws what the least of its
+children draws, which is distributed as one draw of its own with the sum of their weights; the descent goes to the least region, within it to
+the least rack, within that to the least shard. As a node's draw changes only where a shard below it does, rows move only into a shard
+whose weight grows and only out of one whose weight falls: all other racks and regions keep what they have. Shards fill
+racks and regions in order, so the layout follows from their count alone, and one more shard takes rows only into itself.
 
 Defined cases: a null id draws as one id of its own; a null text has no bytes; repeated rows, and equal texts of one id,
 get the same shard and slots of their own; ties of draws go to the least node; an empty table gives no rows; texts of any length are
@@ -20,7 +18,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, lookup_join, table, uniform
+from .common import keyed, lookup_join, repeated, table, uniform
 
 HEADER_BYTES = 16
 SHARDS_PER_RACK = 5
@@ -32,59 +30,28 @@ SLOT_ROWS = 50_000
 Tree = dict[int, dict[int, dict[int, float]]]
 
 
-def tree(shards: int, weights: dict[int, float] | None = None, laid: int | None = None) -> Tree:
-    """The first laid shards (by default all) in racks and regions, the others each in a region of its own; weights are 1 where none is given."""
-    laid = shards if laid is None else min(laid, shards)
-    region_of = lambda i: i // (SHARDS_PER_RACK * RACKS_PER_REGION)
-    regions, racks = (region_of(laid - 1) + 1 if laid else 0), -(-laid // SHARDS_PER_RACK)
-    places = [(region_of(i), i // SHARDS_PER_RACK, i) for i in range(laid)] + [(regions + k, racks + k, laid + k) for k in range(shards - laid)]
+def tree(shards: int, weights: dict[int, float] | None = None) -> Tree:
+    """The shards in racks and regions; weights are 1 where none is given."""
+    places = [(i // (SHARDS_PER_RACK * RACKS_PER_REGION), i // SHARDS_PER_RACK, i) for i in range(shards)]
     weight = lambda i: (weights or {}).get(i, 1.0)
     return {g: {r: {i: weight(i) for *_, i in some} for r, some in groupby(inside, lambda x: x[1])} for g, inside in groupby(places, lambda x: x[0])}
 
 
-def _chosen(key: Column, level: str, weights: dict[int, float]) -> Column:
-    """The node of the least draw; nodes without weight draw nothing."""
-    nodes = [n for n, w in weights.items() if w > 0]
-    if len(nodes) == 1:
-        return F.lit(nodes[0])
-    draws = [F.struct((-F.ln(uniform(key, F.lit(level), F.lit(n))) / weights[n]).alias("d"), F.lit(n).alias("n")) for n in nodes]
-    return F.least(*draws)["n"]
-
-
-def _within(parent: Column, key: Column, level: str, children: dict[int, dict[int, float]]) -> Column:
-    """The child that the chosen parent's children draw."""
-    out = F.lit(None).cast("int")
-    for p, weights in children.items():
-        if any(w > 0 for w in weights.values()):
-            out = F.when(parent == p, _chosen(key, level, weights)).otherwise(out)
-    return out
-
-
-def shard_of(df: DataFrame, key: Column, nodes: Tree, name: str) -> DataFrame:
-    """df with column name: the shard that the descent through the tree reaches."""
-    racks = {r: shards for inside in nodes.values() for r, shards in inside.items()}
-    heavy = {g: {r: sum(shards.values()) for r, shards in inside.items()} for g, inside in nodes.items()}
-    kept = df.columns
-    df = df.withColumn("_region", _chosen(key, "region", {g: sum(w.values()) for g, w in heavy.items()}))
-    df = df.withColumn("_rack", _within(F.col("_region"), key, "rack", heavy))
-    return df.select(*kept, _within(F.col("_rack"), key, "shard", racks).alias(name))
+def _draw(key: Column, shard: int, weight: float) -> Column:
+    return F.struct((-F.ln(uniform(key, F.lit("shard"), F.lit(shard))) / weight).alias("d"), F.lit(shard).alias("n"))
 
 
-#: Copies of one row that a task writes at a time.
-COPIES = 100_000
+def _least(draws: list[Column]) -> Column:
+    return F.least(*draws) if len(draws) > 1 else draws[0]
 
 
-def _repeated(df: DataFrame, n: str, ordinal: str, most: int) -> DataFrame:
-    """df with each row n times (most at most), ordinal from 0; rows that occur very often are spread over tasks before they are written out."""
-    rest = df.columns
-    df = df.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(COPIES).cast("long"))))
-    if most > COPIES:
-        df = df.repartition("_from", *rest)
-    last = F.least(F.col(n), F.col("_from") + COPIES) - 1
-    return df.withColumn(ordinal, F.explode(F.sequence(F.col("_from"), last))).drop("_from")
+def descent(key: Column, nodes: Tree) -> Column:
+    """Draw d and number n of the shard that the descent through the tree reaches; shards without weight draw nothing."""
+    racks = lambda inside: [_least(draws) for shards in inside.values() if (draws := [_draw(key, i, w) for i, w in shards.items() if w > 0])]
+    return _least([_least(draws) for inside in nodes.values() if (draws := racks(inside))])
 
 
-def assign(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id", weights: dict[int, float] | None = None, grown: bool = True, laid: int | None = None) -> DataFrame:
+def assign(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id", weights: dict[int, float] | None = None, grown: bool = True) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and grown_shard (with one more shard of weight 1) for each row of docs.
 
     Slots run from 0 without gaps in each shard, ordered by a hash bucket, then by id: each bucket is numbered by
@@ -92,13 +59,13 @@ def assign(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id"
     bucket holds no more than different rows. Only numbers are shuffled, no texts."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(F.col(key).alias("doc_id"), (F.octet_length(t) + HEADER_BYTES).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
-    laid = shards if laid is None else min(laid, shards)
     df = table(df.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), "rows")
     found = df.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most")).first()
     buckets = 1 + found["rows"] // (shards * SLOT_ROWS)
     own = keyed(F.col("doc_id"))
-    df = shard_of(df, own, tree(shards, weights, laid), "shard")
-    df = shard_of(df, own, tree(shards + 1, weights, laid), "grown_shard") if grown else df.withColumn("grown_shard", F.lit(None).cast("int"))
+    more = _draw(own, shards, 1.0)
+    df = df.withColumn("_won", descent(own, tree(shards, weights)))
+    df = df.withColumn("shard", F.col("_won.n")).withColumn("grown_shard", _least([F.col("_won"), more])["n"] if grown else F.lit(None).cast("int")).drop("_won")
     bucket = F.floor(uniform(own, F.col("text_crc32"), F.col("size"), F.lit("slot")) * buckets).cast("int")
     df = table(df.withColumn("bucket", bucket), "shards")
     counts = df.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
@@ -107,4 +74,4 @@ def assign(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id"
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     numbered = df.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("place", F.concat_ws(":", "shard", "bucket"))
     placed = lookup_join(numbered, table(offsets, "offsets"), "place")
-    return _repeated(placed, "n", "copy", found["most"] or 0).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("first") + F.col("copy")).cast("long").alias("slot"), "grown_shard")
+    return repeated(placed, "n", "copy", found["most"] or 0).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("first") + F.col("copy")).cast("long").alias("slot"), "grown_shard")

@@ -86,7 +86,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
     """For each anchor of a piece: its place, the place less the first start of the strings it stands for, the last start less
-    the first, gram hash, hash of all bytes of these strings, and these bytes: REACH columns before the anchor and LENGTH from it on, 0 where no string reaches."""
+    the first, gram hash, and the bytes of these strings: REACH columns before the anchor and LENGTH from it on, 0 where no string reaches."""
     up, down = powers.get(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(CODES[raw] * up[:-1], out=sums[1:])
@@ -97,12 +97,11 @@ def anchors(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
     first = np.append(0, np.flatnonzero(np.diff(chosen)) + 1)
     last = np.append(first[1:], len(chosen)) - 1
     p = chosen[first]
-    whole = mixed((sums[last + LENGTH] - sums[first]) * down[first] + ((p - first) * 128 + last - p + 128).astype(np.uint64) * np.uint64(INVERSE))
     padded = np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(LENGTH, np.uint8)])
     around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[p]
     column = np.arange(AROUND)
     around *= (column >= (REACH - (p - first))[:, None]) & (column < (REACH + LENGTH + last - p)[:, None])
-    return p, (p - first).astype(np.uint8), (last - first).astype(np.uint8), grams[p], whole, around
+    return p, (p - first).astype(np.uint8), (last - first).astype(np.uint8), grams[p], around
 
 
 def pieces(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -174,20 +173,20 @@ def dealt(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]
 
 
 def text_hash(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw) & 0x7FFFFFFF
+    return xxhash.xxh64_intdigest(raw) >> 1
 
 
 class Owners:
     """Whose the rows are: whether the id is null, the id, a hash of the text."""
 
-    KINDS = (np.uint8, np.int64, np.int32)
+    KINDS = (np.uint8, np.int64, np.int64)
 
     def __init__(self, none: np.ndarray, id_: np.ndarray, text: np.ndarray):
         self.columns = (none, id_, text)
 
     @classmethod
     def of(cls, none: bool, id_: int, data: bytes, n: int) -> Owners:
-        return cls(np.full(n, none, np.uint8), np.full(n, id_, np.int64), np.full(n, text_hash(data), np.int32))
+        return cls(np.full(n, none, np.uint8), np.full(n, id_, np.int64), np.full(n, text_hash(data), np.int64))
 
     @classmethod
     def joined(cls, parts: list[Owners]) -> Owners:
@@ -244,7 +243,7 @@ SUFFIX = (*Owners.KINDS, np.int32, np.uint8, np.uint8, (np.uint8, AROUND))  # ow
 STRING = (*Owners.KINDS, np.int32, (np.uint8, LENGTH))  # owner, start, bytes
 SPAN = (*Owners.KINDS, np.int32, np.int32)  # owner, start, end
 #: Rows that meet at a document's home: spans of kind 2, texts of kind 3.
-HOME = "h int, kind int, none int, k long, th int, a int, b int, z binary"
+HOME = "h int, kind int, none int, k long, th long, a int, b int, z binary"
 HOME_NAMES = [x.split()[0] for x in HOME.split(", ")]
 HOME_TYPES = [{"int": pa.int32(), "long": pa.int64()}[x.split()[1]] for x in HOME.split(", ")[:-1]]
 NOTHING = np.zeros(0, np.int64)
@@ -305,7 +304,7 @@ def splitters(df: DataFrame, ranges: int) -> Splitters:
             for t in b.column("t"):
                 raw = np.frombuffer((t.as_py() or "").encode("utf-8"), np.uint8)[:PIECE]
                 if len(raw) >= LENGTH:
-                    _, left, span, gram, _, around = anchors(raw, powers)
+                    _, left, span, gram, around = anchors(raw, powers)
                     some = slice(None, None, -(-len(gram) // SAMPLE_SUFFIXES))
                     yield pa.RecordBatch.from_arrays([pa.array([pack(left[some], span[some], gram[some], around[some])], pa.binary())], ["z"])
 
@@ -350,11 +349,13 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
     def settle(found: list[tuple]) -> pa.RecordBatch:
         owners = Owners.joined([x[0] for x in found])
-        p, left, span, gram, whole, around = (np.concatenate(x) for x in zip(*(x[1:] for x in found), strict=True))
-        order, start, after, again = firsts(owners, p, gram, whole)
-        first = order[start]
-        same = (left[order] == left[first]) & (span[order] == span[first]) & (around[order] == around[first]).all(axis=1)
-        rest, own = order[after & same], np.sort(order[~(after & same) & ~again])
+        p, left, span, gram, around = (np.concatenate(x) for x in zip(*(x[1:] for x in found), strict=True))
+        rows, group = equal_rows(characters(around, 0, AROUND), len(p), AROUND // 8)
+        order, _, after, again = firsts(owners[rows], p[rows], left[rows], span[rows], group)
+        rest = rows[order[after]]
+        settled = np.zeros(len(p), bool)
+        settled[rows[order[after | again]]] = True
+        own = np.flatnonzero(~settled)
         a = p[rest] - left[rest]
         rows = _packed(_spans(owners[rest], a, a + span[rest] + LENGTH))
         hot = np.isin(gram[own], sent.value.grams)

@@ -11,7 +11,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, jaccard, lm_score, mixing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
+from lodestone.llm import common, decontam, jaccard, lm_score, mixing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
 from lodestone.llm.queries import QUERIES, TOKENIZER, sharded
 
 from .cases import LONG, PASSAGE, documents, frame, row
@@ -226,15 +226,16 @@ def drawn(*parts):
 
 def plain_shard(doc_id, nodes):
     k = "null" if doc_id is None else f"={doc_id}"
-    least = lambda level, weights: min(weights, key=lambda n: (-math.log(drawn(k, level, n)) / weights[n], n))
-    region = least("region", {g: sum(sum(s.values()) for s in racks.values()) for g, racks in nodes.items()})
-    rack = least("rack", {r: sum(s.values()) for r, s in nodes[region].items()})
-    return least("shard", nodes[region][rack])
+    draw = lambda i, w: (-math.log(drawn(k, "shard", i)) / w, i)
+    of_rack = lambda shards: min(draw(i, w) for i, w in shards.items())
+    region = min(nodes, key=lambda g: min(of_rack(x) for x in nodes[g].values()))
+    rack = min(nodes[region], key=lambda r: of_rack(nodes[region][r]))
+    return of_rack(nodes[region][rack])[1]
 
 
 def check_shards(rows, out, weights=None):
     assert sorted(map(repr, ((r["doc_id"], r["size"], r["text_crc32"]) for r in out))) == sorted(repr((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))) for i, t in rows)
-    now, grown = sharding.tree(40, weights), sharding.tree(41, weights, laid=40)
+    now, grown = sharding.tree(40, weights), sharding.tree(41, weights)
     slots = defaultdict(list)
     for r in out:
         assert r["shard"] == plain_shard(r["doc_id"], now) and r["grown_shard"] == plain_shard(r["doc_id"], grown)
@@ -274,19 +275,23 @@ def test_sharding_moves_rows_in_changed_subtrees_only(spark):
 
 
 def test_shards_join_one_by_one(spark):
-    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    before = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 7, laid=7, grown=False).collect()}
-    for n in (8, 9):
-        after = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, n, laid=7, grown=False).collect()}
-        assert all(after[i] in (before[i], n - 1) for i in before) and any(x == n - 1 for x in after.values())
-        before = after
+    """The layout follows from the count: a run with one more shard gives what was announced, and takes rows only into the new one."""
+    key = sharding.keyed(F.col("id"))
+    rows = spark.range(300).select(*(sharding.descent(key, sharding.tree(n))["n"].alias(f"s{n}") for n in range(1, 62))).collect()
+    for n in range(1, 61):
+        assert all(r[f"s{n + 1}"] in (r[f"s{n}"], n) for r in rows)
+        assert n > 50 or any(r[f"s{n + 1}"] == n for r in rows)
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for n in (7, 41):
+        now, then = (dict((r["doc_id"], r[c]) for r in sharding.assign(docs, k).collect()) for k, c in ((n, "grown_shard"), (n + 1, "shard")))
+        assert now == then
 
 
 def test_sharding_cases(spark, monkeypatch):
     rows = [(r[0], r[1]) for r in documents()]
     check_shards(rows, sharded(frame(spark)).collect())
     assert sharded(frame(spark, [])).count() == 0
-    monkeypatch.setattr(sharding, "COPIES", 7)  # a row that occurs very often is written out in parts
+    monkeypatch.setattr(common, "COPIES", 7)  # a row that occurs very often is written out in parts
     monkeypatch.setattr(sharding, "SLOT_ROWS", 2)
     many = [row(5, "same")] * 50 + [row(None, None)] * 20 + [row(i, "a") for i in range(100, 200)]
     check_shards([(r[0], r[1]) for r in many], sharded(frame(spark, many)).collect())
@@ -372,6 +377,12 @@ def test_mixing_of_repeated_and_null_ids(spark):
     assert 150 < len({r["text"] for r in out if r["doc_id"] is None}) < 350  # some of them, not all or none
 
 
+def test_mixing_does_not_depend_on_the_deal(spark):
+    rows = [row(None, f"null {i % 150}") for i in range(400)] + [row(7, "same")] * 100 + [row(8, None), row(8, "")]
+    drawn_ = [Counter((r["text"], r["copy"], r["mix"]) for r in mixing.mix(frame(spark, rows).repartition(n)).select("row.text", "copy", "mix").collect()) for n in (1, 4)]
+    assert drawn_[0] == drawn_[1]
+
+
 # Token counts.
 
 
@@ -1009,7 +1020,7 @@ def test_hot_grams_are_split(spark):
     sample = []
     for _ in range(400):
         raw = np.frombuffer((str(rng.integers(0, 10**18, 8)) + "licence " * 8 + str(rng.integers(0, 10**18, 8))).encode(), np.uint8)
-        _, left, span, gram, _, around = suffix_dedup.anchors(raw, powers)
+        _, left, span, gram, around = suffix_dedup.anchors(raw, powers)
         sample.append((left, span, gram, around))
     cuts = suffix_dedup.Splitters(sample, 40)
     left, span, gram, around = (np.concatenate(x) for x in zip(*sample, strict=True))
@@ -1060,6 +1071,23 @@ def test_suffix_dedup_smallest_tables(spark, sf):
     assert dedup_rows(suffix_dedup.repeats(docs)) == plain_dedup([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_texts_without_an_id_are_told_apart(spark):
+    """Two texts whose hashes agree in 31 bits do not lose each other's bytes."""
+    import xxhash
+
+    passage = " ".join(f"{i}x" for i in range(60))
+    seen, pair = {}, None
+    for i in range(500_000):
+        text = f"{i} " + (passage if i % 2 else " ".join(f"{i * j}y" for j in range(1, 12)) * 3)
+        h = xxhash.xxh64_intdigest(text.encode()) & 0x7FFFFFFF
+        other = seen.setdefault(h, text)
+        if (passage in other) != (passage in text):
+            pair = other, text
+            break
+    assert pair
+    check_dedup(spark, [row(1, passage), row(None, pair[0]), row(None, pair[1])])
+
+
 # Queries and the pipeline.
 
 
