@@ -70,7 +70,8 @@ def _named(rows: DataFrame, key: str) -> DataFrame:
     some = held.filter("_again").withColumn("_hash", F.md5(F.to_json("row")))
     equal = table(some.groupBy(key, "place", "_hash").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("_n")), "equal-rows")
     most = equal.agg(F.max("_n")).first()[0]
-    each = repeated(equal, "_n", "_no", most).withColumn(key, F.concat_ws("#", key, "_hash", F.col("_no").cast("string")))
+    # a table, as the optimizer loses fields of row that are read beyond several explodes
+    each = table(repeated(equal, "_n", "_no", most), "each-row").withColumn(key, F.concat_ws("#", key, "_hash", F.col("_no").cast("string")))
     return alone.unionByName(each.select(alone.columns))
 
 

@@ -468,7 +468,7 @@ def _spans(owners: Owners, starts: np.ndarray, ends: np.ndarray) -> Spans:
 def _packed(spans: Spans) -> list[tuple[int, int, bytes]]:
     """A row for all the spans, which any range may pass on."""
     owners, a, b = spans
-    return [(int(owners.columns[2][0]), 2, pack(*owners.columns, a, b))] if len(a) else []
+    return [(int(owners.columns[2][0]) & 0x7FFFFFFF, 2, pack(*owners.columns, a, b))] if len(a) else []
 
 
 def _unpacked(blobs: list[bytes]) -> Iterator[Spans]:
