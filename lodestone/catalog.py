@@ -6,6 +6,7 @@ pages. Each query is the engine's operator applied to them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from .functions import dates, scoring, text, urls
 from .operators import claims, competitors, completion, context, correlate, debate, dedup, lookup, matching, metrics, pages, reconcile, report
 from .params import Reconcile
-from .storage import leave_at_exit, shared_dir
+from .sources import tables
+from .storage import leave_at_exit, shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,11 +97,13 @@ def traffic(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("event_type") == "click").alias("organic_sessions"), F.count_if(F.col("event_type") == "view").alias("pageviews"))
     # every third path ends in a slash, and no path is longer than the longest user
     path = F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 3 == 0, "/").otherwise(""))
-    return rows.filter("user_id % 7 <> 0").select(F.col("user_id").alias("ord"), path.alias("page_path"), "sessions", "organic_sessions", "pageviews", (F.col("sessions") / 1000.0).alias("bounce_rate"))
+    # every seventh path is one that no prompt has
+    path = F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("/other/"), F.col("user_id").cast("string"))).otherwise(path)
+    return rows.select(F.col("user_id").alias("ord"), path.alias("page_path"), "sessions", "organic_sessions", "pageviews", (F.col("sessions") / 1000.0).alias("bounce_rate"))
 
 
-VA = """va AS (SELECT user_id AS ord, '/u/' || CAST(user_id AS VARCHAR) || CASE WHEN user_id % 3 = 0 THEN '/' ELSE '' END AS page_path, count(*) AS sessions,
-  count(*) FILTER (WHERE event_type = 'click') AS organic_sessions, count(*) FILTER (WHERE event_type = 'view') AS pageviews FROM events WHERE user_id % 7 <> 0 GROUP BY user_id)"""
+VA = """va AS (SELECT user_id AS ord, CASE WHEN user_id % 7 = 0 THEN '/other/' || CAST(user_id AS VARCHAR) ELSE '/u/' || CAST(user_id AS VARCHAR) || CASE WHEN user_id % 3 = 0 THEN '/' ELSE '' END END AS page_path, count(*) AS sessions,
+  count(*) FILTER (WHERE event_type = 'click') AS organic_sessions, count(*) FILTER (WHERE event_type = 'view') AS pageviews FROM events GROUP BY user_id)"""
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
@@ -260,6 +264,13 @@ def fuzzy_match_top10(spark, d):
     return matching.top_matches(prompts(spark, d), search(spark, d))
 
 
+@query()
+def ranked_opportunities_fuzzy(spark, d):
+    """The flagship with the sequence ratio among the similarities."""
+    rows = rounded(correlate.correlate(prompts(spark, d), search(spark, d), traffic(spark, d), rank=False))
+    return rows.select("priority_rank", "ord", "prompt_text", "impact_score", "data_correlation_score", correlate.best_query("query").alias("query"), F.round(correlate.best_query("match_score"), 9).alias("match_score"), F.col("traffic.page_path").alias("page_path"), "recommendation")
+
+
 # Scores.
 
 
@@ -483,14 +494,33 @@ def page_word_count(spark, d):
 HREFS = """regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"', 1)"""
 
 
-@query(f"""SELECT page_id, trim({TITLE}) AS title, trim({H1}) AS h1, CAST(CASE WHEN {ARTICLE} = '' THEN 0 ELSE len(string_split({ARTICLE}, ' ')) END AS INTEGER) AS word_count,
-  CAST(len(list_distinct([rtrim(x, '/') FOR x IN {HREFS}])) AS INTEGER) AS internal, CAST(0 AS INTEGER) AS external FROM pages""")
+SPARSE = """CASE WHEN words < 10 THEN len(regexp_extract_all(title, '[^ \\t\\n\\x0B\\f\\r]+')) ELSE 0 END"""
+
+
+@query(f"""WITH p AS (SELECT page_id, trim({TITLE}) AS title, trim({H1}) AS h1, CASE WHEN {ARTICLE} = '' THEN 0 ELSE len(string_split({ARTICLE}, ' ')) END AS words,
+  CAST(len(list_distinct([rtrim(x, '/') FOR x IN {HREFS}])) AS INTEGER) AS internal FROM pages)
+  SELECT page_id, title, h1, CAST(words + {SPARSE} AS INTEGER) AS word_count, internal, CAST(0 AS INTEGER) AS external FROM p""")
 def page_parse(spark, d):
-    """The full parser on every page, whose links are all of its own site."""
+    """The full parser on every page, whose links are all of its own site. Bodies of fewer than ten words are headed by their titles."""
     rows = pages.parsed(read(spark, d, "pages").select("page_id", "url", "html"))
     return rows.select("page_id", "title", F.get("h1_tags", 0).alias("h1"), "word_count", F.size("internal_links").alias("internal"), F.size("external_links").alias("external"))
 
 
+@query(f"""SELECT page_id, {ARTICLE} AS body FROM pages WHERE {ARTICLE} <> '' AND len(string_split({ARTICLE}, ' ')) >= 10""")
+def page_main_text(spark, d):
+    """Pages whose parts are plain boxes, with boxes of links and teasers around the text: the parser finds the article's text by density."""
+    html = F.col("html")
+    for tag in ("article", "nav", "footer", "header"):
+        html = F.regexp_replace(html, f"(?i)<{tag}(?=[ >])", "<div")
+        html = F.replace(html, F.lit(f"</{tag}>"), F.lit("</div>"))
+    teasers = F.lit('<div class="more"><div><a href="/a">More about this and much else, with a long heading</a></div><div><a href="/b">Another story that is linked from here</a> today</div></div>')
+    html = F.replace(html, F.lit("</body>"), F.concat(teasers, F.lit("</body>")))
+    html = F.regexp_replace(html, "<body>", F.concat(F.lit("<body>"), teasers))
+    rows = pages.parsed(read(spark, d, "pages").select("page_id", "url", html.alias("html")))
+    known = read(spark, d, "pages").select("page_id", text.word_count(pages.article_text(F.col("html"))).alias("n")).filter("n >= 10")
+    return rows.join(known, "page_id", "left_semi").select("page_id", F.col("body_text").alias("body"))
+
+
 def described(spark, d) -> DataFrame:
     """Pages with metadata of their own: a description, an Open Graph title and linked data with the title, a number and the first heading."""
     rows = read(spark, d, "pages")
@@ -515,13 +545,32 @@ def page_sparse_compose(spark, d):
     return rows.select("page_id", F.col("body_text").alias("body"), "meta_description")
 
 
+def sitemaps(spark, d) -> DataFrame:
+    """A sitemap of each page's address, with one more that has none."""
+    entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url><url><lastmod>2024-01-01</lastmod></url>"))
+    return read(spark, d, "pages").select("page_id", F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), entry, F.lit("</urlset>")).alias("xml"))
+
+
+@query("SELECT page_id, CAST(0 AS INTEGER) AS pos, url FROM pages")
+def sitemap_urls_lateral(spark, d):
+    """The table function over each sitemap, in SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT page_id, entry.pos, entry.url FROM {maps}, LATERAL sitemap_urls(xml) AS entry", maps=sitemaps(spark, d))
+
+
+@query(f"""SELECT page_id, CAST(unnest(range(len({HREFS}))) AS INTEGER) AS pos, unnest({HREFS}) AS href FROM pages""")
+def page_links_lateral(spark, d):
+    """The table function over each page, in SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT page_id, link.pos, link.href FROM {pages}, LATERAL page_links(html) AS link", pages=read(spark, d, "pages"))
+
+
 @query("SELECT page_id, url FROM pages")
 def sitemap_urls(spark, d):
-    """A sitemap of each page's address, with one more that has none."""
+    """The entries of each sitemap."""
     from .sources.web import sitemap_locations
 
-    entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url><url><lastmod>2024-01-01</lastmod></url>"))
-    rows = read(spark, d, "pages").select("page_id", F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), entry, F.lit("</urlset>")).alias("xml"))
+    rows = sitemaps(spark, d)
     return rows.select("page_id", F.explode(sitemap_locations(F.col("xml"), F.lit("url"))).alias("url"))
 
 
@@ -541,6 +590,29 @@ def url_resolve(spark, d):
 LINKS = """links AS (SELECT p_partkey AS src, CAST((p_partkey * 7 + 3) % 211 AS BIGINT) AS dst FROM part UNION ALL SELECT p_partkey, CAST((p_partkey * 3 + p_size) % 389 AS BIGINT) FROM part)"""
 
 
+@query(f"""WITH RECURSIVE q AS (SELECT page_id % 3 AS s, page_id // 3 AS i, trim({TITLE}) AS title, CASE WHEN {ARTICLE} = '' THEN 0 ELSE len(string_split({ARTICLE}, ' ')) END AS words FROM pages),
+  p AS (SELECT s, i, title, words + {SPARSE} AS words FROM q),
+  reach AS (SELECT s, i, title, words, 0 AS depth FROM p WHERE i = 0 UNION ALL SELECT p.s, p.i, p.title, p.words, depth + 1 FROM reach JOIN p ON p.s = reach.s AND p.i > 8 * reach.i AND p.i <= 8 * reach.i + 8
+    WHERE depth < 5 AND NOT (p.s = 1 AND p.i BETWEEN 30 AND 39)),
+  good AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY depth, i) AS k FROM reach WHERE CASE WHEN i = 0 THEN words >= 5 OR title <> '' ELSE words >= 10 END)
+  SELECT 'www.site' || s || '.example' AS site, CAST(i AS BIGINT) AS number, CAST(depth AS INTEGER) AS depth, CAST(words AS INTEGER) AS word_count FROM good WHERE k <= 100""")
+def crawl_many_sites(spark, d):
+    """The pages dealt to three sites whose pages link to eight others each; one site's rules close some. One frontier, a limit for each site."""
+    from .params import Crawl
+    from .sources.web import crawl_sites
+
+    site, number = F.concat(F.lit("https://www.site"), (F.col("page_id") % 3).cast("string"), F.lit(".example")), F.expr("page_id div 3")
+    # links are read in the order of their addresses: numbers have one length
+    address = lambda n: F.concat(F.lit("/p/"), F.lpad(n.cast("string"), 9, "0"))
+    links = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.concat(F.lit('<a href="'), address(number * 8 + k), F.lit('"></a>'))), "")
+    html = F.concat(F.regexp_replace("html", r'(?is)\shref="[^"]*"', ""), links)
+    rows = read(spark, d, "pages")
+    answers = rows.select(F.when(number == 0, site).otherwise(F.concat(site, address(number))).alias("url"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), html.alias("text"))
+    rules = rows.filter("page_id = 1").select(F.concat(site, F.lit("/robots.txt")).alias("url"), F.lit(200).alias("status_code"), F.lit("text/plain").alias("content_type"), F.lit("User-agent: *\nDisallow: /p/00000003\n").alias("text"))
+    found = crawl_sites(rows.filter(number == 0).select(site.alias("start")), stored(answers.unionByName(rules), "answers"), Crawl(max_pages=100))
+    return found.select("site", F.when(F.col("depth") == 0, 0).otherwise(F.regexp_extract("url", "/p/([0-9]+)$", 1).cast("long")).cast("long").alias("number"), "depth", "word_count")
+
+
 @query(f"""WITH RECURSIVE {LINKS}, reach AS (SELECT CAST(0 AS BIGINT) AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM reach JOIN links ON src = url WHERE depth < 5)
   SELECT CAST(url AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY url""")
 def crawl_frontier(spark, d):
@@ -872,6 +944,20 @@ def mine_replay(spark, d):
     return out.select("domain", F.col("_order").alias("batch"), F.col("_pos").alias("pos"), "prompt_text", F.size("source_urls").alias("n_urls"))
 
 
+@query("""WITH z AS (SELECT url, ceil(count(*) OVER () / 10.0) AS batches FROM pages WHERE contains(url, '/en/')), a AS (SELECT url FROM pages WHERE NOT contains(url, '/en/')), n AS (SELECT CAST(coalesce(max(batches), 0) AS BIGINT) AS n FROM z)
+  SELECT CAST(0 AS BIGINT) AS ord, 'Shared query' AS prompt_text, CAST(0.9 AS DOUBLE) AS relevance_score, 'from zeta' AS extraction_reasoning, CAST((SELECT count(DISTINCT url) FROM pages) AS INTEGER) AS n_urls
+  UNION ALL SELECT 1, 'zeta alone', 0.4, '', (SELECT count(DISTINCT url) FROM z) UNION ALL SELECT 2 * n, 'alpha alone', 0.3, '', (SELECT count(DISTINCT url) FROM a) FROM n""")
+def competitor_analyse(spark, d):
+    """Two competitors that yield one text: the row of the one placed first stays, though its name comes later."""
+    reply = lambda *xs: json.dumps({"prompts": [dict(zip(("prompt_text", "relevance_score", "reasoning"), x, strict=True)) for x in xs]})
+    replies = {"Competitor: zeta.example": reply(("Shared query", 0.5, "from zeta"), ("zeta alone", 0.4, "")), "Competitor: alpha.example": reply(("alpha alone", 0.3, ""), (" shared QUERY", 0.9, "from alpha"))}
+    rows = parsed_pages(spark, d)
+    site = rows.withColumn("site", F.when(F.contains("url", F.lit("/en/")), "zeta.example").otherwise("alpha.example"))
+    linked = rows.limit(0).withColumn("external_links", F.array().cast("array<string>"))
+    _, found = competitors.analyse(linked, "https://shop.example.com/", ["zeta.example", "alpha.example"], replayed(spark, replies), lambda _: site)
+    return found.select("ord", "prompt_text", "relevance_score", "extraction_reasoning", F.size("source_urls").alias("n_urls"))
+
+
 @query(f"""{RANKED}, g AS (SELECT *, data_correlation_score > 0.3 OR impact_score > 0.5 AS asked, prompt_text LIKE 'blue%' AS answered FROM s)
   SELECT ord, CASE WHEN asked AND answered THEN round(impact_score * 0.4 + 0.5 * 0.6, 6) ELSE round(impact_score, 6) END AS impact_score,
   CASE WHEN asked AND answered THEN round(data_correlation_score * 0.4 + 0.25 * 0.6, 6) ELSE round(data_correlation_score, 6) END AS data_correlation_score,
@@ -884,10 +970,30 @@ def refine_replay(spark, d):
     return rows.withColumns(six).select("ord", "impact_score", "data_correlation_score", "recommendation")
 
 
-@query("SELECT p_partkey AS ord, true AS is_accurate, false AS is_faithful, 'high' AS quality_rating, CAST(0.75 AS DOUBLE) AS overall_score, CAST(4 AS INTEGER) AS turns, 'CHALLENGER: not json' AS second FROM part")
+class Debaters:
+    """A backend whose replies hang on the length of the query that is debated; some judgements fail."""
+
+    def __call__(self, request: dict) -> tuple[str, dict]:
+        said = [m["content"] for m in request["messages"]]
+        n = len(said[1].split("Query: ", 1)[1].split("\n", 1)[0])
+        replies = {"Argue": '{"confidence": 0.8}', "Attack": '{"overall_challenge_strength":0.2}' if n % 2 else "not json", "Answer": '{"updated_confidence": 0.7}'}
+        turn = said[-1].split(" ", 1)[0]
+        if turn in replies:
+            return replies[turn], {}
+        if n % 5 == 0:
+            raise LookupError("no judgement")
+        return json.dumps({"accuracy_score": n % 10 / 10, "overall_score": str(n % 10 / 10), "quality_rating": "odd" if n % 2 else "HIGH"}), {}
+
+
+@query("""SELECT p_partkey AS ord, n % 5 = 0 OR n % 10 >= 6 AS is_accurate, n % 5 = 0 AS is_faithful, CASE WHEN n % 5 <> 0 AND n % 2 = 0 THEN 'high' ELSE 'medium' END AS quality_rating,
+  CASE WHEN n % 5 = 0 THEN CAST(0.5 AS DOUBLE) ELSE (n % 10) / 10.0 END AS overall_score, CAST(4 AS INTEGER) AS turns, 'CHALLENGER: ' || CASE WHEN n % 2 = 0 THEN 'not json' ELSE '{"overall_challenge_strength":0.2}' END AS second
+  FROM (SELECT p_partkey, length(p_name) AS n FROM part)""")
 def debate_replay(spark, d):
-    replies = {"Argue": '{"confidence": 0.8}', "Attack": "not json", "Answer": '{"updated_confidence": 0.7}', "Judge": '{"accuracy_score": 0.9, "overall_score": "0.75", "quality_rating": "HIGH"}'}
-    out = debate.debate(prompts(spark, d), parsed_pages(spark, d), replayed(spark, replies))
+    """Four turns for each prompt; replies and failures differ by prompt."""
+    from .schema import RESPONSE
+
+    service = completion.Service(spark.createDataFrame([], RESPONSE), Debaters(), _quick())
+    out = debate.debate(prompts(spark, d), parsed_pages(spark, d), service)
     return out.select("ord", "is_accurate", "is_faithful", "quality_rating", "overall_score", F.size("debate_summary").alias("turns"), F.get("debate_summary", 1).alias("second"))
 
 

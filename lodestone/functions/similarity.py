@@ -41,14 +41,3 @@ def native_score(a: Column, b: Column, containment: bool) -> Column:
     if containment:
         score = F.greatest(score, F.when(either_contains(a, b), F.lit(CONTAINED)).otherwise(F.lit(0.0)))
     return F.when(a == b, F.lit(1.0)).otherwise(score)
-
-
-def length_bound(a: Column, b: Column) -> Column:
-    """No ratio is above this."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2 * F.least(F.length(a), F.length(b)) / total)
-
-
-def needs_ratio(a: Column, b: Column, native: Column, threshold: float) -> Column:
-    bound = length_bound(a, b)
-    return (bound >= threshold) & (bound > native)

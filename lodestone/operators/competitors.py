@@ -74,10 +74,11 @@ def discover(pages: DataFrame, target_url: str, manual: list[str], service: Serv
     return ordered(upserted(rows.unionByName(linked)))
 
 
-def mine(pages: DataFrame, domain_: str, service: Service, params: Extraction = Extraction()) -> DataFrame:
+def mine(pages: DataFrame, domain_: str, service: Service, params: Extraction = Extraction(), industry: str = "") -> DataFrame:
     """Prompts of one competitor's pages, marked with where they come from."""
     asked = page_batches(pages, params.batch, competitor_text())
-    said = F.concat(F.lit(f"Competitor: {domain_}\n\n"), F.col("content"))
+    trade = f"Industry: {industry}\n" if industry else ""
+    said = F.concat(F.lit(f"Competitor: {domain_}\n{trade}\n"), F.col("content"))
     replies = service.ask(asked, "batch", F.array(message("system", F.lit(MINE)), message("user", said)), 0.4, 4096).join(asked.select("batch", "urls"), "batch")
     return prompts_from(replies, "prompts", "batch", F.col("urls")).withColumn("domain", F.lit(domain_))
 
@@ -89,18 +90,20 @@ def counters(competitors: DataFrame, pages: DataFrame, prompts: DataFrame) -> Da
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("pages_crawled", "prompts_found")})
 
 
-def analyse(pages: DataFrame, target_url: str, manual: list[str], service: Service, crawl: Callable[[str], DataFrame], limit: int = 5, params: Extraction = Extraction()) -> tuple[DataFrame, DataFrame]:
-    """Competitors with counters, and their distinct prompts. crawl gives the pages of a domain; limit competitors are crawled."""
+def analyse(pages: DataFrame, target_url: str, manual: list[str], service: Service, crawl: Callable[[list[str]], DataFrame], limit: int = 5, params: Extraction = Extraction()) -> tuple[DataFrame, DataFrame]:
+    """Competitors with counters, and their distinct prompts. crawl gives the pages (site, …) of all domains at once; limit competitors are crawled."""
     chosen = discover(pages, target_url, manual, service).filter(F.col("place") <= limit).persist()
-    all_pages, all_prompts = None, None
-    for row in chosen.select("domain").orderBy("place").collect():  # limit rows
-        site = crawl(row["domain"])
-        found = mine(site, row["domain"], service, params)
-        some = site.select(F.lit(row["domain"]).alias("domain"))
-        all_pages = some if all_pages is None else all_pages.unionByName(some)
-        all_prompts = found if all_prompts is None else all_prompts.unionByName(found)
-    if all_prompts is None:
+    rows = chosen.select("domain", "place", "industry").orderBy("place").collect()  # limit rows
+    if not rows:
         none = chosen.select("domain").limit(0)
         return counters(chosen, none, none), None
-    unique = exact_dedup(numbered(all_prompts, "domain", "_order", "_pos").drop("_order", "_pos", "domain"))
-    return counters(chosen, all_pages, all_prompts), unique
+    industry = next((r["industry"] for r in rows if r["industry"]), "")
+    pages_ = service.store(crawl([r["domain"] for r in rows]))
+    all_prompts = None
+    for row in rows:
+        site = pages_.filter(F.col("site") == row["domain"]).drop("site")
+        found = mine(site, row["domain"], service, params, industry).withColumn("_place", F.lit(row["place"]))
+        all_prompts = found if all_prompts is None else all_prompts.unionByName(found)
+    # in the order of the competitors, so that of equal texts the row of the first of them stays
+    unique = exact_dedup(numbered(all_prompts, "_place", "_order", "_pos").drop("_place", "_order", "_pos", "domain"))
+    return counters(chosen, pages_.select(F.col("site").alias("domain")), all_prompts), unique

@@ -7,11 +7,13 @@ changes a reply that was used. Replies are parsed natively.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..params import Completion
@@ -36,13 +38,35 @@ def requests(df: DataFrame, key: str, messages: Column, temperature: float, max_
     return df.select(F.col(key).alias("key"), hashed.alias("request_hash"), messages.alias("messages"), F.lit(temperature).alias("temperature"), F.lit(max_tokens).alias("max_tokens"))
 
 
-def _send(request: dict, backend: Backend, params: Completion, state: dict) -> dict:
+class Turn:
+    """When a task may call: one task keeps the spacing since its last call; several, which a barrier starts together, have turns one spacing apart.
+
+    The tasks agree on the latest of their clocks as the beginning; a task that is late takes its next turn and leaves the others theirs."""
+
+    def __init__(self, spacing: float, tasks: int = 1):
+        self.spacing, self.tasks, self.own, self.next, self.last = spacing, tasks, 0, 0, -math.inf
+        if tasks > 1:
+            together = BarrierTaskContext.get()
+            self.own = together.partitionId()
+            self.start = max(map(float, together.allGather(repr(time.time()))))
+
+    def wait(self) -> None:
+        if self.tasks == 1 or not self.spacing:
+            time.sleep(max(0.0, self.spacing - (time.monotonic() - self.last)))
+            self.last = time.monotonic()
+            return
+        first, every = self.start + self.own * self.spacing, self.tasks * self.spacing
+        turn = max(self.next, math.ceil((time.time() - first) / every))
+        time.sleep(max(0.0, first + turn * every - time.time()))
+        self.next = turn + 1
+
+
+def _send(request: dict, backend: Backend, params: Completion, turn: Turn) -> dict:
     """One call with pauses and retries; a pause of the service's asking follows the last try, too."""
     error = None
     for attempt in range(params.retries):
         if attempt == 0:
-            time.sleep(max(0.0, params.spacing - (time.monotonic() - state.get("at", -1e9))))
-            state["at"] = time.monotonic()
+            turn.wait()
         try:
             content, usage = backend(request)
             return {"content": content, "error": None} | {k: int(usage.get(k, 0)) for k in ("prompt_tokens", "completion_tokens", "cached_tokens")}
@@ -56,20 +80,20 @@ def _send(request: dict, backend: Backend, params: Completion, state: dict) -> d
 
 
 def completed(wanted: DataFrame, known: DataFrame, backend: Backend | None, params: Completion = Completion(), partitions: int = 1) -> DataFrame:
-    """Replies (schema RESPONSE) to wanted that known lacks. partitions: how many tasks may call at once; each keeps the spacing.
+    """Replies (schema RESPONSE) to wanted that known lacks. partitions: how many tasks may call at once; together they keep the spacing.
 
-    Store the result before use. Without a backend nothing is sent."""
+    More than one run in a barrier stage, for which the cluster needs as many free slots. Store the result before use. Without a backend nothing is sent."""
     fresh = wanted.dropDuplicates(["request_hash"]).join(known.select("request_hash"), "request_hash", "left_anti")
     if backend is None:
         return known.limit(0)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
+        turn = Turn(params.spacing, partitions)
         for frame in frames:
-            rows = [{"request_hash": r["request_hash"]} | _send(r, backend, params, state) for r in frame.to_dict("records")]
+            rows = [{"request_hash": r["request_hash"]} | _send(r, backend, params, turn) for r in frame.to_dict("records")]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESPONSE.split(", ")])
 
-    return fresh.select("request_hash", "messages", "temperature", "max_tokens").repartition(partitions).mapInPandas(run, RESPONSE)
+    return fresh.select("request_hash", "messages", "temperature", "max_tokens").repartition(partitions).mapInPandas(run, RESPONSE, barrier=partitions > 1)
 
 
 def answered(wanted: DataFrame, known: DataFrame) -> DataFrame:
@@ -101,12 +125,16 @@ def cache_marks(messages: Column, least: int = 2048) -> Column:
     )
 
 
+TOKENS = ("prompt_tokens", "completion_tokens", "cached_tokens")
+
+
+def _counters() -> list[Column]:
+    return [F.count(F.lit(1)).alias("calls"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in TOKENS)]
+
+
 def usage(calls: DataFrame) -> DataFrame:
     """One row: calls, tokens, cached tokens and the share of cost that caching saved."""
-    sums = calls.agg(
-        F.count(F.lit(1)).alias("calls"),
-        *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens", "cached_tokens")),
-    )
+    sums = calls.agg(*_counters())
     total = F.col("prompt_tokens") + F.col("completion_tokens")
     saved = F.when(total > 0, F.round(F.lit(0.9) * F.col("cached_tokens") / F.greatest(F.col("prompt_tokens"), F.lit(1)) * 100, 1)).otherwise(F.lit(0.0))
     return sums.select("*", saved.alias("estimated_savings_pct"))
@@ -128,17 +156,22 @@ class Recorded:
 
 
 class Service:
-    """Runs requests through known replies and a backend; store(df) makes a table of new replies that later steps read."""
+    """Runs requests through known replies and a backend; store(df) makes a table of new replies that later steps read.
+
+    counted has the calls and tokens so far, observed while new replies are written."""
 
     def __init__(self, known: DataFrame, backend: Backend | None = None, params: Completion = Completion(), partitions: int = 1, store: Callable[[DataFrame], DataFrame] | None = None):
         self.known, self.backend, self.params, self.partitions = known, backend, params, partitions
         self.store = store or stored
+        self.counted = dict.fromkeys(("calls", *TOKENS), 0)
 
     def ask(self, df: DataFrame, key: str, messages: Column, temperature: float, max_tokens: int) -> DataFrame:
         """key, content, error for each row of df."""
         wanted = requests(df, key, messages, temperature, max_tokens)
         if self.backend is not None:
-            new = self.store(completed(wanted, self.known, self.backend, self.params, self.partitions))
+            seen = Observation()
+            new = self.store(completed(wanted, self.known, self.backend, self.params, self.partitions).observe(seen, *_counters()))
+            self.counted = {k: n + seen.get[k] for k, n in self.counted.items()}
             self.known = self.known.unionByName(new)
         return answered(wanted, self.known).withColumnRenamed("key", key)
 

@@ -1,55 +1,50 @@
 """Theta joins of prompts with queries, leaders and pages.
 
-Texts are normalised and made distinct before they are compared, so that repeats cost nothing. The distinct right side is
-taken in blocks of a fixed number of rows, each broadcast, so that no block outgrows memory. The Python ratio is asked only
-for pairs that native bounds leave open.
+Texts are normalised and made distinct before they are compared, so that repeats cost nothing. They are compared in tiles of
+bounded size (tiles.py); what a text is not similar to is told by bounds (textblock.py), and a tile gives only as many
+rows for a text as may be wanted, so hot words and large groups of similar texts make no quadratic result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import native_score, needs_ratio, seq_ratio
 from ..functions.text import normal
+from ..functions.textblock import TextBlock
 from ..functions.urls import other_slash, path
 from ..storage import stored
+from .tiles import tiled
 
-#: Distinct texts of the right side that are broadcast at a time.
-BLOCK = 50_000
-
-
-def text_pairs(left: DataFrame, right: DataFrame, threshold: float, containment: bool, ratio: bool = True) -> DataFrame:
-    """a, b, score for all pairs of distinct normal texts (columns a, b) that reach threshold."""
-    lefts, rights = left.select("a").distinct(), stored(right.select("b").distinct(), "texts")
-    blocks = 1 + rights.count() // BLOCK
-    if blocks > 1:
-        lefts = stored(lefts, "texts")  # each block reads it
-    out = None
-    for i in range(blocks):
-        part = rights if blocks == 1 else rights.filter(F.pmod(F.xxhash64("b"), F.lit(blocks)) == i)
-        a, b = F.col("a"), F.col("b")
-        native = native_score(a, b, containment)
-        open_ = needs_ratio(a, b, native, threshold) if ratio else F.lit(False)
-        pairs = lefts.join(F.broadcast(part), (native >= threshold) | open_)
-        pairs = pairs.select("a", "b", native.alias("native"))
-        if ratio:
-            # texts of decided pairs stay null, so that Python skips them; pairs of one right text stand together
-            ask = needs_ratio(a, b, F.col("native"), threshold)
-            pairs = pairs.withColumn("r", seq_ratio(F.when(ask, a), F.when(ask, b)))
-            pairs = pairs.withColumn("score", F.greatest("native", F.coalesce("r", F.lit(0.0))))
-        else:
-            pairs = pairs.withColumn("score", F.col("native"))
-        found = pairs.filter(F.col("score") >= threshold).select("a", "b", "score")
-        out = found if out is None else out.unionByName(found)
-    return out
+
+def one_group() -> Column:
+    return F.lit("").alias("g")
+
+
+
+def best_pairs(left: DataFrame, right: DataFrame, threshold: float, k: int, containment: bool, ratio: bool = True) -> DataFrame:
+    """a, b, score: for each distinct normal text of left (column a) its k best of right (b, ord), if they reach threshold.
+
+    Of equal scores the text of the least ord comes first. A few more than k may be given, never others in their place."""
+    lefts = stored(left.select(one_group(), "a").filter(F.col("a").isNotNull()).distinct(), "texts")
+    rights = stored(right.filter(F.col("b").isNotNull()).groupBy("b").agg(F.min("ord").alias("ord")).select(one_group(), "b", "ord"), "texts")
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        texts = b.sort_values("ord").b.tolist()
+        block = TextBlock(texts, ratio)
+        rows = [(x, texts[i], s) for x in a.a for i, s in block.best(x, threshold, k, containment)]
+        return pd.DataFrame(rows, columns=["a", "b", "score"])
+
+    return tiled(lefts, rights, "g", one, "a string, b string, score double")
 
 
 def top_matches(prompts: DataFrame, metrics: DataFrame, threshold: float = 0.5, k: int = 10, containment: bool = True, ratio: bool = True) -> DataFrame:
     """Each prompt's k best queries: prompt_ord, query_ord, match_score, match_rank. prompts: ord, prompt_text; metrics: ord, query."""
     p = prompts.select(F.col("ord").alias("prompt_ord"), normal(F.col("prompt_text")).alias("a"))
     q = metrics.select(F.col("ord").alias("query_ord"), normal(F.col("query")).alias("b"))
-    pairs = text_pairs(p, q, threshold, containment, ratio)
+    pairs = best_pairs(p, q.select("b", F.col("query_ord").alias("ord")), threshold, k, containment, ratio)
     ranked = Window.partitionBy("a").orderBy(F.desc("score"), "query_ord")
     best = pairs.join(q, "b").withColumn("match_rank", F.row_number().over(ranked)).filter(F.col("match_rank") <= k)
     return p.join(best, "a").select("prompt_ord", "query_ord", F.col("score").alias("match_score"), "match_rank")
@@ -57,32 +52,53 @@ def top_matches(prompts: DataFrame, metrics: DataFrame, threshold: float = 0.5,
 
 def best_match(texts: DataFrame, candidates: DataFrame, threshold: float, ratio: bool = True) -> DataFrame:
     """For each text (ord, a) the candidate (cand_ord, b) of the highest similarity, the first of equal ones: ord, cand_ord, score; texts without one are left out."""
-    pairs = text_pairs(texts, candidates, threshold, containment=False, ratio=ratio)
+    pairs = best_pairs(texts, candidates.select("b", F.col("cand_ord").alias("ord")), threshold, 1, containment=False, ratio=ratio)
     firsts = candidates.groupBy("b").agg(F.min("cand_ord").alias("cand_ord"))
     best = pairs.join(firsts, "b").groupBy("a").agg(F.max_by(F.struct("cand_ord", "score"), F.struct("score", (-F.col("cand_ord")).alias("first"))).alias("best"))
     return texts.join(best, "a").select("ord", "best.cand_ord", "best.score")
 
 
-#: Lengths of the endings by which a text is looked for inside others.
-ENDINGS = (32, 16, 8, 4, 2, 1)
-
+def inside_or_around(paths: DataFrame, pages: DataFrame) -> DataFrame:
+    """p and ord: for each distinct text p of paths the least ord of a text of pages (t, ord) that holds it or that it holds.
+
+    A tile builds an automaton of its pages and runs it over the paths, and one of its paths for the pages; of all that
+    meet only the least is kept."""
+    lefts = stored(paths.filter(F.col("p").isNotNull()).select(one_group(), F.col("p").alias("a")).distinct(), "paths")
+    rights = stored(pages.filter(F.col("t").isNotNull()).groupBy(F.col("t").alias("b")).agg(F.min("ord").alias("ord")).select(one_group(), "b", "ord"), "pages")
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        best: dict[str, int] = {}
+        pages_, paths_ = automaton(b.b), automaton(a.a)
+        order = dict(zip(b.b, b.ord, strict=True))
+        for p in a.a:
+            met = (order[t] for t in found(pages_, p))
+            best[p] = min(met, default=None)
+        if "" in order:  # a text without characters is in every text
+            best = {p: order[""] if n is None else min(n, order[""]) for p, n in best.items()}
+        if "" in best:
+            best[""] = min(order.values())
+        for t, n in order.items():
+            for p in found(paths_, t):
+                if best[p] is None or n < best[p]:
+                    best[p] = n
+        return pd.DataFrame([(p, n) for p, n in best.items() if n is not None], columns=["p", "ord"])
+
+    met = tiled(lefts, rights, "g", one, "p string, ord long")
+    return met.groupBy("p").agg(F.min("ord").alias("ord"))
+
+
+def automaton(texts: pd.Series) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for t in texts:
+        if t:
+            out.add_word(t, t)
+    out.make_automaton()
+    return out
 
-def containing(longs: DataFrame, a: str, shorts: DataFrame, b: str) -> DataFrame:
-    """The columns of both for all pairs of which the text a contains the text b.
 
-    A text that holds another holds its ending, too: b's ending, of the greatest of a few lengths that it has, is joined with all parts of a of
-    that length, and only pairs that agree in it are looked at. An empty b, and there is one at most, is in every a."""
-    size = F.length(F.col(b))
-    length = F.lit(0)
-    for n in reversed(ENDINGS):
-        length = F.when(size >= n, n).otherwise(length)
-    keyed = shorts.filter(size > 0).withColumn("_length", length).withColumn("_key", F.expr(f"right({b}, _length)"))
-    lengths = keyed.select("_length").distinct()
-    parts = longs.join(F.broadcast(lengths), F.length(F.col(a)) >= F.col("_length"))  # a row for each of ENDINGS at most
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(F.col(a)) - F.col("_length") + 1), lambda i: F.substr(F.col(a), i, F.col("_length"))))
-    met = parts.withColumn("_key", F.explode(pieces)).join(keyed, ["_length", "_key"]).filter(F.contains(F.col(a), F.col(b))).drop("_length", "_key")
-    empty = longs.join(F.broadcast(shorts.filter(size == 0)), F.lit(True))
-    return met.select(*longs.columns, *shorts.columns).unionByName(empty.select(*longs.columns, *shorts.columns))
+def found(texts: ahocorasick.Automaton, inside: str) -> list[str]:
+    """The automaton's texts that another holds."""
+    return [t for _, t in texts.iter(inside)] if len(texts) else []
 
 
 def traffic_cascade(prompts: DataFrame, traffic: DataFrame) -> DataFrame:
@@ -95,8 +111,7 @@ def traffic_cascade(prompts: DataFrame, traffic: DataFrame) -> DataFrame:
     exact = urls.join(t, F.col("p") == F.col("t")).select("prompt_ord", "pos", F.lit(0).alias("rule"), "traffic_ord")
     slash = urls.join(t, other_slash(F.col("p")) == F.col("t")).select("prompt_ord", "pos", F.lit(1).alias("rule"), "traffic_ord")
     paths, pages = urls.select("p").distinct(), t.select("t", "traffic_ord")
-    part = containing(paths, "p", pages, "t").unionByName(containing(pages, "t", paths, "p").select("p", "t", "traffic_ord"))
-    inside = part.groupBy("p").agg(F.min("traffic_ord").alias("traffic_ord"))
+    inside = inside_or_around(paths, pages.withColumnRenamed("traffic_ord", "ord")).withColumnRenamed("ord", "traffic_ord")
     partial = urls.join(inside, "p").select("prompt_ord", "pos", F.lit(2).alias("rule"), "traffic_ord")
     every = exact.unionByName(slash).unionByName(partial)
     return every.groupBy("prompt_ord").agg(F.min_by("traffic_ord", F.struct("pos", "rule", "traffic_ord")).alias("traffic_ord"))

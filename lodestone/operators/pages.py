@@ -36,11 +36,24 @@ BUILD_ROUTES = ("static", "assets", "_next", "chunk")
 #: What quotes enclose in a script; a page's path among it begins with a slash.
 QUOTED = re.compile(r"""(?<=["'])/[^"'\s]*(?=["'])""")
 SPARSE_WORDS = 10
+#: Elements that may hold the main text of a page without main and article, and what a first heading in one counts in characters.
+BOXES = {"body", "div", "section", "td", "table", "ul", "ol", "aside", "form", "blockquote"}
+HEADING = 200
+#: Boxes with a greater share of link text are navigation; a box without a first heading that holds less than this share of a page's plain text is not the main text.
+LINKED, MAIN = 0.5, 0.6
 EXTERNAL_LIMIT = 50
 
 
+class _Box:
+    """An element that may hold the main text: its parts of the page's texts, and what stands in it directly."""
+
+    def __init__(self, start: int, up: _Box | None):
+        self.start, self.end, self.up = start, None, up
+        self.own, self.heads, self.inner = 0, 0, 0.0
+
+
 class _Reader(HTMLParser):
-    """One pass over a page: texts by region, links, scripts, meta tags."""
+    """One pass over a page: texts by region and box, links, scripts, meta tags."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -52,6 +65,9 @@ class _Reader(HTMLParser):
         self.heads: dict[str, list[list[str]]] = {"h1": [], "h2": [], "h3": []}
         self.texts: dict[str, list[str]] = {"main": [], "article": [], "body": []}
         self.regions = {"main": 0, "article": 0}
+        self.boxes: list[_Box] = []
+        self.held: list[_Box | None] = []  # of each open element
+        self.linked: list[bool] = []  # of each part of the body's text
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -70,12 +86,22 @@ class _Reader(HTMLParser):
         if tag in self.regions and tag not in self.open:
             self.regions[tag] += 1
         if tag not in VOID:
+            box = _Box(len(self.linked), self._box()) if tag in BOXES and not self._hidden() else None
+            if box:
+                self.boxes.append(box)
             self.open.append(tag)
+            self.held.append(box)
 
     def handle_endtag(self, tag):
         if tag in self.open:
-            while self.open and self.open.pop() != tag:
-                pass
+            last = None
+            while self.open and last != tag:
+                last = self.open.pop()
+                if box := self.held.pop():
+                    box.end = len(self.linked)
+
+    def _box(self) -> _Box | None:
+        return next((b for b in reversed(self.held) if b), None)
 
     def _hidden(self) -> bool:
         return any(t in DROPPED for t in self.open)
@@ -93,11 +119,39 @@ class _Reader(HTMLParser):
             if h in self.open and self.heads[h]:
                 self.heads[h][-1].append(data)
         self.texts["body"].append(data)
+        self.linked.append("a" in self.open)
+        if (box := self._box()) and not self.linked[-1]:
+            box.own += len(data.strip())
+            box.heads += "h1" in self.open
         for region in ("main", "article"):
             if region in self.open and self.regions[region] == 1:
                 self.texts[region].append(data)
 
 
+def main_text(page: _Reader) -> list[str]:
+    """Parts of the text of the box that most plain text stands in, without boxes of links in it.
+
+    Text counts for the box in which it stands directly and half for the one around; a share of links lessens it. If
+    no box stands out, that of the whole body; if all is links, these."""
+    parts, n = page.texts["body"], len(page.linked)
+    plain, links = [0], [0]
+    for part, linked in zip(parts, page.linked, strict=True):
+        size = len(part.strip())
+        plain.append(plain[-1] + (0 if linked else size))
+        links.append(links[-1] + (size if linked else 0))
+    for box in page.boxes:
+        box.end = n if box.end is None else box.end
+        if box.up:
+            box.up.inner += (box.own + HEADING * (box.heads > 0)) / 2
+    held = lambda b: plain[b.end] - plain[b.start]
+    share = lambda b: (links[b.end] - links[b.start]) / max(1, held(b) + links[b.end] - links[b.start])
+    best = max(page.boxes, key=lambda b: (b.own + HEADING * (b.heads > 0) + b.inner) * (1 - share(b)), default=None)
+    start, end = (0, n) if best is None or not (best.heads or held(best) > MAIN * plain[-1]) else (best.start, best.end)
+    gone = {i for b in page.boxes if b is not best and start <= b.start and b.end <= end and share(b) > LINKED for i in range(b.start, b.end)}
+    out = [parts[i] for i in range(start, end) if i not in gone]
+    return out if any(map(str.strip, out)) else parts
+
+
 def _joined(parts: list[str]) -> str:
     return "".join(x.strip() for x in parts)
 
@@ -136,6 +190,13 @@ def script_paths(script: str) -> list[str]:
     return ["/" + "/".join(p) for p in words if len("/".join(p)) > 1 and not p[0].startswith(BUILD_ROUTES)]
 
 
+def links_of(html: str) -> list[str]:
+    page = _Reader()
+    page.feed(html)
+    page.close()
+    return page.links
+
+
 def parse(url: str, html: str, site: str | None = None) -> tuple:
     """The fields of PARSED for a page; site: the authority whose links are internal, by default the page's own."""
     page = _Reader()
@@ -157,8 +218,8 @@ def parse(url: str, html: str, site: str | None = None) -> tuple:
             outside.append(full)
     for _, parts in page.scripts:
         inside += [_bare(full) for full in (urljoin(url, p) for p in script_paths("".join(parts))) if site_of(full) == home and _is_page(full)]
-    region = next((page.texts[r] for r in ("main", "article") if page.regions[r]), page.texts["body"])
-    body = " ".join(" ".join(region).split())
+    region = next((page.texts[r] for r in ("main", "article") if page.regions[r]), None)
+    body = " ".join(" ".join(main_text(page) if region is None else region).split())
     if len(body.split()) < SPARSE_WORDS:
         data = " ".join(x for kind, parts in page.scripts if kind == "application/ld+json" and (x := linked_data_text("".join(parts)))).strip()
         parts = [title, og_title if og_title != title else "", desc, og_desc if og_desc != desc else "", data]
@@ -170,7 +231,7 @@ def parse(url: str, html: str, site: str | None = None) -> tuple:
 
 @F.pandas_udf(PARSED)
 def parse_page(url: pd.Series, html: pd.Series, site: pd.Series) -> pd.DataFrame:
-    """PARSED for each page. The main text is that of main, else article, else body, without scripts, navigation, headers and footers."""
+    """PARSED for each page. The main text is that of main, else article, else of the densest box, without scripts, navigation, headers and footers."""
     rows = [parse(u or "", h or "", s) for u, h, s in zip(url, html, site, strict=True)]
     return pd.DataFrame(rows, columns=PARSED.names)
 

@@ -1,61 +1,95 @@
 """Reconciliation of prompts over passes and runs: consensus, stability, drift, anchoring.
 
-Fuzzy clustering is sequential: a text joins the first leader it resembles, else leads. It runs as one grouped map for each domain,
-whose input is bounded by passes times prompts; domains run in parallel. Sums are native.
+In fuzzy clustering a text joins the first leader it resembles, else leads; leaders() finds the same clusters in parallel rounds.
+Sums are native.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import boosted
 from ..functions.text import normal
+from ..functions.textblock import TextBlock
 from ..params import Reconcile
-from .matching import best_match
-
+from ..storage import stored
+from .matching import best_match, one_group
+from .tiles import group_key, tiled
 
 #: Bits of a row's place within its run.
 RUN_BITS = 48
 
 
-def similar(a: str, b: str, threshold: float) -> bool:
-    """Whether texts in normal form reach the threshold by words or by matching blocks. b is the leader."""
-    return similarity(a, b, threshold) >= threshold
-
-
-def similarity(a: str, b: str, floor: float = 0.0) -> float:
-    if a == b:
-        return 1.0
-    x, y = set(a.split()), set(b.split())
-    words = len(x & y) / max(len(x), len(y)) if x and y else 0.0
-    bound = 2 * min(len(a), len(b)) / (len(a) + len(b))
-    if bound < floor or bound <= words:
-        return words
-    return max(words, SequenceMatcher(None, a, b).ratio())
+#: Texts of a group that the first wave decides; each wave takes twice as many.
+WAVE = 1024
 
 
 def leaders(df: DataFrame, by: str, threshold: float) -> DataFrame:
-    """by, ord and leader (the normal text that leads the cluster) of rows with by, ord, norm."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        heads: list[str] = []
-        known: dict[str, str] = {}
-        for text in pdf.norm:
-            if text not in known:
-                # heads only grow at the end, so the first match of a text is final
-                head = next((h for h in heads if similar(text, h, threshold)), None)
-                if head is None:
-                    heads.append(head := text)
-                known[text] = head
-        return pdf.assign(leader=pdf.norm.map(known))[[by, "ord", "leader"]]
-
-    kind = dict(df.dtypes)[by]
-    return df.select(by, "ord", "norm").groupBy(by).applyInPandas(one, f"{by} {kind}, ord long, leader string")
+    """by, norm and leader (the normal text that leads the cluster) of the distinct texts of rows with by, ord, norm.
+
+    In order, a text joins the first leader that it resembles, else it leads. This is the lexicographically first independent set of
+    the graph of similar texts, and is found in parallel: the undecided texts of a group that come first form a wave; those without
+    a similar undecided text before them lead, those with a leader before them follow, again and again until the wave is
+    decided; then the wave's leaders take what resembles them from all later texts. Waves double in size. Edges are
+    compared within waves only, after earlier leaders have taken theirs, so a large group of similar texts has no more
+    edges than those of a wave."""
+    key = group_key(F.col(by))
+    first = df.groupBy(key.alias("g"), F.col("norm").alias("a")).agg(F.min("ord").alias("ord"), F.first(by).alias("by"))
+    left = stored(first.filter(F.col("a").isNotNull()), "texts")
+    done = [left.select("g", "a", F.lit(None).cast("string").alias("leader")).limit(0)]
+    size = WAVE
+    while not left.isEmpty():
+        place = F.row_number().over(Window.partitionBy("g").orderBy("ord"))
+        wave = stored(left.withColumn("_place", place).filter(F.col("_place") <= size).drop("_place"), "wave")
+        heads = stored(_leading(wave, threshold), "leaders")
+        joined = stored(_joining(left.join(heads.select("g", "a"), ["g", "a"], "left_anti"), heads, threshold), "followers")
+        done += [heads.select("g", "a", F.col("a").alias("leader")), joined]
+        left = stored(left.join(heads.select("g", "a").unionByName(joined.select("g", "a")), ["g", "a"], "left_anti"), "texts")
+        size *= 2
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    return first.join(found, ["g", "a"]).select(F.col("by").alias(by), F.col("a").alias("norm"), "leader")
+
+
+def _leading(wave: DataFrame, threshold: float) -> DataFrame:
+    """g, a, ord of the leaders among the texts of a wave."""
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ord")
+        block, places = TextBlock(b.b.tolist()), b.ord.to_numpy()
+        rows = [(g, o, places[i]) for g, x, o in zip(a.g, a.a, a.ord, strict=True) for i in block.every(x, threshold, int(places.searchsorted(o)))]
+        return pd.DataFrame(rows, columns=["g", "ord", "before"])
+
+    edges = stored(tiled(wave, wave.withColumnRenamed("a", "b"), "g", one, "g string, ord long, before long"), "similar")
+    open_, heads = wave, None
+    while True:
+        new = open_.join(edges.select("g", "ord"), ["g", "ord"], "left_anti")
+        heads = new if heads is None else heads.unionByName(new)
+        if edges.isEmpty():
+            return heads
+        new = stored(new, "leaders")
+        # who has a leader before it follows
+        follow = stored(edges.join(new.select("g", F.col("ord").alias("before")), ["g", "before"], "left_semi").select("g", "ord").distinct(), "followers")
+        open_ = stored(open_.join(new.select("g", "ord").unionByName(follow), ["g", "ord"], "left_anti"), "texts")
+        gone = edges.join(follow, ["g", "ord"], "left_anti").join(follow.withColumnRenamed("ord", "before"), ["g", "before"], "left_anti")
+        edges = stored(gone.select("g", "ord", "before"), "similar")
+
+
+def _joining(texts: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
+    """g, a and leader of the texts that resemble one of the leaders, the first of them."""
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ord")
+        block, places = TextBlock(b.b.tolist()), b.ord.to_numpy()
+        met = [(g, x, o, block.first(x, threshold)) for g, x, o in zip(a.g, a.a, a.ord, strict=True)]
+        rows = [(g, x, block.texts[i], places[i]) for g, x, o, i in met if i is not None and places[i] < o]
+        return pd.DataFrame(rows, columns=["g", "a", "leader", "place"])
+
+    met = tiled(stored(texts, "texts"), heads.withColumnRenamed("a", "b"), "g", one, "g string, a string, leader string, place long")
+    return met.groupBy("g", "a").agg(F.min_by("leader", "place").alias("leader"))
 
 
 def clustered(df: DataFrame, by: str, text: str, threshold: float, fuzzy: bool) -> DataFrame:
@@ -63,7 +97,8 @@ def clustered(df: DataFrame, by: str, text: str, threshold: float, fuzzy: bool)
     rows = df.withColumn("norm", normal(F.col(text)))
     if not fuzzy:
         return rows.withColumnRenamed("norm", "leader")
-    return rows.join(leaders(rows, by, threshold), [by, "ord"]).drop("norm")
+    heads = leaders(rows, by, threshold).select(F.col(by).alias("_by"), F.col("norm").alias("_norm"), "leader")
+    return rows.join(heads, F.col(by).eqNullSafe(F.col("_by")) & (F.col("norm") == F.col("_norm"))).drop("_by", "_norm", "norm")
 
 
 def consensus(prompts: DataFrame, by: str = "domain", params: Reconcile = Reconcile(), fuzzy: bool = True) -> DataFrame:
@@ -128,11 +163,12 @@ def _keyed(df: DataFrame, text: str, order: str) -> DataFrame:
 
 def drift(current: DataFrame, previous: DataFrame, params: Reconcile = Reconcile(), fuzzy: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New texts, dropped texts (both ord, text), and one row of counts with drift_score. current, previous: ord, text."""
-    now, then = _keyed(current, "text", "ord"), _keyed(previous, "text", "ord")
+    now, then = stored(_keyed(current, "text", "ord"), "now"), stored(_keyed(previous, "text", "ord"), "then")
     if fuzzy:
         met = best_match(now.select("ord", F.col("norm").alias("a")), then.select(F.col("ord").alias("cand_ord"), F.col("norm").alias("b")), params.similarity)
     else:
         met = now.join(then.select("norm", F.col("ord").alias("cand_ord")), "norm").select("ord", "cand_ord")
+    met = stored(met.select("ord", "cand_ord"), "met")
     new = now.join(met.select("ord"), "ord", "left_anti").select("ord", "text")
     dropped = then.join(met.select(F.col("cand_ord").alias("ord")).distinct(), "ord", "left_anti").select("ord", "text")
     counts = (
@@ -186,7 +222,7 @@ def boosts(stables: DataFrame, current: DataFrame, params: Reconcile = Reconcile
 def recovered(stables: DataFrame, current: DataFrame, params: Reconcile = Reconcile(), fuzzy: bool = True) -> DataFrame:
     """Stable texts that current lacks, as prompts with a lowered score: text, relevance_score, search_intent, topic_cluster.
 
-    With fuzzy, a recovered text is a candidate for those after it; that is sequential and runs on the few texts without a match."""
+    With fuzzy, a recovered text is a candidate for those after it: of the texts without a match the leaders stay."""
     keyed = current.select(normal(F.col("prompt_text")).alias("b"), F.col("ord").alias("cand_ord"))
     s = stables.select("ord", "text", normal(F.col("text")).alias("a"), "stability", "avg_score")
     if fuzzy:
@@ -195,16 +231,7 @@ def recovered(stables: DataFrame, current: DataFrame, params: Reconcile = Reconc
         met = s.join(keyed, F.col("a") == F.col("b")).select("ord").distinct()
     missing = s.join(met, "ord", "left_anti").filter(F.col("stability") >= params.recover_stability)
     if fuzzy:
-        limit = params.similarity
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            taken: list[str] = []
-            keep = []
-            for text in pdf.sort_values("ord").a:
-                keep.append(not any(similar(text, t, limit) for t in taken))
-                if keep[-1]:
-                    taken.append(text)
-            return pdf.sort_values("ord")[keep].drop(columns="all")
-
-        missing = missing.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(one, missing.schema)
+        heads = leaders(missing.select(one_group(), "ord", F.col("a").alias("norm")), "g", params.similarity).filter("leader = norm")
+        firsts = missing.groupBy("a").agg(F.min("ord").alias("ord")).join(heads.select(F.col("norm").alias("a")), "a")
+        missing = missing.join(firsts.select("ord"), "ord", "left_semi")
     return missing.select("ord", "text", (F.col("avg_score") * params.recover_factor).alias("relevance_score"), F.lit("informational").alias("search_intent"), F.lit("").alias("topic_cluster"))

@@ -56,7 +56,7 @@ class Analysis:
         from dataclasses import replace
 
         near = replace(self.params.crawl, max_pages=max_pages, max_depth=3, respect_robots=True)
-        rows, prompts = competitors.analyse(pages, url, manual, self.service, lambda d: web.crawl(self.spark, f"https://{d}", self.fetch, near), limit, self.params.extraction)
+        rows, prompts = competitors.analyse(pages, url, manual, self.service, lambda sites: web.crawl_sites(self.spark.createDataFrame([(d,) for d in sites], "start string"), self.fetch, near), limit, self.params.extraction)
         return self._store("competitors", rows), None if prompts is None else self._store("competitor_prompts", prompts)
 
     def extract(self, pages: DataFrame, theirs: DataFrame | None = None, name: str = "prompts") -> DataFrame:

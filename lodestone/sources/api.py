@@ -1,17 +1,18 @@
 """Rows of the search and analytics services as a Python data source.
 
-A transport (callable) fetches one page of rows; partitions are pages, so pages are fetched in parallel. Filters, limits
-and sorts travel with the request. Without a network, transport may read captured replies.
+A transport (callable) gives one page of a request's rows. Partitions are pages, planned by their first row up to the limit, and are fetched in
+parallel. Filters on dimensions that the service can apply (equal, contains, begins with) travel with the request, others stay with
+Spark. Captured replies are text files that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringContains, StringStartsWith
 
 from ..operators.dedup import last_wins
 from ..operators.metrics import landing_pages, search_rollup
@@ -19,6 +20,9 @@ from ..operators.metrics import landing_pages, search_rollup
 #: (request as a dict) -> rows as dicts.
 Transport = Callable[[dict], list[dict]]
 API_ROWS = 25_000
+#: What the service calls the filters that it applies to a dimension.
+PUSHED = {EqualTo: "equals", StringContains: "contains", StringStartsWith: "beginsWith"}
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 class _Page(InputPartition):
@@ -28,54 +32,66 @@ class _Page(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.request = json.loads(options["request"])
-        self.path = options.get("path")
-        self.limit, self.page = int(options.get("limit", 5000)), int(options.get("page", API_ROWS))
+    def __init__(self, transport: Transport, request: dict, limit: int, page: int, push: bool):
+        self.transport, self.request, self.limit, self.page, self.push = transport, request, limit, page, push
+        self.filters: list[dict] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802  the name that Spark calls
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") else None
+            if self.push and type(f) in PUSHED and column in self.request["dimensions"] and isinstance(f.value, str):
+                self.filters.append({"dimension": column, "operator": PUSHED[type(f)], "expression": f.value})
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
         return [_Page(i) for i in range(0, max(self.limit, 1), self.page)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        """Captured replies: a file of one JSON object for each row, in the service's order."""
-        with open(self.path, encoding="utf-8") as f:
-            for i, line in enumerate(f):
-                if partition.start <= i < min(self.limit, partition.start + self.page):
-                    yield (i, line.rstrip("\n"))
+        start = partition.start
+        asked = self.request | {"startRow": start, "rowLimit": min(self.page, self.limit - start)}
+        for i, row in enumerate(self.transport(asked | ({"filters": self.filters} if self.filters else {}))):
+            keys = row.get("keys")
+            found = dict(zip(self.request["dimensions"], keys, strict=False)) if keys is not None else row
+            yield (start + i, *(found.get(d) for d in self.request["dimensions"]), json.dumps(row))
 
 
-class ReplyRows(DataSource):
-    """Rows (ord, value as JSON) of a captured reply; options request, path, limit and page."""
+def service_rows(transport: Transport) -> type[DataSource]:
+    """A data source of a service: ord, the request's dimensions as texts, and value, the row as JSON; options request, limit, page and push."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "reply_rows"
+    class ServiceRows(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "service_rows"
 
-    def schema(self) -> str:
-        return "ord long, value string"
+        def request(self) -> dict:
+            found = json.loads(self.options["request"])
+            return found | {"dimensions": found.get("dimensions", [])}
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        def schema(self) -> str:
+            return ", ".join(["ord long", *(f"`{d}` string" for d in self.request()["dimensions"]), "value string"])
 
+        def reader(self, schema) -> DataSourceReader:
+            return _Reader(transport, self.request(), int(self.options.get("limit", 5000)), int(self.options.get("page", API_ROWS)), self.options.get("push") == "true")
 
-def captured(spark: SparkSession, path: str, request: dict, limit: int = 5000) -> DataFrame:
-    spark.dataSource.register(ReplyRows)
-    return spark.read.format("reply_rows").option("request", json.dumps(request)).option("limit", limit).load(path)
+    return ServiceRows
 
 
-def requested(spark: SparkSession, transport: Transport, request: dict, limit: int = 5000, page: int = API_ROWS) -> DataFrame:
-    """Rows (ord, value) from a transport; pages of the request in parallel, up to limit rows."""
+def requested(spark: SparkSession, transport: Transport, request: dict, limit: int = 5000, page: int = API_ROWS, push: bool = False) -> DataFrame:
+    """Rows (ord, the dimensions, value) of a request; its pages in parallel, up to limit rows, which the service counts after its filters.
 
-    def run(frames):
-        import pandas as pd
+    push: filters on dimensions travel with the request. Spark keeps what one scan of a load has pushed for its other scans, too, so a frame with push may stand
+    in a query once; in further queries it may be filtered anew."""
+    spark.conf.set(PUSHDOWN, "true")
+    spark.dataSource.register(service_rows(transport))
+    options = {"request": json.dumps(request), "limit": limit, "page": page, "push": str(push).lower()}
+    # a filter that always holds makes Spark ask for what is to be pushed in each query
+    return spark.read.format("service_rows").options(**options).load().filter("ord >= 0")
 
-        for frame in frames:
-            for start in frame["start"]:
-                rows = transport(request | {"startRow": int(start), "rowLimit": int(min(page, limit - start))})
-                yield pd.DataFrame({"ord": [int(start) + i for i in range(len(rows))], "value": [json.dumps(r) for r in rows]})
 
-    starts = spark.range(0, max(limit, 1), page).withColumnRenamed("id", "start")
-    return starts.repartition(max(1, -(-limit // page))).mapInPandas(run, "ord long, value string")
+def captured(spark: SparkSession, path: str, limit: int = 5000) -> DataFrame:
+    """Rows (ord, value) of captured replies: text files of one JSON object for each row, in the service's order."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), "value").orderBy("ord").limit(limit)
 
 
 def search_request(site: str, start: str, end: str, dimensions: tuple[str, ...] = ("query", "page")) -> dict:

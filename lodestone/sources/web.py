@@ -1,4 +1,4 @@
-"""Crawling: sitemaps, robots rules, fetches and the frontier, live by levels or over a table of links."""
+"""Crawling: sitemaps, robots rules, fetches and one frontier of many sites, live by levels, over captured answers, or over a table of links."""
 
 from __future__ import annotations
 
@@ -8,12 +8,11 @@ from urllib.request import Request, urlopen
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.urls import is_page, normal_url, robots_allowed, same_domain
-from ..operators.dedup import numbered
 from ..operators.pages import parsed
 from ..params import Crawl
 from ..storage import stored
@@ -83,24 +82,35 @@ def robots_text(base: str, fetch: Fetch) -> str | None:
     return text if status == 200 else None
 
 
-def fetched(urls: DataFrame, fetch: Fetch, params: Crawl = Crawl(), partitions: int = 1) -> DataFrame:
-    """urls with status_code, content_type and html; html is null for errors and what is not HTML. A task's pauses grow with the number of tasks, so that
-    together they keep the delay between fetches."""
+def fetched(urls: DataFrame, fetch: Fetch | DataFrame, params: Crawl = Crawl(), partitions: int = 1) -> DataFrame:
+    """urls (url, and site if they are of several) with status_code, content_type and html; html is null for errors and what is not HTML.
+
+    fetch may be a table of captured answers (url, status_code, content_type, text). Else the pages of a site are fetched by so many
+    partitions, whose pauses grow with their number, so that together they keep the site's delay; different sites do not wait for one another."""
+    html = "status_code < 400 AND contains(content_type, 'text/html')"
+    if isinstance(fetch, DataFrame):
+        answers = fetch.select("url", "status_code", "content_type", F.when(F.expr(html), F.col("text")).alias("html"))
+        return urls.join(answers, "url", "left")
+    site = F.col("site") if "site" in urls.columns else F.lit("")
+    last: dict[str, float] = {}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for url in frame["url"]:
-                time.sleep(params.delay * partitions)
+            for url, own in zip(frame["url"], frame["_site"], strict=True):
+                time.sleep(max(0.0, last.get(own, -1e9) + params.delay * partitions - time.monotonic()) if own in last else params.delay * partitions)
                 try:
                     status, kind, text = fetch(url)
                     rows.append((status, kind, text if status < 400 and "text/html" in kind else None))
                 except Exception:  # noqa: BLE001  an unreachable page is no page
                     rows.append((None, None, None))
-            yield frame.assign(**dict(zip(("status_code", "content_type", "html"), zip(*rows, strict=True), strict=True))) if rows else frame.assign(status_code=None, content_type=None, html=None)
+                last[own] = time.monotonic()
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield frame.assign(**dict(zip(("status_code", "content_type", "html"), columns, strict=True))).drop(columns="_site")
 
     schema = ", ".join(f"{c} {t}" for c, t in urls.dtypes) + ", status_code int, content_type string, html string"
-    return urls.repartition(partitions).mapInPandas(run, schema)
+    slot = F.pmod(F.xxhash64("url"), F.lit(partitions))
+    return urls.withColumn("_site", site).repartition("_site", slot).mapInPandas(run, schema)
 
 
 def word_gate(first: Column, words: Column, title: Column, params: Crawl = Crawl()) -> Column:
@@ -108,48 +118,91 @@ def word_gate(first: Column, words: Column, title: Column, params: Crawl = Crawl
     return F.when(first, (words >= params.first_words) | (F.coalesce(title, F.lit("")) != "")).otherwise(words >= params.other_words)
 
 
-def crawl(spark: SparkSession, start: str, fetch: Fetch, params: Crawl = Crawl(), partitions: int = 1, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Pages of a site, breadth first, level by level: ord, url, depth, status_code, content_type and the fields of a parsed page.
+def _homes(sites: DataFrame, fetch: Fetch | DataFrame, params: Crawl) -> DataFrame:
+    """site, rules (text or null) and seeds (the start, then the sitemap's addresses) of sites (start)."""
+    start = F.when(F.contains("start", F.lit("://")), F.col("start")).otherwise(F.concat(F.lit("https://"), F.col("start")))
+    rows = sites.select(start.alias("start")).select("start", F.regexp_extract("start", "//([^/?#]*)", 1).alias("site"), F.regexp_extract("start", "^(.*?//[^/?#]*)", 1).alias("base"))
+    rows = rows.groupBy("site").agg(F.min_by(F.struct("start", "base"), "start").alias("x")).select("site", "x.*")  # one frontier a site
+    if isinstance(fetch, DataFrame):
+        text = fetch.filter("status_code = 200").groupBy("url").agg(F.first("text").alias("text"))
+        ask = lambda df: df.join(text, "url", "left")
+        rules = ask(rows.select("site", F.concat("base", F.lit("/robots.txt")).alias("url"))).select("site", F.col("text").alias("rules"))
+        maps = ask(rows.select("site", F.posexplode(F.array(*(F.concat("base", F.lit(p)) for p in SITEMAPS))).alias("place", "url")))
+        child = maps.select("site", "place", F.posexplode(sitemap_locations("text", F.lit("sitemap"))).alias("pos", "url"))
+        inner = ask(child).select("site", "place", "pos", sitemap_locations("text", F.lit("url")).alias("urls"))
+        own = maps.select("site", "place", F.lit(1 << 30).alias("pos"), sitemap_locations("text", F.lit("url")).alias("urls"))
+        found = inner.unionByName(own).groupBy("site", "place").agg(F.array_sort(F.collect_list(F.struct("pos", "urls"))).alias("x"))
+        found = found.select("site", "place", F.flatten(F.transform("x", lambda x: x["urls"])).alias("urls")).filter(F.size("urls") > 0)
+        first = found.groupBy("site").agg(F.min_by("urls", "place").alias("urls"))
+        none = F.array().cast("array<string>")
+        return rows.join(rules, "site").join(first, "site", "left").select("site", F.when(F.lit(params.respect_robots), F.col("rules")).alias("rules"), F.concat(F.array("start"), F.coalesce("urls", none)).alias("seeds"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rules = [robots_text(b, fetch) if params.respect_robots else None for b in frame["base"]]
+            seeds = [[s, *sitemap_urls(b, fetch)] for s, b in zip(frame["start"], frame["base"], strict=True)]
+            yield pd.DataFrame({"site": frame["site"], "rules": pd.Series(rules, dtype=object), "seeds": pd.Series(seeds, dtype=object)})
+
+    return rows.mapInPandas(run, "site string, rules string, seeds array<string>")
+
+
+#: Orders of addresses of a level begin at this many times its depth.
+LEVEL = 1 << 32
 
-    A level is fetched in waves, each a distributed step of as many URLs, in frontier order, as pages are still wanted, so that no fetch is
-    made after the page limit is reached. Links of a page that has too few words are followed all the same. store makes a table of each wave, so that nothing is fetched twice."""
+
+def crawl_sites(sites: DataFrame, fetch: Fetch | DataFrame, params: Crawl = Crawl(), partitions: int = 1, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pages of sites (start), each as crawl() has them, and site: one frontier for all, with rules, delay and limits for each site.
+
+    A level is fetched in waves; each wave has of every site as many addresses, in frontier order, as it still wants pages, so no site is asked for more after its
+    page limit is reached. Links of a page that has too few words are followed all the same."""
     store = store or stored
-    start = with_scheme(start)
-    site = start.split("://", 1)[1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0]
-    base = start.split("://", 1)[0] + "://" + site
-    rules = robots_text(base, fetch) if params.respect_robots else None
-    seeds = [(0, start, 0), *((i + 1, u, 1) for i, u in enumerate(sitemap_urls(base, fetch)))]
-    queue = spark.createDataFrame(seeds, "ord long, url string, depth int").withColumn("url", normal_url(F.col("url"))).filter(same_domain(F.col("url"), F.lit(site)))
-    visited, pages, kept, met = None, None, 0, False
+    home = store(_homes(sites, fetch, params))
+    queue = home.select("site", F.posexplode("seeds").alias("ord", "url")).select("site", F.col("ord").cast("long"), normal_url(F.col("url")).alias("url"), F.when(F.col("ord") == 0, 0).otherwise(1).alias("depth"))
+    queue = store(queue.filter(same_domain(F.col("url"), F.col("site"))))
+    kept = home.select("site", F.lit(0).cast("long").alias("kept"), F.lit(False).alias("met"))
+    visited, pages = queue.select("site", "url").limit(0), None
     for depth in range(params.max_depth + 1):
-        level = queue.filter(F.col("depth") == depth).groupBy("url").agg(F.min("ord").alias("ord"))
-        if visited is not None:
-            level = level.join(visited, "url", "left_anti")
-        level = level.select("ord", "url", F.lit(depth).alias("depth"))
-        visited = level.select("url") if visited is None else visited.unionByName(level.select("url"))
-        wanted = store(level.filter(is_page(F.col("url")) & robots_allowed(F.lit(rules), F.lit(params.user_agent), F.col("url"))))
-        got, done = None, -1
-        while kept < params.max_pages:
-            wave = store(wanted.filter(F.col("ord") > done).orderBy("ord").limit(params.max_pages - kept))
-            last = wave.agg(F.max("ord").alias("o")).first()["o"]
-            if last is None:
+        level = queue.filter(F.col("depth") == depth).groupBy("site", "url").agg(F.min("ord").alias("ord")).join(visited, ["site", "url"], "left_anti")
+        level = store(level.withColumn("depth", F.lit(depth)))
+        visited = visited.unionByName(level.select("site", "url"))
+        allowed = is_page(F.col("url")) & robots_allowed(F.col("rules"), F.lit(params.user_agent), F.col("url"))
+        wanted = store(level.join(home.select("site", "rules"), "site").filter(allowed).drop("rules"))
+        got = None
+        while True:
+            place = F.row_number().over(Window.partitionBy("site").orderBy("ord"))
+            wave = store(wanted.join(kept, "site").withColumn("_place", place).filter(F.col("_place") <= params.max_pages - F.col("kept")).drop("_place", "kept"))
+            if wave.isEmpty():
+                break
+            taken = wave.groupBy("site").agg(F.max("ord").alias("_done"))
+            wanted = wanted.join(taken, "site").filter(F.col("ord") > F.col("_done")).drop("_done")
+            part = store(parsed(fetched(wave.drop("met"), fetch, params, partitions).filter(F.col("html").isNotNull()), site=F.col("site")).join(kept.select("site", "met"), "site"))
+            head = part.groupBy("site").agg(F.min("ord").alias("_head"))
+            first = ~F.col("met") & (F.col("ord") == F.col("_head"))
+            part = part.join(head, "site").withColumn("_good", F.coalesce(word_gate(first, F.col("word_count"), F.col("title"), params), F.lit(False))).drop("met", "_head")
+            sums = part.groupBy("site").agg(F.count_if("_good").alias("_more"))
+            kept = store(kept.join(sums, "site", "left").select("site", (F.col("kept") + F.coalesce("_more", F.lit(0))).alias("kept"), (F.col("met") | F.col("_more").isNotNull()).alias("met")))
+            wanted = store(wanted)
+            good = part.filter("_good").drop("_good")
+            pages = good if pages is None else pages.unionByName(good)
+            got = part if got is None else got.unionByName(part)
+        if got is None:
+            if depth:
                 break
-            done = last
-            part = store(parsed(fetched(wave, fetch, params, partitions).filter(F.col("html").isNotNull()), site=F.lit(site)))
-            first = F.lit(False)
-            if not met and part.take(1):
-                met, first = True, F.col("ord") == part.agg(F.min("ord").alias("o")).first()["o"]
-            good = part.filter(F.coalesce(word_gate(first, F.col("word_count"), F.col("title"), params), F.lit(False)))
-            pages, got = (good, part) if pages is None else (pages.unionByName(good), part if got is None else got.unionByName(part))
-            kept += good.count()
-        if kept >= params.max_pages or got is None or not got.take(1):
-            break
-        links = got.select(F.col("ord").alias("from_ord"), F.posexplode("internal_links").alias("pos", "url")).filter(same_domain(F.col("url"), F.lit(site)))
-        links = numbered(links, "from_ord", "pos").select((F.col("ord") + (1 << 32) * (depth + 1)).alias("ord"), "url", F.lit(depth + 1).alias("depth"))
-        queue = queue.filter(F.col("depth") > depth).unionByName(links)
+            continue
+        links = got.select("site", F.col("ord").alias("_from"), F.posexplode("internal_links").alias("pos", "url")).filter(same_domain(F.col("url"), F.col("site")))
+        number = F.row_number().over(Window.partitionBy("site").orderBy("_from", "pos")) - 1  # of a site's links on one level, which its page limit bounds
+        links = links.select("site", (number + F.lit(LEVEL) * (depth + 1)).alias("ord"), "url", F.lit(depth + 1).alias("depth"))
+        queue = store(queue.filter(F.col("depth") > depth).unionByName(links))
     if pages is None:
-        pages = parsed(spark.createDataFrame([], "ord long, url string, depth int, status_code int, content_type string, html string"), site=F.lit(site))
-    return pages.orderBy("depth", "ord").limit(params.max_pages)
+        none = home.sparkSession.createDataFrame([], "site string, ord long, url string, depth int, status_code int, content_type string, html string")
+        return parsed(none, site=F.col("site"))
+    place = F.row_number().over(Window.partitionBy("site").orderBy("depth", "ord"))
+    return pages.withColumn("_place", place).filter(F.col("_place") <= params.max_pages).drop("_place")
+
+
+def crawl(spark: SparkSession, start: str, fetch: Fetch | DataFrame, params: Crawl = Crawl(), partitions: int = 1, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pages of a site, breadth first, level by level: ord, url, depth, status_code, content_type and the fields of a parsed page."""
+    return crawl_sites(spark.createDataFrame([(start,)], "start string"), fetch, params, partitions, store).drop("site").orderBy("depth", "ord")
 
 
 def reachable(links: DataFrame, start: Column | str, max_depth: int) -> DataFrame:

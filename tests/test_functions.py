@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring, similarity, text, urls
+from lodestone.functions.textblock import TextBlock
 from lodestone.operators import claims, completion, reconcile, report
 from lodestone.params import Reconcile, load
 
@@ -61,9 +62,9 @@ def test_bounded_similarity_is_the_plain_one(a, b):
     x, y = set(a.split()), set(b.split())
     words = len(x & y) / max(len(x), len(y)) if x and y else 0.0
     plain = 1.0 if a == b else max(SequenceMatcher(None, a, b).ratio(), words)
-    assert reconcile.similarity(a, b) == pytest.approx(plain)
+    assert TextBlock([b]).best(a, 0.0, 1, False) == [(0, plain)]
     for floor in (0.5, 0.8):
-        assert reconcile.similar(a, b, floor) == (plain >= floor)
+        assert TextBlock([b]).first(a, floor) == (0 if plain >= floor else None)
 
 
 @pytest.mark.parametrize(("raw", "value"), [(" A  b\tC ", "a b c"), ("x", "x"), ("", "")])
@@ -143,7 +144,8 @@ def test_consensus_of_one_pass_is_itself(spark):
 
 def test_leaders_take_the_first_match_not_the_best(spark):
     df = spark.createDataFrame([("d", 1, "abcdefghij"), ("d", 2, "abcdefghxy"), ("d", 3, "abcdefghxj")], "domain string, ord long, norm string")
-    got = {r["ord"]: r["leader"] for r in reconcile.leaders(df, "domain", 0.8).collect()}
+    leader = {r["norm"]: r["leader"] for r in reconcile.leaders(df, "domain", 0.8).collect()}
+    got = {r["ord"]: leader[r["norm"]] for r in df.collect()}
     heads = []
     for i, t in ((1, "abcdefghij"), (2, "abcdefghxy"), (3, "abcdefghxj")):
         head = next((h for h in heads if SequenceMatcher(None, t, h).ratio() >= 0.8), None)

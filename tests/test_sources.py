@@ -1,12 +1,13 @@
 """Exports, captured API rows, pages, sitemaps, crawls, history, and the whole dataflow with recorded replies."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import pages
-from lodestone.operators.completion import RateLimited, Recorded, Service, _send, cache_marks, usage
+from lodestone.operators.completion import RateLimited, Recorded, Service, Turn, _send, cache_marks, completed, requests, usage
 from lodestone.params import Completion, Crawl, Extraction, Factcheck, Params
 from lodestone.plans import cli
 from lodestone.plans.pipeline import Analysis
@@ -82,7 +83,7 @@ def test_traffic_export_last_row_wins(spark, tmp_path):
 def test_captured_search_rows(spark, tmp_path):
     rows = [{"keys": ["q", "/a"], "clicks": 1, "impressions": 10}, {"keys": ["q", "/b"], "clicks": 2, "impressions": 20}, {"keys": ["x"], "clicks": 9}, {"keys": ["z", "/a"], "clicks": 0, "impressions": 0}]
     path = written(tmp_path, "\n".join(map(json.dumps, rows)), "rows.json")
-    got = {r["query"]: (r["clicks"], r["impressions"], r["ctr"], r["pages"]) for r in api.search_queries(api.captured(spark, path, api.search_request("s", "a", "b"))).collect()}
+    got = {r["query"]: (r["clicks"], r["impressions"], r["ctr"], r["pages"]) for r in api.search_queries(api.captured(spark, path)).collect()}
     assert got == {"q": (3, 30, 0.1, ["/a", "/b"]), "z": (0, 0, 0.0, ["/a"])}
 
 
@@ -94,6 +95,29 @@ def test_requested_rows_are_paged(spark):
     assert sorted(r["page"] for r in api.search_pages(rows).collect()) == [f"p{i}" for i in range(9)]
 
 
+def test_filters_and_pages_travel_with_the_request(spark, tmp_path):
+    def transport(request):
+        (tmp_path / f"{request['startRow']}.json").write_text(json.dumps(request))
+        rows = [{"keys": [f"q{i % 3}", f"/p{i}"], "clicks": i} for i in range(10)]
+        for f in request.get("filters", []):
+            at = request["dimensions"].index(f["dimension"])
+            same = {"equals": str.__eq__, "contains": str.__contains__, "beginsWith": str.startswith}[f["operator"]]
+            rows = [r for r in rows if same(r["keys"][at], f["expression"])]
+        return rows[request["startRow"] : request["startRow"] + request["rowLimit"]]
+
+    rows = api.requested(spark, transport, api.search_request("s", "a", "b"), limit=6, page=2, push=True)
+    some = rows.filter("query = 'q1' AND page LIKE '/p%' AND page <> '/p7'")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "q1" not in plan and "StartsWith" not in plan and "/p7" in plan  # what the service applies has left Spark's filter
+    assert sorted(r["page"] for r in some.collect()) == ["/p1", "/p4"]
+    asked = [json.loads(f.read_text()) for f in sorted(tmp_path.iterdir())]
+    assert [(r["startRow"], r["rowLimit"]) for r in asked] == [(0, 2), (2, 2), (4, 2)]
+    assert all({"dimension": "query", "operator": "equals", "expression": "q1"} in r["filters"] and len(r["filters"]) == 2 for r in asked)
+    assert rows.count() == 6  # the limit, and no filter of the query before
+    plain = api.requested(spark, transport, api.search_request("s", "a", "b"), limit=10, page=4)
+    assert sorted(r["page"] for r in plain.filter("query = 'q1'").union(plain.filter("query = 'q2'")).collect()) == ["/p1", "/p2", "/p4", "/p5", "/p7", "/p8"]
+
+
 def test_landing_pages(spark):
     def rows(*xs):
         return spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(xs)], "ord long, value string")
@@ -105,6 +129,19 @@ def test_landing_pages(spark):
     assert api.site_for(["https://x.org/", "sc-domain:me.com"], "me.com") == "sc-domain:me.com"
 
 
+def test_main_text_is_that_of_the_densest_box():
+    text = lambda body: pages.parse("https://e.com", f"<html><head><title>t</title></head><body>{body}</body></html>")[5]
+    menu = '<div><ul><li><a href="/a">One place</a></li><li><a href="/b">Another place</a></li></ul></div>'
+    story = "<p>The first sentence of a long story, with commas.</p><p>The second one has <a href='/x'>a link</a> in it.</p>"
+    plain_story = "The first sentence of a long story, with commas. The second one has a link in it."
+    assert text(f"{menu}<div>{story}</div>{menu}<div>short note</div>") == plain_story
+    assert text(f"<div><div>{story}</div>{menu}</div>") == plain_story  # boxes of links inside go, too
+    assert text(f"<div><h1>Head</h1><p>{'A few words. ' * 4}</p></div><div>{'An advertisement in prose. ' * 3}</div>").startswith("Head A few words.")
+    assert text("<div>one half of it all</div><div>the other half of it</div>") == "one half of it all the other half of it"
+    assert text(f"{menu}<main>{story}</main>") == plain_story
+    assert text("") == "t" and text(menu) == "t. One place Another place"  # a page of links alone keeps them
+
+
 HTML = """<html><head><title> Home </title><meta name="description" content="About us"><meta property="og:title" content="OG">
 <script type="application/ld+json">{"name": "Shop", "text": 3, "headline": "Big"}</script></head><body><header><h1>hidden</h1></header><nav><a href="/nav">n</a></nav>
 <main><h1>One <b>big</b></h1><h2>Two</h2><p>some text here</p><a href="b/c#frag">x</a><a href="https://www.example.com/d/">y</a><a href="https://other.org/p">z</a>
@@ -183,6 +220,72 @@ def test_crawl_stops_fetching_at_its_limit(spark, tmp_path):
     assert web.crawl(spark, "e.com", lambda u: (404, "", ""), Crawl(delay=0.0)).count() == 0
 
 
+def test_sites_are_crawled_in_one_frontier(spark):
+    """Each site's pages are those of a crawl of its own, with its own rules and limit."""
+    other = {u.replace("e.com", "f.org"): t for u, t in SITE.items()} | {"https://f.org/closed": page_of(20)}
+    both = SITE | other
+
+    def fetch(u):
+        if u == "https://e.com/robots.txt":
+            return 200, "text/plain", "User-agent: *\nDisallow: /closed"
+        if u == "https://f.org/sitemap.xml":
+            return 200, "text/xml", "<urlset><url><loc>https://f.org/f</loc></url></urlset>"
+        return (200, "text/html", both[u]) if u in both else (404, "", "")
+
+    p = Crawl(delay=0.0, max_depth=3, max_pages=4)
+    starts = spark.createDataFrame([("e.com",), ("https://f.org",), ("none.example",), ("f.org",)], "start string")
+    got = {}
+    for r in web.crawl_sites(starts, fetch, p).collect():
+        got.setdefault(r["site"], []).append((r["url"], r["depth"], r["ord"]))
+    for site in ("e.com", "f.org"):
+        assert sorted(got[site]) == sorted((r["url"], r["depth"], r["ord"]) for r in web.crawl(spark, site, fetch, p).collect())
+    assert set(got) == {"e.com", "f.org"}
+    assert ("https://f.org/closed", 1) in {x[:2] for x in got["f.org"]} and "https://f.org/f" in {x[0] for x in got["f.org"]}
+    # the same from captured answers
+    rows = [(u, *fetch(u)) for u in [*both, "https://e.com/robots.txt", "https://f.org/sitemap.xml"]]
+    captured = spark.createDataFrame(rows, "url string, status_code int, content_type string, text string")
+    again = {}
+    for r in web.crawl_sites(starts, captured, p).collect():
+        again.setdefault(r["site"], []).append((r["url"], r["depth"], r["ord"]))
+    assert {k: sorted(v) for k, v in again.items()} == {k: sorted(v) for k, v in got.items()}
+
+
+def test_sites_do_not_wait_for_one_another(spark):
+    urls = spark.createDataFrame([(f"https://{s}/{i}", s) for s in ("a", "b") for i in range(3)], "url string, site string").coalesce(1)
+    began = time.time()
+    rows = web.fetched(urls, lambda u: (200, "text/html", repr(time.time())), Crawl(delay=0.4)).collect()
+    at = {s: sorted(float(r["html"]) for r in rows if r["site"] == s) for s in ("a", "b")}
+    assert all(b - a > 0.39 for own in at.values() for a, b in zip(own, own[1:], strict=False))
+    assert time.time() - began < 12
+
+
+def test_history_is_compacted_beside_a_writer(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    df = lambda i: spark.createDataFrame([(j, f"text {i} {j}", 0.5, "i", "t") for j in range(2)], "ord long, prompt_text string, relevance_score double, search_intent string, topic_cluster string")
+    texts = lambda: sorted((r["run_seq"], r["text"]) for r in history.load(spark, path, "d").collect())
+    history.compact(spark, path, "d")  # of nothing
+    for i in range(13):
+        history.append(df(i), path, "d", "2024-01-01 00:00:00")
+    history.append(df(99), path, "other", "2024-01-01 00:00:00")
+    slow = history._reserved(spark, path, "d", 13)  # a writer that has its number and is not done
+    history.append(df(14), path, "d", "2024-01-01 00:00:00")
+    reader = history.load(spark, path, "d")
+    before = texts()
+    history.compact(spark, path, "d")
+    assert texts() == before == sorted((r["run_seq"], r["text"]) for r in reader.collect())  # who began before the commit ends
+    history.append(df(13), path, "d", "2024-01-01 00:00:00", slow)
+    assert {n for n, _ in texts()} == set(range(5, 15))
+    for i in range(15, 18):
+        history.append(df(i), path, "d", "2024-01-01 00:00:00")
+    history.compact(spark, path, "d")
+    assert {n for n, _ in texts()} == set(range(8, 18)) and len(texts()) == 20
+    left = {r["run_seq"] for r in spark.read.parquet(path).filter("domain = 'd'").select("run_seq").collect()}
+    assert left == {13, *range(15, 18)}  # what the first marker stands for is gone
+    assert history.load(spark, path, "other").count() == 2
+    history.append(df(18), path, "d", "2024-01-01 00:00:00")
+    assert max(texts())[0] == 18
+
+
 def test_two_writers_get_two_run_numbers(spark, tmp_path):
     path = f"file://{tmp_path}/runs"
     taken = [history._reserved(spark, path, "d", 0) for _ in range(3)]
@@ -225,8 +328,8 @@ def test_retries():
             raise RateLimited
         return "ok", {"prompt_tokens": 3}
 
-    assert _send({}, flaky, Completion(spacing=0.0, backoff=0.0), {})["content"] == "ok"
-    assert _send({}, lambda r: 1 / 0, QUICK, {})["error"].startswith("ZeroDivisionError")
+    assert _send({}, flaky, Completion(spacing=0.0, backoff=0.0), Turn(0.0))["content"] == "ok"
+    assert _send({}, lambda r: 1 / 0, QUICK, Turn(0.0))["error"].startswith("ZeroDivisionError")
 
 
 def test_known_replies_are_not_asked_again(spark):
@@ -238,6 +341,24 @@ def test_known_replies_are_not_asked_again(spark):
     service.backend = Recorded({})
     assert [r["content"] for r in service.ask(rows, "id", message, 0.3, 10).collect()] == ["world"] * 2
     assert usage(service.known).first()["calls"] == 1
+    rows = spark.createDataFrame([(i, f"hello {i}") for i in range(5)], "id int, t string")
+    service.backend = Recorded({"hello": "again"})
+    service.ask(rows, "id", message, 0.3, 10)
+    assert service.counted == {k: v for k, v in usage(service.known).first().asDict().items() if k in service.counted}
+    assert service.counted["calls"] == 6
+
+
+def test_several_tasks_keep_one_spacing(spark, tmp_path):
+    def backend(request):
+        (tmp_path / request["messages"][0]["content"]).write_text(repr(time.time()))
+        return "ok", {}
+
+    rows = spark.createDataFrame([(i, f"call{i}") for i in range(12)], "id int, t string")
+    wanted = requests(rows, "id", F.array(F.struct(F.lit("user").alias("role"), F.col("t").alias("content"))), 0.3, 10)
+    got = completed(wanted, spark.createDataFrame([], RESPONSE), backend, Completion(spacing=0.2, backoff=0.0), partitions=4).collect()
+    assert len(got) == 12
+    at = sorted(float((tmp_path / f"call{i}").read_text()) for i in range(12))
+    assert min(b - a for a, b in zip(at, at[1:], strict=False)) > 0.12  # 0.2 but for the delay of a sleep
 
 
 def test_cache_marks(spark):
