@@ -6,7 +6,8 @@ bytes (the earliest of equal ones) in n_tokens, and by bytes to each section it
 
 Defined cases: a null or empty text gives no rows; sections are cut to the text; where two overlap,
 the one that starts later begins where the other ends; text outside of all sections is attributed to
-rows of section null, one for each gap; repeated rows give their rows each; long texts are encoded whole.
+rows of section null, one for each gap; repeated rows give their rows each; long texts are encoded whole; an empty table gives no rows;
+kept columns with names of the result's columns give way to them, and docs' other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -104,10 +105,14 @@ def _partition(raw: np.ndarray, sections: list[dict] | None) -> tuple[np.ndarray
     return np.array(a), np.array(b), np.array(k), list(names)
 
 
+RESULT = ("section", "name", "start", "end", "n_tokens", "n_crossing", "share")
+
+
 def attribute(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text", sections: str | None = None) -> DataFrame:
     """The columns of keep, and for each section and gap: section (its number, null for a gap), name, start and end
     (code points), n_tokens, n_crossing, share. tokenizer: path of a file of ranks, on every machine.
     sections: column array<struct<name, start, end>> in code points; without it, lines."""
+    keep = [k for k in keep if k not in RESULT]
     df = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(text).alias("t"), (F.col(sections) if sections else F.lit(None).cast("int")).alias("s"))
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"k{i} {kinds[f'k{i}']}" for i in range(len(keep))), "section int, name string, start long, end long, n_tokens long, n_crossing long, share double"])
@@ -136,7 +141,7 @@ def attribute(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "tex
             out = [batch.column(f"k{i}").take(at) for i in range(len(keep))]
             out += [pa.array(number.astype(np.int32), mask=number < 0), pa.array(names, pa.string())]
             out += [pa.array(x.astype(np.int64)) for x in (starts, stops, whole, crossing)] + [pa.array(share)]
-            yield pa.RecordBatch.from_arrays(out, [*(f"k{i}" for i in range(len(keep))), "section", "name", "start", "end", "n_tokens", "n_crossing", "share"])
+            yield pa.RecordBatch.from_arrays(out, [*(f"k{i}" for i in range(len(keep))), *RESULT])
 
     out = df.mapInArrow(run, schema)
     return out.toDF(*keep, *out.columns[len(keep) :])

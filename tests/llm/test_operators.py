@@ -60,6 +60,13 @@ def test_quality_judges_hosts(spark):
     assert kept.columns == frame(spark).columns and kept.count() == 30
 
 
+def test_quality_of_nothing_and_of_clashing_names(spark):
+    assert quality.judge(frame(spark, [])).count() == 0 and quality.keep(frame(spark, [])).count() == 0
+    docs = frame(spark).withColumn("kept", F.lit("x")).withColumn("n", F.lit(1)).withColumn("rate_short", F.lit(0.0)).withColumn("_words", F.lit(3))
+    assert Counter(r["doc_id"] for r in quality.keep(docs).collect()) == Counter(r["doc_id"] for r in quality.keep(frame(spark)).collect())
+    assert quality.keep(docs).columns == docs.columns
+
+
 def test_prior_matches_moments():
     a, b = quality._prior(1000, 100, 12.0, 50)
     assert a > 0 and b > 0 and abs(a / (a + b) - 0.1) < 0.01
@@ -399,6 +406,51 @@ def test_token_counts(spark):
             assert [t[a:b] for a, b in zip(mine.start, mine.end, strict=True)] == re.findall(r"[^\n]*\n|[^\n]+$", t)
 
 
+def plain_lines_tokens(text, encoding):
+    """(start, end, n_tokens, n_crossing, share) of each line, in code points, token by token and byte by byte."""
+    raw, lines, at = text.encode(), [], 0
+    for x in re.findall(r"[^\n]*\n|[^\n]+$", text):
+        lines.append((at, at + len(x.encode())))
+        at = lines[-1][1]
+    own = [i for i, (a, b) in enumerate(lines) for _ in range(a, b)]
+    n, crossing, share = ([0] * len(lines) for _ in range(3))
+    at = 0
+    for token in encoding.encode_ordinary(text):
+        size = len(encoding.decode_single_token_bytes(token))
+        met = Counter(own[at : at + size])
+        at += size
+        n[max(met, key=lambda i: (met[i], -i))] += 1
+        for i, c in met.items():
+            crossing[i] += len(met) > 1
+            share[i] += c / size
+    assert at == len(raw)
+    points = [len(raw[:b].decode()) for b in [0, *(b for _, b in lines)]]
+    return [(points[i], points[i + 1], n[i], crossing[i], round(share[i], 6)) for i in range(len(lines))]
+
+
+def test_token_counts_by_line_on_all_documents(spark, sf):
+    import base64
+
+    import tiktoken
+
+    with open(TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
+    encoding = tiktoken.Encoding("plain", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        want.update((r["doc_id"], i, *x) for i, x in enumerate(plain_lines_tokens(r["text"] or "", encoding)))
+    out = QUERIES["op1_token_counts"](spark, sf).collect()
+    assert Counter((r["doc_id"], r["section"], r["start"], r["end"], r["n_tokens"], r["n_crossing"], round(r["share"], 6)) for r in out) == want
+
+
+def test_token_counts_cases(spark):
+    names = token_counts.attribute(frame(spark).withColumn("name", F.lit("x")).withColumn("share", F.lit(1)), TOKENIZER, ["doc_id", "name", "share", "t"])
+    assert names.columns == ["doc_id", "t", *token_counts.RESULT]
+    rows = Counter((r["doc_id"], r["section"], r["n_tokens"]) for r in names.collect())
+    assert rows[7, 0, 2] == 2 and not any(k[0] in (4, 5) for k in rows)  # repeated rows; null and empty texts
+    assert token_counts.attribute(frame(spark, []), TOKENIZER, ["doc_id"]).count() == 0
+
+
 def test_tokens_of_long_runs_equal_the_plain_ones():
     enc = token_counts.Encoder(TOKENIZER)
     text = "a b" + " " * 5000 + "c\n\n" + "d" * 50
