@@ -178,6 +178,14 @@ def validated_semi_status(spark, d):
     return lookup.with_status(branded(spark, d), validations(spark, d)).select("ord", "status")
 
 
+@query(f"""WITH {VP}, {VV}, ok AS (SELECT DISTINCT prompt_text FROM vv WHERE overall_score >= 0.7 AND quality_rating <> 'rejected')
+  SELECT vp.ord, CASE WHEN p_size % 3 <> 0 AND p_size % 2 = 0 THEN 'factchecked' ELSE 'validated' END AS status FROM vp JOIN part ON vp.ord = p_partkey WHERE prompt_text || ' ' || brand IN (SELECT prompt_text FROM ok)""")
+def active_prompts_factchecked(spark, d):
+    """Prompts that were validated, some of them found sound; those that were rejected are not active. Every third prompt has no result of a check."""
+    results = read(spark, d, "part").filter("p_size % 3 <> 0").select(F.col("p_partkey").alias("ord"), (F.col("p_size") % 2 == 0).alias("is_factually_sound"))
+    return lookup.active(lookup.factchecked(lookup.with_status(branded(spark, d), validations(spark, d)), results)).select("ord", "status")
+
+
 @query(f"WITH {VP} SELECT ord, prompt_text FROM vp")
 def active_prompts_fallback(spark, d):
     return lookup.active(prompts(spark, d)).select("ord", "prompt_text")
@@ -402,6 +410,23 @@ def report_json(spark, d):
     return rows.select("section", x.alias("x")).select("section", "x.priority_rank", "x.prompt.prompt_text", "x.impact_score", "x.gsc_data.query", "x.gsc_data.clicks", "x.ga_data.page_path")
 
 
+@query(f"""{RANKED}, t AS (SELECT coalesce(nullif(topic_cluster, ''), 'Uncategorized') AS topic, count(*) AS n, avg(impact_score) AS mean, min(priority_rank) AS first_rank FROM r GROUP BY 1),
+  k AS (SELECT *, row_number() OVER (ORDER BY n DESC, first_rank) AS k FROM t),
+  heads AS (SELECT * FROM (VALUES (0, '# Search opportunities of https://shop.example.com'), (1, '# Tiers'), (2, '# Prompts of the highest impact'), (3, '# Topics'), (4, '# What to do first')) v(section, line)),
+  lines AS (SELECT section, 0 AS place, line FROM heads UNION ALL SELECT 0, 1, 'made 2024-01-01 from 7 pages and ' || count(*) || ' prompts' FROM r
+  UNION ALL SELECT 1, 1, 'high: ' || count(*) FILTER (WHERE impact_score >= 0.7) FROM r UNION ALL SELECT 1, 2, 'medium: ' || count(*) FILTER (WHERE impact_score >= 0.4 AND impact_score < 0.7) FROM r
+  UNION ALL SELECT 1, 3, 'low: ' || count(*) FILTER (WHERE impact_score < 0.4) FROM r UNION ALL SELECT 1, 4, 'with search data: ' || count(query) FROM r UNION ALL SELECT 1, 5, 'with traffic data: ' || count(page_path) FROM r
+  UNION ALL SELECT 2, priority_rank, priority_rank || '. ' || prompt_text || ' (impact ' || printf('%.2f', impact_score) || ', correlation ' || printf('%.2f', data_correlation_score) || ', ' || coalesce(nullif(search_intent, ''), 'no intent') || ')' FROM r WHERE priority_rank <= 50
+  UNION ALL SELECT 3, k, topic || ', ' || n || ' prompts, mean impact ' || printf('%.2f', mean) FROM k WHERE k <= 20
+  UNION ALL SELECT 4, priority_rank, priority_rank || '. ' || recommendation FROM r WHERE priority_rank <= 20)
+  SELECT CAST(section AS BIGINT) AS section, CAST(place AS BIGINT) AS place, line FROM lines""")
+def report_text(spark, d):
+    """The report for reading, line by line."""
+    told = report.text_report(rounded(ranked(spark, d)), "https://shop.example.com", "2024-01-01", 7)
+    lines = [(i, j, line) for i, part in enumerate(told.split("\n\n")) for j, line in enumerate(part.split("\n"))]
+    return spark.createDataFrame(lines, "section long, place long, line string")
+
+
 @query("SELECT event_id, CASE WHEN value / 100.0 < 0.2 THEN 'LOW' WHEN value / 100.0 < 0.5 THEN 'MODERATE' ELSE 'HIGH' END AS tier FROM events")
 def drift_tiers(spark, d):
     return read(spark, d, "events").select("event_id", scoring.drift_tier(F.col("value") / 100.0).alias("tier"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import impact_tier
 from ..functions.text import filled
+from ..storage import stored
 
 # Header of the CSV report.
 CSV_HEADER = (
@@ -128,6 +129,7 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 def text_report(rows: DataFrame, target_url: str, generated_at: str, pages: int) -> str:
     """The report for reading: tiers, the first 50 prompts, the 20 largest clusters, recommendations of the first 20."""
+    rows = stored(rows.select("priority_rank", "prompt_text", "impact_score", "data_correlation_score", "search_intent", "topic_cluster", "recommendation", "matches", "traffic"), "report")  # it is read three times
     s = summary(rows).first()
     near = rows.orderBy("priority_rank").limit(50).select("priority_rank", "prompt_text", "impact_score", "data_correlation_score", "search_intent", "recommendation").collect()
     topics = topic_clusters(rows).orderBy(F.desc("count"), "first_rank").limit(20).collect()

@@ -18,6 +18,7 @@ from ..operators.completion import Recorded, Service
 from ..params import Params, load
 from ..schema import RESPONSE
 from ..sources import auth, csvio, web
+from ..sources.chat import ChatEndpoint
 from .pipeline import Analysis
 
 
@@ -44,6 +45,9 @@ def arguments() -> argparse.ArgumentParser:
     a.add_argument("--traffic-csv")
     a.add_argument("--output-dir", default="")
     a.add_argument("--replies", help="JSON file: fragments of requests to recorded replies")
+    a.add_argument("--endpoint", help="address that takes chat messages")
+    a.add_argument("--key-env", default="COMPLETION_KEY", help="environment variable that holds the endpoint's key")
+    a.add_argument("--tasks", type=int, default=1, help="tasks that call at once; together they keep the spacing of calls")
     a.add_argument("--verbose", action="store_true")
     c = sub.add_parser("crawl", help="list a site's pages")
     c.add_argument("url")
@@ -86,11 +90,15 @@ def overridden(params: Params, args: argparse.Namespace) -> Params:
 
 def analyze(args: argparse.Namespace, params: Params) -> int:
     spark = session()
-    if not args.replies:
-        print("a completion backend is needed: pass --replies, or use plans.pipeline with one of your own", file=sys.stderr)
+    if args.replies:
+        with open(args.replies, encoding="utf-8") as f:
+            backend = Recorded(json.load(f))
+    elif args.endpoint:
+        backend = ChatEndpoint(args.endpoint, os.environ.get(args.key_env, ""), params.completion)
+    else:
+        print("a completion backend is needed: pass --endpoint or --replies, or use plans.pipeline with one of your own", file=sys.stderr)
         return 1
-    with open(args.replies, encoding="utf-8") as f:
-        service = Service(spark.createDataFrame([], RESPONSE), Recorded(json.load(f)), params.completion)
+    service = Service(spark.createDataFrame([], RESPONSE), backend, params.completion, args.tasks)
     now = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
     log = logging.getLogger("lodestone")
     tell = (lambda stage, n: log.info("%s: %s rows", stage, n)) if args.verbose else None

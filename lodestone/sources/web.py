@@ -159,29 +159,28 @@ def crawl_sites(sites: DataFrame, fetch: Fetch | DataFrame, params: Crawl = Craw
     home = store(_homes(sites, fetch, params))
     queue = home.select("site", F.posexplode("seeds").alias("ord", "url")).select("site", F.col("ord").cast("long"), normal_url(F.col("url")).alias("url"), F.when(F.col("ord") == 0, 0).otherwise(1).alias("depth"))
     queue = store(queue.filter(same_domain(F.col("url"), F.col("site"))))
-    kept = home.select("site", F.lit(0).cast("long").alias("kept"), F.lit(False).alias("met"))
+    kept = home.select("site", F.lit(0).cast("long").alias("kept"), F.lit(False).alias("met"), F.lit(-1).cast("long").alias("done"))
     visited, pages = queue.select("site", "url").limit(0), None
     for depth in range(params.max_depth + 1):
         level = queue.filter(F.col("depth") == depth).groupBy("site", "url").agg(F.min("ord").alias("ord")).join(visited, ["site", "url"], "left_anti")
-        level = store(level.withColumn("depth", F.lit(depth)))
+        level = store(level.withColumn("depth", F.lit(depth)).join(home.select("site", "rules"), "site"))
         visited = visited.unionByName(level.select("site", "url"))
-        allowed = is_page(F.col("url")) & robots_allowed(F.col("rules"), F.lit(params.user_agent), F.col("url"))
-        wanted = store(level.join(home.select("site", "rules"), "site").filter(allowed).drop("rules"))
+        wanted = level.filter(is_page(F.col("url")) & robots_allowed(F.col("rules"), F.lit(params.user_agent), F.col("url"))).drop("rules")
         got = None
         while True:
             place = F.row_number().over(Window.partitionBy("site").orderBy("ord"))
-            wave = store(wanted.join(kept, "site").withColumn("_place", place).filter(F.col("_place") <= params.max_pages - F.col("kept")).drop("_place", "kept"))
+            rest = wanted.join(kept, "site").filter(F.col("ord") > F.col("done")).withColumn("_place", place)
+            wave = store(rest.filter(F.col("_place") <= params.max_pages - F.col("kept")).select(*wanted.columns, "met"))
             if wave.isEmpty():
                 break
-            taken = wave.groupBy("site").agg(F.max("ord").alias("_done"))
-            wanted = wanted.join(taken, "site").filter(F.col("ord") > F.col("_done")).drop("_done")
-            part = store(parsed(fetched(wave.drop("met"), fetch, params, partitions).filter(F.col("html").isNotNull()), site=F.col("site")).join(kept.select("site", "met"), "site"))
-            head = part.groupBy("site").agg(F.min("ord").alias("_head"))
-            first = ~F.col("met") & (F.col("ord") == F.col("_head"))
-            part = part.join(head, "site").withColumn("_good", F.coalesce(word_gate(first, F.col("word_count"), F.col("title"), params), F.lit(False))).drop("met", "_head")
+            found = parsed(fetched(wave, fetch, params, partitions).filter(F.col("html").isNotNull()), site=F.col("site"))
+            head = F.min("ord").over(Window.partitionBy("site"))  # of a site's wave, which its page limit bounds
+            first = ~F.col("met") & (F.col("ord") == head)
+            part = store(found.withColumn("_good", F.coalesce(word_gate(first, F.col("word_count"), F.col("title"), params), F.lit(False))).drop("met"))
             sums = part.groupBy("site").agg(F.count_if("_good").alias("_more"))
-            kept = store(kept.join(sums, "site", "left").select("site", (F.col("kept") + F.coalesce("_more", F.lit(0))).alias("kept"), (F.col("met") | F.col("_more").isNotNull()).alias("met")))
-            wanted = store(wanted)
+            taken = wave.groupBy("site").agg(F.max("ord").alias("_done"))
+            both = kept.join(taken, "site", "left").join(sums, "site", "left")
+            kept = store(both.select("site", (F.col("kept") + F.coalesce("_more", F.lit(0))).alias("kept"), (F.col("met") | F.col("_more").isNotNull()).alias("met"), F.coalesce("_done", "done").alias("done")))
             good = part.filter("_good").drop("_good")
             pages = good if pages is None else pages.unionByName(good)
             got = part if got is None else got.unionByName(part)

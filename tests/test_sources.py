@@ -348,6 +348,60 @@ def test_known_replies_are_not_asked_again(spark):
     assert service.counted["calls"] == 6
 
 
+@pytest.fixture
+def chat_server():
+    """An endpoint that answers with what it was asked; the first request of a text with 'busy' gets a 429."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = str(body["messages"][-1]["content"])
+            again = any(text == str(b["messages"][-1]["content"]) for b, _ in asked)
+            asked.append((body, self.headers.get("Authorization")))
+            self.send_response(429 if "busy" in text and not again else 500 if "broken" in text else 200)
+            self.end_headers()
+            reply = {"choices": [{"message": {"content": None if "empty" in text else f"to {text}"}}], "usage": {"prompt_tokens": 7, "completion_tokens": 2, "prompt_tokens_details": {"cached_tokens": 3}}}
+            self.wfile.write(json.dumps(reply).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/v1/chat", asked
+    server.shutdown()
+
+
+def test_chat_endpoint(spark, chat_server):
+    from lodestone.sources.chat import ChatEndpoint
+
+    url, asked = chat_server
+    params = Completion(model="m", spacing=0.0, retries=2, backoff=0.0, cache_chars=20)
+    service = Service(spark.createDataFrame([], RESPONSE), ChatEndpoint(url, "secret", params), params)
+    rows = spark.createDataFrame([(1, "hello"), (2, "busy"), (3, "broken"), (4, "empty")], "id int, t string")
+    said = F.array(F.struct(F.lit("system").alias("role"), F.lit("s" * 30).alias("content")), F.struct(F.lit("user").alias("role"), F.col("t").alias("content")))
+    got = {r["id"]: (r["content"], (r["error"] or "").split(":")[0]) for r in service.ask(rows, "id", said, 0.3, 10).collect()}
+    assert got == {1: ("to hello", ""), 2: ("to busy", ""), 3: (None, "HTTPError"), 4: (None, "ValueError")}
+    body, key = asked[0]
+    assert key == "Bearer secret" and (body["model"], body["temperature"], body["max_tokens"]) == ("m", 0.3, 10)
+    assert body["messages"][0]["content"][0]["cache_control"] == {"type": "ephemeral"} and isinstance(body["messages"][1]["content"], str)
+    assert service.counted == {"calls": 4, "prompt_tokens": 14, "completion_tokens": 4, "cached_tokens": 6}
+
+
+@pytest.mark.parametrize("turns", [1, 3])
+def test_endpoint_marks_are_those_of_the_native_form(spark, turns):
+    from lodestone.sources.chat import marked
+
+    messages = [("system", "x" * 30), *(("user", "y" * (10 * i + 5)) for i in range(turns + 2) if turns > 1 or i == 2), ("system", "z")]
+    column = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(c).alias("content")) for r, c in messages))
+    native = [x["cache"] for x in spark.range(1).select(cache_marks(column, 20).alias("m")).first()["m"]]
+    assert [isinstance(m["content"], list) for m in marked([{"role": r, "content": c} for r, c in messages], 20)] == native
+
+
 def test_several_tasks_keep_one_spacing(spark, tmp_path):
     def backend(request):
         (tmp_path / request["messages"][0]["content"]).write_text(repr(time.time()))
