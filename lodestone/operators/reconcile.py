@@ -227,9 +227,10 @@ def recovered(stables: DataFrame, current: DataFrame, params: Reconcile = Reconc
     s = stables.select("ord", "text", normal(F.col("text")).alias("a"), "stability", "avg_score")
     if fuzzy:
         met = best_match(s.select("ord", "a"), keyed, params.similarity).select("ord")
+        missing = s.join(met, "ord", "left_anti")
     else:
-        met = s.join(keyed, F.col("a") == F.col("b")).select("ord").distinct()
-    missing = s.join(met, "ord", "left_anti").filter(F.col("stability") >= params.recover_stability)
+        missing = s.join(keyed.select("b").distinct(), F.col("a") == F.col("b"), "left_anti")  # each text once, else equal ones would meet in pairs
+    missing = missing.filter(F.col("stability") >= params.recover_stability)
     if fuzzy:
         heads = leaders(missing.select(one_group(), "ord", F.col("a").alias("norm")), "g", params.similarity).filter("leader = norm")
         firsts = missing.groupBy("a").agg(F.min("ord").alias("ord")).join(heads.select(F.col("norm").alias("a")), "a")
