@@ -54,8 +54,10 @@ def page_context(prompts: DataFrame, pages: DataFrame, limit: int = 3) -> DataFr
     """prompt_ord, page_ord, place: the first limit pages that a prompt names; for prompts without one, the first pages of all."""
     named = prompts.select(F.col("ord").alias("prompt_ord"), F.explode(F.array_distinct("source_urls")).alias("url"))
     p = pages.select(F.col("ord").alias("page_ord"), "url")
-    place = F.row_number().over(Window.partitionBy("prompt_ord").orderBy("page_ord"))
-    found = named.join(p, "url").withColumn("place", place).filter(F.col("place") <= limit)
+    place = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("page_ord"))
+    # a prompt's first pages are among the first ones of its URLs, so no more of a URL meet its prompts
+    firsts = p.withColumn("place", place("url")).filter(F.col("place") <= limit).drop("place")
+    found = named.join(firsts, "url").withColumn("place", place("prompt_ord")).filter(F.col("place") <= limit)
     first = p.orderBy("page_ord").limit(limit).withColumn("place", F.row_number().over(Window.orderBy("page_ord")))
     without = prompts.select(F.col("ord").alias("prompt_ord")).join(found.select("prompt_ord").distinct(), "prompt_ord", "left_anti")
     fallback = without.join(F.broadcast(first), F.lit(True))  # limit rows

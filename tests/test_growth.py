@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import reconcile
+from lodestone.operators import lookup, reconcile
 
 
 @pytest.fixture
@@ -33,3 +33,14 @@ def test_recovery_does_not_pair_equal_texts(fixed):
     current = fixed.range(n).select(F.col("id").alias("ord"), F.lit("same").alias("prompt_text"))
     rows, most = most_rows(reconcile.recovered(stables, current, fuzzy=False))
     assert sorted(r["ord"] for r in rows) == [7, 8] and most <= n
+
+
+def test_pages_of_one_address_do_not_all_meet_its_prompts(fixed):
+    n = 300
+    pages = fixed.range(n).select(F.col("id").alias("ord"), F.concat(F.lit("u"), (F.col("id") % 2).cast("string")).alias("url"))
+    urls = F.when(F.col("id") == 0, F.array(F.lit("u1"), F.lit("u0"), F.lit("u1"))).when(F.col("id") == 1, F.array(F.lit("none"))).otherwise(F.array(F.lit("u1")))
+    prompts = fixed.range(n).select(F.col("id").alias("ord"), urls.alias("source_urls"))
+    rows, most = most_rows(lookup.page_context(prompts, pages))
+    found = {(r["prompt_ord"], r["page_ord"], r["place"]) for r in rows}
+    want = {(i, at, k + 1) for i in range(n) for k, at in enumerate([0, 1, 2] if i < 2 else [1, 3, 5])}
+    assert found == want and len(rows) == len(want) and most <= 4 * n
