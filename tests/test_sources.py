@@ -148,6 +148,15 @@ HTML = """<html><head><title> Home </title><meta name="description" content="Abo
 <a href="mailto:a@b.c">m</a><a href="//cdn.org/x">w</a></main><script>var r=["/docs/api-guide", "/static/x", "/a.js"]</script><footer>foot</footer></body></html>"""
 
 
+def test_references_without_a_semicolon_stay():
+    html = '<html><head><title>up &amp &#39 &amp; &lt;b&gt; &amp</title><script>var a = "/x/y" && 1 &amp 2;</script></head><body><main><h1>one &amp</h1><a href="/p?a=1&copy=2&amp;b=3">R&D &copy &eacute;&nbsp;&</a></main></body></html>'
+    page = pages._Reader().read(html)
+    title, _, h1, *_, inside, _, _ = pages.parse("https://e.com", html)
+    assert title == "up &amp &#39 & <b> &amp" and h1 == ["one &amp"]
+    assert page.links == ["/p?a=1&copy=2&b=3"] and inside == ["https://e.com/p?a=1&copy=2&b=3", "https://e.com/x/y"]
+    assert page.scripts[0][1] == ['var a = "/x/y" && 1 &amp 2;'] and page.texts["main"][-1] == "R&D &copy é\xa0&"
+
+
 def test_parse_page(spark):
     r = pages.parsed(spark.createDataFrame([("https://example.com/a/", HTML)], "url string, html string")).first()
     assert r["title"] == "Home" and r["meta_description"] == "About us"
