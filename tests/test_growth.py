@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import lookup, reconcile
+from lodestone.operators import completion, lookup, pages, reconcile
+from lodestone.params import Completion
+from lodestone.schema import RESPONSE
 
 
 @pytest.fixture
@@ -44,3 +46,24 @@ def test_pages_of_one_address_do_not_all_meet_its_prompts(fixed):
     found = {(r["prompt_ord"], r["page_ord"], r["place"]) for r in rows}
     want = {(i, at, k + 1) for i in range(n) for k, at in enumerate([0, 1, 2] if i < 2 else [1, 3, 5])}
     assert found == want and len(rows) == len(want) and most <= 4 * n
+
+
+def test_calls_without_spacing_are_spread_over_tasks(fixed):
+    def backend(request):
+        from pyspark import TaskContext
+
+        return str(TaskContext.get().partitionId()), {"prompt_tokens": 1}
+
+    rows = fixed.range(300).select(F.col("id").alias("ord"))
+    service = completion.Service(fixed.createDataFrame([], RESPONSE), backend, Completion(spacing=0.0, retries=1), partitions=None)
+    got = service.ask(rows, "ord", F.array(completion.message("user", F.col("ord").cast("string"))), 0.1, 10).collect()
+    assert len(got) == 300 and len({r["content"] for r in got}) > 1 and service.counted["calls"] == 300
+    with pytest.raises(ValueError):
+        completion.completed(rows, fixed.createDataFrame([], RESPONSE), backend, Completion(), None)
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
+    html = lambda i: f"<html><head><title>t{i}</title></head><body><main>{'word ' * (i % 20)}<a href='/{i}'>x</a></main></body></html>"
+    want = [(i, *pages.parse(f"https://e.com/{i}", html(i))) for i in range(3 * pages.PAGES_AT_ONCE + 5)]
+    rows = spark.createDataFrame([(i, f"https://e.com/{i}", html(i)) for i, *_ in want], "ord long, url string, html string").coalesce(1)
+    assert [tuple(r) for r in pages.parsed(rows).drop("url").orderBy("ord").collect()] == want
