@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import completion, lookup, pages, reconcile
+from lodestone.operators import completion, context, lookup, pages, reconcile
 from lodestone.params import Completion
 from lodestone.schema import RESPONSE
 
@@ -48,6 +48,16 @@ def test_pages_of_one_address_do_not_all_meet_its_prompts(fixed):
     assert found == want and len(rows) == len(want) and most <= 4 * n
 
 
+def test_a_text_of_pages_is_made_once_for_all_prompts_that_share_it(fixed):
+    n = 400
+    texts = fixed.createDataFrame([(i, f"text {i}") for i in range(4)], "ord long, body string")
+    shared = fixed.range(n).select(F.col("id").alias("prompt_ord"), F.posexplode(F.when(F.col("id") == 0, F.array(F.lit(3), F.lit(9))).otherwise(F.array(F.lit(2), F.lit(0), F.lit(1)))).alias("place", "page_ord"))
+    rows, most = most_rows(context.prompt_pages(shared, texts, F.col("body")))
+    mark = "\n\n---\n\n"
+    assert {r["prompt_ord"]: r["content"] for r in rows} == {i: mark.join(["text 2", "text 0", "text 1"]) if i else "text 3" for i in range(n)}
+    assert len(rows) == n and most <= n
+
+
 def test_calls_without_spacing_are_spread_over_tasks(fixed):
     def backend(request):
         from pyspark import TaskContext
