@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import catalog
 from lodestone.operators import completion, context, lookup, pages, reconcile
 from lodestone.params import Completion
 from lodestone.schema import RESPONSE
@@ -77,3 +78,11 @@ def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
     want = [(i, *pages.parse(f"https://e.com/{i}", html(i))) for i in range(3 * pages.PAGES_AT_ONCE + 5)]
     rows = spark.createDataFrame([(i, f"https://e.com/{i}", html(i)) for i, *_ in want], "ord long, url string, html string").coalesce(1)
     assert [tuple(r) for r in pages.parsed(rows).drop("url").orderBy("ord").collect()] == want
+
+
+def test_pages_of_one_address_count_apart(spark, tmp_path):
+    body = "<html><body><main>some words</main></body></html>"
+    rows = [(0, "https://e.com/en/a", body), (1, "https://e.com/en/a", body), (2, "https://e.com/en/b", body)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["prompt_text"]: r["n_urls"] for r in catalog.extract_all_replay(spark, str(tmp_path)).collect()}
+    assert found == {"first query": 3, "second query": 3, "for the site": 0}
