@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -49,6 +50,8 @@ UNIT = 64
 #: Rows of weights that are summed up together.
 BLOCK = 4096
 CHUNK = 2048
+#: Bytes of texts whose tokens a task holds at a time, and one text more.
+GROUP = 1 << 20
 #: Steps of a path after which words are parted by number, so that no path is long.
 EVEN = 6
 END = b"\n"  # no word holds a line feed
@@ -67,22 +70,43 @@ def tokens(text: str | None) -> list[bytes]:
     return [*words_of(text), END]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """tokens() of many texts but for the ends, and their owners."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, owner = lists.flatten(), pc.list_parent_indices(lists)
+    some = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(some).cast(pa.binary()), owner.filter(some).to_numpy()
+
+
+def groups(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in slices of about GROUP bytes, and where each begins."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    cuts = np.append(np.flatnonzero(np.diff(size // GROUP, prepend=-1)), len(texts))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield a, texts.slice(a, b - a)
+
+
 def count_words(df: DataFrame) -> DataFrame:
     """w, c: the count of every token in the texts (column t) of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "c"])
+        def summed() -> pa.Table:
+            out = pa.concat_tables(held).group_by("w", use_threads=False).aggregate([("c", "sum")])
+            return out.select(["w", "c_sum"]).rename_columns(["w", "c"])
 
         for b in batches:
-            for t in b.column("t"):
-                seen.update(tokens(t.as_py()))
-                if len(seen) > HELD_WORDS:
-                    yield rows()
-                    seen.clear()
-        yield rows()
+            for _, texts in groups(b.column("t")):
+                seen = split(texts)[0].value_counts()
+                held.append(pa.table({"w": seen.field("values"), "c": seen.field("counts")}))
+                held.append(pa.table({"w": pa.array([END], pa.binary()), "c": pa.array([len(texts)], pa.int64())}))
+                if sum(map(len, held)) > 2 * HELD_WORDS:
+                    held = [summed()]
+                    if len(held[0]) > HELD_WORDS:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from summed().to_batches()
 
     return df.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -124,9 +148,22 @@ class Model:
 
     def row(self, j: int, feature: np.ndarray, node: np.ndarray) -> np.ndarray:
         """The row of a hashed context (feature j) for a softmax."""
-        x = feature ^ (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        x = ((x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
-        return ((x * self.size[node]) >> np.uint64(32)).astype(np.int64) + (self.start[node] + j * self.rows)
+        return next(self.each_row([feature], node)) + j * self.rows
+
+    def each_row(self, features: list[np.ndarray], node: np.ndarray) -> Iterator[np.ndarray]:
+        """row() of each feature."""
+        own, size, start = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), self.size[node], self.start[node]
+        for j, feature in enumerate(features):
+            x = feature ^ own
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x >>= np.uint64(32)
+            x *= size
+            x >>= np.uint64(32)
+            row = x.view(np.int64)
+            row += start
+            row += j * self.rows
+            yield row
 
     def node_of_rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.size)), self.size.astype(np.int64))
@@ -167,30 +204,32 @@ def paths(mass: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Words(dict):
-    """Word to its place in the head, or beyond it its tail class, packed with its 32-bit hash; forgets all when full."""
+    """Word to its place in the head, or beyond it its tail class, packed with its 32-bit hash; keeps words of the head alone."""
 
     def __init__(self, head: dict[bytes, int]):
         super().__init__()
         self.head = head
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-        place = self.head.get(word, -1)
-        code = place if place >= 0 else len(self.head) + tail_class(word)
-        self[word] = packed = (xxhash.xxh32_intdigest(word) << 24) | code
+        place, digest = self.head.get(word, -1), xxhash.xxh32_intdigest
+        if place < 0:
+            return (digest(word) << 24) | (len(self.head) + digest(word, 7) % TAIL_CLASSES)
+        self[word] = packed = (digest(word) << 24) | place
         return packed
 
 
-def encode(texts: list[str | None], words: Words) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[bytes]]:
-    """Codes, context features (three hashes for each token) and owners of all tokens of the texts, and the tokens."""
-    flat: list[bytes] = []
-    ends = []
-    for t in texts:
-        flat += tokens(t)
-        ends.append(len(flat))
-    sizes = np.diff(ends, prepend=0)
-    packed = np.fromiter(map(words.__getitem__, flat), np.uint64, len(flat))
+def encode(texts: list[str | None] | pa.Array, words: Words) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Codes, context features (three hashes for each token) and owners of all tokens of the texts, and the tokens. Each distinct word is looked up once."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.string())
+    flat, owner = split(texts)
+    flat = flat.dictionary_encode()
+    sizes = np.bincount(owner, minlength=len(texts)) + 1
+    unique = np.empty(len(flat.dictionary) + 1, object)
+    unique[:-1], unique[-1] = flat.dictionary.to_numpy(zero_copy_only=False), END
+    at = np.full(len(flat) + len(texts), len(unique) - 1)
+    at[np.arange(len(flat)) + owner] = flat.indices.to_numpy()
+    packed = np.fromiter(map(words.__getitem__, unique.tolist()), np.uint64, len(unique))[at]
     code = (packed & np.uint64(0xFFFFFF)).astype(np.int64)
     h = (packed >> np.uint64(24)) + np.uint64(3)
     start = np.cumsum(sizes) - sizes
@@ -200,7 +239,13 @@ def encode(texts: list[str | None], words: Words) -> tuple[np.ndarray, list[np.n
     two[start] = 2
     two[(start + 1)[sizes > 1]] = 2
     mix = lambda x: (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    return code, [mix(one * np.uint64(0x9E3779B97F4A7C15)), mix(one * np.uint64(0xC2B2AE3D27D4EB4F) ^ two), mix(two * np.uint64(0xD6E8FEB86659FD93))], np.repeat(np.arange(len(texts)), sizes), flat
+    return code, [mix(one * np.uint64(0x9E3779B97F4A7C15)), mix(one * np.uint64(0xC2B2AE3D27D4EB4F) ^ two), mix(two * np.uint64(0xD6E8FEB86659FD93))], np.repeat(np.arange(len(texts)), sizes), unique[at]
+
+
+def by_word(code: np.ndarray, f: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """An order of the tokens by word, and codes and features in it: words near to each other share softmaxes, whose rows then stay in the cache."""
+    order = np.argsort(code)
+    return order, code[order], [x[order] for x in f]
 
 
 def steps(model: Model, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -238,8 +283,8 @@ def log_words(model: Model, weights: np.ndarray, code: np.ndarray, f: list[np.nd
     for at, node, taken in steps(model, code):
         x, w = scratch.x[: len(at)], scratch.w[: len(at)]
         np.take(model.bias, node, axis=0, out=x, mode="clip")
-        for j, feature in enumerate(f):
-            np.take(weights, model.row(j, feature if len(at) == len(code) else feature[at], node), axis=0, out=w, mode="clip")
+        for row in model.each_row(f if len(at) == len(code) else [y[at] for y in f], node):
+            np.take(weights, row, axis=0, out=w, mode="clip")
             x += w
         out[at] += x[np.arange(len(at)), taken]
         out[at] -= np.log(np.exp(x, out=x) @ scratch.ones)
@@ -253,8 +298,8 @@ def observe(model: Model, code: np.ndarray, f: list[np.ndarray], sums: np.ndarra
     for depth, (at, node, taken) in enumerate(steps(model, code)):
         lost = model.lost[code[at]]
         some = np.flatnonzero(lost) if depth == 0 else np.zeros(0, np.int64)
-        for j, feature in enumerate(f):
-            row = model.row(j, feature[at], node) * CLASSES
+        for row in model.each_row([x[at] for x in f], node):
+            row *= CLASSES
             np.add.at(sums, row + taken, UNIT - lost)
             if len(some):
                 np.add.at(sums, row[some] + HEAD_CLASSES + code[at][some] % TAIL_CLASSES, lost[some])
@@ -268,9 +313,9 @@ def train(df: DataFrame, sent) -> np.ndarray:
         model = sent.value
         words, sums, seen = Words(model.head), np.zeros(len(RATES) * model.rows * CLASSES, np.int64), False
         for b in batches:
-            texts = b.column("t").to_pylist()
-            for i in range(0, len(texts), 64):
-                code, f, *_ = encode(texts[i : i + 64], words)
+            for _, texts in groups(b.column("t")):
+                code, f, *_ = encode(texts, words)
+                _, code, f = by_word(code, f)
                 seen = True
                 for k in range(0, len(code), CHUNK):
                     observe(model, code[k : k + CHUNK], [x[k : k + CHUNK] for x in f], sums)
@@ -340,10 +385,22 @@ def fit(df: DataFrame, counts: DataFrame):
     return sent, spark.sparkContext.broadcast(train(df, sent))
 
 
-def _lists(bags: list[dict[bytes, int]]) -> pa.ListArray:
-    """Words and numbers of each bag."""
-    pairs = pa.StructArray.from_arrays([pa.array([w for x in bags for w in x], pa.binary()), pa.array([n for x in bags for n in x.values()], pa.int32())], ["w", "n"])
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in bags])).astype(np.int32)), pairs)
+def _lists(owner: np.ndarray, words: pa.Array, n: np.ndarray, texts: int) -> pa.ListArray:
+    """Words and numbers of each text; owners ascend."""
+    pairs = pa.StructArray.from_arrays([words, pa.array(n, pa.int32())], ["w", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=texts))).astype(np.int32)), pairs)
+
+
+def bags(owner: np.ndarray, words: np.ndarray, texts: int, often: Counter, limit: int) -> list[pa.ListArray]:
+    """Distinct words of each text with their numbers: those which at most limit texts of the task hold, and the others. often: the texts by word, to which these are added."""
+    flat = pa.array(words, pa.binary()).dictionary_encode()
+    unique = flat.dictionary
+    pair, n = np.unique(owner * max(len(unique), 1) + flat.indices.to_numpy(), return_counts=True)
+    owner, at = np.divmod(pair, max(len(unique), 1))
+    names = unique.to_pylist()
+    often.update(dict(zip(names, np.bincount(at, minlength=len(names)).tolist(), strict=True)))
+    hot = np.fromiter((often[w] > limit for w in names), bool, len(names))[at]
+    return [_lists(owner[x], unique.take(pa.array(at[x])), n[x], texts) for x in (~hot, hot)]
 
 
 SCORED = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -363,24 +420,17 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[
         words, head, scratch = Words(model.head), len(model.head), Scratch()
         seen, often = 0, Counter()
         for b in batches:
-            texts = b.column("t").to_pylist()
-            for i in range(0, len(texts), 64):
-                part = texts[i : i + 64]
+            for i, part in groups(b.column("t")):
                 code, f, owner, flat = encode(part, words)
+                order, sorted_code, f = by_word(code, f)
                 logs = np.empty(len(code))
                 for j in range(0, len(code), CHUNK):
-                    logs[j : j + CHUNK] = log_words(model, w, code[j : j + CHUNK], [x[j : j + CHUNK] for x in f], scratch)
+                    logs[order[j : j + CHUNK]] = log_words(model, w, sorted_code[j : j + CHUNK], [x[j : j + CHUNK] for x in f], scratch)
                 known = code < head
                 logs /= np.log(10)
                 sums = lambda x, m=len(part), o=owner: np.bincount(o, x, minlength=m)
-                rest: list[Counter] = [Counter() for _ in part]
-                for q in np.flatnonzero(~known).tolist():
-                    rest[owner[q]][flat[q]] += 1
                 seen += len(part)
-                often.update(w for x in rest for w in x)
-                limit = max(OFTEN, seen // 100)
-                hot = [{w: n for w, n in x.items() if often[w] > limit} for x in rest]
-                lists = [_lists([{w: n for w, n in x.items() if w not in y} if y else x for x, y in zip(rest, hot, strict=True)]), _lists(hot)]
+                lists = bags(owner[~known], flat[~known], len(part), often, max(OFTEN, seen // 100))
                 if len(often) > HELD_WORDS:
                     often.clear()
                 held = b.slice(i, len(part))

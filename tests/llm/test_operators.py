@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -612,6 +613,34 @@ def test_lm_with_a_small_head(spark, sf, monkeypatch, often):
     check_lm(docs, lm_score.score(docs))
 
 
+def test_lm_tokens_of_many_texts_are_those_of_each(monkeypatch):
+    """Odd spaces, letters that lower-case outside of A to Z, nulls, and groups of few texts."""
+    rng = np.random.default_rng(3)
+    odd = [*map(chr, range(40)), *"AZaz@[`{\x7f\x85\xa0\u2003é\u0130\u212a😀", *" " * 8]
+    texts = [None, "", " ", *("".join(rng.choice(odd, rng.integers(0, 40))) for _ in range(500)), None]
+    model = lm_score.Model([(b"a", 9), (b"\n", 5)], 20, 6, 1, 1, {})
+    code, _, owner, flat = lm_score.encode(texts, lm_score.Words(model.head))
+    want = [(i, w) for i, t in enumerate(texts) for w in lm_score.tokens(t)]
+    assert list(zip(owner.tolist(), flat.tolist(), strict=True)) == want
+    assert code.tolist() == [model.head.get(w, 2 + lm_score.tail_class(w)) for _, w in want]
+    monkeypatch.setattr(lm_score, "GROUP", 50)
+    parts = list(lm_score.groups(pa.array(texts)))
+    assert len(parts) > 100 and parts[0][0] == 0 and [x for _, t in parts for x in t.to_pylist()] == texts
+
+
+def test_lm_looks_each_distinct_word_up_once():
+    """Looking every token up was the larger part of reading a text."""
+    asked = []
+
+    class Asked(lm_score.Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    lm_score.encode(["a b a", "a z", "z z"], Asked({b"a": 0, b"b": 1}))
+    assert Counter(asked) == {b"a": 1, b"b": 1, b"z": 1, b"\n": 1}
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark, sf):
     s = lm_score.score(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("score").alias("m"), F.sum("base_score").alias("b")).first()
     assert s["m"] > s["b"]
