@@ -1,7 +1,9 @@
 """Exports, captured API rows, pages, sitemaps, crawls, history, and the whole dataflow with recorded replies."""
 
 import json
+import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +60,52 @@ def test_export_with_many_remarks(spark, tmp_path):
     assert [(r["query"], r["clicks"]) for r in out] == [("two\nlines", 3)]
 
 
+@pytest.fixture
+def tiny_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_export_is_read_by_many_tasks(spark, tmp_path, tiny_splits, end):
+    """Records that begin in one split and end in others, stray and doubled quotes, blank lines, quotes left open: as of Spark's reader of whole files."""
+    rng = random.Random(5)
+    quoted = lambda: '"' + "".join(rng.choice(["a", '""', ",", "\n", "b ", "\n\n"]) for _ in range(rng.randrange(6))) + '"'
+    odd = lambda: "".join(rng.choice(["a", '"', " ", '""']) for _ in range(rng.randrange(5)))
+    lines = [",".join(rng.choice([quoted, quoted, odd, lambda: "é"])() for _ in range(rng.choice([1, 3, 4]))) for _ in range(40)]
+    long = '"' + "line of a long cell\n" * 20 + '",1,2'
+    path = written(tmp_path, "\n".join(["Query,Clicks,Impressions", *lines, "", long, "last,3,4", '"open', "to the end"]).replace("\n", end))
+    rows, header = csvio._rows(spark, path)
+    found = rows.orderBy("ord").collect()
+    got = [list(r["cells"]) for r in found]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [list(r) for r in spark.read.csv(path, quote='"', escape='"', multiLine=True).collect()]
+    assert [header, *got] == want and len(got) > 20
+    splits = Counter(r["ord"] >> 33 for r in found)
+    assert len(splits) > 10 and max(splits.values()) < len(got) / 2
+
+
+def test_export_of_many_tasks_with_remarks(spark, tmp_path, tiny_splits):
+    text = '# made "by\nDate: x\n"Query",Clicks\n' + "".join(f'"two\nlines {i}","{i},000"\n' for i in range(30))
+    rows = csvio.search_queries(spark, written(tmp_path, text)).orderBy("ord").collect()
+    assert [(r["query"], r["clicks"]) for r in rows] == [(f"two\nlines {i}", 1000 * i) for i in range(30)]
+
+
+def test_export_of_many_files(spark, tmp_path):
+    """Files follow each other by name, whatever their sizes; a record ends with its file."""
+    (tmp_path / "x").mkdir()
+    for name, text in (("a", ""), ("b", "# remark\nQuery,Clicks\nred,1\n"), ("c", "".join(f'"q\n{i}",{i}\n' for i in range(500))), ("d", "blue,2\n")):
+        written(tmp_path / "x", text, f"{name}.csv")
+    rows = csvio.search_queries(spark, str(tmp_path / "x")).orderBy("ord").collect()
+    assert [(r["query"], r["clicks"]) for r in rows] == [("red", 1), *((f"q\n{i}", i) for i in range(500)), ("blue", 2)]
+
+
+def test_export_of_carriage_returns(spark, tmp_path):
+    rows = csvio.search_queries(spark, written(tmp_path, '# remark\rQuery,Clicks\r"a\rb",1\rc,2\r')).orderBy("ord").collect()
+    assert [(r["query"], r["clicks"]) for r in rows] == [("a\nb", 1), ("c", 2)]
+
+
 def test_separators_and_places():
     assert [csvio.separator(x) for x in ("a,b;c", "a;b;c,d", "a\tb\tc,d", "a\tb,c", "a;b\tc", "a", "")] == [",", ";", "\t", ",", ";", ",", ","]
     header = ["Avg. position", "top_queries", "Query", "CTR (%)"]
