@@ -8,7 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import pages
+from lodestone import catalog
+from lodestone.operators import competitors, pages
 from lodestone.operators.completion import RateLimited, Recorded, Service, Turn, _send, cache_marks, completed, requests, usage
 from lodestone.params import Completion, Crawl, Extraction, Factcheck, Params
 from lodestone.plans import cli
@@ -215,6 +216,19 @@ def test_parse_page(spark):
     assert "foot" not in r["body_text"] and "hidden" not in r["body_text"]
 
 
+def test_all_external_links_of_a_page_are_kept(spark, tmp_path):
+    """Also of a page that repeats its first links, and whose others come late; a domain counts with all links to it."""
+    links = ["https://ads.org/x"] * 60 + ["/own"] + [f"https://s{i % 3}.org/{i}" for i in range(120)]
+    html = page_of(20, *links)
+    spark.createDataFrame([(1, "https://e.com/p", html), (2, "https://e.com/q", page_of(20, "/own"))], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = catalog.page_parse(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r["internal"], r["external"]) for r in found] == [(1, 121), (1, 0)]
+    rows = pages.parsed(spark.read.parquet(f"{tmp_path}/pages.parquet").withColumnRenamed("page_id", "ord"))
+    assert rows.orderBy("ord").first()["external_links"] == sorted(set(links) - {"/own"})
+    counts = {r["domain"]: r["links"] for r in competitors.linked_domains(rows, F.lit("e.com")).collect()}
+    assert counts == {"ads.org": 1, "s0.org": 40, "s1.org": 40, "s2.org": 40}
+
+
 def test_sitemaps_and_robots(spark):
     index = "<sitemapindex><sitemap><loc>https://e.com/s1.xml</loc></sitemap></sitemapindex>"
     child = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://e.com/p </loc></url></urlset>'
